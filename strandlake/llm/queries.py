@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, mixing, simhash
+from . import automata, bpe, editprint, mixing, passages, simhash, suffixes
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return passages.kept_digests(docs, automata.repeated_spans(docs))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -27,10 +32,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return passages.kept_digests(docs, suffixes.repeated_spans(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, bits=64, segment_bits=64, budget=2, total_budget=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op6_bpe, op7_mix_sources, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_substring_dedup, op6_bpe, op7_mix_sources, op9_suffix_array_dedup, op10_simhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
