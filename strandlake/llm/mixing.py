@@ -55,15 +55,16 @@ def _running(rows: DataFrame, by: list[str], bucket: str, order: list, value: st
     return rows.alias("r").join(sums.alias("s"), on).select("r.*", "s._before").withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken; repeats counted) for every row."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words taken; repeats counted) and the carried columns
+    for every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("k")))
+    rows = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *carry))
     ranges = max(1, math.isqrt(rows.count()))
     sources = materialize(source_targets(rows, weights, share, most))
     r, s = rows.alias("r"), sources.alias("s")
-    joined = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "k", "source_size", "rank", "target", "budget")
+    joined = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "k", "source_size", "rank", "target", "budget", *carry)
     bucket = F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(2**32))
     order = ["k", F.col("doc_id").asc_nulls_first(), "size"]
     queued = materialize(_running(joined.withColumn("b", bucket), ["rank"], "b", order, "size", "upto"))
@@ -85,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         here = slot(when(i))
         in_ = F.col("cut_slot").isNull() | (here < F.col("cut_slot")) | ((here == F.col("cut_slot")) & F.coalesce(key <= F.col("last_key"), F.lit(False)))
         taken = taken + F.when((F.col("target") > 0) & in_, F.col("size")).otherwise(F.lit(0))
-    return queued.crossJoin(F.broadcast(cut)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return queued.crossJoin(F.broadcast(cut)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
 #: The same rule in one statement, with plain running sums.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, bpe, editprint, mixing, passages, simhash, suffixes
-from .common import table
+from . import ann, automata, bpe, editprint, langid, licenses, mixing, passages, simhash, suffixes, warc
+from .common import shared_dir, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,11 +19,26 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return passages.kept_digests(docs, automata.repeated_spans(docs))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write_warc(warc.record_table(table(spark, sf_dir, "pages")), path)
+    found = warc.resolve_revisits(warc.read_records(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,6 +47,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    keyed = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    found = langid.predict(keyed, langid.fit_documents(docs), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return passages.kept_digests(docs, suffixes.repeated_spans(docs))
@@ -42,5 +64,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_substring_dedup, op6_bpe, op7_mix_sources, op9_suffix_array_dedup, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_license_scan,
+        op3_substring_dedup,
+        op4_warc,
+        op5_nearest_neighbours,
+        op6_bpe,
+        op7_mix_sources,
+        op8_language_id,
+        op9_suffix_array_dedup,
+        op10_simhash,
+    )
+}
 SQL = {"op7_mix_sources": mixing.SQL}

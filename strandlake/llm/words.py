@@ -49,6 +49,7 @@ class Chunk:
     ends: np.ndarray
     doc: np.ndarray  # row (from first) of each word
     word_from: np.ndarray  # n + 1 offsets into the words
+    offsets: np.ndarray  # n + 1 offsets into data
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
         part, offsets = data[at[first] : at[last]], at[first : last + 1] - at[first]
         starts, ends = find_words(part, offsets)
         doc = np.searchsorted(offsets, starts, "right") - 1
-        yield Chunk(first, last - first, part, starts, ends, doc, np.searchsorted(starts, offsets, "left"))
+        yield Chunk(first, last - first, part, starts, ends, doc, np.searchsorted(starts, offsets, "left"), offsets)
         first = last
 
 
