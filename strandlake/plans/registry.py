@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import signals, statistics
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _family in (statistics, signals):
+    QUERIES |= _family.QUERIES
+    SQL |= _family.SQL
