@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import signals, statistics
+from . import jobs, signals, statistics
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _family in (statistics, signals):
+for _family in (statistics, signals, jobs):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL
