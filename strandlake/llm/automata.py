@@ -6,7 +6,8 @@
    compiles its shard's phrases into an Aho-Corasick automaton (a word is three symbols of 32).
    A shard with many documents is split: each part compiles the same phrases.
 3. Stream: every document goes through the automata of the shards whose phrases it holds, which gives
-   every occurrence; runs of windows around occurrences are then compared (passages.py).
+   every occurrence; runs of windows around occurrences are then compared (passages.py), in the task
+   where a shard is whole, and by shuffle where it is split.
 
 Defined results: see passages.py; an empty table gives no rows; other columns are passed on.
 """
@@ -29,20 +30,19 @@ SHARD_PHRASES, PART_DOCS = 15_000, 4_000
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """a, doc_id, tk: each anchor of a document once."""
+    """a, doc_id: each anchor of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
-            for c in chunks(batch.column(2)):
+            ids = batch.column(0).to_numpy()
+            for c in chunks(batch.column(1)):
                 r = passages.runs_of(c, window, gram)
                 order = np.lexsort((r.a, r.doc))
                 a, doc = r.a[order], r.doc[order]
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.zeros(0, bool)
-                a, row = a[new], c.first + doc[new]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[row]), pa.array(keys[row])], names=["a", "doc_id", "tk"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(ids[c.first + doc[new]])], names=["a", "doc_id"])
 
-    return passages.keyed(docs).mapInArrow(run, "a long, doc_id long, tk long")
+    return passages.keyed(docs).select("doc_id", "text").mapInArrow(run, "a long, doc_id long")
 
 
 def _symbols(words: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def _symbols(words: np.ndarray) -> np.ndarray:
 
 def _emit(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """From documents with routes (shard, parts, own) and own phrases: phrases and texts for the shards."""
-    names = ["shard", "part", "kind", "doc_id", "tk", "payload"]
+    names = ["shard", "part", "kind", "doc_id", "tk", "whole", "payload"]
     for batch in batches:
         ids, keys, column, routes, own = batch.columns
         for i in range(batch.num_rows):
@@ -60,33 +60,67 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
             rows = []
             mine = own[i].as_py()
             for r in routes[i].as_py():
-                rows.append((r["shard"], key % r["parts"], 1, column[i].as_py().encode()))
+                whole = r["parts"] == 1
+                rows.append((r["shard"], key % r["parts"], 1, whole, column[i].as_py().encode()))
                 if r["own"]:
                     for c in chunks(column.slice(i, 1)):
                         found = passages.runs_of(c, window, gram)
                         at = found.anchor[np.isin(found.a, np.array(mine, dtype=np.int64))]
                         symbols = _symbols(found.words)
                         phrases = b"".join(symbols[p : p + gram].tobytes() for p in np.unique(at).tolist())
-                    rows += [(r["shard"], p, 0, phrases) for p in range(r["parts"])]
+                    rows += [(r["shard"], p, 0, whole, phrases) for p in range(r["parts"])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([ids[i].as_py()] * len(rows), pa.int64()), pa.array([keys[i].as_py()] * len(rows), pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([ids[i].as_py()] * len(rows), pa.int64()), pa.array([keys[i].as_py()] * len(rows), pa.int64()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.binary())],
                 names=names,
             )
 
 
+class _Part:
+    """The runs found in one part of a shard, in order of doc_id.
+
+    A shard in one part has every document with its phrases, so its runs are resolved here and only
+    recurring windows leave the task. The runs of a shard in several parts are handed on."""
+
+    def __init__(self, whole: bool):
+        self.whole, self.seen, self.out = whole, {}, []
+        self.firsts: dict[int, list[tuple]] = {}
+
+    def add(self, r: passages.Runs, hit: np.ndarray, doc_id: int, tk: int) -> None:
+        for a, seg, start, n in zip(r.a[hit].tolist(), r.seg[hit].tolist(), r.start[hit].tolist(), r.n[hit].tolist()):
+            first = self.seen.setdefault((a, seg), doc_id) == doc_id
+            windows = r.windows[start : start + n].view(np.int64) if first else None
+            if not self.whole:
+                self.out.append((a, seg, doc_id, tk, start, n, windows))
+            elif first:
+                self.firsts.setdefault(a, []).append((seg, doc_id, tk, start, windows))
+            else:
+                self.out.append((None, None, doc_id, tk, start, n, None))
+
+    def close(self) -> None:
+        for runs in self.firsts.values():
+            if len({r[0] for r in runs}) > 1:
+                least: dict[int, int] = {}
+                for _, doc_id, tk, start, windows in runs:  # ascending doc_id
+                    for i, w in enumerate(windows.tolist()):
+                        if least.setdefault(w, doc_id) < doc_id:
+                            self.out.append((None, None, doc_id, tk, start + i, 1, None))
+        self.firsts, self.seen = {}, {}
+
+
 def _locate(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Streams a part's documents through its automaton; runs at occurrences, with window hashes for the
-    first document of each content in this part."""
+    """Streams a part's documents through its automaton. Rows with null a recur; the others are runs at
+    occurrences, with window hashes for the first document of each content in the part."""
     import ahocorasick
 
-    part, automaton, seen = None, None, {}
+    now, automaton, part, compiled = None, None, _Part(True), False
     size = 3 * gram
-    out: list[tuple] = []
     for batch in batches:
-        for shard, number, kind, doc_id, tk, payload in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.columns[5]):
-            if part != (shard, number):
-                part, automaton, seen = (shard, number), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {}
-                compiled = False
+        for shard, number, kind, doc_id, tk, whole, payload in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.columns[6]):
+            if now != (shard, number):
+                part.close()
+                if part.out:
+                    yield _runs(part.out)
+                now, automaton, part, compiled = (shard, number), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), _Part(whole), False
             if kind == 0:
                 text = payload.as_py().decode("latin-1")
                 for p in range(0, len(text), size):
@@ -101,15 +135,13 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
                     continue
                 last = np.array([e for e, _ in automaton.iter(_symbols(r.words).tobytes().decode("latin-1"))], dtype=np.int64)
                 last = last[(last + 1) % 3 == 0]
-                hit = np.isin(r.anchor, (last + 1) // 3 - gram)
-                for a, seg, start, n in zip(r.a[hit].tolist(), r.seg[hit].tolist(), r.start[hit].tolist(), r.n[hit].tolist()):
-                    first = seen.setdefault((a, seg), doc_id) == doc_id
-                    out.append((a, seg, doc_id, tk, start, n, r.windows[start : start + n].view(np.int64) if first else None))
-            if len(out) > 20_000:
-                yield _runs(out)
-                out = []
-    if out:
-        yield _runs(out)
+                part.add(r, np.isin(r.anchor, (last + 1) // 3 - gram), doc_id, tk)
+            if len(part.out) > 20_000:
+                yield _runs(part.out)
+                part.out = []
+    part.close()
+    if part.out:
+        yield _runs(part.out)
 
 
 def _runs(out: list[tuple]) -> pa.RecordBatch:
@@ -123,20 +155,23 @@ def repeated_spans(docs: DataFrame, window: int = passages.WINDOW, gram: int = p
     recurring = materialize(held.groupBy("a").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"))
     shards = max(1, recurring.count() // shard_phrases)
     placed = recurring.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    pairs = materialize(held.join(placed, "a").groupBy("doc_id", "tk", "shard").agg(F.max(F.col("doc_id") == F.col("owner")).alias("own")))
+    pairs = materialize(held.join(placed, "a").groupBy("doc_id", "shard").agg(F.max(F.col("doc_id") == F.col("owner")).alias("own")))
     load = pairs.groupBy("shard").agg(F.ceil(F.count("*") / part_docs).alias("parts"))
-    routes = pairs.join(load, "shard").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("shard", "parts", "own")).alias("routes"))
+    routes = pairs.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "parts", "own")).alias("routes"))
     own = recurring.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("a").alias("own"))
-    source = passages.keyed(docs).join(routes, ["doc_id", "tk"]).join(own, "doc_id", "left").select("doc_id", "tk", "text", "routes", "own")
-    sent = source.mapInArrow(lambda b: _emit(b, window, gram), "shard long, part long, kind int, doc_id long, tk long, payload binary")
+    source = passages.keyed(docs).join(routes, "doc_id").join(own, "doc_id", "left").select("doc_id", "tk", "text", "routes", "own")
+    sent = source.mapInArrow(lambda b: _emit(b, window, gram), "shard long, part long, kind int, doc_id long, tk long, whole boolean, payload binary")
     dealt = sent.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id")
     found = materialize(dealt.mapInArrow(lambda b: _locate(b, window, gram), "a long, seg long, doc_id long, tk long, start int, n int, windows array<long>"))
-    firsts = found.groupBy("a", "seg").agg(F.min("doc_id").alias("least"))
-    several = firsts.groupBy("a").agg((F.count("*") > 1).alias("several"))
-    judged = materialize(found.join(firsts.join(several, "a"), ["a", "seg"]))
-    windows = judged.where("doc_id = least and several").select("a", "doc_id", "tk", "start", F.posexplode("windows").alias("i", "wh"))
-    windows = windows.select("a", "wh", "doc_id", "tk", (F.col("start") + F.col("i")).alias("pos"))
-    return materialize(passages.resolve(windows, judged.where("doc_id > least")))
+    recur = found.where("a is null").select("doc_id", "tk", "start", "n")
+    runs = found.where("a is not null")  # of shards in several parts
+    firsts = runs.groupBy("a", "seg").agg(F.min("doc_id").alias("least"))
+    later = runs.select("a", "seg", "doc_id", "tk", "start", "n").join(firsts, ["a", "seg"]).where("doc_id > least").select("doc_id", "tk", "start", "n")
+    several = firsts.groupBy("a").agg(F.count("*").alias("contents")).where("contents > 1")
+    told = runs.where("windows is not null").join(firsts.join(several, "a"), ["a", "seg"]).where("doc_id = least")
+    windows = told.select("a", "doc_id", "tk", "start", F.posexplode("windows").alias("i", "wh"))
+    windows = materialize(windows.select("a", "wh", "doc_id", "tk", (F.col("start") + F.col("i")).alias("pos")))
+    return materialize(passages.resolve(windows, recur.unionAll(later)))
 
 
 def drop_repeats(docs: DataFrame, window: int = passages.WINDOW) -> DataFrame:
