@@ -144,6 +144,27 @@ def test_op10_stage_keeps_one_of_each_group(rows, docs):
     assert kept.count(80) == 1 and None in kept and {60, 61, 62, 63, 64, 74} <= set(kept)
 
 
+def test_op10_stage_verifies_similarity(spark):
+    rng = random.Random(9)
+    base = prose(rng, 400).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 25):
+        w = list(base)
+        for at in rng.sample(range(400), k):
+            w[at] = "zz"
+        rows.append((k, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = {i: i for i in sets}
+    for _ in root:
+        for a in root:
+            for b in root:
+                if alike(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in root if root[i] == i} and 3 < len(kept) < 25
+
+
 def test_op1_report(rows, docs):
     got = sorted((r for r in editprint.edit_report(docs).collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     order = sorted((("" if t is None else t, i) for i, t, *_ in rows), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
