@@ -23,35 +23,36 @@ def simple(name: str, make, sql: str | None = None, places: int = 5) -> None:
         SQL[name] = sql
 
 
-# Alignment: references are letters of benchmark texts, reads hold a reference with an edit and flanks.
+# Alignment: references are the letters of benchmark texts; a read holds a reference with an edit, between
+# flanks made from the digest of a document.
 ACGT = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-CLASSES = 20
+HEX = ("0123456789abcdef", "ACGTACGTACGTACGT")
 _dna = lambda c: F.translate(F.regexp_replace(F.lower(F.col(c)), "[^a-z]", ""), *ACGT)
 _SQL_DNA = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{ACGT[0]}', '{ACGT[1]}')"
-# Letters alone would make references alike; doc and item texts are long enough after that.
 
 
 def refs(spark, sf_dir):
-    items = b.table(spark, sf_dir, "benchmark").where(F.col("item_id") < CLASSES)
-    seq = F.substring(_dna("text"), 5, 80)
-    return items.select(F.col("item_id").cast("int").alias("ref_idx"), F.concat(F.lit("ref"), F.col("item_id").cast("string")).alias("ref_name"), seq.alias("seq"), F.length(seq).alias("len"))
+    items = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("ref_idx"), _dna("text").alias("seq"))
+    return items.select("ref_idx", F.concat(F.lit("ref"), F.col("ref_idx").cast("string")).alias("ref_name"), "seq", F.length("seq").alias("len"))
 
 
 def reads(spark, sf_dir):
-    """Every document gives a read; the class is doc_id mod CLASSES, every fifth read is called wrong at first."""
-    docs = b.table(spark, sf_dir, "documents").where(F.length(_dna("text")) >= 40).select("doc_id", F.substring(_dna("text"), 1, 40).alias("own"))
-    kind = (F.col("doc_id") % CLASSES).cast("int")
-    rows = docs.withColumn("ref_idx", kind).join(refs(spark, sf_dir).select("ref_idx", F.col("seq").alias("ref")), "ref_idx")
+    """Every document gives a read; its class is doc_id modulo the number of references, every fifth read is
+    called wrong at first."""
+    classes = b.table(spark, sf_dir, "benchmark").count()
+    own = F.translate(F.sha2(F.coalesce("text", F.lit("")), 256), *HEX)
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", own.alias("own"), (F.col("doc_id") % classes).cast("int").alias("ref_idx"))
+    rows = docs.join(refs(spark, sf_dir).select("ref_idx", F.col("seq").alias("ref")), "ref_idx")
     at = (F.col("doc_id") % 30 + 20).cast("int")
-    body = F.concat(F.substring(F.col("ref"), F.lit(1), at), F.substring("own", 7, 1), F.substring(F.col("ref"), at + 2 + (F.col("doc_id") % 2).cast("int"), F.lit(200)))
+    body = F.concat(F.substring(F.col("ref"), F.lit(1), at), F.substring("own", 7, 1), F.substring(F.col("ref"), at + 2 + (F.col("doc_id") % 2).cast("int"), F.length("ref")))
     head, tail = F.substring(F.col("own"), F.lit(1), (F.col("doc_id") % 9 + 3).cast("int")), F.substring(F.col("own"), F.lit(15), (F.col("doc_id") % 7 + 2).cast("int"))
     rows = rows.withColumn("seq", F.concat(head, body, tail)).withColumn("tail", F.length(tail)).withColumn("body", F.length(body))
     mv = F.concat(F.array(F.lit(5)), F.flatten(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.when(i % 4 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1))))))
     rows = rows.withColumn("mv", mv).withColumn("ts", F.lit(10))
     p = align.base_positions("mv", "ts")
     region = ar.let(p, lambda x: F.struct(x[F.col("tail")].alias("start"), (x[F.col("tail") + F.col("body") - 1] + 4).alias("end")))
-    other = (F.col("ref_idx") + 1) % CLASSES
-    top3 = F.when(F.col("doc_id") % 5 == 0, F.array(other, F.col("ref_idx"), (other + 1) % CLASSES)).otherwise(F.array(F.col("ref_idx"), other, (other + 1) % CLASSES))
+    other = (F.col("ref_idx") + 1) % classes
+    top3 = F.when(F.col("doc_id") % 5 == 0, F.array(other, F.col("ref_idx"), (other + 1) % classes)).otherwise(F.array(F.col("ref_idx"), other, (other + 1) % classes))
     lost = F.col("doc_id") % 17 == 0
     region = F.when(lost, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))).otherwise(region)
     return rows.select(F.col("doc_id").cast("string").alias("read_id"), "seq", "mv", "ts", F.lit(5000).cast("bigint").alias("ns"), (F.col("doc_id") % 23 == 0).alias("is_split"), region.alias("region"), top3.alias("top3"), F.col("ref_idx").alias("truth"))
@@ -122,7 +123,7 @@ def s11(spark, sf_dir):
 
 QUERIES["s11_sorted_sink"] = s11
 simple("j1_j2_f3_candidates", lambda s, d: (lambda r: align.candidate_rows(r.drop("region", "top3"), _calls(r), refs(s, d), 3).groupBy("ref_idx", "rank").agg(F.count("*").alias("reads")))(reads(s, d)),
-    f"with r as (select doc_id, (doc_id % {CLASSES})::int as c from documents where len({_SQL_DNA}) >= 40 and doc_id % 23 <> 0 and doc_id % {CLASSES} in (select item_id from benchmark)), t as (select unnest(case when doc_id % 5 = 0 then [(c + 1) % {CLASSES}, c, (c + 2) % {CLASSES}] else [c, (c + 1) % {CLASSES}, (c + 2) % {CLASSES}] end) as ref_idx, unnest([1, 2, 3]) as rank from r) select ref_idx::int as ref_idx, rank, count(*) as reads from t where ref_idx in (select item_id from benchmark) group by ref_idx, rank")
+    "with n as (select count(*) as k from benchmark), r as (select doc_id, (doc_id % k)::int as c, k from documents, n where doc_id % 23 <> 0 and doc_id % k in (select item_id from benchmark)), t as (select unnest(case when doc_id % 5 = 0 then [(c + 1) % k, c, (c + 2) % k] else [c, (c + 1) % k, (c + 2) % k] end) as ref_idx, unnest([1, 2, 3]) as rank from r) select ref_idx::int as ref_idx, rank, count(*) as reads from t where ref_idx in (select item_id from benchmark) group by ref_idx, rank")
 
 # Annotation on the made alignments, with short adapters.
 LEAD, TAIL, SPAN, LENGTH = 6, 8, 8, 36
@@ -160,25 +161,31 @@ simple(
     lambda s, d: b.table(s, d, "customer").select("c_custkey", annotate.display_name(F.concat(F.lit("run_x_a-"), F.regexp_replace("c_name", "#", "-"), F.lit("-d-e"))).alias("n")).select("c_custkey", "n.encoder", "n.decoder"),
     "select c_custkey, split_part(t, '-', 1) || '-' || split_part(t, '-', 2) as encoder, split_part(t, '-', 3) || '-' || split_part(t, '-', 4) as decoder from (select c_custkey, split_part('run_x_a-' || replace(c_name, '#', '-') || '-d-e', '_', -1) as t from customer)",
 )
-_NEAR = f"x as (select doc_id::varchar as read_id, (doc_id % 3)::int as family, {_SQL_DNA}[1:24] as seq from documents where len({_SQL_DNA}) >= 24), v as (select (item_id % 3)::int as family, item_id::varchar as variant, {_SQL_DNA}[1:24] as seq from benchmark where item_id < 12)"
+# Variants: names of parts as reads and their types as variants, in families by size.
+_V = "x as (select p_partkey::varchar as read_id, p_size % 2 as family, lower(p_name) as seq from part), v as (select distinct p_size % 2 as family, p_type as variant, lower(p_type) as seq from part)"
 
 
-def nearest(spark, sf_dir):
-    one = lambda t, c: b.table(spark, sf_dir, t).select((F.col(c) % 3).cast("int").alias("family"), F.col(c).cast("string").alias("id"), F.col(c).alias("n"), F.substring(_dna("text"), 1, 24).alias("seq"))
-    r = one("documents", "doc_id").where("length(seq) >= 24").select(F.col("id").alias("read_id"), "family", "seq")
-    return annotate.nearest_variant(r, one("benchmark", "item_id").where("n < 12").select("family", F.col("id").alias("variant"), "seq"))
+def _part_names(spark, sf_dir):
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("read_id"), (F.col("p_size") % 2).alias("family"), F.lower("p_name").alias("seq"))
 
 
-simple("l7_p23_nearest_variant", nearest, f"with {_NEAR}, d as (select read_id, variant, levenshtein(x.seq, v.seq) as dist from x join v using (family)), m as (select *, min(dist) over (partition by read_id) as least from d) select read_id, min(variant) as variant, min(dist)::int as dist from m where dist = least group by read_id having count(*) = 1")
+def _part_types(spark, sf_dir):
+    return b.table(spark, sf_dir, "part").select((F.col("p_size") % 2).alias("family"), F.col("p_type").alias("variant"), F.lower("p_type").alias("seq")).distinct()
+
+
+simple("l7_p23_nearest_variant", lambda s, d: annotate.nearest_variant(_part_names(s, d), _part_types(s, d)), f"with {_V}, d as (select read_id, variant, levenshtein(x.seq, v.seq) as dist from x join v using (family)), m as (select *, min(dist) over (partition by read_id) as least from d) select read_id, min(variant) as variant, min(dist)::int as dist from m where dist = least group by read_id having count(*) = 1")
+#: Diagnostic places of a variant, from 0.
+SITES = (0, 2)
 
 
 def matching(spark, sf_dir):
-    one = lambda t, c: b.table(spark, sf_dir, t).select((F.col(c) % 3).cast("int").alias("family"), F.col(c).cast("string").alias("id"), F.col(c).alias("n"), F.posexplode(F.split(F.substring(_dna("text"), 1, 3), "")).alias("pos", "base")).where("base <> ''")
-    r = one("documents", "doc_id").select(F.col("id").alias("read_id"), "family", F.col("pos").alias("ref_pos"), "base")
-    return annotate.matching_variant(r, one("benchmark", "item_id").where("n < 12").select("family", F.col("id").alias("variant"), "pos", "base"))
+    bases = lambda df, *keep: df.select(*keep, "family", F.posexplode(F.split(F.translate(F.regexp_replace("seq", "[^a-z]", ""), *ACGT), "")).alias("pos", "base")).where("base <> ''")
+    r = bases(_part_names(spark, sf_dir), "read_id").withColumnRenamed("pos", "ref_pos")
+    return annotate.matching_variant(r, bases(_part_types(spark, sf_dir), "variant").where(F.col("pos").isin(*SITES)))
 
 
-simple("l7_matching_variant", matching, f"with r as (select doc_id::varchar as read_id, (doc_id % 3)::int as family, {_SQL_DNA} as s from documents), v as (select (item_id % 3)::int as family, item_id::varchar as variant, {_SQL_DNA}[1:3] as t from benchmark where item_id < 12 and len({_SQL_DNA}) > 0) select read_id, min(variant) as variant from r join v using (family) where starts_with(s, t) group by read_id having count(*) = 1")
+_SITE = f"translate(regexp_replace({{}}.seq, '[^a-z]', '', 'g'), '{ACGT[0]}', '{ACGT[1]}')"
+simple("l7_matching_variant", matching, f"with {_V} select read_id, min(variant) as variant from x join v using (family) where " + " and ".join(f"{_SITE.format('x')}[{k + 1}] = {_SITE.format('v')}[{k + 1}]" for k in SITES) + " group by read_id having count(*) = 1")
 
 # Sources and sinks
 simple("s1_scan_signals", lambda s, d: src.scan(s, f"{d}/embeddings.parquet", "vec_id bigint, embedding array<float>").select("vec_id", F.size("embedding").alias("samples")), "select vec_id, len(embedding)::int as samples from embeddings")
@@ -205,7 +212,7 @@ def s5(spark, sf_dir):
     return src.read_fasta(spark, path)
 
 
-simple("s5_s15_fasta_scan", s5, f"select (row_number() over (order by item_id) - 1)::int as ref_idx, 'ref' || item_id as ref_name, {_SQL_DNA}[5:84] as seq, len({_SQL_DNA}[5:84])::int as len from benchmark where item_id < {CLASSES}")
+simple("s5_s15_fasta_scan", s5, f"select (row_number() over (order by item_id) - 1)::int as ref_idx, 'ref' || item_id as ref_name, {_SQL_DNA} as seq, len({_SQL_DNA})::int as len from benchmark")
 simple("s6_union_results", lambda s, d: src.union_results(b.scores(s, d), ar.compress(b.scores(s, d))).groupBy("kind").agg(F.count("*").alias("records"), F.count("classification").alias("full"), F.count("top3").alias("summaries")), "select 0 as kind, count(*) as records, count(*) as full, 0::bigint as summaries from embeddings union all select 1, count(*), 0, count(*) from embeddings")
 
 

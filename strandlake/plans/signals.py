@@ -120,7 +120,11 @@ simple(
     lambda s, d: b.alignments(s, d).select("read_id", cg.is_consistent("cigar", F.lit(30)).alias("fits"), cg.is_fragment("cigar", F.lit(20)).alias("fragment")),
     _A + f"select read_id, {_sum('1, 4, 7, 8')} = 30 as fits, {_sum('2')}::double / 20 >= 0.15 as fragment from alignments",
 )
-simple("p15_aligned_pairs", lambda s, d: tracks.aligned_pairs(b.alignments(s, d)).where("op in (1, 2, 8)").select("read_id", "op", "query_pos", "ref_pos"), _P + "select read_id, op, query_pos, ref_pos from pairs where op in (1, 2, 8)")
+simple(
+    "p15_aligned_pairs",
+    lambda s, d: tracks.aligned_pairs(b.alignments(s, d)).groupBy("read_id", "op").agg(F.count("*").alias("places"), F.sum("query_pos").alias("query_sum"), F.sum("ref_pos").alias("ref_sum"), F.max("query_pos").alias("last_query")),
+    _P + "select read_id, op, count(*) as places, sum(query_pos)::bigint as query_sum, sum(ref_pos)::bigint as ref_sum, max(query_pos) as last_query from pairs group by read_id, op",
+)
 _OPS = f"{b.PAIRS}, o as (select read_id, op, row_number() over (partition by read_id order by k, j) as n, count(*) over (partition by read_id) as total from pairs), lead4 as (select read_id, (count(*) filter (where op = 4 and k = 1))::int as lead from pairs group by read_id)"
 _AFTER = """, w as (select o.read_id, n, op, lead, sum(case when op = 7 then 1 else 0 end) over (partition by o.read_id order by n rows between current row and 7 following) as hits, total from o join lead4 using (read_id)),
   f as (select read_id, min(n) as f from w where n > lead and n + 7 <= total and hits >= 6 group by read_id), s as (select w.read_id, min(n) as spot from w join f using (read_id) where n >= f and op = 7 group by w.read_id)
@@ -155,7 +159,11 @@ simple(
     "select r.read_id, parts, ed, case when tail > 0 then tail - case when cigar[-1].op = 4 then cigar[-1].len else 0 end else 0 end as five, case when lead > 0 then lead - case when cigar[1].op = 4 then cigar[1].len else 0 end else 0 end as three from r join t using (read_id) join alignments using (read_id)",
 )
 _tr = lambda s, d: tracks.tracks(b.alignments(s, d), F.lit(b.START), F.lit(b.END), "label", "condition", "aligner")
-simple("p16_tracks", lambda s, d: _tr(s, d).where("ins > 0 or del > 0").select("read_id", "position", "match", "ins", "cov", "del"), _T + "select read_id, position::int as position, match, ins, cov, del from tracks where ins > 0 or del > 0")
+simple(
+    "p16_tracks",
+    lambda s, d: _tr(s, d).groupBy("read_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), *(F.sum(F.col(c) * (F.col("position") + 1)).alias(f"{c}_at") for c in ("match", "ins", "cov", "del"))),
+    _T + "select read_id, min(position)::int as first, max(position)::int as last, sum(match * (position + 1))::bigint as match_at, sum(ins * (position + 1))::bigint as ins_at, sum(cov * (position + 1))::bigint as cov_at, sum(del * (position + 1))::bigint as del_at from tracks group by read_id",
+)
 _STATS = "select read_id, label, mapq, flag, is_split, case when sum(cov) + sum(ins) > 0 then sum(match)::double / (sum(cov) + sum(ins)) else 0 end as identity, sum(match) as matches, sum(cov) - sum(match) - sum(del) as mismatches, sum(ins) as insertions, sum(del) as deletions, sum(cov) as length from tracks group by all"
 simple("p17_a29_read_stats", lambda s, d: tracks.track_stats(_tr(s, d), "label"), _T + f"select read_id, label, round(identity, 5) as identity, matches::bigint as matches, mismatches::bigint as mismatches, insertions::bigint as insertions, deletions::bigint as deletions, length::bigint as length from ({_STATS})")
 _STATUS = f"""select case when flag & 4 <> 0 then 'unmapped' when qlen < 25 then 'failed' when coalesce(identity, 0) >= 0.75 and coalesce(length, 0) >= 15 then 'pass' else 'failed' end as status, count(*) as reads, round(sum(identity) filter (where flag & 4 = 0 and qlen >= 25), 4) as identity_sum
