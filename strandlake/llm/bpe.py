@@ -1,10 +1,12 @@
 """BPE encoding and decoding with forced-boundary splitting.
 
 A pair of adjacent characters of the byte alphabet that occurs inside no vocabulary token can never
-be merged over, so a cut there changes nothing. White space occurs in no token at all, so texts are
-first cut there; what is left is normalised and pre-tokenised by the tokenizer's own rules, cut at
-every forced boundary, and each fragment is merged by itself. Fragments repeat, so a worker keeps
-the ids of those it has met (a bounded table). Ids of fragments are then concatenated.
+be merged over, so a cut there changes nothing. A 256 x 256 table over the bytes of a text marks the
+pairs at which a pre-token must end as well (white space, and letters, digits and punctuation
+side by side, where no token holds the pair); a text is cut there in one vectorised pass. What is
+left is normalised and pre-tokenised by the tokenizer's own rules, cut at every forced boundary
+inside, and each piece is merged by itself. Fragments repeat, so a worker keeps the ids of those it has met
+(a bounded table). Ids of fragments are then concatenated.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; texts of any
 length are cut in one pass; rows, ties and repeats are independent; other columns are kept out.
@@ -16,6 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import text_buffers
 
 #: Fragments a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 
 class ForcedBoundaryBPE(dict):
@@ -46,18 +49,50 @@ class ForcedBoundaryBPE(dict):
         bare = [t.removesuffix(self.end) for t in self.vocab]
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
         assert not any(re.search(r"[\x20\x09-\x0D]", t) for t in self.vocab), "white space must be a forced boundary"
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the byte alphabet
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.cuts = self._table()
+        self.pieces: dict[tuple[str, bool], list[int]] = {}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _table(self) -> np.ndarray:
+        """Whether a pair of bytes, at 256 * first + second, is a certain cut between pre-tokens. Only ASCII
+        pairs of unlike kind, or of two digits, which are always apart, that no token holds."""
+        kind = np.zeros(256, np.int64)
+        kind[33:127], kind[48:58], kind[65:91], kind[97:123] = 3, 2, 1, 1
+        unlike = (kind[:, None] != kind) | ((kind[:, None] == 2) & (kind == 2))
+        table = unlike & (kind[:, None] > 0) & (kind > 0)
+        for pair in self.inside | {t[i : i + 2] for t in self.special for i in range(len(t) - 1)}:
+            if pair.isascii() and not (pair[0].isdigit() and pair[1].isdigit()):
+                for a in {pair[0], pair[0].upper()}:
+                    for b in {pair[1], pair[1].upper()}:
+                        table[ord(a), ord(b)] = False
+        return table.ravel()
+
+    def fragments(self, text: bytes) -> list[bytes]:
+        data = np.frombuffer(text, np.uint8)
+        at = np.flatnonzero(self.cuts[(data[:-1].astype(np.uint16) << 8) | data[1:]]) + 1
+        if len(at):
+            out = np.full(len(data) + len(at), 32, np.uint8)
+            keep = np.ones(len(out), bool)
+            keep[at + np.arange(len(at))] = False
+            out[keep] = data
+            text = out.tobytes()
+        return (text if b"<|" in text else text.lower()).split()
+
     def __missing__(self, fragment: bytes) -> bytes:
         ids: list[int] = []
         text = fragment.decode("utf-8", "replace")
-        for i, part in enumerate(self.special_at.split(text) if self.special_at else [text]):
+        if text.isalpha() and text == text.lower() and max(text) < "\u0250":  # composed Latin letters are a pre-token as they are
+            ids, text = self.word(fragment.decode("latin-1").translate(self.alphabet)), ""
+        for i, part in enumerate(self.special_at.split(text) if self.special_at and text else [text]):
             if i % 2:
                 ids.append(self.special[part])
             elif part:
                 for word, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part)):
                     ids += self.word(word)
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
             self.clear()
         if len(fragment) <= 256:
@@ -66,14 +101,38 @@ class ForcedBoundaryBPE(dict):
 
     def word(self, word: str) -> list[int]:
         """Ids of a pre-token: each piece between forced boundaries is merged alone."""
-        ids, start = [], 0
+        ids, start, inside = [], 0, self.inside
         for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.inside:
-                ids += self.merge(list(word[start:i]))
+            if word[i - 1 : i + 1] not in inside:
+                ids += self.piece(word[start:i], False)
                 start = i
-        last = list(word[start:])
-        last[-1] += self.end
-        return ids + self.merge(last)
+        return ids + self.piece(word[start:], True)
+
+    def piece(self, text: str, last: bool) -> list[int]:
+        ids = self.pieces.get((text, last))
+        if ids is None:
+            parts = list(text)
+            if last:
+                parts[-1] += self.end
+            ids = self.merge(parts) if len(parts) > 24 else self.merge_short(parts)
+            if len(self.pieces) >= CACHE // 4:
+                self.pieces.clear()
+            if len(text) <= 64:
+                self.pieces[text, last] = ids
+        return ids
+
+    def merge_short(self, parts: list[str]) -> list[int]:
+        rank, far = self.ranks.get, len(self.ranks)
+        order = [rank(p, far) for p in zip(parts, parts[1:])]
+        while order and (least := min(order)) < far:
+            i = order.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), far)
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), far)
+        return [self.vocab[p] for p in parts if p in self.vocab]
 
     def merge(self, parts: list[str]) -> list[int]:
         """Merges in order of rank, then place; a heap over a linked list."""
@@ -96,7 +155,7 @@ class ForcedBoundaryBPE(dict):
         return [self.vocab[p] for p in parts if p and p in self.vocab]
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self.fragments(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """What decode() gives without a decoder: the tokens, one space between them."""
