@@ -4,7 +4,8 @@ Fitting, on a sample of at most about `sample_rows` vectors: link each to its ne
 into parts of equal size that few links cross, and train a small network to name the parts in
 which a vector's neighbours lie. Indexing gives every row its most probable part. A query goes to
 its most probable parts, as many as the sample needs for `target_recall`, and is compared with all
-their vectors in double precision. Parts are split into blocks of bounded size, and the queries of
+their vectors in double precision; its k nearest of the sample come first, and set a score below which
+no vector need be returned. Parts are split into blocks of bounded size, and the queries of
 a part likewise, so no task holds more than one block of each.
 
 Defined results: null vec_id, and vectors that are null, zero, hold null or non-finite values or have
@@ -139,18 +140,36 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 256, target_recall: float = 0.96) -> DataFrame:
+def _best_known(ids: np.ndarray, x: np.ndarray, known, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of the sample: query places, vec_ids, scores; and the k-th score of each query,
+    which k candidates reach, so that no row below it is an answer."""
+    least, found = np.full(len(x), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if known is not None and len(known[0]) > k:
+        for i in range(0, len(x), 256):
+            s = x[i : i + 256] @ known[1].T
+            s[ids[i : i + 256, None] == known[0]] = -np.inf
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            least[i : i + 256] = np.take_along_axis(s, best, 1).min(1)
+            at, b = np.repeat(np.arange(i, i + len(s)), k), best.ravel()
+            real = np.take_along_axis(s, best, 1).ravel() > -np.inf
+            found.append((at[real], known[0][b[real]], (x[at[real]] * known[1][b[real]]).sum(1)))
+    return *(np.concatenate(c) for c in zip(*found)), least
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 256, target_recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors))
     n = rows.count()
     parts = int(min(most_parts, max(1, n // part_rows)))
-    router, probe = None, 1
+    router, probe, known = None, 1, None
     if parts > 1:
         chosen = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 2) <= F.lit(int(min(1.0, sample_rows / n) * 2**62)))
         sample = chosen.toArrow().sort_by("vec_id")  # about sample_rows rows
-        router, probe = fit(_matrix(sample.column("v")), parts, k, target_recall)
+        known = sample.column("vec_id").to_numpy(), _matrix(sample.column("v"))
+        router, probe = fit(known[1], parts, k, target_recall)
     shared = spark.sparkContext.broadcast(router)  # a small network
+    floor = spark.sparkContext.broadcast(known)  # the sample
 
     def assign(batches):
         for batch in batches:
@@ -169,10 +188,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, p
             # at least `probe` parts, and more while they hold too few candidates
             take = (np.arange(parts) < probe) | (np.cumsum(sizes[order], axis=1) - sizes[order] <= k)
             i, j = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(order[i, j].astype(np.int32))], names=["query_id", "q", "part"])
+            least = _best_known(batch.column(0).to_numpy(), x, floor.value, k)[3]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(least[i]), pa.array(order[i, j].astype(np.int32))], names=["query_id", "q", "least", "part"])
 
-    queries = rows.where(is_query).mapInArrow(route, "query_id long, q array<double>, part int")
+    queries = rows.where(is_query).mapInArrow(route, "query_id long, q array<double>, least double, part int")
     queries = materialize(queries)
+
+    def sampled(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            at, near, score, _ = _best_known(ids, _matrix(batch.column(1)), floor.value, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    first = rows.where(is_query).mapInArrow(sampled, "query_id long, vec_id long, score double")
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     blocks = [(p, -(-held.get(p, 0) // BLOCK_ROWS) or 1, -(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)]
     rows_in = F.array(*(F.lit(b) for _, b, _ in blocks))[F.col("part")]
@@ -186,12 +214,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, p
             ids, x = c.column("vec_id").to_numpy(), _matrix(c.column("v"))
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            asked, y = q.column("query_id").to_numpy(), _matrix(q.column("q"))
+            asked, y, floors = q.column("query_id").to_numpy(), _matrix(q.column("q")), q.column("least").to_numpy()
             for i in range(0, len(y), 256):
                 s = y[i : i + 256] @ x.T
                 s[asked[i : i + 256, None] == ids] = -np.inf
                 least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                # a hair below the k-th, as products summed in another order differ in their last bits
+                least = np.maximum(least, floors[i : i + 256])
+                # a hair below, as products summed in another order differ in their last bits
                 a, b = np.nonzero((s >= (least - 1e-12 * np.abs(least))[:, None]) & (s > -np.inf))
                 exact = (y[i + a] * x[b]).sum(1)
                 best = np.lexsort((ids[b], -exact, a))
@@ -202,6 +231,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, p
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     key = ["part", "cb", "qb"]
-    found = asks.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()
+    found = asks.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = found.unionAll(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
