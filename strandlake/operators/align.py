@@ -19,6 +19,7 @@ from ..functions import cigar as cg
 from ..functions import kernels
 from ..functions.arrays import let
 from ..schemas import MATCH
+from ..session import stored
 
 #: Cells of one kernel call; longer reads go in smaller lots.
 LOT_CELLS = 1 << 22
@@ -93,6 +94,13 @@ def _kernel(rows: DataFrame, query: str, ref: str, wanted: str | None, kind: str
     return rows.mapInArrow(run, f"{types}, ops array<int>, q_start int, q_end int, r_start int, r_end int, hits int")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out evenly before a kernel: they are small, and AQE would join their partitions by bytes
+    where the work is in the cells."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "read_id", "rank")
+
+
 def glocal(rows: DataFrame, query: str, ref: str, params: Parameters = Parameters()) -> DataFrame:
     """L1 over a frame of sequences."""
     return _kernel(rows, query, ref, None, "glocal", params)
@@ -118,7 +126,7 @@ def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -
     cut = cut_region(F.col("seq"), base_positions("mv", "ts"), start, region["end"])
     rows = candidates.withColumn("cut", F.when(region["start"] >= 0, cut)).withColumn("sub", F.coalesce("cut.sub", F.lit("")))
     rows = rows.select("read_id", "rank", "ref_idx", "ref_seq", "sub", F.coalesce("cut.five_clip", F.lit(0)).alias("five"), F.coalesce("cut.three_clip", F.lit(0)).alias("three"))
-    one = glocal(rows, "sub", "ref_seq", params)
+    one = glocal(spread(rows), "sub", "ref_seq", params)
     coded = cg.from_edits("ops", F.col("five") + F.col("q_start"), F.col("three") + F.length("sub") - F.col("q_end"))
     trimmed = let(coded, lambda e: let(cg.trim_to_window(e["cigar"]), lambda t: F.struct(t["cigar"].alias("cigar"), t["shift"].alias("pos"), (e["ed"] - t["removed"]).alias("ed"))))
     one = one.withColumn("g", F.when(F.col("ops").isNotNull(), trimmed)).drop("ops", "q_start", "q_end", "r_start", "r_end", "hits")
@@ -150,8 +158,7 @@ def best_of_two(aligned: DataFrame, params: Parameters = Parameters()) -> DataFr
     """L4: keeps both candidates of a read, the better one first: winner mapq 60 and flag 0, loser 0 and
     256; swapped tells that the second won."""
     fields = ["ref_idx", "mapped", "pos", "cigar", "ed", "fragment", "identity", "matches"]
-    pick = lambda r: F.max(F.when(F.col("rank") == r, F.struct(*fields))).alias(f"c{r}")
-    # one struct per rank; max over a single value, as structs with arrays order by field
+    pick = lambda r: F.first(F.when(F.col("rank") == r, F.struct(*fields)), ignorenulls=True).alias(f"c{r}")  # noqa: E731  one row per rank
     both = aligned.groupBy("read_id").agg(pick(1), pick(2))
     least = params.min_matches
     better = F.col("c2.mapped") & (~F.col("c1.mapped") | ((F.col("c2.matches") >= least) & ((F.col("c1.matches") < least) | (F.col("c2.identity") > F.col("c1.identity") + params.improvement))))
@@ -167,7 +174,7 @@ def best_of_two(aligned: DataFrame, params: Parameters = Parameters()) -> DataFr
 def rescue(candidates: DataFrame, params: Parameters = Parameters()) -> DataFrame:
     """Whole reads (read_id, rank 1 to 3, seq, ref_idx, ref_seq) against their candidates, locally; the
     best candidate, if it is good enough. mapq is 3 for the first candidate, then 2 and 1."""
-    rows = local(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq"), "seq", "ref_seq", None, params)
+    rows = local(spread(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq")), "seq", "ref_seq", None, params)
     rows = rows.withColumn("l", _local_result(params, F.lit(0), F.length("seq") - F.col("q_end"))).where("l is not null and size(l.cigar) > 0")
     score = (F.col("l.span") - F.col("l.ed")) / F.col("l.span")
     order = [(F.col("l.span") >= 25).desc(), "rank"] if params.compat else [(F.col("l.span") >= 25).desc(), score.desc(), "rank"]
@@ -191,10 +198,10 @@ def align_reads(reads: DataFrame, calls: DataFrame, refs: DataFrame, secondary:
     none = F.lit(None).cast("int").alias("rescue_rank")
     if not secondary:
         return aligned.where("rank = 1").drop("rank").withColumn("swapped", F.lit(False)).withColumn("rescue_rank", none)
-    judged = best_of_two(aligned, params)
+    judged = stored(best_of_two(aligned, params))  # three steps read it, and the kernels should run once
     winners = judged.where("rank = 1").drop("rank")
     lost = winners.where(~F.col("mapped")).select("read_id")
-    again = rescue(candidate_rows(reads.join(lost, "read_id", "left_semi"), calls, refs, 3), params).withColumn("swapped", F.lit(False))
+    again = stored(rescue(candidate_rows(reads.join(lost, "read_id", "left_semi"), calls, refs, 3), params).withColumn("swapped", F.lit(False)))
     kept = winners.join(again.select("read_id"), "read_id", "left_anti").withColumn("rescue_rank", none)
     seconds = judged.where("rank = 2 and mapped").drop("rank").withColumn("rescue_rank", none)
     return kept.unionByName(again).unionByName(seconds)
