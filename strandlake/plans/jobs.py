@@ -122,8 +122,20 @@ def s11(spark, sf_dir):
 
 
 QUERIES["s11_sorted_sink"] = s11
-simple("j1_j2_f3_candidates", lambda s, d: (lambda r: align.candidate_rows(r.drop("region", "top3"), _calls(r), refs(s, d), 3).groupBy("ref_idx", "rank").agg(F.count("*").alias("reads")))(reads(s, d)),
-    "with n as (select count(*) as k from benchmark), r as (select doc_id, (doc_id % k)::int as c, k from documents, n where doc_id % 23 <> 0 and doc_id % k in (select item_id from benchmark)), t as (select unnest(case when doc_id % 5 = 0 then [(c + 1) % k, c, (c + 2) % k] else [c, (c + 1) % k, (c + 2) % k] end) as ref_idx, unnest([1, 2, 3]) as rank from r) select ref_idx::int as ref_idx, rank, count(*) as reads from t where ref_idx in (select item_id from benchmark) group by ref_idx, rank")
+
+
+def candidates(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    return align.candidate_rows(r.drop("region", "top3"), _calls(r), refs(spark, sf_dir), 3).groupBy("ref_idx", "rank").agg(F.count("*").alias("reads"))
+
+
+simple(
+    "j1_j2_f3_candidates",
+    candidates,
+    """with n as (select count(*) as k from benchmark), r as (select doc_id, (doc_id % k)::int as c, k from documents, n where doc_id % 23 <> 0 and doc_id % k in (select item_id from benchmark)),
+  t as (select unnest(case when doc_id % 5 = 0 then [(c + 1) % k, c, (c + 2) % k] else [c, (c + 1) % k, (c + 2) % k] end) as ref_idx, unnest([1, 2, 3]) as rank from r)
+  select ref_idx::int as ref_idx, rank, count(*) as reads from t where ref_idx in (select item_id from benchmark) group by ref_idx, rank""",
+)
 
 # Annotation on the made alignments, with short adapters.
 LEAD, TAIL, SPAN, LENGTH = 6, 8, 8, 36

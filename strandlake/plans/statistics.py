@@ -44,7 +44,12 @@ simple(
     lambda s, d: cd.identity_histogram(stats_of(s, d), 0.91),
     _S + "select 91.0::double + 2 * k as bin_start, count(*) as reads from (select least(4, floor(round((identity * 100 - 91) / 2, 9)))::int as k from stats where round((identity * 100 - 91) / 2, 9) between 0 and 4.5) group by k",
 )
-simple("a3_identity_letter_values", lambda s, d: cd.letter_values(stats_of(s, d)), _S + f"select label, depth::double as depth, {_r('quantile_cont(identity, depth) * 100', 'identity_pct')} from stats, (select unnest([0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375]) as depth) group by label, depth".replace("quantile_cont(identity, depth)", "any_value(q)").replace("from stats, (select unnest([0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375]) as depth) group by label, depth", "from (select label, unnest([0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375]) as depth, unnest(quantile_cont(identity, [0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375])) as q from stats group by label) group by label, depth"))
+_DEPTHS = "[0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375]"
+simple(
+    "a3_identity_letter_values",
+    lambda s, d: cd.letter_values(stats_of(s, d)),
+    _S + f"select label, depth::double as depth, {_r('q * 100', 'identity_pct')} from (select label, unnest({_DEPTHS}) as depth, unnest(quantile_cont(identity, {_DEPTHS})) as q from stats group by label)",
+)
 simple("a3_identity_values", lambda s, d: cd.identity_values(stats_of(s, d)), _S + f"select label, {_r('identity * 100', 'identity_pct')} from stats")
 simple("a6_length_histogram", lambda s, d: cd.length_histogram(stats_of(s, d)), _S + "select length, count(*) as reads from stats group by length")
 simple("a7_count_vs_identity", lambda s, d: cd.count_vs_identity(stats_of(s, d)), _S + f"select label, count(*) as reads, {_r('avg(identity) * 100', 'mean_identity_pct')} from stats group by label")
