@@ -42,3 +42,16 @@ def materialize(df: DataFrame) -> DataFrame:
 def text_key(text: str | Column = "text") -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+#: Rows of an Arrow batch where texts go to Python; Spark's default of 10,000 long texts is too much memory.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batch size where it is above BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df

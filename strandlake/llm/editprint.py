@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bounded_batches, materialize, shuffle_partitions
 
 CLASSES, PERIOD, PLACES = 64, 4096, 512
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
@@ -61,12 +61,15 @@ def classes(text: str) -> np.ndarray:
     return ((points * np.uint32(2654435761)) >> np.uint32(26)).astype(np.uint8)
 
 
-def edit_print(text: str) -> str:
-    if not text:
+def _walk(c: np.ndarray, state: int = 0) -> np.ndarray:
+    """Step (modulo PERIOD) at which the walk reaches each character and the end."""
+    path = accumulate(c.tobytes(), getitem, initial=_states()[state])
+    return np.fromiter(map(itemgetter(CLASSES), path), dtype=np.int64, count=len(c) + 1)
+
+
+def _print(c: np.ndarray, steps: np.ndarray) -> str:
+    if not len(c):
         return "00"
-    c = classes(text)
-    path = accumulate(c.tobytes(), getitem, initial=_states()[0])
-    steps = np.fromiter(map(itemgetter(CLASSES), path), dtype=np.int64, count=len(c) + 1)
     held = np.diff(steps)
     held[held <= 0] += PERIOD
     ends = np.cumsum(held)  # the walk leaves character i at step ends[i]
@@ -79,6 +82,11 @@ def edit_print(text: str) -> str:
     return f"{level:02x}" + out.tobytes().decode()
 
 
+def edit_print(text: str) -> str:
+    c = classes(text)
+    return _print(c, _walk(c))
+
+
 def _coarser(symbols: np.ndarray, level: int) -> np.ndarray:
     b = np.arange(-(-len(symbols) // 2))
     x = 2 * b + _coin(level + 1, b)
@@ -104,7 +112,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     as well, so each task reads its rows and one more in order. Only range limits come to the driver
     (one number per partition)."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     # ranges: 0 for null ids, then 1 + the number of limits at or below the id
@@ -169,17 +177,25 @@ def edit_report(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str, str] = ("", "00")  # rows come in order, so a next text is soon a text
+        known: tuple | None = None  # rows come in order, so a next text is soon a text
+
+        def walked(text: str) -> tuple:
+            c = classes(text)
+            steps = _walk(c)
+            return text, c, steps, _print(c, steps)
+
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for i in range(batch.num_rows):
                 text, following = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 half = len(text) // 2
                 edited = text[: len(text) - half] + following[:half]
-                own = known[1] if known[0] == text else edit_print(text)
-                other, changed = edit_print(following), edit_print(edited)
-                known = (following, other)
-                row = (batch.column(0)[i].as_py(), len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, other))
+                _, c, steps, own = known if known and known[0] == text else walked(text)
+                known = walked(following)
+                kept = len(text) - half
+                c = np.concatenate([c[:kept], known[1][:half]])  # the edited text, walked from where it differs
+                changed = _print(c, np.concatenate([steps[:kept], _walk(c[kept:], int(steps[kept]))]))
+                row = (batch.column(0)[i].as_py(), len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, known[3]))
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
