@@ -165,7 +165,7 @@ def repeated_spans(docs: DataFrame, window: int = passages.WINDOW, gram: int = p
     found = materialize(dealt.mapInArrow(lambda b: _locate(b, window, gram), "a long, seg long, doc_id long, tk long, start int, n int, windows array<long>"))
     recur = found.where("a is null").select("doc_id", "tk", "start", "n")
     runs = found.where("a is not null")  # of shards in several parts
-    firsts = runs.groupBy("a", "seg").agg(F.min("doc_id").alias("least"))
+    firsts = materialize(runs.groupBy("a", "seg").agg(F.min("doc_id").alias("least")))  # stored, so that the joins below can be split at a hot key
     later = runs.select("a", "seg", "doc_id", "tk", "start", "n").join(firsts, ["a", "seg"]).where("doc_id > least").select("doc_id", "tk", "start", "n")
     several = firsts.groupBy("a").agg(F.count("*").alias("contents")).where("contents > 1")
     told = runs.where("windows is not null").join(firsts.join(several, "a"), ["a", "seg"]).where("doc_id = least")

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import bounded_batches, materialize, text_key
 from .words import Chunk, chunks, join_hash, mix, text_buffers, window_argmin, window_hashes, word_hashes
 
 WINDOW, GRAM = 50, 25
+#: Rows that a task handles at a time where it passes texts on.
+SLICE = 256
 
 
 @dataclass
@@ -63,13 +65,13 @@ def runs_of(c: Chunk, window: int = WINDOW, gram: int = GRAM) -> Runs:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tk, text of the rows that take part; tk tells texts of one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").where("doc_id is not null")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").where("doc_id is not null")
 
 
 def resolve(window_rows: DataFrame, whole: DataFrame) -> DataFrame:
     """doc_id, tk, spans (array of start, n windows) of recurring windows, from the windows of firsts
     (a, wh, doc_id, tk, pos) and the runs that recur whole (doc_id, tk, start, n)."""
-    least = window_rows.groupBy("a", "wh").agg(F.min("doc_id").alias("least"))
+    least = materialize(window_rows.groupBy("a", "wh").agg(F.min("doc_id").alias("least")))  # stored, so that the join below can be split at a hot key
     part = window_rows.join(least, ["a", "wh"]).where("doc_id > least").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
     return whole.select("doc_id", "tk", "start", "n").unionAll(part).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -83,7 +85,7 @@ def removed_words(n_words: int, starts: np.ndarray, counts: np.ndarray, window:
 
 
 def _spans(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    flat = column.values.slice(column.offsets[i].as_py(), column.offsets[i + 1].as_py() - column.offsets[i].as_py())
+    flat = column[i].values
     return flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -109,6 +111,17 @@ def kept_digests(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> Dat
     return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def _cut(text: pa.Array, starts: np.ndarray, counts: np.ndarray, window: int) -> str:
+    """One text without the words of the windows, up to the next word kept."""
+    c = next(chunks(text))
+    drop = removed_words(len(c.starts), starts, counts, window)
+    keep = np.ones(len(c.data), bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
+    for first, last in zip(edge[::2], edge[1::2]):
+        keep[c.starts[first] : c.starts[last] if last < len(c.starts) else len(c.data)] = False
+    return c.data[keep].tobytes().decode()
+
+
 def cut_texts(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with recurring passages cut out of text; what is left keeps its white space."""
     columns = docs.columns
@@ -116,19 +129,17 @@ def cut_texts(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFr
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, column = batch.column(len(columns)), batch.column(place)
-            out = column.to_pylist()
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                for c in chunks(column.slice(i, 1)):
-                    drop = removed_words(len(c.starts), *_spans(spans, i), window)
-                    keep = np.ones(len(c.data), bool)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
-                    for first, last in zip(edge[::2], edge[1::2]):
-                        keep[c.starts[first] : c.starts[last] if last < len(c.starts) else len(c.data)] = False
-                    out[i] = c.data[keep].tobytes().decode()
-            arrays = [pa.array(out, pa.string()) if j == place else batch.column(j) for j in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(a, SLICE)
+                spans, column = batch.column(len(columns)), batch.column(place)
+                flagged = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                if flagged:
+                    out = column.to_pylist()
+                    for i in flagged:
+                        out[i] = _cut(column.slice(i, 1), *_spans(spans, i), window)
+                    column = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays([column if j == place else batch.column(j) for j in range(len(columns))], names=columns)
 
     cut = source.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
     return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in columns else cut
