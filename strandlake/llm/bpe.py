@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import text_buffers
 
 #: Fragments a worker remembers.
-CACHE = 600_000
+CACHE = 250_000
 
 
 class ForcedBoundaryBPE(dict):
@@ -186,7 +187,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
                 ids = [bpe.encode(data[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*keep, "ids", "n_tokens"])
 
-    source = docs.select(*keep, text)
+    source = bounded_batches(docs).select(*keep, text)
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
     return source.mapInArrow(run, f"{types}, ids binary, n_tokens long")
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import text_buffers
 
 #: Languages of a family by ISO 639-1 code. A language not named here is its own family.
@@ -169,13 +170,14 @@ def fit_documents(docs: DataFrame, sample_rows: int = 4000) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, unless named), lang_pred and score."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*(F.col(c) for c in keep), F.col("text").alias("_text"))
+    source = bounded_batches(docs).select(*keep, *(() if "text" in keep else ("text",)))
+    place, kept = source.columns.index("text"), [source.columns.index(c) for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats per pair of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a, b, data, at in _groups(batch.column(len(keep))):
+            for a, b, data, at in _groups(batch.column(place)):
                 if model is None:
                     labels, score = ["und"] * (b - a), np.zeros(b - a)
                 else:
@@ -183,9 +185,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                     letters = np.array([_has_letter(data[at[i] : at[i + 1]]) for i in range(b - a)])
                     labels = [x if y else "und" for x, y in zip(labels, letters)]
                     score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], pa.array(labels, pa.string()), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), pa.array(labels, pa.string()), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
+    types = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
     return source.mapInArrow(run, f"{types}, lang_pred string, score double")
 
 

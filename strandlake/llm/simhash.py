@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .words import mix, text_buffers
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, ngram: int = 5, bits: int = 64) -> DataFrame:
                     out[i] = fingerprint(data[at[i] : at[i + 1]].tobytes(), ngram, bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i].view(np.int64)) for i in range(bits // 64))], names=["doc_id", *names])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
