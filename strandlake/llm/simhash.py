@@ -158,43 +158,6 @@ def spanning_forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> n
     return root
 
 
-def nearest_forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lot: int = 1 << 20) -> np.ndarray:
-    """Tree edges (i, j, d) that join what the links (i, j, d) join, nearest links first; more than `lot`
-    links are gone through lot by lot, each nearest first."""
-    root, edges = np.arange(n), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def unite(held: list) -> None:
-        i, j, d = (np.concatenate(c) for c in zip(*held))
-        order = np.argsort(d, kind="stable")
-        for a in range(0, len(order), 4096):
-            part = order[a : a + 4096]
-            while (root[root] != root).any():
-                root[:] = root[root]
-            part = part[root[i[part]] != root[j[part]]]
-            for x, y, z in zip(i[part].tolist(), j[part].tolist(), d[part].tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((x, y, z))
-
-    held, size = [], 0
-    for link in links:
-        held.append(link)
-        size += len(link[0])
-        if size > lot:
-            unite(held)
-            held, size = [], 0
-    if held:
-        unite(held)
-    return np.array(edges, dtype=np.int64).reshape(-1, 3)
-
-
 def _masks(width: int, blocks: int) -> list[list[list[int]]]:
     """By level and path: the masks of the blocks that the next level fixes besides."""
 
@@ -220,10 +183,9 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000, nearest: bool = False) -> DataFrame:
-    """Links (a, b, d) between the nodes of reps (node, w0 ..), distinct in w0 ..; a spanning forest
-    of each dealt group: stars with d 0, or tree edges between near texts with their differing bits if
-    `nearest` is asked for. Candidates differ in `budget` bits or fewer in one of the segments; a link
+def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000) -> DataFrame:
+    """Links (a, b) between the nodes of reps (node, w0 ..), distinct in w0 ..; stars that span the trees
+    of each dealt group. Candidates differ in `budget` bits or fewer in one of the segments; a link
     differs in `total_budget` or fewer bits of all words."""
     names = [f"w{i}" for i in range(words)]
     per_word = 64 // segment_bits
@@ -251,30 +213,23 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
 
                 def links():
                     for i, j in trie_pairs(v, segment_bits, budget):
-                        d = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64)
-                        near = d <= total_budget
-                        yield i[near], j[near], d[near]
-
-                if nearest:
-                    tree = nearest_forest(b - a, links())
-                    if len(tree):
-                        ends = m[tree[:, :2]]
-                        edges.append(np.stack([ends.max(1), ends.min(1), tree[:, 2]], 1))
-                    continue
-                root = spanning_forest(b - a, ((i, j) for i, j, _ in links()))
+                        near = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64) <= total_budget
+                        yield i[near], j[near]
+
+                root = spanning_forest(b - a, links())
                 least = np.full(b - a, np.iinfo(np.int64).max)
                 np.minimum.at(least, root, m)
                 least = least[root]
                 off = least != m
                 if off.any():
-                    edges.append(np.stack([m[off], least[off], np.zeros(off.sum(), np.int64)], 1))
+                    edges.append(np.stack([m[off], least[off]], 1))
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             edges: list[np.ndarray] = []
             solve(t, edges)
             if edges:
                 e = np.concatenate(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, k]) for k in range(3)], names=["a", "b", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, k]) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -305,7 +260,7 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
             hot = None if hot.isEmpty() else hot
             here = keyed.join(hot, ["seg", "path", "at"], "left_anti") if hot is not None else keyed
         dealt = here.repartition("seg", "path", "at").sortWithinPartitions("seg", "path", "at")
-        links = dealt.select("seg", "path", "at", "node", "value", *names).mapInArrow(join_groups, "a long, b long, d long")
+        links = dealt.select("seg", "path", "at", "node", "value", *names).mapInArrow(join_groups, "a long, b long")
         out = links if out is None else out.unionAll(links)
         if hot is None:
             break
@@ -333,65 +288,128 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """doc_id, shingles: the distinct shingle hashes of each text, in order, as 64-bit numbers."""
+def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 64, segment_bits: int = 64, budget: int = 2, total_budget: int = 2, group_rows: int = 20_000) -> DataFrame:
+    """doc_id, w0 .., component_id (smallest doc_id reachable over links) for every row."""
+    names = [f"w{i}" for i in range(bits // 64)]
+    prints = materialize(fingerprints(docs, ngram, bits))
+    reps = materialize(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")))
+    roots = components(near_links(reps, bits // 64, segment_bits, budget, total_budget, group_rows))
+    classes = reps.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
+    joined = prints.join(classes, names, "left")
+    return joined.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_buffers(batch.column(1))
-            for first in range(0, batch.num_rows, 512):
-                last = min(batch.num_rows, first + 512)
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(data[at[i] : at[i + 1]].tobytes(), ngram)])).tobytes() for i in range(first, last)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary")
+def shingle_set(text: bytes, ngram: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, ngram)]))
+
+
+def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Tree edges that join what the pairs of sets of that Jaccard similarity join; with `side`, pairs of two
+    sides only. A pair is left unverified only if its ends are joined already or its sizes rule it out."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(shingles) + 1, bool)
+    root, edges = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[(root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))]
+        if side is not None:
+            rest = rest[side[rest] != side[i]]
+        if not len(rest):
+            continue
+        own = shingles[at[i] : at[i + 1]]
+        mark[own] = True
+        lot = 16  # the first links found join most of a family, so lots begin small
+        while len(rest):
+            js, rest, lot = rest[:lot], rest[lot:], min(4 * lot, 1024)
+            js = js[root[js] != root[i]]
+            if not len(js):
+                continue
+            first = np.cumsum(n[js]) - n[js]
+            hit = mark[shingles[np.repeat(at[js] - first, n[js]) + np.arange(n[js].sum())]]
+            total = np.concatenate([[0], np.cumsum(hit)])
+            shared = total[first + n[js]] - total[first]
+            js = js[shared >= similarity * (n[i] + n[js] - shared)]
+            joined, which = np.unique(root[js], return_index=True)
+            edges += [(i, int(j)) for j in js[which]]
+            if len(joined):
+                root[np.isin(root, joined)] = root[i]
+        mark[own] = False
+    return edges
 
 
-def verified_links(links: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts have the Jaccard similarity of distinct shingles, exactly. Of rows that
-    share a doc_id one text counts."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts, ngram).groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+#: Distinct shingles and texts of a block of a group; a task holds two blocks of one group.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what the pairs of texts of one group with the Jaccard similarity of distinct
+    shingles join, exactly, from g, p, q, node, side, text: every pair of blocks (p, q) of a group g is a
+    key that Spark deals out."""
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column(0))
+            for first in range(0, batch.num_rows, 512):
+                last = min(batch.num_rows, first + 512)
+                sets = [shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram).tobytes() for i in range(first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(c.slice(first, last - first) for c in batch.columns[1:])], names=["shingles", "node", "g", "block", "blocks"])
 
+    def join_group(key: tuple, nodes: list, sides: list, sets: list) -> pa.RecordBatch:
+        edges = similar_forest(sets, np.array(sides) if key[1] != key[2] else None, similarity) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 64, segment_bits: int = 64, budget: int = 2, total_budget: int = 2, group_rows: int = 20_000, similarity: float | None = None, sure: int = 0) -> DataFrame:
-    """doc_id, w0 .., component_id (smallest doc_id reachable over links) for every row. With `similarity`,
-    a link of more than `sure` differing bits needs that exact Jaccard similarity of its texts' shingles."""
+    def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sides, sets = None, [], [], []
+        for batch in batches:
+            for *k, node, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    if key is not None:
+                        yield join_group(key, nodes, sides, sets)
+                    key, nodes, sides, sets = k, [], [], []
+                if not nodes or nodes[-1] != node:  # repeated rows come together
+                    nodes.append(node)
+                    sides.append(side)
+                    sets.append(np.frombuffer(shingles, np.uint64))
+        if key is not None:
+            yield join_group(key, nodes, sides, sets)
+
+    sets = texts.select("text", "node", "g", "block", "blocks").mapInArrow(to_sets, "shingles binary, node long, g long, block int, blocks int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = sets.select("*", other).select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "shingles")
+    dealt = dealt.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "node")
+    return dealt.mapInArrow(join_groups, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int) -> DataFrame:
+    """doc_id, root (smallest doc_id of its group) for every row with a doc_id.
+
+    The prints only propose: what they link, near or far, is one loose group, in which similar_links
+    verifies the texts before a link joins anything."""
     names = [f"w{i}" for i in range(bits // 64)]
-    prints = materialize(fingerprints(docs, ngram, bits))
-    reps = materialize(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")))
-    links = near_links(reps, bits // 64, segment_bits, budget, total_budget, group_rows, similarity is not None)
-    if similarity is not None:
-        links = materialize(links.groupBy("a", "b").agg(F.min("d").alias("d")))
-        doubtful = verified_links(links.where(F.col("d") > sure).select("a", "b"), docs, ngram, similarity)
-        links = links.where(F.col("d") <= sure).select("a", "b").unionAll(doubtful)
-    roots = components(links)
+    prints = materialize(fingerprints(docs.where("doc_id is not null"), ngram, bits))
+    reps = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    found = components(near_links(reps, bits // 64, segment_bits, budget, total_budget))  # roots are not among its nodes
+    loose = materialize(found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(loose, "node")
+    sizes = texts.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / (4 * BLOCK_SHINGLES), F.lit(1))).cast("int")
+    texts = texts.join(sizes.select("g", blocks.alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    roots = components(similar_links(texts, ngram, similarity))
     classes = reps.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
-    joined = prints.join(classes, names, "left")
-    return joined.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    return prints.join(classes, names).select("doc_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 256, segment_bits: int = 32, budget: int = 4, total_budget: int = 52, sure: int = 24) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 256, segment_bits: int = 32, budget: int = 4, total_budget: int = 52) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest doc_id.
 
     Of 256 bits, two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 on
     average (the angle between their shingle vectors), seldom in over 52; eight segments of 32 bits find such
-    a pair with over 99 % probability. Links of more than 24 bits are verified on the shingles
-    themselves; under that the similarity is well above 0.8. Rows with null doc_id stay."""
-    found = near_duplicates(docs, ngram, bits, segment_bits, budget, total_budget, similarity=similarity, sure=sure)
-    gone = found.where("component_id <> doc_id").select("doc_id")
+    a pair with over 99 % probability. Every link is verified on the shingles themselves. Rows with
+    null doc_id stay."""
+    found = similar_groups(docs, ngram, similarity, bits, segment_bits, budget, total_budget)
+    gone = found.where("root <> doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -165,6 +165,53 @@ def test_op10_stage_verifies_similarity(spark):
     assert kept == {i for i in root if root[i] == i} and 3 < len(kept) < 25
 
 
+def exact_roots(texts, ngram=5, similarity=0.8):
+    """The smallest id that exact links reach from each id of {id: text}, by all pairs."""
+    ids, known = sorted(texts), {}
+    found = []
+    for i in ids:
+        w = texts[i].lower().split()
+        found.append(sorted({known.setdefault(tuple(w[k : k + ngram]), len(known)) for k in range(max(1, len(w) - ngram + 1))}))
+    has = np.zeros((len(ids), len(known)), np.float32)
+    for row, columns in zip(has, found):
+        row[columns] = 1
+    shared, n = has @ has.T, has.sum(1)
+    alike = shared >= np.float32(similarity) * (n[:, None] + n[None, :] - shared)
+    root = np.arange(len(ids))
+    while True:
+        least = np.where(alike, root[None, :], len(ids)).min(1)
+        if (least == root).all():
+            return {i: ids[r] for i, r in zip(ids, root)}
+        root = least
+
+
+def family(rng, n, words=200):
+    """A text and near copies of it with 1 to 5 replaced words."""
+    base = prose(rng, words).split()
+    out = {0: " ".join(base)}
+    for i in range(1, n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(1, 5)):
+            w[at] = f"new{rng.randrange(10**6)}"
+        out[i] = " ".join(w)
+    return out
+
+
+def stage_roots(spark, texts):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.root for r in simhash.similar_groups(frame, 5, 0.8, 256, 32, 4, 52).select("doc_id", "root").collect()}
+
+
+@pytest.mark.parametrize("block", [4096, 300])
+def test_pipeline_family_has_its_exact_components(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    texts = family(random.Random(3), 1000)
+    want = exact_roots(texts)
+    assert stage_roots(spark, texts) == want and len(set(want.values())) > 20
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+
+
 def test_op1_report(rows, docs):
     got = sorted((r for r in editprint.edit_report(docs).collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     order = sorted((("" if t is None else t, i) for i, t, *_ in rows), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
