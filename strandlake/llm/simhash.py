@@ -15,7 +15,7 @@ an empty table gives no rows; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -48,9 +48,13 @@ def shingle_hashes(text: bytes, ngram: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, ngram: int, bits: int) -> np.ndarray:
     """bits / 64 unsigned words; a bit is set if it is set in over half of the shingle hashes."""
+    return set_fingerprint(shingle_hashes(text, ngram), bits)
+
+
+def set_fingerprint(blocks: Iterable[np.ndarray], bits: int) -> np.ndarray:
     n, counts = 0, np.zeros(bits, dtype=np.int64)
     lanes = np.arange(bits // 8) * 256
-    for h in shingle_hashes(text, ngram):
+    for h in blocks:
         n += len(h)
         wide = np.stack([h, *(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, bits // 64))], axis=1)
         raw = wide.astype(">u8").view(np.uint8).reshape(len(h), bits // 8)
@@ -383,23 +387,47 @@ def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(join_groups, "a long, b long")
 
 
+def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
+    """doc_id, w0 .., s0, s1 for every row: fingerprint and 128-bit hash of the set of distinct shingles."""
+    names = [*(f"w{i}" for i in range(bits // 64)), "s0", "s1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column(1))
+            out = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
+            for i in range(batch.num_rows):
+                found = shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram)
+                if len(found):
+                    out[i, :-2] = set_fingerprint([found], bits)
+                out[i, -2:] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", *names])
+
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
 def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int) -> DataFrame:
     """doc_id, root (smallest doc_id of its group) for every row with a doc_id.
 
-    The prints only propose: what they link, near or far, is one loose group, in which similar_links
-    verifies the texts before a link joins anything."""
+    Texts with the same set of shingles are one class. The prints only propose: classes of equal
+    print and what near_links joins are one loose group, in which similar_links verifies the texts before
+    a link joins anything."""
     names = [f"w{i}" for i in range(bits // 64)]
-    prints = materialize(fingerprints(docs.where("doc_id is not null"), ngram, bits))
-    reps = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    found = components(near_links(reps, bits // 64, segment_bits, budget, total_budget))  # roots are not among its nodes
-    loose = materialize(found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct()))
+    prints = materialize(set_prints(docs.where("doc_id is not null"), ngram, bits))
+    classes = materialize(prints.groupBy(*names, "s0", "s1").agg(F.min("doc_id").alias("node")))
+    reps = materialize(classes.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+    found = components(near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget))
+    # roots are not among its nodes; a print of several classes is a group without a link too
+    groups = found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct())
+    groups = reps.join(groups, F.col("rep") == F.col("node"), "left").where("g is not null or n > 1").select(*names, F.coalesce("g", "rep").alias("g"))
+    loose = materialize(classes.join(groups, names).select("node", "g"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(loose, "node")
     sizes = texts.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / (4 * BLOCK_SHINGLES), F.lit(1))).cast("int")
     texts = texts.join(sizes.select("g", blocks.alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     roots = components(similar_links(texts, ngram, similarity))
-    classes = reps.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
-    return prints.join(classes, names).select("doc_id", "root")
+    classes = classes.join(roots, "node", "left").select(*names, "s0", "s1", F.coalesce("root", "node").alias("root"))
+    return prints.join(classes, [*names, "s0", "s1"]).select("doc_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 256, segment_bits: int = 32, budget: int = 4, total_budget: int = 52) -> DataFrame:
@@ -407,8 +435,8 @@ def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.
 
     Of 256 bits, two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 on
     average (the angle between their shingle vectors), seldom in over 52; eight segments of 32 bits find such
-    a pair with over 99 % probability. Every link is verified on the shingles themselves. Rows with
-    null doc_id stay."""
+    a pair with over 99 % probability. The prints count each distinct shingle once, as the similarity
+    does, and every link is verified on the shingles themselves. Rows with null doc_id stay."""
     found = similar_groups(docs, ngram, similarity, bits, segment_bits, budget, total_budget)
     gone = found.where("root <> doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")

@@ -212,6 +212,17 @@ def test_pipeline_family_has_its_exact_components(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_pipeline_texts_of_one_repeated_phrase_are_verified(spark):
+    rng = random.Random(5)
+    phrase = "all rights are reserved here " * 400
+    texts = {i: f"{phrase} {prose(rng, 40)}" for i in range(6)}
+    counted = [simhash.fingerprint(t.encode(), 5, 256) for t in texts.values()]
+    assert all((c == counted[0]).all() for c in counted)  # equal prints where repeats count
+    texts |= {10: texts[3].upper().replace("É", "é"), 11: texts[4] + " more"}
+    want = exact_roots({i: t.replace("É", "é") for i, t in texts.items()})
+    assert stage_roots(spark, texts) == want == {**{i: i for i in range(6)}, 10: 3, 11: 4}
+
+
 def test_op1_report(rows, docs):
     got = sorted((r for r in editprint.edit_report(docs).collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     order = sorted((("" if t is None else t, i) for i, t, *_ in rows), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
