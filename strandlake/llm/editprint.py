@@ -203,12 +203,13 @@ def edit_report(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_edit: float | None = None) -> DataFrame:
-    """a, b, likeness: links between class representatives (documents of equal print share one).
+def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_edit: float | None = None, block_rows: int = 1000) -> DataFrame:
+    """a, b, likeness: all links between class representatives (documents of equal print share one).
 
     Bit-sampled banding: every run of `band` places, at a print's own level and the next, is a
-    key; each print is compared with the smallest doc_id of each of its keys, and links under
-    min_likeness fall out. With max_edit, links are verified by exact edit distance over length."""
+    key; all prints of a key are compared with each other, and links under min_likeness fall out. A key
+    of more than `block_rows` prints is dealt out as pairs of blocks. With max_edit, links are verified by
+    exact edit distance over length."""
     prints = edit_prints(docs).where("doc_id is not null")
     reps = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).where("length(fingerprint) > 2"))
 
@@ -225,8 +226,12 @@ def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_ed
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "key"])
 
     keyed = reps.select("fingerprint", "doc_id").mapInArrow(keys, "doc_id long, key string")
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(least, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    shared = keyed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = materialize(keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = keyed.select("key", F.col("own").alias("p"), every.alias("q"), F.col("doc_id").alias("a"))
+    other = keyed.select("key", every.alias("p"), F.col("own").alias("q"), F.col("doc_id").alias("b"))
+    pairs = one.join(other, ["key", "p", "q"]).where("a < b").select("a", "b").distinct()
     left, right = (reps.select(F.col("doc_id").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "ab")
 
     @F.pandas_udf("double")

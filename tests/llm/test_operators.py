@@ -253,6 +253,29 @@ def test_op1_pairs_link_near_copies(docs):
     assert not any(b in (60, 61, 62) for _, b in links)
 
 
+def test_op1_pairs_match_all_pairs_of_a_family(spark):
+    rng = random.Random(12)
+    opening, base = prose(rng, 40), prose(rng, 200).split()
+    texts = {0: f"{opening} {prose(rng, 200)}"}  # the smallest shares the opening and nothing else
+    for i in range(1, 120):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 20)):
+            w[at] = f"new{rng.randrange(10**6)}"
+        texts[i] = f"{opening} {' '.join(w)}"
+    prints = {i: editprint.edit_print(t) for i, t in texts.items()}
+    keys = {}
+    for i, p in prints.items():
+        level, s = int(p[:2], 16), np.frombuffer(p[2:].encode(), np.uint8)
+        keys[i] = {(lv, k, x[k : k + 8].tobytes()) for lv, x in ((level, s), (level + 1, editprint._coarser(s, level))) for k in range(0, max(1, len(x) - 7), 8)}
+    want = {(a, b): editprint.likeness(prints[a], prints[b]) for a in texts for b in texts if a < b and keys[a] & keys[b] and prints[a] != prints[b]}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1000, 25):
+        found = editprint.near_pairs(frame, block_rows=block).collect()
+        assert {(r.a, r.b): r.likeness for r in found} == want and len(found) == len(want)
+    assert len(want) > 500 and not any(a == 0 for a, _ in want)
+
+
 def test_op2_finds_planted_notices(spark):
     rng = random.Random(3)
     text = "%s %s\n%s %s" % (prose(rng, 40), licenses.TEMPLATES["MIT"].upper(), prose(rng, 200), licenses.TEMPLATES["CC-BY-NC-4.0-notice"])
