@@ -13,14 +13,11 @@ from strandlake.llm import bpe, langid, mixing, simhash, suffixes
 from strandlake.llm.common import materialize, table, text_key
 from strandlake.llm.queries import tokenizer_path
 
-#: Below this score a language is not accepted; clean texts of one word reach about 0.5.
-MIN_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter or an acceptable language go; a missing lang is filled in."""
+    """Texts without a letter (und) go, no others: the score rejects none. A missing lang is filled in by the best guess."""
     found = langid.predict(docs, langid.fit_documents(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    kept = found.where("lang_pred <> 'und'")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

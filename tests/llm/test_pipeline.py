@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from strandlake.llm import langid
 from strandlake.llm.common import materialize
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,6 +45,13 @@ def test_language_stage_drops_texts_without_letters(stages):
     assert out.where("lang is null").count() == 0
 
 
+def test_language_stage_rejects_by_no_score(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one text", None, "s0", 8), (2, "12", "en", "s0", 2)], COLUMNS)
+    scored = docs.selectExpr("*", "if(doc_id = 2, 'und', 'fr') as lang_pred", "0.1D as score")
+    monkeypatch.setattr(langid, "predict", lambda docs, model: scored)
+    assert [(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [(1, "fr")]
+
+
 def test_near_duplicate_stage_keeps_one(stages):
     _, (_, before, out, *_) = stages
     kept = {r.doc_id for r in out.collect()}
