@@ -4,10 +4,10 @@ Suffixes are kept at content-selected positions only, the anchors of passages.py
 13). They are put in order by the words that follow, through hashes of the leading gram and of the
 run's words, so suffixes with a common beginning are neighbours; the order is range-partitioned,
 and a long stretch of equal suffixes spreads over tasks. Each suffix is compared with its
-neighbours: one whose run has the same words as a neighbour of a smaller doc_id recurs whole, and
-where neighbours share the gram but not the run, the match is extended left and right, window by
-window, in the texts. Stretches at the edge of a task count as matched, and the extension, which is
-exact, decides.
+neighbours: one whose run has the same words as a neighbour of a smaller doc_id recurs whole. Where
+neighbours share the gram but not the run, matches are not extended left and right in the texts: all
+windows of the runs are hashed (64 bits beside the anchor's hash) and grouped, as in op3, and that
+comparison decides. Stretches at the edge of a task count as matched before it.
 
 Defined results: see passages.py; an empty table gives no rows; other columns are passed on.
 """
