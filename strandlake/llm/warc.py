@@ -1,15 +1,17 @@
 """WARC archives written and read through a chunked record table.
 
-A payload longer than CHUNK bytes is a row of record identifier and chunk number per chunk; in the file
-each chunk is a segment of the record (the format's own continuation records). Digests are carried from
-chunk to chunk, so neither side needs a whole payload at once. Files are written and read by Spark
-(gzip, one record after another), so any store that Spark knows can hold them.
+Payloads are cut into rows of record identifier and chunk number before anything is shuffled, so no later step
+holds a whole payload; the digest is carried from chunk to chunk and stands in the last one's row. Which of
+equal payloads is the response is decided on digests alone. In the file each chunk of a longer payload is a
+segment of the record (the format's own continuation records). A record's segments never part: files are made
+of whole records, about `file_bytes` of payload each. Files are written and read by Spark (gzip, one record
+after another), so any store that Spark knows can hold them.
 
 A chunk never holds or completes the byte string that separates records in the reader: it is cut inside.
 
 Defined results: null html is an empty payload; null url leaves its header out; rows that share the largest
-page_id of a payload are responses all, and so are rows with null page_id; an empty table gives
-no rows; other columns are not read.
+page_id of a payload are responses all, and so are rows with null page_id; payloads of any length are
+chunked; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, shuffle_partitions, tidy
 from .words import text_buffers
 
 CHUNK = 1 << 16
@@ -68,52 +71,91 @@ def _field(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record_table(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (null for revisits), keeper (the response's page_id), digest: one row per record."""
-    payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("bytes"))
-    keepers = rows.groupBy("sha", "bytes").agg(F.max("page_id").alias("keeper"))
-    again = (F.col("page_id") < F.col("keeper")) & (F.col("bytes") >= min_revisit_bytes)
-    joined = rows.join(keepers, ["sha", "bytes"]).withColumn("again", F.coalesce(again, F.lit(False)))
-    return joined.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), F.when(F.col("again"), F.col("keeper")).alias("keeper"), "sha")
-
+def chunk_table(pages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The chunked record table: record, number, last, page_id, url (of the first chunk), sha and bytes (of the
+    whole payload, at its last chunk), chunk. It is stored, so a record keeps its number."""
+    names = ["record", "number", "last", "page_id", "url", "sha", "bytes", "chunk"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
-def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK, max_records_per_file: int = 1_000_000) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, keepers, shas = (batch.column(i) for i in (0, 1, 3, 4))
-            data, at = text_buffers(batch.column(2))
+            records, ids, urls = (batch.column(i).to_pylist() for i in range(3))
+            data, at = text_buffers(batch.column(3))
             held, out = 0, []
             for i in range(batch.num_rows):
-                page, url, keeper = ids[i].as_py(), urls[i].as_py(), keepers[i].as_py()
-                digest = base64.b32encode(bytes.fromhex(shas[i].as_py())).decode()
-                common = [f"WARC-Date: {date}", f"WARC-Page-ID: {'' if page is None else page}"] + ([f"WARC-Target-URI: {_field(url)}"] if url is not None else [])
-                origin = _record_id(page, digest)
-                if keeper is not None:
-                    head = ["WARC-Type: revisit", f"WARC-Record-ID: {origin}", *common, f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(keeper, digest)}", f"WARC-Refers-To-Page-ID: {keeper}", "Content-Length: 0"]
-                    out.append(_record(head, b""))
-                    continue
-                payload = data[at[i] : at[i + 1]]
-                pieces, number, done = chunks_of(payload.data, chunk), 0, 0
-                for piece in pieces:
+                payload, sha, done, number = data[at[i] : at[i + 1]].data, hashlib.sha1(), 0, 0
+                for piece in chunks_of(payload, size):
+                    sha.update(piece)
                     number, done = number + 1, done + len(piece)
                     last = done >= len(payload)
-                    if number == 1:
-                        head = ["WARC-Type: response", f"WARC-Record-ID: {origin}", *common, f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html"]
-                        head += [] if last else ["WARC-Segment-Number: 1"]
-                    else:
-                        head = ["WARC-Type: continuation", f"WARC-Record-ID: {_record_id(f'{page}/{number}', digest)}", *common, f"WARC-Segment-Number: {number}", f"WARC-Segment-Origin-ID: {origin}"]
-                        head += [f"WARC-Segment-Total-Length: {done}"] if last else []
-                    out.append(_record([*head, f"Content-Length: {len(piece)}"], piece))
+                    out.append((records[i], number, last, ids[i], urls[i] if number == 1 else None, base64.b32encode(sha.digest()).decode() if last else None, done if last else None, piece))
                     held += len(piece)
-                    if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                    if held > 1 << 21:
+                        yield _batch(out, kinds, names)
                         held, out = 0, []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                yield _batch(out, kinds, names)
 
-    text = records.select("page_id", "url", "html", "keeper", "sha").mapInArrow(run, "value string")
-    text.write.option("lineSep", _BREAK.decode()).option("compression", "gzip").option("maxRecordsPerFile", max_records_per_file).text(path)
+    source = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return materialize(source.mapInArrow(tidy(run), "record long, number long, last boolean, page_id long, url string, sha string, bytes long, chunk binary"))
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+def record_roles(chunks: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+    """record, keeper (the response's page_id where the record revisits it, else null), sha, bytes: a row per record."""
+    ends = chunks.where("last").select("record", "page_id", "sha", "bytes")
+    keepers = materialize(ends.groupBy("sha", "bytes").agg(F.max("page_id").alias("keeper")))  # stored, so that the join can be split at a hot digest
+    again = (F.col("page_id") < F.col("keeper")) & (F.col("bytes") >= min_revisit_bytes)
+    return ends.join(keepers, ["sha", "bytes"]).select("record", F.when(again, F.col("keeper")).alias("keeper"), "sha", "bytes")
+
+
+def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK, min_revisit_bytes: int = 0, file_bytes: int = 64 << 20, records_per_file: int = 1_000_000) -> None:
+    """Writes a record per row of pages. A record's role goes before its chunks to the task that writes it; a
+    file has about file_bytes of payload and records_per_file records at most on average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeper, digest, held, done, origin, out = None, "", 0, 0, "", []
+        for batch in batches:
+            for number, last, page, url, sha, refers, piece in zip(*(batch.column(c).to_pylist() for c in ("number", "last", "page_id", "url", "sha", "keeper")), batch.column("chunk")):
+                if number == 0:
+                    keeper, digest, done = refers, sha, 0
+                    continue
+                common = [f"WARC-Date: {date}", f"WARC-Page-ID: {'' if page is None else page}"] + ([f"WARC-Target-URI: {_field(url)}"] if url is not None else [])
+                if number == 1:
+                    origin = _record_id(page, digest)
+                if keeper is not None:
+                    if number == 1:
+                        head = ["WARC-Type: revisit", f"WARC-Record-ID: {origin}", *common, f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(keeper, digest)}", f"WARC-Refers-To-Page-ID: {keeper}", "Content-Length: 0"]
+                        out.append(_record(head, b""))
+                    continue
+                block = piece.as_py()
+                done += len(block)
+                if number == 1:
+                    head = ["WARC-Type: response", f"WARC-Record-ID: {origin}", *common, f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html"]
+                    head += [] if last else ["WARC-Segment-Number: 1"]
+                else:
+                    head = ["WARC-Type: continuation", f"WARC-Record-ID: {_record_id(f'{page}/{number}', digest)}", *common, f"WARC-Segment-Number: {number}", f"WARC-Segment-Origin-ID: {origin}"]
+                    head += [f"WARC-Segment-Total-Length: {done}"] if last else []
+                out.append(_record([*head, f"Content-Length: {len(block)}"], block))
+                held += len(block)
+                if held > 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                    held, out = 0, []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+
+    spark = pages.sparkSession
+    chunks = chunk_table(pages, chunk)
+    roles = materialize(record_roles(chunks, min_revisit_bytes))
+    total = roles.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    files = max(shuffle_partitions(spark), -(-total["bytes"] // file_bytes), -(-total["n"] // records_per_file))
+    begin = roles.select("record", F.lit(0).cast("long").alias("number"), "sha", "keeper")
+    rows = chunks.drop("sha", "bytes").unionByName(begin, allowMissingColumns=True)
+    dealt = rows.repartition(int(files), "record").sortWithinPartitions("record", "number")
+    dealt.mapInArrow(tidy(run), "value string").write.option("lineSep", _BREAK.decode()).option("compression", "gzip").text(path)
 
 
 def _record(head: list[str], block: bytes) -> bytes:
@@ -123,7 +165,7 @@ def _record(head: list[str], block: bytes) -> bytes:
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """page_id, kind, segment, last, refers_to, digest, chunk: the record table of archives.
 
-    A gzip file is read by one task from its start, so a record's chunks are in order."""
+    A gzip file is read by one task from its start, and holds whole records, so their chunks are in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +184,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.binary()))], names=["page_id", "kind", "segment", "last", "refers_to", "digest", "chunk"])
 
     text = spark.read.option("lineSep", f"{_TRAP.decode()}\r\n").text(path)
-    return text.mapInArrow(run, "page_id long, kind string, segment long, last boolean, refers_to long, digest string, chunk binary")
+    return text.mapInArrow(tidy(run), "page_id long, kind string, segment long, last boolean, refers_to long, digest string, chunk binary")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -167,13 +209,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    found = read_chunks(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return found
+    return read_chunks(spark, path).mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Gives revisits the length and digest of the response that they refer to."""
+    records = materialize(records)  # archives are parsed once
     full = records.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("size"))
+    full = materialize(full)  # stored, so that the join can be split at a page that many refer to
     again = records.where("record_type = 'revisit'").alias("r").join(full.alias("f"), (F.col("r.refers_to") == F.col("f.page_id")) & (F.col("r.payload_digest") == F.col("f.payload_digest")))
     again = again.select("r.page_id", F.col("f.size").alias("payload_bytes"), "f.payload_digest", "r.record_type", "r.refers_to")
     return records.where("record_type = 'response'").unionByName(again)
