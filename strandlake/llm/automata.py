@@ -5,9 +5,11 @@
 2. Compile: phrases are dealt to shards by owner, so the copies of a text meet in one shard. A task
    compiles its shard's phrases into an Aho-Corasick automaton (a word is three symbols of 32).
    A shard with many documents is split: each part compiles the same phrases.
-3. Stream: every document goes through the automata of the shards whose phrases it holds, which gives
-   every occurrence; runs of windows around occurrences are then compared (passages.py), in the task
-   where a shard is whole, and by shuffle where it is split.
+3. Stream: every document with a phrase goes through the automata of the shards that have one of its phrases; a
+   document is sent once for each owner it shares a phrase with at most, however many shards there are.
+   The automaton's hits are the only occurrences known from here on: every window around a hit belongs
+   to the leftmost hit inside it, and windows of one phrase with the same words in two documents recur
+   in the later one. That is decided in the task where a shard is whole, by shuffle where it is split.
 
 Defined results: see passages.py; an empty table gives no rows; other columns are passed on.
 """
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import materialize
-from .words import chunks
+from .common import materialize, tidy
+from .words import chunks, join_hash, window_hashes, word_hashes
 
 #: Phrases compiled into one automaton, about; documents that one task streams, about.
 SHARD_PHRASES, PART_DOCS = 15_000, 4_000
@@ -42,7 +45,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(ids[c.first + doc[new]])], names=["a", "doc_id"])
 
-    return passages.keyed(docs).select("doc_id", "text").mapInArrow(run, "a long, doc_id long")
+    return passages.keyed(docs).select("doc_id", "text").mapInArrow(tidy(run), "a long, doc_id long")
 
 
 def _symbols(words: np.ndarray) -> np.ndarray:
@@ -75,67 +78,83 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
             )
 
 
+def _around_hits(automaton, phrases: np.ndarray, text: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Phrase, start, n and hash of the stretch of windows of each hit in one text, and the hash of every window.
+
+    A window belongs to the leftmost hit inside it, which its words alone decide."""
+    c = next(chunks(text))
+    words = word_hashes(c.data, c.starts, c.ends)
+    windows = window_hashes(words, window)
+    found = np.array(list(automaton.iter(_symbols(words).tobytes().decode("latin-1"))), dtype=np.int64).reshape(-1, 2)
+    found = found[(found[:, 0] + 1) % 3 == 0]  # whole words
+    at, which = (found[:, 0] + 1) // 3 - gram, found[:, 1]
+    start = np.maximum(np.maximum(at + gram - window, 0), np.concatenate([[0], at[:-1] + 1])) if len(at) else at
+    n = np.minimum(at, len(windows) - 1) - start + 1
+    start, n, which = start[n > 0], n[n > 0], which[n > 0]
+    seg = join_hash(join_hash(windows[start], windows[start + n - 1]), n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
+    return phrases[which], start, n, seg.view(np.int64), windows.view(np.int64)
+
+
 class _Part:
-    """The runs found in one part of a shard, in order of doc_id.
+    """What the hits of one part of a shard show, in order of doc_id.
 
-    A shard in one part has every document with its phrases, so its runs are resolved here and only
-    recurring windows leave the task. The runs of a shard in several parts are handed on."""
+    A shard in one part has every document with its phrases, so its windows are resolved here and only
+    recurring ones leave the task. The stretches of a shard in several parts are handed on."""
 
     def __init__(self, whole: bool):
         self.whole, self.seen, self.out = whole, {}, []
         self.firsts: dict[int, list[tuple]] = {}
 
-    def add(self, r: passages.Runs, hit: np.ndarray, doc_id: int, tk: int) -> None:
-        for a, seg, start, n in zip(r.a[hit].tolist(), r.seg[hit].tolist(), r.start[hit].tolist(), r.n[hit].tolist()):
+    def add(self, hits: tuple[np.ndarray, ...], doc_id: int, tk: int) -> None:
+        windows = hits[4]
+        for a, start, n, seg in zip(*(x.tolist() for x in hits[:4])):
             first = self.seen.setdefault((a, seg), doc_id) == doc_id
-            windows = r.windows[start : start + n].view(np.int64) if first else None
+            own = windows[start : start + n] if first else None
             if not self.whole:
-                self.out.append((a, seg, doc_id, tk, start, n, windows))
+                self.out.append((a, seg, doc_id, tk, start, n, own))
             elif first:
-                self.firsts.setdefault(a, []).append((seg, doc_id, tk, start, windows))
+                self.firsts.setdefault(a, []).append((seg, doc_id, tk, start, own))
             else:
                 self.out.append((None, None, doc_id, tk, start, n, None))
 
     def close(self) -> None:
-        for runs in self.firsts.values():
-            if len({r[0] for r in runs}) > 1:
+        for stretches in self.firsts.values():
+            if len({r[0] for r in stretches}) > 1:
                 least: dict[int, int] = {}
-                for _, doc_id, tk, start, windows in runs:  # ascending doc_id
-                    for i, w in enumerate(windows.tolist()):
+                for _, doc_id, tk, start, own in stretches:  # ascending doc_id
+                    for i, w in enumerate(own.tolist()):
                         if least.setdefault(w, doc_id) < doc_id:
                             self.out.append((None, None, doc_id, tk, start + i, 1, None))
         self.firsts, self.seen = {}, {}
 
 
 def _locate(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Streams a part's documents through its automaton. Rows with null a recur; the others are runs at
-    occurrences, with window hashes for the first document of each content in the part."""
+    """Streams a part's documents through its automaton. Rows with null a recur; the others are stretches at
+    hits, with window hashes for the first document of each content in the part."""
     import ahocorasick
 
-    now, automaton, part, compiled = None, None, _Part(True), False
-    size = 3 * gram
+    now, part, size = None, _Part(True), 3 * gram
+    automaton, phrases, compiled = None, {}, None
     for batch in batches:
         for shard, number, kind, doc_id, tk, whole, payload in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.columns[6]):
             if now != (shard, number):
                 part.close()
                 if part.out:
                     yield _runs(part.out)
-                now, automaton, part, compiled = (shard, number), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), _Part(whole), False
+                now, part = (shard, number), _Part(whole)
+                automaton, phrases, compiled = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, None
             if kind == 0:
                 text = payload.as_py().decode("latin-1")
                 for p in range(0, len(text), size):
-                    automaton.add_word(text[p : p + size])
+                    phrase = text[p : p + size]
+                    automaton.add_word(phrase, phrases.setdefault(phrase, len(phrases)))
                 continue
-            if not compiled:
+            if compiled is None:
                 automaton.make_automaton()
-                compiled = True
-            for c in chunks(pa.array([payload.as_py()], pa.binary()).cast(pa.string())):
-                r = passages.runs_of(c, window, gram)
-                if automaton.kind != ahocorasick.AHOCORASICK or not len(r.a):
-                    continue
-                last = np.array([e for e, _ in automaton.iter(_symbols(r.words).tobytes().decode("latin-1"))], dtype=np.int64)
-                last = last[(last + 1) % 3 == 0]
-                part.add(r, np.isin(r.anchor, (last + 1) // 3 - gram), doc_id, tk)
+                compiled = np.array([xxhash.xxh64_intdigest(p) for p in phrases], np.uint64).view(np.int64)
+                phrases = {}
+            if automaton.kind == ahocorasick.AHOCORASICK:
+                part.add(_around_hits(automaton, compiled, pa.array([payload.as_py()], pa.binary()).cast(pa.string()), window, gram), doc_id, tk)
             if len(part.out) > 20_000:
                 yield _runs(part.out)
                 part.out = []
@@ -151,18 +170,18 @@ def _runs(out: list[tuple]) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, window: int = passages.WINDOW, gram: int = passages.GRAM, shard_phrases: int = SHARD_PHRASES, part_docs: int = PART_DOCS) -> DataFrame:
     """doc_id, tk, spans: the windows of each document that start in a document of smaller doc_id too."""
-    held = anchors(docs, window, gram)
+    held = materialize(anchors(docs, window, gram))
     recurring = materialize(held.groupBy("a").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"))
     shards = max(1, recurring.count() // shard_phrases)
     placed = recurring.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
     pairs = materialize(held.join(placed, "a").groupBy("doc_id", "shard").agg(F.max(F.col("doc_id") == F.col("owner")).alias("own")))
-    load = pairs.groupBy("shard").agg(F.ceil(F.count("*") / part_docs).alias("parts"))
+    load = materialize(pairs.groupBy("shard").agg(F.ceil(F.count("*") / part_docs).alias("parts")))
     routes = pairs.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "parts", "own")).alias("routes"))
     own = recurring.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("a").alias("own"))
     source = passages.keyed(docs).join(routes, "doc_id").join(own, "doc_id", "left").select("doc_id", "tk", "text", "routes", "own")
-    sent = source.mapInArrow(lambda b: _emit(b, window, gram), "shard long, part long, kind int, doc_id long, tk long, whole boolean, payload binary")
+    sent = source.mapInArrow(tidy(lambda b: _emit(b, window, gram)), "shard long, part long, kind int, doc_id long, tk long, whole boolean, payload binary")
     dealt = sent.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id")
-    found = materialize(dealt.mapInArrow(lambda b: _locate(b, window, gram), "a long, seg long, doc_id long, tk long, start int, n int, windows array<long>"))
+    found = materialize(dealt.mapInArrow(tidy(lambda b: _locate(b, window, gram)), "a long, seg long, doc_id long, tk long, start int, n int, windows array<long>"))
     recur = found.where("a is null").select("doc_id", "tk", "start", "n")
     runs = found.where("a is not null")  # of shards in several parts
     firsts = materialize(runs.groupBy("a", "seg").agg(F.min("doc_id").alias("least")))  # stored, so that the joins below can be split at a hot key
@@ -171,7 +190,7 @@ def repeated_spans(docs: DataFrame, window: int = passages.WINDOW, gram: int = p
     told = runs.where("windows is not null").join(firsts.join(several, "a"), ["a", "seg"]).where("doc_id = least")
     windows = told.select("a", "doc_id", "tk", "start", F.posexplode("windows").alias("i", "wh"))
     windows = materialize(windows.select("a", "wh", "doc_id", "tk", (F.col("start") + F.col("i")).alias("pos")))
-    return materialize(passages.resolve(windows, recur.unionAll(later)))
+    return materialize(passages.spans_by_document(recur.unionAll(later).unionAll(passages.resolve(windows))))
 
 
 def drop_repeats(docs: DataFrame, window: int = passages.WINDOW) -> DataFrame:

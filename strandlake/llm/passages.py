@@ -8,11 +8,11 @@ number of windows. Every window of a document lies in one run.
 
 A window recurs if its words start in a document with a smaller doc_id too. Within the runs of an
 anchor it is enough to look at the first document of each distinct content (seg): in later documents
-the whole run recurs. Windows of those firsts are compared by (a, 64-bit window hash), 128 bits
-in effect.
+the whole run recurs.
 
 Rows with null doc_id take no part and stay as they are; documents of equal doc_id do not affect
-one another; null and short texts have no windows.
+one another; null and short texts have no windows; texts of any length are whole, as one chunk; repeated rows
+get the same result; columns besides doc_id and text are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_key
+from .common import free_column, materialize, text_key, tidy
 from .words import Chunk, chunks, join_hash, mix, text_buffers, window_argmin, window_hashes, word_hashes
 
 WINDOW, GRAM = 50, 25
@@ -65,15 +65,19 @@ def runs_of(c: Chunk, window: int = WINDOW, gram: int = GRAM) -> Runs:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tk, text of the rows that take part; tk tells texts of one doc_id apart."""
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").where("doc_id is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").where("doc_id is not null")
 
 
-def resolve(window_rows: DataFrame, whole: DataFrame) -> DataFrame:
-    """doc_id, tk, spans (array of start, n windows) of recurring windows, from the windows of firsts
-    (a, wh, doc_id, tk, pos) and the runs that recur whole (doc_id, tk, start, n)."""
+def resolve(window_rows: DataFrame) -> DataFrame:
+    """doc_id, tk, start, n of recurring windows, from windows (a, wh, doc_id, tk, pos) of anchors that no one
+    task sees whole: compared by hashes of anchor and window, 128 bits in effect."""
     least = materialize(window_rows.groupBy("a", "wh").agg(F.min("doc_id").alias("least")))  # stored, so that the join below can be split at a hot key
-    part = window_rows.join(least, ["a", "wh"]).where("doc_id > least").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
-    return whole.select("doc_id", "tk", "start", "n").unionAll(part).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return window_rows.join(least, ["a", "wh"]).where("doc_id > least").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
+
+
+def spans_by_document(found: DataFrame) -> DataFrame:
+    """doc_id, tk, spans (array of start, n windows)."""
+    return found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def removed_words(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -89,9 +93,17 @@ def _spans(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _with_spans(rows: DataFrame, spans: DataFrame, doc_id: str, key: str, found: str) -> DataFrame:
+    """Adds the spans of each row; rows with null doc_id have none and do not meet in one task."""
+    s = spans.select(F.col("doc_id").alias(doc_id), F.col("tk").alias(key), F.col("spans").alias(found))
+    none = rows.where(F.col(doc_id).isNull()).withColumn(found, F.lit(None).cast(dict(s.dtypes)[found]))
+    return rows.where(F.col(doc_id).isNotNull()).join(s, [doc_id, key], "left").unionByName(none)
+
+
 def kept_digests(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").join(spans, ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
+    source = _with_spans(rows, spans, "doc_id", "tk", "spans").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +120,7 @@ def kept_digests(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> Dat
                 digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return source.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut(text: pa.Array, starts: np.ndarray, counts: np.ndarray, window: int) -> str:
@@ -125,7 +137,9 @@ def _cut(text: pa.Array, starts: np.ndarray, counts: np.ndarray, window: int) ->
 def cut_texts(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with recurring passages cut out of text; what is left keeps its white space."""
     columns = docs.columns
-    source = docs.withColumn("tk", text_key()).join(spans, ["doc_id", "tk"], "left").select(*columns, F.col("spans").alias("_spans"))
+    doc_id, key, found = (free_column(docs, c) for c in ("_id", "_tk", "_spans"))
+    rows = docs.withColumns({doc_id: F.col("doc_id").cast("long"), key: text_key()})
+    source = _with_spans(rows, spans, doc_id, key, found).select(*columns, found)
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,5 +155,5 @@ def cut_texts(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFr
                     column = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([column if j == place else batch.column(j) for j in range(len(columns))], names=columns)
 
-    cut = source.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+    cut = source.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
     return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in columns else cut
