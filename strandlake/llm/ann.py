@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product, with learned partitions.
 
-Fitting, on a sample of at most about `sample_rows` vectors: link each to its nearest, cut that graph
-into parts of equal size that few links cross, and train a small network to name the parts in
-which a vector's neighbours lie. Indexing gives every row its most probable part. A query goes to
-its most probable parts, as many as the sample needs for `target_recall`, and is compared with all
-their vectors in double precision; its k nearest of the sample come first, and set a score below which
-no vector need be returned. Parts are split into blocks of bounded size, and the queries of
-a part likewise, so no task holds more than one block of each.
+The number of parts grows with the square root of the rows, so that parts and the rows of one grow alike; one
+path serves every size. Fitting, on a sample of about `sample_rows` vectors or SAMPLE_PER_PART for each part:
+link each to its nearest, cut that graph into parts of equal size that few links cross, and train a small
+network to name the parts in which a vector's neighbours lie. Indexing gives every row its most probable
+part. A query goes to its most probable parts, as many as the sample needs for `target_recall`, and is
+compared with all their vectors in double precision: first in its most probable part, whose k-th score is
+a bound below which no vector of its other parts need be returned. Parts are split into blocks of bounded
+size, and the queries of a part likewise, so no task holds more than one block of each.
 
 Defined results: null vec_id, and vectors that are null, zero, hold null or non-finite values or have
 another length than most, take no part; rows that share a vec_id are not candidates for each other;
@@ -20,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
+SAMPLE_PER_PART = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -140,98 +142,86 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 1)
 
 
-def _best_known(ids: np.ndarray, x: np.ndarray, known, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of the sample: query places, vec_ids, scores; and the k-th score of each query,
-    which k candidates reach, so that no row below it is an answer."""
-    least, found = np.full(len(x), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    if known is not None and len(known[0]) > k:
-        for i in range(0, len(x), 256):
-            s = x[i : i + 256] @ known[1].T
-            s[ids[i : i + 256, None] == known[0]] = -np.inf
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            least[i : i + 256] = np.take_along_axis(s, best, 1).min(1)
-            at, b = np.repeat(np.arange(i, i + len(s)), k), best.ravel()
-            real = np.take_along_axis(s, best, 1).ravel() > -np.inf
-            found.append((at[real], known[0][b[real]], (x[at[real]] * known[1][b[real]]).sum(1)))
-    return *(np.concatenate(c) for c in zip(*found)), least
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 256, target_recall: float = 0.95) -> DataFrame:
+def part_count(rows: int, per_root: float = 8.0) -> int:
+    """sqrt(rows) / per_root, at least one: 28 parts of 1,800 for 50,000 rows, 1,250 of 80,000 for 100 million."""
+    return max(1, round(rows**0.5 / per_root))
+
+
+def _compare(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
+    """The k nearest of a block of candidates to each query of a block, at or above the query's bound."""
+    out = []
+    if len(q) and len(c):
+        ids, x = c.column("vec_id").to_numpy(), _matrix(c.column("v"))
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        asked, y, bounds = q.column("query_id").to_numpy(), _matrix(q.column("q")), q.column("bound").to_numpy()
+        for i in range(0, len(y), 256):
+            s = y[i : i + 256] @ x.T
+            s[asked[i : i + 256, None] == ids] = -np.inf
+            most = min(k, s.shape[1])
+            least = np.maximum(-np.partition(-s, most - 1, axis=1)[:, most - 1], bounds[i : i + 256])
+            # a hair below, as products summed in another order differ in their last bits
+            a, b = np.nonzero((s >= (least - 1e-12 * np.abs(least))[:, None]) & (s > -np.inf))
+            exact = (y[i + a] * x[b]).sum(1)
+            best = np.lexsort((ids[b], -exact, a))
+            a, b, exact = a[best], b[best], exact[best]
+            few = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append(pa.table({"query_id": asked[i + a[few]], "vec_id": ids[b[few]], "score": exact[few]}))
+    return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, target_recall: float = 0.95, per_root: float = 8.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors))
     n = rows.count()
-    parts = int(min(most_parts, max(1, n // part_rows)))
-    router, probe, known = None, 1, None
-    if parts > 1:
-        chosen = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 2) <= F.lit(int(min(1.0, sample_rows / n) * 2**62)))
-        sample = chosen.toArrow().sort_by("vec_id")  # about sample_rows rows
-        known = sample.column("vec_id").to_numpy(), _matrix(sample.column("v"))
-        router, probe = fit(known[1], parts, k, target_recall)
+    parts = part_count(n, per_root)
+    wanted = max(sample_rows, SAMPLE_PER_PART * parts)
+    chosen = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 2) <= F.lit(int(min(1.0, wanted / max(1, n)) * 2**62)))
+    sample = chosen.toArrow().sort_by("vec_id")  # about `wanted` rows
+    router, probe = fit(_matrix(sample.column("v")), parts, k, target_recall) if parts > 1 else (None, 1)  # one part needs no choice
     shared = spark.sparkContext.broadcast(router)  # a small network
-    floor = spark.sparkContext.broadcast(known)  # the sample
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        return np.argsort(-shared.value.logits(x), axis=1, kind="stable") if shared.value else np.zeros((len(x), 1), np.int64)
 
     def assign(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
-            part = shared.value.logits(x).argmax(1) if shared.value else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranked(_matrix(batch.column(1)))[:, 0].astype(np.int32))], names=["vec_id", "v", "part"])
 
-    index = materialize(rows.mapInArrow(assign, "vec_id long, v array<double>, part int"))
+    index = materialize(rows.mapInArrow(tidy(assign), "vec_id long, v array<double>, part int"))
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row per part
     sizes = np.array([held.get(p, 0) for p in range(parts)])
 
     def route(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            order = np.argsort(-shared.value.logits(x), axis=1, kind="stable") if shared.value else np.zeros((len(x), 1), np.int64)
+            order = ranked(x)
             # at least `probe` parts, and more while they hold too few candidates
-            take = (np.arange(parts) < probe) | (np.cumsum(sizes[order], axis=1) - sizes[order] <= k)
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            take = (np.arange(parts) < probe) | (before <= k)
             i, j = np.nonzero(take)
-            least = _best_known(batch.column(0).to_numpy(), x, floor.value, k)[3]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(least[i]), pa.array(order[i, j].astype(np.int32))], names=["query_id", "q", "least", "part"])
+            # the first parts that hold more than k rows together give the bound of the others
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(order[i, j].astype(np.int32)), pa.array(before[i, j] <= k)], names=["query_id", "q", "part", "early"])
+
+    queries = materialize(rows.where(is_query).mapInArrow(tidy(route), "query_id long, q array<double>, part int, early boolean"))
+    asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # a row per part
+    rows_in = F.array(*(F.lit(-(-held.get(p, 0) // BLOCK_ROWS) or 1) for p in range(parts)))[F.col("part")]
+    queries_in = F.array(*(F.lit(-(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)))[F.col("part")]
+    blocks = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")))
+    cands = index.withColumn("cb", F.pmod(F.xxhash64("vec_id"), rows_in)).withColumn("qb", blocks(queries_in))
+    key = ["part", "cb", "qb"]
 
-    queries = rows.where(is_query).mapInArrow(route, "query_id long, q array<double>, least double, part int")
-    queries = materialize(queries)
+    def compared(some: DataFrame) -> DataFrame:
+        asks = some.withColumn("qb", F.pmod(F.xxhash64("query_id"), queries_in)).withColumn("cb", blocks(rows_in))
+        return asks.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(lambda q, c: _compare(q, c, k), "query_id long, vec_id long, score double")
 
-    def sampled(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at, near, score, _ = _best_known(ids, _matrix(batch.column(1)), floor.value, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    first = rows.where(is_query).mapInArrow(sampled, "query_id long, vec_id long, score double")
-    asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
-    blocks = [(p, -(-held.get(p, 0) // BLOCK_ROWS) or 1, -(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)]
-    rows_in = F.array(*(F.lit(b) for _, b, _ in blocks))[F.col("part")]
-    queries_in = F.array(*(F.lit(b) for _, _, b in blocks))[F.col("part")]
-    cands = index.withColumn("cb", F.pmod(F.xxhash64("vec_id"), rows_in)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), (queries_in - 1).cast("long"))))
-    asks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), queries_in)).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), (rows_in - 1).cast("long"))))
-
-    def compare(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = []
-        if len(q) and len(c):
-            ids, x = c.column("vec_id").to_numpy(), _matrix(c.column("v"))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            asked, y, floors = q.column("query_id").to_numpy(), _matrix(q.column("q")), q.column("least").to_numpy()
-            for i in range(0, len(y), 256):
-                s = y[i : i + 256] @ x.T
-                s[asked[i : i + 256, None] == ids] = -np.inf
-                least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                least = np.maximum(least, floors[i : i + 256])
-                # a hair below, as products summed in another order differ in their last bits
-                a, b = np.nonzero((s >= (least - 1e-12 * np.abs(least))[:, None]) & (s > -np.inf))
-                exact = (y[i + a] * x[b]).sum(1)
-                best = np.lexsort((ids[b], -exact, a))
-                a, b, exact = a[best], b[best], exact[best]
-                nth = np.arange(len(a)) - np.searchsorted(a, a)
-                a, b, exact = a[nth < k], b[nth < k], exact[nth < k]
-                out.append(pa.table({"query_id": asked[i + a], "vec_id": ids[b], "score": exact}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    key = ["part", "cb", "qb"]
-    found = asks.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.unionAll(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    early = materialize(best(compared(queries.where("early").withColumn("bound", F.lit(float("-inf"))))))
+    bounds = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    late = queries.where("not early").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    found = early.drop("rank").unionAll(compared(late).select("query_id", "vec_id", "score"))
+    return best(found).select("query_id", "rank", "vec_id", "score")
