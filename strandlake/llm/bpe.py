@@ -5,8 +5,8 @@ be merged over, so a cut there changes nothing. A 256 x 256 table over the bytes
 pairs at which a pre-token must end as well (white space, and letters, digits and punctuation
 side by side, where no token holds the pair); a text is cut there in one vectorised pass. What is
 left is normalised and pre-tokenised by the tokenizer's own rules, cut at every forced boundary
-inside, and each piece is merged by itself. Fragments repeat, so a worker keeps the ids of those it has met
-(a bounded table). Ids of fragments are then concatenated.
+inside, and each piece is merged by itself. Fragments repeat, so a task keeps the ids of those it has met
+(a table bounded in bytes, freed when the task ends). Ids of fragments are then concatenated.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; texts of any
 length are cut in one pass; rows, ties and repeats are independent; other columns are kept out.
@@ -25,11 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .words import text_buffers
+from .common import tidy
+from .words import lots, text_buffers
 
-#: Fragments a worker remembers.
-CACHE = 250_000
+#: Bytes of fragments, and of pieces, whose ids a task remembers, about.
+CACHE_BYTES = 24 << 20
+#: Text that goes back to Spark in one batch.
+LOT_BYTES = 1 << 20
+
+
+class Decoder:
+    """What decode() gives without a decoder: the tokens, one space between them."""
+
+    def __init__(self, definition: str):
+        spec = json.loads(definition)
+        named = {t: i for t, i in spec["model"]["vocab"].items()} | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.tokens = {i: t.encode() for t, i in named.items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        tokens = self.tokens
+        return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in tokens])
 
 
 class ForcedBoundaryBPE(dict):
@@ -46,7 +61,6 @@ class ForcedBoundaryBPE(dict):
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {tuple(m): i for i, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t.encode() for t, i in [*self.vocab.items(), *self.special.items()]}
         bare = [t.removesuffix(self.end) for t in self.vocab]
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
         assert not any(re.search(r"[\x20\x09-\x0D]", t) for t in self.vocab), "white space must be a forced boundary"
@@ -55,6 +69,7 @@ class ForcedBoundaryBPE(dict):
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.cuts = self._table()
         self.pieces: dict[tuple[str, bool], list[int]] = {}
+        self.held = self.held_pieces = 0
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _table(self) -> np.ndarray:
@@ -94,9 +109,11 @@ class ForcedBoundaryBPE(dict):
                 for word, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part)):
                     ids += self.word(word)
         out = pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE:
-            self.clear()
         if len(fragment) <= 256:
+            self.held += len(fragment) + len(out) + 150
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
             self[fragment] = out
         return out
 
@@ -116,9 +133,11 @@ class ForcedBoundaryBPE(dict):
             if last:
                 parts[-1] += self.end
             ids = self.merge(parts) if len(parts) > 24 else self.merge_short(parts)
-            if len(self.pieces) >= CACHE // 4:
-                self.pieces.clear()
             if len(text) <= 64:
+                self.held_pieces += len(text) + 8 * len(ids) + 300
+                if self.held_pieces > CACHE_BYTES:
+                    self.pieces.clear()
+                    self.held_pieces = 0
                 self.pieces[text, last] = ids
         return ids
 
@@ -158,38 +177,27 @@ class ForcedBoundaryBPE(dict):
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, self.fragments(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        """What decode() gives without a decoder: the tokens, one space between them."""
-        tokens = self.tokens
-        return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in tokens])
-
-
-_LOADED: dict[int, ForcedBoundaryBPE] = {}
 
-
-def _encoder(definition: str) -> ForcedBoundaryBPE:
-    key = hash(definition)
-    if key not in _LOADED:
-        _LOADED[key] = ForcedBoundaryBPE(definition)
-    return _LOADED[key]
-
-
-def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, ids (little-endian unsigned 32-bit numbers, binary) and n_tokens."""
+def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The kept columns, ids (little-endian unsigned 32-bit numbers, binary) and n_tokens; with `decoded`
+    also what the ids decode to (string), by the same task."""
     definition = docs.sparkSession.sparkContext.broadcast(_read(tokenizer_path))  # a vocabulary file: under 2 MB
+    names = [*keep, "ids", "n_tokens", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(definition.value)
+        bpe, back = None, None
         for batch in batches:
+            bpe = bpe or ForcedBoundaryBPE(definition.value)
+            back = back or (Decoder(definition.value) if decoded else None)
             data, at = text_buffers(batch.column(len(keep)))
-            for a in range(0, batch.num_rows, 512):
-                b = min(batch.num_rows, a + 512)
+            for a, b in lots(at, LOT_BYTES):
                 ids = [bpe.encode(data[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*keep, "ids", "n_tokens"])
+                out = [*batch.slice(a, b - a).columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, *([pa.array(map(back.decode, ids), pa.binary()).cast(pa.string())] if back else [])], names=names)
 
-    source = bounded_batches(docs).select(*keep, text)
+    source = docs.select(*keep, text)
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(run, f"{types}, ids binary, n_tokens long")
+    return source.mapInArrow(tidy(run), f"{types}, ids binary, n_tokens long" + (", decoded string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -198,20 +206,21 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(definition.value)
+        back = None
         for batch in batches:
+            back = back or Decoder(definition.value)
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                texts = [bpe.decode(x.as_py() or b"") for x in part.column(at)]
+                texts = [back.decode(x.as_py() or b"") for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string")
+    return encoded.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    decoded = decode_ids(encode_texts(docs, tokenizer_path), tokenizer_path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    found = encode_texts(docs, tokenizer_path, decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def _read(path: str) -> str:

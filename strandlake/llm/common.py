@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +25,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names no such folder, as in tests, a local one is set."""
+    A local folder is set only where none is named and the session is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what operators stored in the shared folder inside: for jobs whose result is
+    written before the end of the block."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table that several later steps read to the shared folder, and reread it.
 
     This cuts the lineage as checkpoint() does, in Parquet, so a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,14 +71,24 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-#: Rows of an Arrow batch where texts go to Python; Spark's default of 10,000 long texts is too much memory.
-BATCH_ROWS = 2_000
+def free_column(df: DataFrame, name: str) -> str:
+    """A name like the given one that clashes with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Wraps a batch function so that the worker, which Spark uses again, gives back its memory at the end."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's Arrow batch size where it is above BATCH_ROWS."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
-    return df
+    return wrapped

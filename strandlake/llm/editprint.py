@@ -10,7 +10,8 @@ texts of different lengths still compare place by place.
 
 Defined results: null counts as empty; an empty text has the print "00" and is like another empty
 one only; equal texts have equal prints; doc_id null sorts first; repeated rows and ties are ordered
-by text; a single document is its own next; an empty table gives no rows; other columns are not read.
+by text; a single document is its own next; a text of any length is walked as a whole; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, tidy
 
 CLASSES, PERIOD, PLACES = 64, 4096, 512
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
@@ -112,7 +113,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     as well, so each task reads its rows and one more in order. Only range limits come to the driver
     (one number per partition)."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     # ranges: 0 for null ids, then 1 + the number of limits at or below the id
@@ -153,7 +154,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         if out:
             yield _rows(out)
 
-    return dealt.mapInArrow(run, "doc_id long, text string, next_text string")
+    return dealt.mapInArrow(tidy(run), "doc_id long, text string, next_text string")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -168,7 +169,7 @@ def edit_prints(docs: DataFrame) -> DataFrame:
             prints = [edit_print(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_edit: float | None = None, block_rows: int = 1000) -> DataFrame:
@@ -225,7 +226,7 @@ def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_ed
                         out.append(f"{lv:02x}{b:03x}" + s[b : b + band].tobytes().decode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "key"])
 
-    keyed = reps.select("fingerprint", "doc_id").mapInArrow(keys, "doc_id long, key string")
+    keyed = reps.select("fingerprint", "doc_id").mapInArrow(tidy(keys), "doc_id long, key string")
     shared = keyed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     keyed = materialize(keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

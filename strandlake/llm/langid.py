@@ -7,7 +7,8 @@ trigrams of the whole text. The machines are fitted on a sample of labelled rows
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no
 labelled row everything is `und`; with one label everything else has that; rows with null doc_id
-are held out; repeated rows and ties are scored alike; the other columns are passed on or not read.
+are held out; repeated rows and ties are scored alike; a text of any length counts as a whole, piece by
+piece; the other columns are passed on, whatever their names, or not read.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .words import text_buffers
+from .common import free_column, tidy
+from .words import lots, text_buffers
 
 #: Languages of a family by ISO 639-1 code. A language not named here is its own family.
 FAMILIES = {
@@ -38,33 +39,31 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 DIMS = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_GROUP_BYTES, _GROUP_ROWS = 2 << 20, 512
+_GROUP_BYTES, _GROUP_ROWS = 1 << 19, 256
 
 
 def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One unit vector per text: log counts of hashed trigrams of its bytes, a blank on either side."""
+    """One unit vector per text: log counts of hashed trigrams of its bytes, a blank on either side. Long
+    texts are counted piece by piece."""
     n = len(at) - 1
-    counts = np.zeros((n, DIMS), dtype=np.float32)
-    part = _LOWER[data[at[0] : at[-1]]]
-    if len(part):
-        doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
-        wide = np.full(len(part) + 2 * n, 32, dtype=np.uint32)
-        where = np.arange(len(part)) + 2 * doc + 1
-        wide[where] = part
-        code = wide[where - 1] | wide[where] << np.uint32(8) | wide[where + 1] << np.uint32(16)
-        slot = (code * np.uint32(2654435761)) >> np.uint32(21)
-        counts = np.bincount(doc * DIMS + slot, minlength=n * DIMS).reshape(n, DIMS).astype(np.float32)
-    np.log1p(counts, out=counts)
+    counts = np.zeros(n * DIMS, dtype=np.float32)
+    for first in range(int(at[0]), int(at[-1]), _GROUP_BYTES):
+        last = min(int(at[-1]), first + _GROUP_BYTES)
+        place = np.arange(first, last)
+        doc = np.searchsorted(at, place, "right") - 1
+        part = _LOWER[data[first:last]].astype(np.uint32)
+        before = np.where(place > at[doc], _LOWER[data[np.maximum(place - 1, 0)]], 32).astype(np.uint32)
+        after = np.where(place + 1 < at[doc + 1], _LOWER[data[np.minimum(place + 1, len(data) - 1)]], 32).astype(np.uint32)
+        slot = ((before | part << np.uint32(8) | after << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(21)
+        counts += np.bincount(doc * DIMS + slot, minlength=n * DIMS)
+    counts = np.log1p(counts.reshape(n, DIMS))
     return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, at = text_buffers(column)
-    a = 0
-    while a < len(column):
-        b = min(len(column), a + _GROUP_ROWS, max(a + 1, int(np.searchsorted(at, at[a] + _GROUP_BYTES, "right")) - 1))
+    for a, b in lots(at, _GROUP_BYTES, _GROUP_ROWS):
         yield a, b, data, at[a : b + 1]
-        a = b
 
 
 @dataclass
@@ -136,7 +135,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4000) -> Model | None:
                 x = vectors(data, at).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    sample = labelled.where(keep).select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
+    sample = labelled.where(keep).select("text", "lang").mapInArrow(tidy(run), "lang string, x binary").toArrow()
     lang = np.array(sample.column("lang").to_pylist(), dtype=object)
     x = np.stack([np.frombuffer(v, np.float16) for v in sample.column("x").to_pylist()]).astype(np.float32) if len(lang) else np.zeros((0, DIMS), np.float32)
     order = np.lexsort((x @ np.arange(DIMS), lang.astype(str))) if len(lang) else []
@@ -167,10 +166,11 @@ def fit_documents(docs: DataFrame, sample_rows: int = 4000) -> Model | None:
     return fit(known.select("text", "lang", F.xxhash64(F.lit("langid"), "doc_id").alias("u")), sample_rows)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, unless named), lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The kept columns (all, unless named), and the predicted language and its score under the given names,
+    which must not be among the kept ones."""
     keep = docs.columns if keep is None else keep
-    source = bounded_batches(docs).select(*keep, *(() if "text" in keep else ("text",)))
+    source = docs.select(*keep, *(() if "text" in keep else ("text",)))
     place, kept = source.columns.index("text"), [source.columns.index(c) for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats per pair of languages
 
@@ -179,16 +179,24 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         for batch in batches:
             for a, b, data, at in _groups(batch.column(place)):
                 if model is None:
-                    labels, score = ["und"] * (b - a), np.zeros(b - a)
+                    labels, sure = ["und"] * (b - a), np.zeros(b - a)
                 else:
-                    labels, score = model.predict(vectors(data, at))
+                    labels, sure = model.predict(vectors(data, at))
                     letters = np.array([_has_letter(data[at[i] : at[i + 1]]) for i in range(b - a)])
                     labels = [x if y else "und" for x, y in zip(labels, letters)]
-                    score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), pa.array(labels, pa.string()), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
+                    sure = np.where(letters, sure, 0.0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), pa.array(labels, pa.string()), pa.array(sure.astype(np.float64))], names=[*keep, label, score])
 
     types = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
-    return source.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return source.mapInArrow(tidy(run), f"{types}, `{label}` string, `{score}` double")
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose text has a letter, with a missing lang filled in by the best guess; other
+    columns may have any names."""
+    label = free_column(docs, "_lang_pred")
+    found = predict(docs, model, label=label, score=free_column(docs, "_score")).where(F.col(label) != "und")
+    return found.withColumn("lang", F.coalesce("lang", label)).select(*docs.columns)
 
 
 _LETTER = np.zeros(256, bool)

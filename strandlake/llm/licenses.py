@@ -9,7 +9,7 @@ signature: they cannot collide. Retrieved pairs are verified by the exact share
 template's shingles in the window.
 
 Defined results: null and empty texts match nothing; documents that match nothing give no row; repeated
-rows give repeated results; null doc_id is kept; an empty table gives no rows; other columns are not read.
+rows give repeated results; null doc_id is kept; a text of any length is one chunk; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import Chunk, chunks, find_words, mix, window_hashes, word_hashes
 
 SHINGLE, BANDS = 5, 32
@@ -103,7 +104,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
                 names=["doc_id", "license", "containment", "places", "first_char"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, license string, containment double, places long, first_char long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, license string, containment double, places long, first_char long")
 
 
 def _matches(c: Chunk, index: Index, least: float) -> list[tuple]:

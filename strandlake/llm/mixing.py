@@ -1,14 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source's documents are shuffled by a hash and queued `most` times over. A copy's virtual
+Every source's documents are shuffled by a hash of doc_id and text and queued `most` times over. A copy's virtual
 finish time is the source's words up to and with it, divided by the source's target; the copies
 of all sources, in order of that time, are taken until the budget is spent. Running sums over a
 source and over all copies are made in two steps, sums of about sqrt(rows) ranges and then sums
 within a range, so that no task holds more than a range of a hot source or of the whole.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own, last
-in order; null doc_id and repeated rows are documents like others (equal rows may trade places);
-an empty table gives no rows; further columns are not read.
+in order; null doc_id and repeated rows are documents like others (equal rows may trade places); a text of any
+length counts as a whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_column, materialize, text_key
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """doc_id, size, source_size, target, taken (words taken; repeats counted) and the carried columns
     for every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     rows = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *carry))
     ranges = max(1, math.isqrt(rows.count()))
     sources = materialize(source_targets(rows, weights, share, most))
@@ -89,11 +89,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     return queued.crossJoin(F.broadcast(cut)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs as often as the mix takes them; other columns may have any names."""
+    key, number, copies = (free_column(docs, c) for c in ("_tk", "_id", "_copies"))
+    keyed = docs.withColumns({number: F.col("doc_id").cast("long"), key: text_key()})
+    taken = mix_sources(keyed.select("doc_id", "text", "source", number, key), weights, share, most, carry=(number, key)).where("taken > 0")
+    times = taken.groupBy(number, key).agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(copies))
+    on = keyed[number].eqNullSafe(times[number]) & (keyed[key] == times[key])
+    joined = keyed.join(times, on).select(*(keyed[c] for c in docs.columns), times[copies])
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(copies)).drop(copies)
+
+
 #: The same rule in one statement, with plain running sums.
 SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as k
+         md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as k
   from documents),
 s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rank from d group by source),
 s1 as (select *, [3, 1, 2][((rank - 1) % 3) + 1] as w, 2 * source_size as cap from s0),

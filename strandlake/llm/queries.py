@@ -30,7 +30,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
-    warc.write_warc(warc.record_table(table(spark, sf_dir, "pages")), path)
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
     found = warc.resolve_revisits(warc.read_records(spark, path))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -4,13 +4,15 @@ Fingerprints of equal value are merged first. Two fingerprints within `budget` b
 least one of budget + 1 blocks of bits, so each (block, value) is a subtree forest of its own that
 Spark deals out by key; inside it pairs of trie nodes are descended together, the differing bits
 are summed, and a pair is left as soon as the budget is exceeded. A key with more than `group_rows`
-fingerprints is dealt anew by a further block of the remaining bits (thrice at most, after which
-few values are possible). A task returns a spanning forest of the links in its groups, never all
+fingerprints is dealt anew by a further block of the remaining bits, thrice at most; what is still
+larger then (near copies that share a segment) is dealt out as pairs of blocks. A task returns a spanning forest of the links in its groups, never all
 pairs; the forests are joined by star contraction.
 
 Defined results: null text counts as empty, no word gives fingerprint zero (linked like any other);
 rows with null doc_id get a fingerprint and a null component; repeated rows share their result;
-an empty table gives no rows; columns besides doc_id and text are not read.
+texts of any length count as a whole; an empty table gives no rows; columns besides doc_id and text are
+not read. drop_near_duplicates tells rows of one doc_id by their texts and passes other columns on, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
-from .words import mix, text_buffers
+from .common import free_column, materialize, text_key, tidy
+from .words import lots, mix, text_buffers
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 16
@@ -76,8 +78,8 @@ def fingerprints(docs: DataFrame, ngram: int = 5, bits: int = 64) -> DataFrame:
                     out[i] = fingerprint(data[at[i] : at[i + 1]].tobytes(), ngram, bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i].view(np.int64)) for i in range(bits // 64))], names=["doc_id", *names])
 
-    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def trie_pairs(values: np.ndarray, width: int, budget: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,6 +194,7 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
     of each dealt group. Candidates differ in `budget` bits or fewer in one of the segments; a link
     differs in `total_budget` or fewer bits of all words."""
     names = [f"w{i}" for i in range(words)]
+    group = ["seg", "path", "at", "p", "q"]
     per_word = 64 // segment_bits
     levels = _masks(segment_bits, budget + 1)
     low = _signed(2**segment_bits - 1)
@@ -205,7 +208,7 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
         held: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table, edges: list) -> None:
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("seg", "path", "at")], 1)
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in group], 1)
             new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             lo, hi = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
             node = t.column("node").to_numpy()
@@ -240,9 +243,9 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
                 continue
             held.append(batch)
             t = pa.Table.from_batches(held)
-            last = [t.column(c)[len(t) - 1].as_py() for c in ("seg", "path", "at")]
+            last = [t.column(c)[len(t) - 1].as_py() for c in group]
             open_ = np.ones(len(t), bool)
-            for c, x in zip(("seg", "path", "at"), last):
+            for c, x in zip(group, last):
                 open_ &= t.column(c).to_numpy() == x
             first = int(np.argmax(open_))
             if first:
@@ -257,14 +260,14 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
     for level in range(3):
         keyed = rows.select("node", *names, "seg", "value", F.explode(children(level, path, F.col("value"))).alias("k"))
         keyed = keyed.select("node", *names, "seg", "value", "k.path", "k.at")
-        here = keyed
-        hot = None
-        if level < 2:
-            hot = materialize(keyed.groupBy("seg", "path", "at").count().where(F.col("count") > group_rows).drop("count"))
-            hot = None if hot.isEmpty() else hot
-            here = keyed.join(hot, ["seg", "path", "at"], "left_anti") if hot is not None else keyed
-        dealt = here.repartition("seg", "path", "at").sortWithinPartitions("seg", "path", "at")
-        links = dealt.select("seg", "path", "at", "node", "value", *names).mapInArrow(join_groups, "a long, b long")
+        hot = materialize(keyed.groupBy("seg", "path", "at").agg(F.count("*").alias("n")).where(F.col("n") > group_rows))
+        hot = None if hot.isEmpty() else hot
+        here = keyed.join(hot, ["seg", "path", "at"], "left_anti") if hot is not None else keyed
+        here = here.withColumns({"p": F.lit(0), "q": F.lit(0)})
+        if level == 2 and hot is not None:
+            here = here.unionByName(_block_pairs(keyed.join(hot, ["seg", "path", "at"]), group_rows))
+        dealt = here.repartition(*group).sortWithinPartitions(*group)
+        links = dealt.select(*group, "node", "value", *names).mapInArrow(tidy(join_groups), "a long, b long")
         out = links if out is None else out.unionAll(links)
         if hot is None:
             break
@@ -272,6 +275,14 @@ def near_links(reps: DataFrame, words: int, segment_bits: int, budget: int, tota
     return out
 
 
+def _block_pairs(hot: DataFrame, group_rows: int) -> DataFrame:
+    """Rows of groups of n members, once for each pair of blocks (p, q) that theirs is in."""
+    blocks = F.ceil(F.col("n") / F.lit(max(1, group_rows // 2))).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("own", "other", "n")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of links (a, b).
 
@@ -280,10 +291,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
+        # minima are stored before they are joined, so that AQE can split the joins at the centre of a star
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = materialize(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
@@ -356,8 +368,7 @@ def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffers(batch.column(0))
-            for first in range(0, batch.num_rows, 512):
-                last = min(batch.num_rows, first + 512)
+            for first, last in lots(at, 1 << 20):
                 sets = [shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram).tobytes() for i in range(first, last)]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(c.slice(first, last - first) for c in batch.columns[1:])], names=["shingles", "node", "g", "block", "blocks"])
 
@@ -380,64 +391,71 @@ def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
         if key is not None:
             yield join_group(key, nodes, sides, sets)
 
-    sets = texts.select("text", "node", "g", "block", "blocks").mapInArrow(to_sets, "shingles binary, node long, g long, block int, blocks int")
+    sets = texts.select("text", "node", "g", "block", "blocks").mapInArrow(tidy(to_sets), "shingles binary, node long, g long, block int, blocks int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("*", other).select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "shingles")
     dealt = dealt.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "node")
-    return dealt.mapInArrow(join_groups, "a long, b long")
+    return dealt.mapInArrow(tidy(join_groups), "a long, b long")
 
 
 def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
-    """doc_id, w0 .., s0, s1 for every row: fingerprint and 128-bit hash of the set of distinct shingles."""
+    """doc_id, tk, w0 .., s0, s1 for every row: text key, fingerprint and 128-bit hash of the set of distinct
+    shingles."""
     names = [*(f"w{i}" for i in range(bits // 64)), "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_buffers(batch.column(1))
+            data, at = text_buffers(batch.column(2))
             out = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             for i in range(batch.num_rows):
                 found = shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram)
                 if len(found):
                     out[i, :-2] = set_fingerprint([found], bits)
                 out[i, -2:] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", "tk", *names])
 
-    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
+    return source.mapInArrow(tidy(run), "doc_id long, tk long, " + ", ".join(f"{n} long" for n in names))
 
 
-def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int) -> DataFrame:
-    """doc_id, root (smallest doc_id of its group) for every row with a doc_id.
+def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000) -> DataFrame:
+    """doc_id, tk, root and root_tk (the smallest of its group) for every row with a doc_id; tk is the text's key.
 
     Texts with the same set of shingles are one class. The prints only propose: classes of equal
     print and what near_links joins are one loose group, in which similar_links verifies the texts before
     a link joins anything."""
     names = [f"w{i}" for i in range(bits // 64)]
     prints = materialize(set_prints(docs.where("doc_id is not null"), ngram, bits))
-    classes = materialize(prints.groupBy(*names, "s0", "s1").agg(F.min("doc_id").alias("node")))
+    classes = prints.groupBy(*names, "s0", "s1").agg(F.min(F.struct("doc_id", "tk")).alias("least"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # stored, so a class keeps its number
     reps = materialize(classes.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
-    found = components(near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget))
+    found = components(near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget, group_rows))
     # roots are not among its nodes; a print of several classes is a group without a link too
     groups = found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct())
     groups = reps.join(groups, F.col("rep") == F.col("node"), "left").where("g is not null or n > 1").select(*names, F.coalesce("g", "rep").alias("g"))
-    loose = materialize(classes.join(groups, names).select("node", "g"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(loose, "node")
+    loose = materialize(classes.join(groups, names).select("least.doc_id", "least.tk", "node", "g"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").join(loose, ["doc_id", "tk"]).drop("doc_id", "tk")
     sizes = texts.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / (4 * BLOCK_SHINGLES), F.lit(1))).cast("int")
-    texts = texts.join(sizes.select("g", blocks.alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    sizes = materialize(sizes.select("g", blocks.alias("blocks")))
+    texts = texts.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     roots = components(similar_links(texts, ngram, similarity))
-    classes = classes.join(roots, "node", "left").select(*names, "s0", "s1", F.coalesce("root", "node").alias("root"))
-    return prints.join(classes, [*names, "s0", "s1"]).select("doc_id", "root")
+    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("first")))
+    classes = classes.join(least, "root").select(*names, "s0", "s1", F.col("first.doc_id").alias("root"), F.col("first.tk").alias("root_tk"))
+    return prints.join(classes, [*names, "s0", "s1"]).select("doc_id", "tk", "root", "root_tk")
 
 
-def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 256, segment_bits: int = 32, budget: int = 4, total_budget: int = 52) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 256, segment_bits: int = 32, budget: int = 4, total_budget: int = 64) -> DataFrame:
+    """One row of each near-duplicate group stays, that with the smallest (doc_id, text key).
 
     Of 256 bits, two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 on
-    average (the angle between their shingle vectors), seldom in over 52; eight segments of 32 bits find such
-    a pair with over 99 % probability. The prints count each distinct shingle once, as the similarity
+    average (the angle between their shingle vectors), hardly ever in over 64; eight segments of 32 bits find
+    such a pair with over 99 % probability. The prints count each distinct shingle once, as the similarity
     does, and every link is verified on the shingles themselves. Rows with null doc_id stay."""
     found = similar_groups(docs, ngram, similarity, bits, segment_bits, budget, total_budget)
-    gone = found.where("root <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    key, number = free_column(docs, "_tk"), free_column(docs, "_id")
+    gone = found.where("root <> doc_id or root_tk <> tk").select(F.col("doc_id").alias(number), F.col("tk").alias(key)).distinct()
+    keyed = docs.withColumns({number: F.col("doc_id").cast("long"), key: text_key()})
+    kept = keyed.where(F.col(number).isNotNull()).join(gone, [number, key], "left_anti").dropDuplicates([number, key])
+    return kept.unionByName(keyed.where(F.col(number).isNull())).select(*docs.columns)

@@ -60,6 +60,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def lots(at: np.ndarray, most_bytes: int, most_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes (or one longer row), from the offsets of texts."""
+    a, rows = 0, len(at) - 1
+    while a < rows:
+        b = min(rows, a + most_rows, max(a + 1, int(np.searchsorted(at, at[a] + most_bytes, "right")) - 1))
+        yield a, b
+        a = b
+
+
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     data, at = text_buffers(column)
     first, rows = 0, len(column)

@@ -47,8 +47,7 @@ def test_language_stage_drops_texts_without_letters(stages):
 
 def test_language_stage_rejects_by_no_score(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one text", None, "s0", 8), (2, "12", "en", "s0", 2)], COLUMNS)
-    scored = docs.selectExpr("*", "if(doc_id = 2, 'und', 'fr') as lang_pred", "0.1D as score")
-    monkeypatch.setattr(langid, "predict", lambda docs, model: scored)
+    monkeypatch.setattr(langid, "predict", lambda docs, model, label, score: docs.selectExpr("*", f"if(doc_id = 2, 'und', 'fr') as {label}", f"0.1D as {score}"))
     assert [(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [(1, "fr")]
 
 
