@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, langid, mixing, simhash, suffixes
-from strandlake.llm.common import materialize, table, text_key
+from strandlake.llm.common import materialize, scratch, shared_dir, table
 from strandlake.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter (und) go, no others: the score rejects none. A missing lang is filled in by the best guess."""
-    found = langid.predict(docs, langid.fit_documents(docs))
-    kept = found.where("lang_pred <> 'und'")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return langid.keep_known(docs, langid.fit_documents(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +31,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    keyed = docs.withColumn("tk", text_key())
-    taken = mixing.mix_sources(keyed, carry=("tk",)).where("taken > 0")
-    copies = taken.groupBy("doc_id", "tk").agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
-    k, c = keyed.alias("k"), copies.alias("c")
-    joined = k.join(c, F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.tk") == F.col("c.tk")))
-    return joined.select(*(F.col(f"k.{x}") for x in docs.columns), F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy")).drop("_copy")
+    return mixing.mixed_rows(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), decoded_sha256."""
-    path = tokenizer_path()
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path, keep=("doc_id", "lang", "source")), path)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    found = bpe.encode_texts(docs, tokenizer_path(), keep=("doc_id", "lang", "source"), decoded=True)
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -63,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        with scratch(spark):  # a stage's own intermediate tables go when its rows are written
+            docs = materialize(stage(spark, docs, sf_dir), path)
     return docs
