@@ -21,8 +21,8 @@ from ..functions.arrays import let
 from ..schemas import MATCH
 from ..session import stored
 
-#: Cells of one kernel call; longer reads go in smaller lots.
-LOT_CELLS = 1 << 22
+#: Cells of one kernel call, a byte each; longer reads go in smaller lots.
+LOT_CELLS = 1 << 25
 
 
 @dataclass(frozen=True)

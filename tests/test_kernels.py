@@ -1,5 +1,7 @@
 """Golden cases and plain versions of the array, CIGAR and alignment kernels."""
 
+import functools
+import itertools
 import random
 import re
 
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import arrays as ar
 from strandlake.functions import cigar as cg
 from strandlake.functions import kernels
-from strandlake.operators import align, annotate, smoothing, tracks
+from strandlake.operators import align, annotate, compare, smoothing, tracks
+from strandlake.sources import tables as src
 
 CODES = {"S": 4, "D": 2, "=": 7, "I": 1, "X": 8}
 CIGAR = "array<struct<op: int, len: int>>"
@@ -60,7 +63,7 @@ def test_tracks(spark):
     t = tracks.tracks(rows, F.lit(0), F.lit(8))
     got = {r.position: (r["match"], r.ins, r.cov, r["del"]) for r in t.collect()}
     assert got == {1: (1, 0, 1, 0), 2: (1, 1, 1, 0), 3: (0, 0, 1, 0), 4: (0, 0, 1, 1), 5: (1, 0, 1, 0), 6: (1, 0, 1, 0)}
-    s = tracks.track_stats(t).first()
+    s = tracks.track_stats(rows, F.lit(0), F.lit(8)).first()
     assert s.identity == pytest.approx(4 / 7) and (s.mismatches, s.insertions, s.deletions, s.length) == (1, 1, 1, 6)
 
 
@@ -89,98 +92,162 @@ def test_glocal_golden():
         assert ("".join(LETTER[o] for o in got.ops[k].tolist()), got.query_start[k], got.query_end[k]) == (ops, start, end)
 
 
-def plain_glocal(s, t, o=2.0, e=0.5):
-    m, n = len(s), len(t)
-    d, v = np.zeros((m + 1, n + 1), np.float32), np.zeros((m + 1, n + 1), int)
-    v[0, 1:], v[1:, 0] = 2, 1
-    for j in range(1, n + 1):
-        d[0, j] = o + e * (j - 1)
-    for j in range(1, n + 1):
-        for i in range(1, m + 1):
-            a = d[i - 1, j - 1] + (s[i - 1] != t[j - 1])
-            b = d[i - 1, j] + (e if v[i - 1, j] == 1 else o)
-            c = d[i, j - 1] + (e if v[i, j - 1] == 2 else o)
-            if a <= b and a <= c:
-                d[i, j], v[i, j] = a, 0 if s[i - 1] == t[j - 1] else 3
-            elif c <= b:
-                d[i, j], v[i, j] = c, 2
-            else:
-                d[i, j], v[i, j] = b, 1
-    memo, dist = {}, {}
-    for seed in range(m, 0, -1):
-        if (seed, n) in memo:
-            dist[seed] = m + n + 3
-            continue
-        i, j, path = seed, n, []
-        while j > 0 and (i, j) not in memo:
-            path.append((i, j))
-            i, j = (i - 1, j - 1) if v[i, j] in (0, 3) else (i, j - 1) if v[i, j] == 2 else (i - 1, j)
-        start = memo.get((i, j), i)
-        memo.update(dict.fromkeys(path, start))
-        dist[seed] = abs(seed - start)
-    score = {r: float("inf") if dist[r] == 0 else (float(d[r, n]) + 1) / dist[r] for r in range(1, m + 1)}
-    end = min(sorted(score), key=lambda r: score[r])
-    i, j, ops = end, n, []
-    while j > 0:
-        ops.append({0: 7, 3: 8, 2: 2, 1: 1}[v[i, j]])
-        i, j = (i - 1, j - 1) if v[i, j] in (0, 3) else (i, j - 1) if v[i, j] == 2 else (i - 1, j)
-    return ops[::-1], i, end
-
-
-def plain_local(q, t, o=-6.0, e=-1.0, hit=3.0, miss=1.0):
-    n, m = len(t), len(q)
-    h, v, c = np.zeros((n + 1, m + 1), np.float32), np.zeros((n + 1, m + 1), int), np.zeros((n + 1, m + 1), int)
-    best, at = -1, None
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            same = t[i - 1] == q[j - 1]
-            a = h[i - 1, j - 1] + (hit if same else miss)
-            b = h[i, j - 1] + (e if v[i, j - 1] == 1 else o)
-            d = h[i - 1, j] + (e if v[i - 1, j] == 2 else o)
-            h[i, j] = max(0, a, b, d)
-            if h[i, j] == 0:
-                continue
-            if h[i, j] == a:
-                v[i, j], c[i, j] = 7 if same else 8, c[i - 1, j - 1] + same
-            elif h[i, j] == b:
-                v[i, j], c[i, j] = 1, c[i, j - 1]
-            else:
-                v[i, j], c[i, j] = 2, c[i - 1, j]
-            if h[i, j] >= best:
-                best, at = h[i, j], (i, j)
-    if at is None:
-        return None
-    (i, j), ops = at, []
-    hits = c[i, j]
-    while i > 0 and j > 0 and v[i, j]:
-        k = v[i, j]
-        ops.append(int(k))
-        i, j = i - (k != 1), j - (k != 2)
-    return ops[::-1], j, at[1], i, at[0], hits
-
-
-def sequences(seed, n=40):
+def reads_back(ops, query, ref, at, to):
+    """Follows operations from (at, to); every = and X must tell the truth. Returns where it ends."""
+    for op in ops:
+        if op in (7, 8):
+            assert (query[at] == ref[to]) == (op == 7)
+        at, to = at + (op != 2), to + (op != 1)
+    return at, to
+
+
+@functools.cache
+def least_edits(a, b):
+    """Over all ways to turn a into b with single edits."""
+    if not a or not b:
+        return len(a) + len(b)
+    return min(least_edits(a[1:], b[1:]) + (a[0] != b[0]), least_edits(a[1:], b) + 1, least_edits(a, b[1:]) + 1)
+
+
+@functools.cache
+def best_score(a, b):
+    """Over all alignments of all of a with all of b: 3 for a match, -1 for a mismatch, -2 for a base in a gap."""
+    if not a or not b:
+        return -2 * (len(a) + len(b))
+    return max(best_score(a[1:], b[1:]) + (3 if a[0] == b[0] else -1), best_score(a[1:], b) - 2, best_score(a, b[1:]) - 2)
+
+
+def pieces(text):
+    return {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+
+
+def short_pairs(seed, n, longest):
     rng = random.Random(seed)
-    for _ in range(n):
-        t = "".join(rng.choices("ACGT", k=rng.randint(5, 30)))
-        s = list(t)
-        for _ in range(rng.randint(0, 6)):
-            at = rng.randrange(len(s))
-            s[at : at + 1] = rng.choice([[], ["A"], ["C", "G"], list("TTT")])
-            s = s or ["A"]
-        yield "".join(rng.choices("ACGT", k=rng.randint(0, 6))) + "".join(s) + "".join(rng.choices("ACGT", k=rng.randint(0, 6))), t
-
-
-def test_batch_kernels_match_cell_by_cell_versions():
-    pairs = list(sequences(3))
+    word = lambda: "".join(rng.choices("ACG", k=rng.randint(1, longest)))
+    return [(word(), word()) for _ in range(n)]
+
+
+def test_glocal_is_cheapest_for_its_end_with_even_gaps():
+    pairs = short_pairs(3, 300, 6)
+    got = kernels.glocal([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs], 1.0, 1.0)
+    for k, (q, t) in enumerate(pairs):
+        ops, start, end = got.ops[k].tolist(), int(got.query_start[k]), int(got.query_end[k])
+        assert reads_back(ops, q, t, start, 0) == (end, len(t))
+        assert sum(o != 7 for o in ops) == min(least_edits(q[s:end], t) for s in range(end + 1))
+        assert got.matches[k] == ops.count(7)
+
+
+def test_local_is_best_with_even_gaps():
+    pairs = short_pairs(5, 200, 6)
+    got = kernels.local([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs], -2.0, -2.0, 3.0, -1.0)
+    for k, (q, t) in enumerate(pairs):
+        ops = got.ops[k].tolist()
+        assert reads_back(ops, q, t, int(got.query_start[k]), int(got.ref_start[k])) == (got.query_end[k], got.ref_end[k])
+        assert sum({7: 3, 8: -1}.get(o, -2) for o in ops) == max([0, *(best_score(a, b) for a in pieces(q) for b in pieces(t))])
+        assert got.matches[k] == ops.count(7)
+
+
+def test_kernels_prefer_one_long_gap_and_find_exact_copies():
+    ref = "ACGTAACCGGTTACGTCAGTCAAGGT"
+    cut, grown = ref[:6] + ref[10:], ref[:13] + "CCCCC" + ref[13:]
+    queries = [f"TTGA{x}CATT" for x in (ref, cut, grown)]
+    want = [[7] * 26, [7] * 6 + [2] * 4 + [7] * 16, [7] * 13 + [1] * 5 + [7] * 13]
+    g = kernels.glocal([q.encode() for q in queries], [ref.encode()] * 3)
+    l1 = kernels.local([q.encode() for q in queries], [ref.encode()] * 3, mismatch=-4.0)
+    for k in range(3):
+        lengths = lambda ops: [(o, sum(1 for _ in run)) for o, run in itertools.groupby(ops)]
+        for got in (g, l1):  # a gap may lie a base to the side where bases repeat
+            assert [o for o, _ in lengths(got.ops[k].tolist())] == [o for o, _ in lengths(want[k])]
+            assert (got.query_start[k], got.query_end[k], got.matches[k]) == (4, len(queries[k]) - 4, want[k].count(7))
+
+
+def test_kernels_do_not_depend_on_the_batch():
+    pairs = short_pairs(9, 60, 40)
     q, t = [a.encode() for a, _ in pairs], [b.encode() for _, b in pairs]
-    g = kernels.glocal(q, t)
-    l1, l2 = kernels.local(q, t), kernels.local(q, t, mismatch=-1.0)
-    for k, (a, b) in enumerate(pairs):
-        assert (g.ops[k].tolist(), g.query_start[k], g.query_end[k]) == plain_glocal(a, b)
-        for got, miss in ((l1, 1.0), (l2, -1.0)):
-            want = plain_local(a, b, miss=miss)
-            assert want is None or (got.ops[k].tolist(), got.query_start[k], got.query_end[k], got.ref_start[k], got.ref_end[k], got.matches[k]) == want
+    for kernel in (kernels.glocal, kernels.local):
+        whole = kernel(q, t)
+        for k in range(0, 60, 7):
+            one = kernel(q[k : k + 1], t[k : k + 1])
+            same = [(getattr(one, f)[0] == getattr(whole, f)[k]) for f in ("query_start", "query_end", "ref_start", "ref_end", "matches")]
+            assert all(same) and one.ops[0].tolist() == whole.ops[k].tolist()
+
+
+def test_aligned_operation_is_told_by_bases(spark):
+    lines = ["r1\t0\tx\t1\t60\t30M\t*\t0\t0\t" + "A" * 30 + "\t*", "r2\t0\tx\t1\t60\t30=\t*\t0\t0\t" + "A" * 30 + "\t*", "r3\t0\tx\t3\t60\t2S20M1D6M\t*\t0\t0\t" + "A" * 12 + "C" * 8 + "A" * 8 + "\t*"]
+    rows = src.parse_sam(spark.createDataFrame([(x,) for x in lines], "value string")).withColumn("ref_idx", F.lit(0))
+    refs = spark.createDataFrame([(0, "x", "A" * 40, 40)], "ref_idx int, ref_name string, seq string, len int")
+    got = {r.read_id: r for r in tracks.read_stats(rows, refs, three=0).collect()}
+    assert (got["r1"].status, got["r1"].identity, got["r1"].length) == (got["r2"].status, got["r2"].identity, got["r2"].length) == ("pass", 1.0, 30)
+    assert (got["r3"].matches, got["r3"].mismatches, got["r3"].deletions, got["r3"].length) == (18, 8, 1, 27)
+    cigars = {r.read_id: [tuple(e) for e in r.cigar] for r in tracks.resolve_matches(rows, refs).collect()}
+    assert cigars == {"r1": [(7, 30)], "r2": [(7, 30)], "r3": [(4, 2), (7, 10), (8, 8), (7, 2), (2, 1), (7, 6)]}
+    trimmed = {r.read_id: [tuple(e) for e in r.c] for r in rows.select("read_id", cg.trim_to_matches("cigar")["cigar"].alias("c")).collect()}
+    assert trimmed["r1"] == [(0, 30)] and trimmed["r3"] == [(4, 2), (0, 20), (2, 1), (0, 6)]
+    with pytest.raises(Exception, match="M is not resolved"):
+        tracks.tracks(rows, F.lit(0), F.lit(40)).collect()
+    hard = src.parse_sam(spark.createDataFrame([("r\t0\tx\t1\t60\t5H30M\t*\t0\t0\t" + "A" * 30 + "\t*",)], "value string")).withColumn("ref_idx", F.lit(0))
+    with pytest.raises(Exception, match="not supported"):
+        tracks.resolve_matches(hard, refs).collect()
+
+
+def test_annotation_runs_match_base_by_base(spark):
+    """Labels by walking single bases, runs by counting single samples."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        ops = [(rng.choice([4, 1]), rng.randint(0, 3))] if k % 3 else []
+        for _ in range(rng.randint(1, 6)):
+            ops += [(rng.choice([7, 7, 8]), rng.randint(1, 12)), (rng.choice([1, 2]), rng.randint(0, 4))]
+        ops = [(o, n) for o, n in [*ops, (7, rng.randint(1, 5)), (4, rng.randint(0, 3))] if n]
+        bases = sum(n for o, n in ops if o != 2)
+        mv = [rng.choice([3, 5])]
+        for _ in range(bases):
+            mv += [1] + [0] * rng.randint(0, 2)
+        pos = rng.randint(0, 12)
+        rows.append((f"r{k}", pos, pos + sum(n for o, n in ops if o in (2, 7, 8)), 40, 9, ops, mv, rng.randint(0, 9)))
+    frame = spark.createDataFrame(rows, f"read_id string, pos int, ref_end int, ref_len int, class_code int, cigar {CIGAR}, mv array<int>, ts int")
+    lead, tail = 8, 10
+    runs = {r.read_id: [tuple(x) for x in r.rle] for r in frame.select("read_id", annotate.signal_runs(annotate.label_stretches(lead, tail)).alias("rle")).collect()}
+    flat = {}
+    for r in annotate.base_labels(frame, lead, tail).collect():
+        flat.setdefault(r.read_id, {})[r.query_pos] = r.label
+    for name, pos, ref_end, ref_len, code, ops, mv, ts in rows:
+        labels, at, before, seen, past = [], pos, None, False, False
+        for op, n in ops:
+            for _ in range(n):
+                if op in (7, 8):
+                    before, seen, past = at, seen or at == pos, past or at >= ref_end - 1
+                    labels.append(2 if at < lead else 1 if past or at > ref_len - tail else code)
+                elif op != 2:
+                    labels.append(2 if not seen else 1 if past else 2 if before < lead else 1 if before > ref_len - tail else code)
+                at += op in (2, 7, 8)
+        assert [flat[name][i] for i in range(len(labels))] == labels
+        starts = [i * mv[0] + ts - mv[0] for i, v in enumerate(mv) if i and v == 1]
+        samples, end = [0] * starts[0], ts + (len(mv) - 1) * mv[0]
+        for label, a, z in zip(labels[::-1], starts, [*starts[1:], end]):
+            samples += [label] * (z - a)
+        assert runs[name] == [(x, sum(1 for _ in g)) for x, g in itertools.groupby(samples)]
+
+
+def test_sinks_and_lookups(spark, tmp_path):
+    numbers = spark.createDataFrame([(1234567.891, 2, "x"), (None, 3, None)], "v double, n int, t string")
+    src.write_report(numbers, f"{tmp_path}/report", 4)
+    back = spark.read.option("sep", "\t").option("header", "true").csv(f"{tmp_path}/report")
+    assert {tuple(r) for r in back.collect()} == {("1234567.8910", "2", "x"), (None, "3", None)}
+    ids = spark.range(1000).selectExpr("cast(id as string) read_id", "id")
+    shards = src.with_shards(ids.repartition(7), "id", 100).collect()
+    assert all(r.shard == r.id // 100 for r in shards)
+    src.write_sharded(ids, f"{tmp_path}/shards", 90)
+    held = src.with_file(src.scan(spark, f"{tmp_path}/shards"))
+    assert held.groupBy("file").count().agg(F.max("count")).first()[0] <= 90
+    found = src.select_reads(held, ids.where("id in (3, 700)"))
+    assert {r.read_id for r in found.collect()} == {"3", "700"} and found.where("file like 'part-%'").count() == 2
+    compare.require_all(ids.where("id < 5"), ids)
+    with pytest.raises(ValueError, match="2000"):
+        compare.require_all(ids.selectExpr("'2000' as read_id"), ids)
+    pairs = spark.createDataFrame([("a", "x", "y", "both"), ("b", "x", "x", "both"), ("c", "x", "Unmapped", "only_a")], "read_id string, label_a string, label_b string, membership string")
+    wide = [r.asDict() for r in compare.crosstab_wide(pairs, ["x", "y", "Unmapped", "z"]).collect()]
+    assert wide == [{"label_a": "x", "x": 1, "y": 1, "Unmapped": 1, "z": 0}]
 
 
 def test_align_job_outputs_fit_their_reads(spark):
