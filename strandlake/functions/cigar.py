@@ -1,11 +1,14 @@
-"""CIGAR kernels in built-in functions (P9 to P15, F12). A CIGAR is an array of (op, len)."""
+"""CIGAR kernels in built-in functions (P9 to P15, F12). A CIGAR is an array of (op, len).
+
+Aligners that write M leave open whether bases agree; resolve_aligned tells by comparing them, once after the
+scan. Until then M uses up both sides, counts as a match where a CIGAR is trimmed, and identity is null."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import CIGAR, DELETION, INSERTION, MATCH, MISMATCH, SOFT_CLIP
+from ..schemas import ALIGNED, CIGAR, DELETION, INSERTION, MATCH, MISMATCH, ON_READ, ON_REF, SOFT_CLIP
 from .arrays import _c, let, run_lengths
 
 
@@ -34,32 +37,56 @@ def total(cigar: str | Column, *ops: int) -> Column:
     return F.aggregate(_c(cigar), F.lit(0), lambda acc, c: acc + F.when(c["op"].isin(*ops), c["len"]).otherwise(0))
 
 
+def resolve_aligned(cigar: str | Column, seq: str | Column, ref_seq: str | Column, pos: str | Column) -> Column:
+    """The CIGAR with M told apart into = and X by the bases of read and reference; others as they are.
+    N, H and P raise: what they stand for has no place in these tables."""
+    known = F.when(F.exists(_c(cigar), lambda e: e["op"].isin(3, 5, 6)), F.raise_error(F.lit("CIGAR operations N, H and P are not supported")).cast(CIGAR)).otherwise(_c(cigar))
+
+    def compared(read: Column, ref: Column) -> Column:
+        base = lambda e, j: F.when(F.get(read, e["q"] + j) == F.get(ref, e["r"] + j), MATCH).otherwise(MISMATCH)
+        ops = lambda e: F.when(e["op"] == ALIGNED, F.transform(F.sequence(F.lit(0), e["len"] - 1), lambda j: base(e, j))).otherwise(F.array_repeat(e["op"], e["len"]))
+        return encode(F.flatten(F.transform(F.filter(placed(cigar, pos), lambda e: e["len"] > 0), ops)))
+
+    letters = lambda s: F.split(F.upper(_c(s)), "")
+    told = let(F.struct(letters(seq).alias("read"), letters(ref_seq).alias("ref")), lambda t: compared(t["read"], t["ref"]))
+    return F.when(F.exists(known, lambda e: e["op"] == ALIGNED), told).otherwise(known)
+
+
 def _count(ops: Column, *which: int) -> Column:
     return F.size(F.filter(ops, lambda o: o.isin(*which)))
 
 
 def trim_to_window(cigar: str | Column, window: int = 8, least: int = 6) -> Column:
     """P10: struct(cigar, shift, removed): from the first match of the first window of operations, past a
-    leading clip, that has enough matches; what lies before is clipped. An empty CIGAR if none has."""
+    leading clip, that has enough matches; what lies before is clipped. An empty CIGAR if none has.
+
+    One pass: the last `window` operations are bits of a number, set for a match (window: 62 at most)."""
 
     def cut(ops: Column) -> Column:
         lead = F.when(_c(cigar)[0]["op"] == SOFT_CLIP, _c(cigar)[0]["len"]).otherwise(0)
-        fits = F.size(ops) - lead >= window
-        starts = F.when(fits, F.sequence(lead + 1, F.size(ops) - window + 1)).otherwise(F.array().cast("array<int>"))
-        first = F.try_element_at(F.filter(starts, lambda i: _count(F.slice(ops, i, F.lit(window)), MATCH) >= least), F.lit(1))
-        return let(first, lambda f: let(f + F.array_position(F.slice(ops, f, F.lit(window)), MATCH).cast("int") - 1, lambda at: _trimmed(ops, at, None)))
+        begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("bits"), F.lit(0).alias("first"))
+
+        def step(acc: Column, op: Column) -> Column:
+            bits = (F.shiftleft(acc["bits"], 1) + F.when(op.isin(ALIGNED, MATCH), 1).otherwise(0)).bitwiseAND(F.lit((1 << window) - 1).cast("long"))
+            full = (acc["first"] == 0) & (acc["i"] + 1 >= lead + window) & (F.bit_count(bits) >= least)
+            return F.struct((acc["i"] + 1).alias("i"), bits.alias("bits"), F.when(full, acc["i"] + 2 - window).otherwise(acc["first"]).alias("first"))
+
+        found = F.aggregate(ops, begin, step, lambda acc: F.when(acc["first"] > 0, acc["first"]))
+        return let(found, lambda f: let(f + _first_match(F.slice(ops, f, F.lit(window))) - 1, lambda at: _trimmed(ops, at, None)))
 
     return F.when(F.size(_c(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
 
 
+def _first_match(ops: Column) -> Column:
+    return F.array_position(F.transform(ops, lambda o: o.isin(ALIGNED, MATCH)), True).cast("int")
+
+
 def trim_to_matches(cigar: str | Column) -> Column:
-    """struct(cigar, shift, removed) from the first to the last match."""
+    """struct(cigar, shift, removed) from the first to the last match (= or M)."""
 
     def cut(ops: Column) -> Column:
-        first = F.array_position(ops, MATCH).cast("int")
-        last = F.size(ops) - F.array_position(F.reverse(ops), MATCH).cast("int") + 1
-        span = F.struct(first.alias("a"), last.alias("z"))
-        return F.when(first > 0, let(span, lambda s: _trimmed(ops, s["a"], s["z"]))).otherwise(_failed())
+        span = F.struct(_first_match(ops).alias("a"), (F.size(ops) - _first_match(F.reverse(ops)) + 1).alias("z"))
+        return let(span, lambda s: F.when(s["a"] > 0, _trimmed(ops, s["a"], s["z"])).otherwise(_failed()))
 
     return F.when(F.size(_c(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
 
@@ -72,10 +99,9 @@ def _trimmed(ops: Column, first: Column, last: Column | None) -> Column:
     before = F.slice(ops, F.lit(1), first - 1)
     after = F.slice(ops, last + 1, F.size(ops) - last) if last is not None else F.array().cast("array<int>")
     kept = F.slice(ops, first, (last if last is not None else F.size(ops)) - first + 1)
-    query = (INSERTION, SOFT_CLIP, MATCH, MISMATCH)
-    new = F.concat(clip(_count(before, *query)), encode(kept), clip(_count(after, *query)))
+    new = F.concat(clip(_count(before, *ON_READ)), encode(kept), clip(_count(after, *ON_READ)))
     edits = (INSERTION, DELETION, MISMATCH)
-    done = F.struct(new.alias("cigar"), _count(before, DELETION, MATCH, MISMATCH).alias("shift"), (_count(before, *edits) + _count(after, *edits)).alias("removed"))
+    done = F.struct(new.alias("cigar"), _count(before, *ON_REF).alias("shift"), (_count(before, *edits) + _count(after, *edits)).alias("removed"))
     return F.when(first.isNotNull(), done).otherwise(_failed())
 
 
@@ -87,14 +113,14 @@ def clip_shifts(before: str | Column, after: str | Column) -> Column:
 
 
 def identity(cigar: str | Column) -> Column:
-    """Matches over matches, mismatches, insertions and deletions."""
+    """Matches over matches, mismatches, insertions and deletions; null while M is not resolved."""
     n = total(cigar, MATCH, MISMATCH, INSERTION, DELETION)
-    return F.when(n > 0, total(cigar, MATCH) / n)
+    return F.when((n > 0) & (total(cigar, ALIGNED) == 0), total(cigar, MATCH) / n)
 
 
 def is_consistent(cigar: str | Column, seq_length: str | Column) -> Column:
     """Query-consuming operations add up to the sequence."""
-    return total(cigar, INSERTION, SOFT_CLIP, MATCH, MISMATCH) == _c(seq_length)
+    return total(cigar, *ON_READ) == _c(seq_length)
 
 
 def is_fragment(cigar: str | Column, ref_length: str | Column, share: float = 0.15) -> Column:
@@ -103,7 +129,27 @@ def is_fragment(cigar: str | Column, ref_length: str | Column, share: float = 0.
 
 
 def placed(cigar: str | Column, pos: str | Column) -> Column:
-    """The operations with where each begins: array of (op, len, q, r)."""
-    c = _c(cigar)
-    upto = lambda i, *ops: F.aggregate(F.slice(c, F.lit(1), i), F.lit(0), lambda acc, e: acc + F.when(e["op"].isin(*ops), e["len"]).otherwise(0))
-    return F.transform(c, lambda e, i: F.struct(e["op"].alias("op"), e["len"].alias("len"), upto(i, INSERTION, SOFT_CLIP, MATCH, MISMATCH).alias("q"), (_c(pos) + upto(i, DELETION, MATCH, MISMATCH)).alias("r")))
+    """The operations with where each begins: array of (op, len, q, r), in one pass."""
+    begin = F.struct(F.lit(0).alias("q"), _c(pos).cast("int").alias("r"), F.array().cast("array<struct<op: int, len: int, q: int, r: int>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        here = F.struct(e["op"].alias("op"), e["len"].alias("len"), acc["q"].alias("q"), acc["r"].alias("r"))
+        used = lambda ops: F.when(e["op"].isin(*ops), e["len"]).otherwise(0)
+        return F.struct((acc["q"] + used(ON_READ)).alias("q"), (acc["r"] + used(ON_REF)).alias("r"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(_c(cigar), begin, step, lambda acc: acc["out"])
+
+
+def region_counts(cigar: str | Column, pos: str | Column, start: Column, end: Column) -> Column:
+    """struct(match, ins, cov, del) of the places of [start, end) that an alignment covers, by
+    overlaps of its operations. An insertion counts where the reference position before it does. M must be resolved."""
+
+    def summed(parts: Column) -> Column:
+        over = lambda e: F.greatest(F.lit(0), F.least(e["r"] + e["len"], end) - F.greatest(e["r"], start))
+        at = lambda e: e["r"] - 1
+        inside = lambda e: (at(e) >= start) & (at(e) < end) & (at(e) >= _c(pos))
+        add = lambda ops: F.aggregate(parts, F.lit(0), lambda acc, e: acc + F.when(e["op"].isin(*ops), over(e)).otherwise(0))
+        ins = F.aggregate(parts, F.lit(0), lambda acc, e: acc + F.when((e["op"] == INSERTION) & inside(e), e["len"]).otherwise(0))
+        return F.struct(add([MATCH]).alias("match"), ins.alias("ins"), add(ON_REF).alias("cov"), add([DELETION]).alias("del"))
+
+    return let(placed(cigar, pos), summed)

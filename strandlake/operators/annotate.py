@@ -1,18 +1,18 @@
 """Signal annotation.
 
-Everything runs over the exploded pairs of an alignment with windows per read; no sample is expanded:
-a run's length is the difference of base places.
+Labels and runs of a read are worked out inside its row, by stretches of its CIGAR: no base or sample is
+expanded, nothing is joined or shuffled. M must be resolved first (tracks.resolve_matches) where identity counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
-from ..schemas import DELETION, INSERTION, MATCH, MISMATCH
+from ..functions.arrays import let
+from ..schemas import ALIGNED, INSERTION, MATCH, MISMATCH, ON_READ, ON_REF, SOFT_CLIP
 from .align import base_positions
-from .tracks import aligned_pairs
 
 #: Bases of the 5' and 3' adapters on a reference, and annotation codes.
 LEAD, TAIL = 36, 41
@@ -22,52 +22,86 @@ ADAPTER, THREE_SPLINT, FIVE_SPLINT, FIRST_CLASS = 0, 1, 2, 3
 def gates(alignments: DataFrame, lead: int = LEAD, tail: int = TAIL, inner: int = 15) -> DataFrame:
     """Rows fit for labelling, with ref_end and the fragment flag."""
     mapped = (F.col("flag").bitwiseAND(F.lit(4 | 256 | 2048)) == 0) & (F.col("mapq") != 0) & ~F.col("is_split") & (F.col("ns") < 1_000_000)
-    rows = alignments.where(mapped).withColumn("ref_end", F.col("pos") + cg.total("cigar", DELETION, MATCH, MISMATCH))
+    rows = alignments.where(mapped).withColumn("ref_end", F.col("pos") + cg.total("cigar", *ON_REF))
     span = F.abs(F.greatest("pos", F.lit(lead)) - F.least("ref_end", F.col("ref_len") - tail))
     return rows.where(span >= inner).withColumn("fragment", (F.col("pos") > lead) | (F.col("ref_end") < F.col("ref_len") - tail))
 
 
+_STRETCH = "array<struct<label: int, q: int, n: int>>"
+
+
+def label_stretches(lead: int = LEAD, tail: int = TAIL) -> Column:
+    """P18, W7 as array of (label, q, n): labels of the n bases from q on, in sequence order, over columns
+    class_code, ref_len, pos, ref_end, cigar.
+
+    An aligned base is labelled by its reference position, and by the 3' splint once the last one is reached.
+    Inserted and clipped bases go by the aligned base before them, or by the 5' splint if the alignment has not begun."""
+    code, last, end = F.col("class_code").cast("int"), F.col("ref_len") - tail, F.col("ref_end") - 1
+    begin = F.struct(F.lit(0).alias("q"), F.col("pos").cast("int").alias("r"), F.lit(-1).alias("before"), F.lit(False).alias("seen"), F.array().cast(_STRETCH).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        aligned, free = e["op"].isin(ALIGNED, MATCH, MISMATCH), e["op"].isin(INSERTION, SOFT_CLIP)
+        q, r, upto = acc["q"], acc["r"], acc["r"] + e["len"]
+        five_to = F.least(F.greatest(F.lit(lead), r), upto)
+        class_to = F.least(F.greatest(F.least(last + 1, end), five_to), upto)
+        some = lambda label, at, n: F.struct(label.alias("label"), at.cast("int").alias("q"), n.cast("int").alias("n"))
+        on = F.array(some(F.lit(FIVE_SPLINT), q, five_to - r), some(code, q + five_to - r, class_to - five_to), some(F.lit(THREE_SPLINT), q + class_to - r, upto - class_to))
+        between = F.when(~acc["seen"], FIVE_SPLINT).when(acc["before"] >= end, THREE_SPLINT).when(acc["before"] < lead, FIVE_SPLINT).when(acc["before"] > last, THREE_SPLINT).otherwise(code)
+        new = F.when(aligned, F.filter(on, lambda s: s["n"] > 0)).when(free & (e["len"] > 0), F.array(some(between, q, e["len"]))).otherwise(F.array().cast(_STRETCH))
+        used = lambda ops: F.when(e["op"].isin(*ops), e["len"]).otherwise(0)
+        began = aligned & (e["len"] > 0)
+        return F.struct(
+            (q + used(ON_READ)).cast("int").alias("q"),
+            (r + used(ON_REF)).cast("int").alias("r"),
+            F.when(began, upto - 1).otherwise(acc["before"]).cast("int").alias("before"),
+            (acc["seen"] | (began & (r == F.col("pos")))).alias("seen"),
+            F.concat(acc["out"], new).alias("out"),
+        )
+
+    return F.aggregate("cigar", begin, step, lambda acc: acc["out"])
+
+
 def base_labels(alignments: DataFrame, lead: int = LEAD, tail: int = TAIL) -> DataFrame:
     """read_id, query_pos, label of each base, from rows with class_code, ref_len, pos, ref_end, cigar."""
-    pairs = aligned_pairs(alignments.withColumn("first", F.col("pos")), "class_code", "ref_len", "first", "ref_end").where("query_pos >= 0")
-    upto = Window.partitionBy("read_id").orderBy("query_pos").rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.col("ref_pos")
-    seen = F.max((pos == F.col("first")).cast("int")).over(upto) == 1
-    past = F.max((pos >= F.col("ref_end") - 1).cast("int")).over(upto) == 1
-    before = F.last(F.when(pos >= 0, pos), ignorenulls=True).over(upto)
-    last = F.col("ref_len") - tail
-    free = F.when(~seen, FIVE_SPLINT).when(past, THREE_SPLINT).when(before < lead, FIVE_SPLINT).when(before > last, THREE_SPLINT).otherwise(F.col("class_code"))
-    on = F.when(pos < lead, FIVE_SPLINT).when(past | (pos > last), THREE_SPLINT).otherwise(F.col("class_code"))
-    return pairs.select("read_id", "query_pos", F.when(pos < 0, free).otherwise(on).alias("label"))
-
-
-def region_identity(alignments: DataFrame, lead: int = LEAD, tail: int = TAIL) -> DataFrame:
-    """read_id, region_identity over reference positions lead to ref_len - tail, insertions between
-    them included."""
-    pairs = aligned_pairs(alignments, "ref_len")
-    at = F.when(F.col("op") == INSERTION, F.col("after_pos")).otherwise(F.col("ref_pos"))
-    inside = pairs.where(F.col("op").isin(INSERTION, DELETION, MATCH, MISMATCH)).where((at >= lead) & (at <= F.col("ref_len") - tail))
-    return inside.groupBy("read_id").agg((F.count_if(F.col("op") == MATCH) / F.count("*")).alias("region_identity"))
-
-
-def signal_runs(reads: DataFrame, labels: DataFrame) -> DataFrame:
-    """read_id, run, label, n over the samples of each read. Bases come in signal order, the
-    reverse of the sequence; base places use move index - 1; samples before the first base are adapter."""
-    places = reads.select("read_id", "ts", (F.col("ts") + (F.size("mv") - 1) * F.col("mv")[0]).alias("total"), F.col("mv")[0].alias("stride"), F.posexplode(base_positions("mv", "ts")).alias("k", "p"), F.length("seq").alias("bases"))
-    places = places.withColumn("p", F.col("p") - F.col("stride")).withColumn("query_pos", F.col("bases") - 1 - F.col("k"))
-    along = Window.partitionBy("read_id").orderBy("k")
-    told = places.join(labels, ["read_id", "query_pos"])
-    told = told.withColumn("n", F.coalesce(F.lead("p").over(along), F.col("total")) - F.col("p")).select("read_id", "k", "label", "n")
-    head = places.where("k = 0 and p > 0").select("read_id", F.lit(-1).alias("k"), F.lit(ADAPTER).alias("label"), F.col("p").alias("n"))
-    return merge_runs(told.unionByName(head))
-
-
-def merge_runs(rows: DataFrame) -> DataFrame:
-    """P20 over rows (read_id, k, label, n): neighbours of one label become one run."""
-    along = Window.partitionBy("read_id").orderBy("k")
-    new = F.coalesce((F.lag("label").over(along) != F.col("label")).cast("int"), F.lit(0))
-    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("read_id", F.col("run").cast("int").alias("run"), "label").agg(F.sum("n").alias("n"))
+    rows = alignments.select("read_id", F.explode(label_stretches(lead, tail)).alias("s"))
+    return rows.select("read_id", F.explode(F.sequence(F.col("s.q"), F.col("s.q") + F.col("s.n") - 1)).alias("query_pos"), "s.label")
+
+
+def with_region_identity(alignments: DataFrame, lead: int = LEAD, tail: int = TAIL) -> DataFrame:
+    """Adds region_identity over reference positions lead to ref_len - tail, insertions between them
+    included; null where the read covers none."""
+    counts = cg.region_counts("cigar", "pos", F.lit(lead), F.col("ref_len") - tail + 1)
+    n = F.col("_t.cov") + F.col("_t.ins")
+    return alignments.withColumn("_t", counts).withColumn("region_identity", F.when(n > 0, F.col("_t.match") / n)).drop("_t")
+
+
+def signal_runs(stretches: Column) -> Column:
+    """Array of (label, n) over the samples of a read, from its label stretches and columns mv, ts. Bases
+    come in signal order, the reverse of the sequence; base places use move index - 1; samples before the first
+    base are adapter. Neighbours of one label are one run."""
+    stride = F.col("mv")[0]
+    total = F.col("ts") + (F.size("mv") - 1) * stride
+
+    def runs(t: Column) -> Column:
+        place = lambda k: F.get(t["p"], k) - stride
+        bases = F.size(t["p"])
+        one = lambda s: F.struct(s["label"].alias("label"), (F.when(s["q"] == 0, total).otherwise(place(bases - s["q"])) - place(bases - s["q"] - s["n"])).cast("int").alias("n"))
+        head = F.array(F.struct(F.lit(ADAPTER).alias("label"), place(F.lit(0)).cast("int").alias("n")))
+        return merge_runs(F.filter(F.concat(head, F.transform(F.reverse(t["s"]), one)), lambda r: r["n"] > 0))
+
+    return let(F.struct(stretches.alias("s"), base_positions("mv", "ts").alias("p")), runs)
+
+
+def merge_runs(runs: Column) -> Column:
+    """P20 over an array of (label, n): neighbours of one label become one run."""
+    begin = F.array().cast("array<struct<label: int, n: int>>")
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.array(F.struct(r["label"].alias("label"), (last["n"] + r["n"]).alias("n")))
+        return F.when(last["label"] == r["label"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(runs, begin, step)
 
 
 def display_name(name: str | Column, suffix: str = "") -> Column:
@@ -98,15 +132,10 @@ def matching_variant(pairs: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def annotate_reads(alignments: DataFrame, min_identity: float = 0.9, lead: int = LEAD, tail: int = TAIL, inner: int = 15) -> DataFrame:
-    """read_id, fragment, rle of the reads that pass the gates. alignments has seq, mv, ts, ns,
+    """read_id, fragment, class_code, rle of the reads that pass the gates. alignments has seq, mv, ts, ns,
     flag, mapq, is_split, pos, cigar, ref_len and class_code."""
-    fit = gates(alignments, lead, tail, inner)
-    good = region_identity(fit, lead, tail).where(F.col("region_identity") >= min_identity)
-    fit = fit.join(good.select("read_id"), "read_id", "left_semi")
-    runs = signal_runs(fit, base_labels(fit, lead, tail))
-    rle = runs.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("run", "label", "n"))).alias("runs"))
-    rle = rle.select("read_id", F.transform("runs", lambda r: F.struct(r["label"].alias("label"), r["n"].cast("int").alias("n"))).alias("rle"))
-    return fit.select("read_id", "fragment", "class_code").join(rle, "read_id")
+    good = with_region_identity(gates(alignments, lead, tail, inner), lead, tail).where(F.col("region_identity") >= min_identity)
+    return good.select("read_id", "fragment", "class_code", signal_runs(label_stretches(lead, tail)).alias("rle"))
 
 
 def annotated_per_class(annotations: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Aligned pairs, position tracks and read statistics.
 
-Tracks stay in long form and are summed to (label, pos) before anything joins them.
+Statistics of a read are sums over its own CIGAR, without a shuffle; positional tables are summed to
+(label, position) straight from the places of all reads, with partial sums in every task.
 """
 
 from __future__ import annotations
@@ -9,50 +10,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
-from ..schemas import DELETION, INSERTION, MATCH, MISMATCH, SOFT_CLIP
+from ..schemas import ALIGNED, DELETION, INSERTION, MATCH, ON_READ, ON_REF, SOFT_CLIP
+
+
+def resolve_matches(alignments: DataFrame, refs: DataFrame, key: str = "ref_idx") -> DataFrame:
+    """Alignments with M told apart into = and X, by their seq and that of their reference. Unmapped rows, and rows of
+    references that are not there, stay as they are. refs has a row per class."""
+    dim = refs.select(F.col(key).alias("_ref_key"), F.col("seq").alias("_ref_seq"))
+    joined = alignments.join(dim, F.col(key) == F.col("_ref_key"), "left")
+    told = F.when(F.col("_ref_seq").isNotNull(), cg.resolve_aligned("cigar", "seq", "_ref_seq", "pos")).otherwise(F.col("cigar"))
+    return joined.withColumn("cigar", told).drop("_ref_key", "_ref_seq")
 
 
 def aligned_pairs(alignments: DataFrame, *keep: str) -> DataFrame:
     """I, op, query_pos, ref_pos (-1 where there is none) for each place of each alignment; insertions
-    have the reference position before them in after_pos."""
-    ops = alignments.select("read_id", *keep, F.posexplode(cg.placed("cigar", "pos")).alias("k", "e"))
+    have the reference position before them in after_pos. M stays one operation unless it is resolved before."""
+    ops = alignments.select("read_id", *keep, F.posexplode(cg.placed("cigar", "pos")).alias("k", "e")).where("e.len > 0")
     flat = ops.select("read_id", *keep, "k", "e.op", "e.q", "e.r", F.explode(F.sequence(F.lit(0), F.col("e.len") - 1)).alias("j"))
-    on_query, on_ref = F.col("op") != DELETION, F.col("op").isin(DELETION, MATCH, MISMATCH)
+    on_query, on_ref = F.col("op").isin(*ON_READ), F.col("op").isin(*ON_REF)
     return flat.select("read_id", *keep, "k", "j", "op", F.when(on_query, F.col("q") + F.col("j")).otherwise(-1).alias("query_pos"), F.when(on_ref, F.col("r") + F.col("j")).otherwise(-1).alias("ref_pos"), (F.col("r") - 1).alias("after_pos"))
 
 
+def _region_places(alignments: DataFrame, start: Column, end: Column, *keep: str) -> DataFrame:
+    """Pairs with their position in the region (position). An insertion stands at the reference position before
+    it, if the read has reached one inside the region."""
+    rows = alignments.withColumns({"_s": start, "_e": end})
+    pairs = aligned_pairs(rows, *keep, "pos", "_s", "_e").where(F.col("op") != SOFT_CLIP)
+    at = F.when(F.col("op") == INSERTION, F.col("after_pos")).otherwise(F.col("ref_pos"))
+    op = F.when(F.col("op") == ALIGNED, F.raise_error(F.lit("M is not resolved: see resolve_matches")).cast("int")).otherwise(F.col("op"))
+    return pairs.withColumns({"position": at, "op": op}).where("position >= _s and position < _e and position >= pos")
+
+
+def _sums() -> list[Column]:
+    op = F.col("op")
+    return [F.count_if(op == MATCH).alias("match"), F.count_if(op == INSERTION).alias("ins"), F.count_if(op != INSERTION).alias("cov"), F.count_if(op == DELETION).alias("del")]
+
+
 def tracks(alignments: DataFrame, start: Column, end: Column, *keep: str) -> DataFrame:
-    """read_id, pos, match, ins, cov, del for the positions of the region that the read covers.
+    """read_id, position, match, ins, cov, del for the positions of the region that the read covers.
+
+    alignments has pos, cigar (with M resolved) and the kept columns; start and end are columns over it."""
+    places = _region_places(alignments, start, end, *keep)
+    return places.groupBy("read_id", *keep, "position").agg(*(c.cast("int").alias(n) for c, n in zip(_sums(), ("match", "ins", "cov", "del"))))
 
-    alignments has pos, cigar and the kept columns; start and end are columns over it. An insertion counts
-    at the reference position before it, if the read has reached one inside the region."""
-    rows = alignments.withColumn("_s", start).withColumn("_e", end)
-    pairs = aligned_pairs(rows, *keep, "pos", "_s", "_e").where(F.col("op") != SOFT_CLIP)
-    inserted = F.col("op") == INSERTION
-    at = F.when(inserted, F.col("after_pos")).otherwise(F.col("ref_pos"))
-    pairs = pairs.withColumn("at", at).where((F.col("at") >= F.col("_s")) & (F.col("at") < F.col("_e")) & (F.col("at") >= F.col("pos")))
-    return pairs.groupBy("read_id", *keep, F.col("at").alias("position")).agg(
-        F.count_if(F.col("op") == MATCH).cast("int").alias("match"),
-        F.count_if(inserted).cast("int").alias("ins"),
-        F.max(F.when(inserted, 0).otherwise(1)).alias("cov"),
-        F.count_if(F.col("op") == DELETION).cast("int").alias("del"),
-    )
 
+def position_sums(alignments: DataFrame, start: Column, end: Column, *by: str) -> DataFrame:
+    """by, pos and summed match, ins, cov, del over the tracks of all reads: what every positional table is made
+    from. A read has one place that is no insertion at a position, so coverage is a count of places."""
+    return _region_places(alignments, start, end, *by).groupBy(*by, F.col("position").alias("pos")).agg(*_sums())
 
-def track_stats(tracked: DataFrame, *keep: str) -> DataFrame:
+
+def track_stats(alignments: DataFrame, start: Column, end: Column, *keep: str) -> DataFrame:
     """P17 and A29 without thresholds: identity, matches, mismatches, insertions, deletions and covered
-    length of each read."""
-    sums = tracked.groupBy("read_id", *keep).agg(*(F.sum(c).alias(c) for c in ("match", "ins", "cov", "del")))
-    n = F.col("cov") + F.col("ins")
-    return sums.select(
+    length of each read that covers a place of the region, from its own row."""
+    rows = alignments.withColumn("_t", cg.region_counts("cigar", "pos", start, end))
+    n = F.col("_t.cov") + F.col("_t.ins")
+    long = lambda c, name: c.cast("bigint").alias(name)
+    return rows.where(n > 0).select(
         "read_id",
         *keep,
-        F.when(n > 0, F.col("match") / n).otherwise(F.lit(0.0)).alias("identity"),
-        F.col("match").alias("matches"),
-        (F.col("cov") - F.col("match") - F.col("del")).alias("mismatches"),
-        F.col("ins").alias("insertions"),
-        F.col("del").alias("deletions"),
-        F.col("cov").alias("length"),
+        (F.col("_t.match") / n).alias("identity"),
+        long(F.col("_t.match"), "matches"),
+        long(F.col("_t.cov") - F.col("_t.match") - F.col("_t.del"), "mismatches"),
+        long(F.col("_t.ins"), "insertions"),
+        long(F.col("_t.del"), "deletions"),
+        long(F.col("_t.cov"), "length"),
     )
 
 
@@ -60,22 +82,24 @@ def read_stats(alignments: DataFrame, refs: DataFrame, five: int = 0, three: int
     """One row per read with a status of pass, failed or unmapped.
 
     Secondary and supplementary rows are left out (or kept), unmapped ones set apart, then split reads
-    left out; short reads fail, reads of unknown classes are in no set, reads without a track fail."""
+    left out; short reads fail, reads of unknown classes are in no set, reads without a track fail. With seq in
+    refs, M is resolved by comparing bases."""
     rows = alignments if keep_secondary else alignments.where(F.col("flag").bitwiseAND(F.lit(256 | 2048)) == 0)
     unmapped = F.col("flag").bitwiseAND(F.lit(4)) != 0
     rows = rows.where(unmapped | ~F.col("is_split"))
+    if "seq" in refs.columns:
+        rows = resolve_matches(rows, refs)
     dims = refs.select("ref_idx", F.col("ref_name").alias("label"), F.col("len").alias("ref_len"))
     rows = rows.withColumn("state", F.when(unmapped, "unmapped").when(F.length("seq") < min_length, "short").otherwise("aligned"))
     known = rows.where("state = 'aligned'").drop("label").join(dims, "ref_idx")
-    stats = track_stats(tracks(known, F.lit(five), F.col("ref_len") - three, "label", "mapq"), "label", "mapq")
-    none = [F.lit(0).cast("bigint").alias(c) for c in ("matches", "mismatches", "insertions", "deletions", "length")]
-    empty = known.join(stats.select("read_id"), "read_id", "left_anti").select("read_id", "label", "mapq", F.lit(0.0).alias("identity"), *none)
+    counts = cg.region_counts("cigar", "pos", F.lit(five), F.col("ref_len") - three)
+    n = F.col("_t.cov") + F.col("_t.ins")
+    identity = F.when(n > 0, F.col("_t.match") / n).otherwise(F.lit(0.0))
+    long = lambda c, name: c.cast("bigint").alias(name)
+    sums = [long(F.col("_t.match"), "matches"), long(F.col("_t.cov") - F.col("_t.match") - F.col("_t.del"), "mismatches"), long(F.col("_t.ins"), "insertions"), long(F.col("_t.del"), "deletions"), long(F.col("_t.cov"), "length")]
+    judged = known.withColumn("_t", counts).select("read_id", "label", "mapq", identity.alias("identity"), *sums)
     passed = (F.col("identity") >= threshold) & (F.col("length") >= min_coverage)
-    judged = stats.unionByName(empty).withColumn("status", F.when(passed, "pass").otherwise("failed"))
+    judged = judged.withColumn("status", F.when(passed, "pass").otherwise("failed"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("matches", "mismatches", "insertions", "deletions", "length")]
     rest = rows.where("state <> 'aligned'").select("read_id", F.lit(None).cast("string").alias("label"), "mapq", F.lit(None).cast("double").alias("identity"), *none, F.when(F.col("state") == "unmapped", "unmapped").otherwise("failed").alias("status"))
     return judged.unionByName(rest)
-
-
-def position_sums(tracked: DataFrame, *by: str) -> DataFrame:
-    """by, pos and summed match, ins, cov, del: what every positional table is made from."""
-    return tracked.groupBy(*by, F.col("position").alias("pos")).agg(*(F.sum(c).alias(c) for c in ("match", "ins", "cov", "del")))

@@ -1,8 +1,8 @@
 """How the given tables stand in for the logical ones, in DataFrames and, for the oracle, in SQL.
 
 embeddings -> signals and scores; lineitem -> read statistics of two conditions (by line status), of two
-result sets (line numbers 1 and 2 of an order), and alignments whose CIGARs are made from the row's
-numbers; documents and benchmark -> sequences.
+result sets (odd and even line numbers of an order, in pairs), and alignments whose CIGARs are made from the
+row's numbers, some with M; documents and benchmark -> sequences. Every row of a table takes part.
 """
 
 from __future__ import annotations
@@ -61,24 +61,26 @@ COUNTS = f"""{CONDITIONS}, counts as (select label, count(*) filter (where condi
   1.0::double * count_a / sum(count_a) over () * 100 as share_a, 1.0::double * count_b / sum(count_b) over () * 100 as share_b from counts)"""
 
 
-def unique_lines(items: DataFrame) -> DataFrame:
-    """One row per order and line number: the table repeats some, and a read id is unique."""
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    return items.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+_EACH = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-UNIQUE = "(select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) = 1)"
+def numbered_lines(items: DataFrame) -> DataFrame:
+    """Adds n: the table repeats some pairs of order and line number, and a read id is unique."""
+    return items.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_EACH)))
+
+
+NUMBERED = f"(select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(_EACH)}) as n from lineitem)"
 
 
 def side(spark: SparkSession, sf_dir: str, line: int) -> DataFrame:
-    """Read statistics of one of two result sets."""
-    items = unique_lines(table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == line))
+    """Read statistics of one of two result sets: odd lines (1) or even ones (2); lines 2k - 1 and 2k are one read."""
+    items = numbered_lines(table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 2 == line % 2))
     length = F.col("l_quantity").cast("int") + 8
     identity = F.round(1 - F.col("l_discount") * 2, 4)
     insertions, deletions = (F.col("l_suppkey") % 3).cast("int"), (F.col("l_partkey") % 4).cast("int")
     matches = F.floor(identity * length).cast("int")
     return items.select(
-        F.col("l_orderkey").cast("string").alias("read_id"),
+        F.concat_ws("-", "l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2), "n").alias("read_id"),
         F.col("l_returnflag").alias("label"),
         identity.alias("identity"),
         length.alias("length"),
@@ -90,8 +92,8 @@ def side(spark: SparkSession, sf_dir: str, line: int) -> DataFrame:
 
 
 def _side_sql(name: str, line: int) -> str:
-    return f"""{name} as (select *, greatest(0, length - matches - deletions) as mismatches from (select l_orderkey::varchar as read_id, l_returnflag as label, round(1 - l_discount * 2, 4) as identity, l_quantity::int + 8 as length,
-  floor(round(1 - l_discount * 2, 4) * (l_quantity::int + 8))::int as matches, (l_suppkey % 3)::int as insertions, (l_partkey % 4)::int as deletions from {UNIQUE} where l_linenumber = {line}))"""
+    return f"""{name} as (select *, greatest(0, length - matches - deletions) as mismatches from (select concat_ws('-', l_orderkey, (l_linenumber + 1) // 2, n) as read_id, l_returnflag as label, round(1 - l_discount * 2, 4) as identity, l_quantity::int + 8 as length,
+  floor(round(1 - l_discount * 2, 4) * (l_quantity::int + 8))::int as matches, (l_suppkey % 3)::int as insertions, (l_partkey % 4)::int as deletions from {NUMBERED} where l_linenumber % 2 = {line % 2}))"""
 
 
 SIDES = _side_sql("a", 1) + ", " + _side_sql("b", 2)
@@ -113,28 +115,35 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Operation code and length (in SQL that both engines read) of the made CIGARs.
 _OPS = [
-    (4, "l_linenumber % 3"),
-    (7, "5 + l_quantity_int % 11"),
-    (1, "l_suppkey % 3"),
-    (8, "l_partkey % 2"),
-    (7, "6 + l_orderkey % 7"),
-    (2, "l_orderkey % 4"),
-    (7, "4 + l_partkey % 9"),
-    (4, "l_quantity_int % 2"),
+    ("4", "l_linenumber % 3"),
+    ("case when l_orderkey % 3 = 0 then 0 else 7 end", "5 + l_quantity_int % 11"),
+    ("1", "l_suppkey % 3"),
+    ("8", "l_partkey % 2"),
+    ("7", "6 + l_orderkey % 7"),
+    ("2", "l_orderkey % 4"),
+    ("case when l_suppkey % 4 = 0 then 0 else 7 end", "4 + l_partkey % 9"),
+    ("4", "l_quantity_int % 2"),
 ]
+#: The reference of every class; a read has it from its position on, with a base changed here and there.
+REF = "ACGTTGCA" * 10
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alignment per line: label by return flag, condition by line status, aligner by line number."""
-    items = unique_lines(table(spark, sf_dir, "lineitem")).withColumn("l_quantity_int", F.col("l_quantity").cast("int"))
-    ops = F.array(*(F.struct(F.lit(op).alias("op"), F.expr(f"cast({n} as int)").alias("len")) for op, n in _OPS))
-    return items.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("read_id"),
+    items = numbered_lines(table(spark, sf_dir, "lineitem")).withColumn("l_quantity_int", F.col("l_quantity").cast("int"))
+    ops = F.array(*(F.struct(F.expr(f"cast({op} as int)").alias("op"), F.expr(f"cast({n} as int)").alias("len")) for op, n in _OPS))
+    pos, clip = (F.col("l_partkey") % 5).cast("int"), (F.col("l_linenumber") % 3).cast("int")
+    rows = items.withColumns({"cigar": F.filter(ops, lambda o: o["len"] > 0), "pos": pos})
+    bases = F.aggregate("cigar", F.lit(0), lambda acc, o: acc + F.when(o["op"] == 2, 0).otherwise(o["len"]))
+    seq = F.concat(F.repeat(F.lit("N"), clip), F.replace(F.substring(F.lit(REF), pos + 1, F.lit(60)), F.lit("TT"), F.lit("TA")))
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "n").alias("read_id"),
         F.col("l_returnflag").alias("label"),
         F.col("l_linestatus").alias("condition"),
         F.when(F.col("l_linenumber") % 2 == 1, "a").otherwise("b").alias("aligner"),
-        (F.col("l_partkey") % 5).cast("int").alias("pos"),
-        F.filter(ops, lambda o: o["len"] > 0).alias("cigar"),
+        "pos",
+        "cigar",
+        F.substring(seq, F.lit(1), bases).alias("seq"),
         (F.col("l_suppkey") % 61).cast("int").alias("mapq"),
         F.expr("cast(case l_suppkey % 10 when 0 then 256 when 1 then 4 when 2 then 2048 else 0 end as int)").alias("flag"),
         (F.col("l_orderkey") % 13 == 0).alias("is_split"),
@@ -142,16 +151,29 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "lineitem").select("l_returnflag").distinct()
+    return labels.select(F.ascii("l_returnflag").alias("ref_idx"), F.col("l_returnflag").alias("ref_name"), F.lit(REF).alias("seq"), F.lit(END + 3).alias("len"))
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments with M told apart."""
+    from ..operators.tracks import resolve_matches
+
+    return resolve_matches(alignments(spark, sf_dir), references(spark, sf_dir))
+
+
 _OP_LIST = ", ".join(f"{{'op': {op}, 'len': ({n.replace('l_quantity_int', 'l_quantity::int')})::int}}" for op, n in _OPS)
-ALIGNMENTS = f"""alignments as (select l_orderkey::varchar || '-' || l_linenumber::varchar as read_id, l_returnflag as label, l_linestatus as condition, case when l_linenumber % 2 = 1 then 'a' else 'b' end as aligner,
+ALIGNMENTS = f"""alignments as (select *, left(repeat('N', (l_linenumber % 3)::int) || replace(substring('{REF}', pos + 1, 60), 'TT', 'TA'), list_sum(list_transform(cigar, lambda o: case when o.op = 2 then 0 else o.len end))::int) as seq
+  from (select concat_ws('-', l_orderkey, l_linenumber, n) as read_id, l_linenumber, l_returnflag as label, l_linestatus as condition, case when l_linenumber % 2 = 1 then 'a' else 'b' end as aligner,
   (l_partkey % 5)::int as pos, list_filter([{_OP_LIST}], lambda o: o.len > 0) as cigar, (l_suppkey % 61)::int as mapq, case l_suppkey % 10 when 0 then 256 when 1 then 4 when 2 then 2048 else 0 end as flag,
-  l_orderkey % 13 = 0 as is_split, ascii(l_returnflag) as ref_idx from {UNIQUE})"""
+  l_orderkey % 13 = 0 as is_split, ascii(l_returnflag) as ref_idx from {NUMBERED}))"""
 
-#: Places of all alignments, in order, with running query and reference positions.
-PAIRS = f"""{ALIGNMENTS}, elements as (select read_id, label, condition, aligner, pos, mapq, flag, is_split, u.k, cigar[u.k].op as op, cigar[u.k].len as len from alignments, lateral (select unnest(range(1, len(cigar) + 1)) as k) u),
-  begun as (select *, coalesce(sum(case when op <> 2 then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as q,
-    pos + coalesce(sum(case when op in (2, 7, 8) then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as r from elements),
-  pairs as (select *, case when op <> 2 then q + j else -1 end as query_pos, case when op in (2, 7, 8) then r + j else -1 end as ref_pos, r - 1 as after_pos from (select *, unnest(range(0, len))::int as j from begun))"""
+#: Places of all alignments, in order, with running query and reference positions; op has M told apart, raw_op has not.
+PAIRS = f"""{ALIGNMENTS}, elements as (select read_id, label, condition, aligner, pos, mapq, flag, is_split, seq, u.k, cigar[u.k].op as raw_op, cigar[u.k].len as len from alignments, lateral (select unnest(range(1, len(cigar) + 1)) as k) u),
+  begun as (select *, coalesce(sum(case when raw_op <> 2 then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as q,
+    pos + coalesce(sum(case when raw_op in (0, 2, 7, 8) then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as r from elements),
+  pairs as (select *, case when raw_op <> 0 then raw_op when seq[q + j + 1] = '{REF}'[r + j + 1] then 7 else 8 end as op, case when raw_op <> 2 then q + j else -1 end as query_pos, case when raw_op in (0, 2, 7, 8) then r + j else -1 end as ref_pos, r - 1 as after_pos from (select *, unnest(range(0, len))::int as j from begun))"""
 START, END = 3, 32
 TRACKS = f"""{PAIRS}, placed as (select *, case when op = 1 then after_pos else ref_pos end as spot from pairs where op <> 4),
   tracks as (select read_id, label, condition, aligner, mapq, flag, is_split, spot as position, (count(*) filter (where op = 7))::int as match, (count(*) filter (where op = 1))::int as ins, max(case when op = 1 then 0 else 1 end) as cov,

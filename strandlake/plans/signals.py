@@ -114,25 +114,25 @@ _A = f"with {b.ALIGNMENTS} "
 _P = f"with {b.PAIRS} "
 _T = f"with {b.TRACKS} "
 _sum = lambda ops: f"coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op in ({ops})), lambda o: o.len)), 0)"
-simple("p13_cigar_identity", lambda s, d: b.alignments(s, d).select("read_id", cg.identity("cigar").alias("identity")), _A + f"select read_id, round({_sum('7')}::double / {_sum('1, 2, 7, 8')}, 5) as identity from alignments")
+simple("p13_cigar_identity", lambda s, d: b.resolved(s, d).select("read_id", cg.identity("cigar").alias("identity")), _P + "select read_id, round((count(*) filter (where op = 7))::double / count(*) filter (where op <> 4), 5) as identity from pairs group by read_id")
 simple(
     "p14_f12_cigar_checks",
     lambda s, d: b.alignments(s, d).select("read_id", cg.is_consistent("cigar", F.lit(30)).alias("fits"), cg.is_fragment("cigar", F.lit(20)).alias("fragment")),
-    _A + f"select read_id, {_sum('1, 4, 7, 8')} = 30 as fits, {_sum('2')}::double / 20 >= 0.15 as fragment from alignments",
+    _A + f"select read_id, {_sum('0, 1, 4, 7, 8')} = 30 as fits, {_sum('2')}::double / 20 >= 0.15 as fragment from alignments",
 )
 simple(
     "p15_aligned_pairs",
-    lambda s, d: tracks.aligned_pairs(b.alignments(s, d)).groupBy("read_id", "op").agg(F.count("*").alias("places"), F.sum("query_pos").alias("query_sum"), F.sum("ref_pos").alias("ref_sum"), F.max("query_pos").alias("last_query")),
+    lambda s, d: tracks.aligned_pairs(b.resolved(s, d)).groupBy("read_id", "op").agg(F.count("*").alias("places"), F.sum("query_pos").alias("query_sum"), F.sum("ref_pos").alias("ref_sum"), F.max("query_pos").alias("last_query")),
     _P + "select read_id, op, count(*) as places, sum(query_pos)::bigint as query_sum, sum(ref_pos)::bigint as ref_sum, max(query_pos) as last_query from pairs group by read_id, op",
 )
-_OPS = f"{b.PAIRS}, o as (select read_id, op, row_number() over (partition by read_id order by k, j) as n, count(*) over (partition by read_id) as total from pairs), lead4 as (select read_id, (count(*) filter (where op = 4 and k = 1))::int as lead from pairs group by read_id)"
+_OPS = f"{b.PAIRS}, o as (select read_id, op, raw_op, row_number() over (partition by read_id order by k, j) as n, count(*) over (partition by read_id) as total from pairs), lead4 as (select read_id, (count(*) filter (where op = 4 and k = 1))::int as lead from pairs group by read_id)"
 _AFTER = """, w as (select o.read_id, n, op, lead, sum(case when op = 7 then 1 else 0 end) over (partition by o.read_id order by n rows between current row and 7 following) as hits, total from o join lead4 using (read_id)),
   f as (select read_id, min(n) as f from w where n > lead and n + 7 <= total and hits >= 6 group by read_id), s as (select w.read_id, min(n) as spot from w join f using (read_id) where n >= f and op = 7 group by w.read_id)
   select o.read_id, (count(*) filter (where n < spot and op in (2, 7, 8)))::int as shift, (count(*) filter (where n < spot and op in (1, 2, 8)))::int as removed, (count(*) filter (where n < spot and op <> 2))::int as clipped, (count(*) filter (where n >= spot and op = 7))::int as matches from o join s using (read_id) group by o.read_id"""
 
 
 def p10_trim(spark, sf_dir):
-    t = b.alignments(spark, sf_dir).select("read_id", cg.trim_to_window("cigar").alias("t")).where(F.size("t.cigar") > 0)
+    t = b.resolved(spark, sf_dir).select("read_id", cg.trim_to_window("cigar").alias("t")).where(F.size("t.cigar") > 0)
     lead = F.when(F.element_at("t.cigar", 1)["op"] == 4, F.element_at("t.cigar", 1)["len"]).otherwise(0)
     return t.select("read_id", "t.shift", "t.removed", lead.alias("clipped"), cg.total("t.cigar", 7).alias("matches"))
 
@@ -149,32 +149,30 @@ def p11_trim(spark, sf_dir):
 simple(
     "p11_trim_to_matches",
     p11_trim,
-    f"with {_OPS}, s as (select read_id, min(n) filter (where op = 7) as a, max(n) filter (where op = 7) as z from o group by read_id) select o.read_id, (count(*) filter (where n < a and op in (2, 7, 8)))::int as shift, (count(*) filter (where (n < a or n > z) and op in (1, 2, 8)))::int as removed, (count(*) filter (where n < a and op <> 2))::int as lead, (count(*) filter (where n > z and op <> 2))::int as tail from o join s using (read_id) group by o.read_id",
+    f"with {_OPS}, s as (select read_id, min(n) filter (where raw_op in (0, 7)) as a, max(n) filter (where raw_op in (0, 7)) as z from o group by read_id) select o.read_id, (count(*) filter (where n < a and raw_op in (2, 8)))::int as shift, (count(*) filter (where (n < a or n > z) and raw_op in (1, 2, 8)))::int as removed, (count(*) filter (where n < a and op <> 2))::int as lead, (count(*) filter (where n > z and op <> 2))::int as tail from o join s using (read_id) group by o.read_id",
 )
 simple(
     "p9_p12_encode_and_shifts",
-    lambda s, d: b.alignments(s, d).select("read_id", cg.from_edits(cg.expand(F.filter("cigar", lambda o: o["op"] != 4)), F.lit(2), F.lit(3)).alias("e"), cg.clip_shifts("cigar", cg.trim_to_matches("cigar")["cigar"]).alias("c")).select("read_id", F.size("e.cigar").alias("parts"), "e.ed", "c.five", "c.three"),
+    lambda s, d: b.resolved(s, d).select("read_id", cg.from_edits(cg.expand(F.filter("cigar", lambda o: o["op"] != 4)), F.lit(2), F.lit(3)).alias("e"), cg.clip_shifts("cigar", cg.trim_to_matches("cigar")["cigar"]).alias("c")).select("read_id", F.size("e.cigar").alias("parts"), "e.ed", "c.five", "c.three"),
     f"with {_OPS}, s as (select read_id, min(n) filter (where op = 7) as a, max(n) filter (where op = 7) as z from o group by read_id), t as (select o.read_id, (count(*) filter (where n < a and op <> 2))::int as lead, (count(*) filter (where n > z and op <> 2))::int as tail from o join s using (read_id) group by o.read_id), "
     "m as (select read_id, op, lag(op) over (partition by read_id order by n) as before from o where op <> 4), r as (select read_id, (count(*) filter (where before is distinct from op))::int + 2 as parts, (count(*) filter (where op <> 7))::int as ed from m group by read_id) "
     "select r.read_id, parts, ed, case when tail > 0 then tail - case when cigar[-1].op = 4 then cigar[-1].len else 0 end else 0 end as five, case when lead > 0 then lead - case when cigar[1].op = 4 then cigar[1].len else 0 end else 0 end as three from r join t using (read_id) join alignments using (read_id)",
 )
-_tr = lambda s, d: tracks.tracks(b.alignments(s, d), F.lit(b.START), F.lit(b.END), "label", "condition", "aligner")
+_tr = lambda s, d: tracks.tracks(b.resolved(s, d), F.lit(b.START), F.lit(b.END), "label", "condition", "aligner")
+_position_sums = lambda s, d, *by: tracks.position_sums(b.resolved(s, d), F.lit(b.START), F.lit(b.END), *by)
 simple(
     "p16_tracks",
     lambda s, d: _tr(s, d).groupBy("read_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), *(F.sum(F.col(c) * (F.col("position") + 1)).alias(f"{c}_at") for c in ("match", "ins", "cov", "del"))),
     _T + "select read_id, min(position)::int as first, max(position)::int as last, sum(match * (position + 1))::bigint as match_at, sum(ins * (position + 1))::bigint as ins_at, sum(cov * (position + 1))::bigint as cov_at, sum(del * (position + 1))::bigint as del_at from tracks group by read_id",
 )
 _STATS = "select read_id, label, mapq, flag, is_split, case when sum(cov) + sum(ins) > 0 then sum(match)::double / (sum(cov) + sum(ins)) else 0 end as identity, sum(match) as matches, sum(cov) - sum(match) - sum(del) as mismatches, sum(ins) as insertions, sum(del) as deletions, sum(cov) as length from tracks group by all"
-simple("p17_a29_read_stats", lambda s, d: tracks.track_stats(_tr(s, d), "label"), _T + f"select read_id, label, round(identity, 5) as identity, matches::bigint as matches, mismatches::bigint as mismatches, insertions::bigint as insertions, deletions::bigint as deletions, length::bigint as length from ({_STATS})")
+simple("p17_a29_read_stats", lambda s, d: tracks.track_stats(b.resolved(s, d), F.lit(b.START), F.lit(b.END), "label"), _T + f"select read_id, label, round(identity, 5) as identity, matches::bigint as matches, mismatches::bigint as mismatches, insertions::bigint as insertions, deletions::bigint as deletions, length::bigint as length from ({_STATS})")
 _STATUS = f"""select case when flag & 4 <> 0 then 'unmapped' when qlen < 25 then 'failed' when coalesce(identity, 0) >= 0.75 and coalesce(length, 0) >= 15 then 'pass' else 'failed' end as status, count(*) as reads, round(sum(identity) filter (where flag & 4 = 0 and qlen >= 25), 4) as identity_sum
-  from (select read_id, flag, is_split, {_sum('1, 4, 7, 8')} as qlen from alignments) x left join ({_STATS}) t using (read_id) where {{drop}} (x.flag & 4 <> 0 or not x.is_split) group by 1"""
+  from (select read_id, flag, is_split, {_sum('0, 1, 4, 7, 8')} as qlen from alignments) x left join ({_STATS}) t using (read_id) where {{drop}} (x.flag & 4 <> 0 or not x.is_split) group by 1"""
 
 
 def _statuses(spark, sf_dir, keep_secondary):
-    rows = b.alignments(spark, sf_dir).withColumn("seq", F.repeat(F.lit("A"), cg.total("cigar", 1, 4, 7, 8)))
-    labels = b.table(spark, sf_dir, "lineitem").select("l_returnflag").distinct()
-    refs = labels.select(F.ascii("l_returnflag").alias("ref_idx"), F.col("l_returnflag").alias("ref_name"), F.lit(b.END + 3).alias("len"))
-    found = tracks.read_stats(rows, refs, b.START, 3, min_length=25, min_coverage=15, keep_secondary=keep_secondary)
+    found = tracks.read_stats(b.alignments(spark, sf_dir), b.references(spark, sf_dir), b.START, 3, min_length=25, min_coverage=15, keep_secondary=keep_secondary)
     return found.groupBy("status").agg(F.count("*").alias("reads"), F.round(F.sum("identity"), 4).alias("identity_sum"))
 
 
@@ -184,7 +182,7 @@ _SUMS = "sums as (select {by}, position::int as pos, sum(match) as match, sum(in
 
 
 def _coverage(spark, sf_dir):
-    sums = tracks.position_sums(_tr(spark, sf_dir), "label")
+    sums = _position_sums(spark, sf_dir, "label")
     reads = b.alignments(spark, sf_dir).groupBy("label").agg(F.count("*").alias("reads"))
     return cd.coverage_matrix(sums.join(reads, "label"))
 
@@ -195,27 +193,27 @@ simple(
     _T + ", " + _SUMS.format(by="label") + ", n as (select label, count(*) as reads from alignments group by label), m as (select label, pos, cov::double / reads as mean_cov from sums join n using (label)), p as (select *, mean_cov * 100 / max(mean_cov) over (partition by label) as pct from m) select label, pos, round(mean_cov, 5) as mean_cov, round(pct, 5) as pct, (floor(round(pct / 2, 9)) * 2)::bigint as pct_bin from p",
 )
 _RATE = "case when cov > 0 then 1 - match::double / cov else 0 end"
-simple("a5_error_rate_matrix", lambda s, d: cd.error_rate_matrix(tracks.position_sums(_tr(s, d), "label")), _T + ", " + _SUMS.format(by="label") + f" select label, pos, round({_RATE}, 5) as error_rate from sums")
+simple("a5_error_rate_matrix", lambda s, d: cd.error_rate_matrix(_position_sums(s, d, "label")), _T + ", " + _SUMS.format(by="label") + f" select label, pos, round({_RATE}, 5) as error_rate from sums")
 _per = lambda x, n: f"select label, pos, '{n}' as metric, round(y.{x[0]}, 5) + 0 as delta from y"
 simple(
     "a15_position_deltas",
-    lambda s, d: cd.position_deltas(tracks.position_sums(_tr(s, d), "label", "condition"), "F", "O"),
+    lambda s, d: cd.position_deltas(_position_sums(s, d, "label", "condition"), "F", "O"),
     _T + ", " + _SUMS.format(by="label, condition") + ", r as (select label, pos, condition, case when cov > 0 then (cov - match)::double / cov else 0 end as e, case when cov > 0 then ins::double / cov else 0 end as i, case when cov > 0 then del::double / cov else 0 end as d from sums), y as (select o.label, o.pos, o.e - f.e as e, o.i - f.i as i, o.d - f.d as d from r o join r f on o.label = f.label and o.pos = f.pos and o.condition = 'O' and f.condition = 'F') "
     + " union all ".join((_per("e", "error_rate"), _per("i", "insertion_rate"), _per("d", "deletion_rate"))),
 )
 simple(
     "a19_error_delta_matrix",
-    lambda s, d: cp.error_delta_matrix(tracks.position_sums(_tr(s, d), "label", "aligner")),
+    lambda s, d: cp.error_delta_matrix(_position_sums(s, d, "label", "aligner")),
     _T + ", " + _SUMS.format(by="label, aligner") + f", r as (select label, pos, aligner, {_RATE} as e from sums), l as (select label from r where aligner = 'a' intersect select label from r where aligner = 'b') select label, pos, round(x.e - y.e, 5) + 0 as delta_error from (select * from r where aligner = 'a') x full outer join (select * from r where aligner = 'b') y using (label, pos) where label in (select label from l)",
 )
 _sh = lambda x, n: f"round(case when cov + ins > 0 then ({x})::double / (cov + ins) else 0 end, 5) as {n}"
 simple(
     "a28_position_proportions",
-    lambda s, d: cp.position_proportions(tracks.position_sums(_tr(s, d), "aligner", "label")),
+    lambda s, d: cp.position_proportions(_position_sums(s, d, "aligner", "label")),
     _T + ", " + _SUMS.format(by="aligner, label") + f" select aligner, label, pos, {_sh('match', 'match_share')}, {_sh('cov - match - del', 'mismatch_share')}, {_sh('del', 'deletion_share')}, {_sh('ins', 'insertion_share')} from sums",
 )
 simple(
     "f6_region_overlap",
-    lambda s, d: b.alignments(s, d).select("read_id", "pos", (F.col("pos") + cg.total("cigar", 2, 7, 8)).alias("ref_end")).where("not (ref_end <= 3 or pos >= 20)").select("read_id", "ref_end"),
-    _A + f"select read_id, pos + {_sum('2, 7, 8')} as ref_end from alignments where not (pos + {_sum('2, 7, 8')} <= 3 or pos >= 20)",
+    lambda s, d: b.alignments(s, d).select("read_id", "pos", (F.col("pos") + cg.total("cigar", 0, 2, 7, 8)).alias("ref_end")).where("not (ref_end <= 3 or pos >= 20)").select("read_id", "ref_end"),
+    _A + f"select read_id, pos + {_sum('0, 2, 7, 8')} as ref_end from alignments where not (pos + {_sum('0, 2, 7, 8')} <= 3 or pos >= 20)",
 )

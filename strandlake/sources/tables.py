@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import stored
 
 
 def scan(spark: SparkSession, path: str | list[str], schema: str | None = None, pattern: str | None = None, recursive: bool = False) -> DataFrame:
@@ -118,18 +119,19 @@ def write_sharded(df: DataFrame, path: str, records: int) -> None:
 
 
 def with_shards(df: DataFrame, order: str, records: int) -> DataFrame:
-    """Deterministic shard numbers by order. Ranges of the order are numbered by running sums, so no
-    task sees all rows."""
-    ranged = df.withColumn("_b", F.substring(F.md5(F.col(order).cast("string")), 1, 3))
+    """Deterministic shard numbers by order. Rows are dealt out by ranges of the order, which are numbered by
+    running sums, so no task sees all rows."""
+    ranged = stored(df.repartitionByRange(order).withColumn("_b", F.spark_partition_id()))
     sums = ranged.groupBy("_b").agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 ranges
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
     n = F.row_number().over(Window.partitionBy("_b").orderBy(order))
     return ranged.withColumn("_n", n).join(sums.withColumn("_before", before), "_b").withColumn("shard", F.floor((F.col("_before") + F.col("_n") - 1) / records)).drop("_b", "_k", "_n", "_before")
 
 
 def write_report(df: DataFrame, path: str, places: int = 6, sep: str = "\t") -> None:
-    """Delimited text with rounded numbers."""
-    df.select(*(F.format_number(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).write.option("sep", sep).option("header", "true").csv(path)
+    """Delimited text with rounded numbers, without thousands separators."""
+    shown = lambda c, t: F.format_string(f"%.{places}f", F.col(c).cast("double")) if t in ("double", "float") or t.startswith("decimal") else F.col(c)
+    df.select(*(F.when(F.col(c).isNotNull(), shown(c, t)).alias(c) for c, t in df.dtypes)).write.option("sep", sep).option("header", "true").csv(path)
 
 
 def write_annotations(codes: DataFrame, annotations: DataFrame, path: str) -> None:
