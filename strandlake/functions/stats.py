@@ -1,7 +1,7 @@
-"""Statistical tests (T1 to T6) on counted values.
+"""Statistical tests (T1 to T6), ranks and quantiles on counted values.
 
-Ranks come from counts of distinct values with running sums in two steps (ranges of values, then
-values of a range), so no window sees all reads. Spark has no error function: p-values are worked out by a small
+Ranks and quantiles come from counts of distinct values with running sums in two steps (ranges of values, then
+values of a range), so no window and no aggregate holds all values of a group. Spark has no error function: p-values are worked out by a small
 pandas function over one row per test or class.
 """
 
@@ -37,17 +37,51 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q") -> DataFram
     return ranked.withColumn(q, F.least(F.lit(1.0), least)).drop("_r")
 
 
+#: Ranges of values between a power of two (of |v| + 1) and the next.
+RANGES = 4096
+
+
+def _same(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
+    out = F.lit(True)
+    for c in on:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def running_counts(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, n (how often), upto (how many values of the group up to it) and total (of the group)."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("_range", F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1) * RANGES * F.signum(F.col(value).cast("double"))))
+    sums = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_part"))
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    before = F.coalesce(F.sum("_part").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_before", before).withColumn("total", F.sum("_part").over(group))  # a row per range
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = counts.withColumn("_in", F.sum("n").over(within))
+    joined = inside.join(sums, _same(inside, sums, [*by, "_range"]))
+    return joined.select(*(inside[c] for c in by), inside[value], inside["n"], (F.col("_before") + F.col("_in")).alias("upto"), "total")
+
+
 def value_ranks(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """by, value, n (how often), mid_rank: ranks of the distinct values, ties at their middle."""
     by = by or []
-    counts = values.groupBy(*by, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_range", F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1) * 64 * F.signum(F.col(value))))
-    sums = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_part"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")
-    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("n").over(within)).join(sums, [*by, "_range"])
-    return ranked.select(*by, value, "n", (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2).alias("mid_rank"))
+    return running_counts(values, value, by).select(*by, value, "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("mid_rank"))
+
+
+def with_quantiles(summary: DataFrame, rows: DataFrame, wanted: dict[str, tuple[Column, float]], by: list[str]) -> DataFrame:
+    """Adds exact, interpolated quantiles to a summary with a row per group: {name: (value over rows, depth)}. A
+    group without values has null."""
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, (v, _) in wanted.items()))).alias("_e"))
+    counted = running_counts(long.select(*by, F.col("_e.name").alias("_name"), F.col("_e.v").alias("_v")), "_v", [*by, "_name"])
+    depth = F.create_map(*(F.lit(x) for k, (_, d) in wanted.items() for x in (k, float(d))))[F.col("_name")]
+    counted = counted.withColumn("_at", (F.col("total") - 1) * depth)
+    held = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("_v")))
+    low = counted.groupBy(*by, "_name").agg(held(F.floor("_at")).alias("_lo"), held(F.ceil("_at")).alias("_hi"), F.max(F.col("_at") - F.floor("_at")).alias("_part"))
+    low = low.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    wide = low.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == k, F.col("_q"))).alias(k) for k in wanted))
+    if not by:
+        return summary.crossJoin(wide)  # one row by one row
+    return summary.join(wide, _same(summary, wide, by), "left").select(*(summary[c] for c in summary.columns), *wanted)
 
 
 def paired_signed_rank(pairs: DataFrame) -> DataFrame:
@@ -55,7 +89,8 @@ def paired_signed_rank(pairs: DataFrame) -> DataFrame:
     approximation with tie correction, no continuity correction."""
     d = F.round(F.col("x") - F.col("y"), 12)
     told = pairs.where("x is not null and y is not null").withColumn("d", d)
-    summary = told.agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.percentile("x", F.lit(0.5)).alias("median_x"), F.percentile("y", F.lit(0.5)).alias("median_y"))
+    summary = told.agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    summary = with_quantiles(summary, told, {"median_x": (F.col("x"), 0.5), "median_y": (F.col("y"), 0.5)}, [])
     nonzero = told.where("d <> 0").select(F.abs("d").alias("m"), (F.col("d") > 0).cast("int").alias("up"))
     ranks = value_ranks(nonzero, "m")
     ups = nonzero.groupBy("m").agg(F.sum("up").alias("ups"))
@@ -71,9 +106,9 @@ def rank_sum(sample: DataFrame) -> DataFrame:
     """T4: one row for (side in 'x', 'y'; v): rank-sum test that x is greater, tie correction and 0.5
     continuity; statistic is the U of x."""
     told = sample.where("v is not null")
-    med = lambda s: F.percentile(F.when(F.col("side") == s, F.col("v")), F.lit(0.5))
     mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("v")))
-    summary = told.agg(F.count_if(F.col("side") == "x").alias("n1"), F.count_if(F.col("side") == "y").alias("n2"), mean("x").alias("mean_x"), mean("y").alias("mean_y"), med("x").alias("median_x"), med("y").alias("median_y"))
+    summary = told.agg(F.count_if(F.col("side") == "x").alias("n1"), F.count_if(F.col("side") == "y").alias("n2"), mean("x").alias("mean_x"), mean("y").alias("mean_y"))
+    summary = with_quantiles(summary, told, {f"median_{s}": (F.when(F.col("side") == s, F.col("v")), 0.5) for s in "xy"}, [])
     ranks = value_ranks(told, "v")
     mine = told.where("side = 'x'").groupBy("v").agg(F.count("*").alias("xs"))
     stat = ranks.join(mine, "v", "left").agg(F.sum(F.col("mid_rank") * F.coalesce("xs", F.lit(0))).alias("r"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1.0)).alias("ties"))

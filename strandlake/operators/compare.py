@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import with_quantiles
 from .conditions import bin_of
 
 UNMAPPED = "Unmapped"
@@ -47,8 +48,8 @@ def comparison_stats(compared: DataFrame) -> DataFrame:
         F.count_if(both & agree).alias("agreements"),
         F.count_if(both & ~agree).alias("disagreements"),
         F.coalesce(F.avg("delta_identity"), F.lit(0.0)).alias("mean_delta"),
-        F.coalesce(F.percentile("delta_identity", F.lit(0.5)), F.lit(0.0)).alias("median_delta"),
     )
+    out = with_quantiles(out, compared, {"median_delta": (F.col("delta_identity"), 0.5)}, []).withColumn("median_delta", F.coalesce("median_delta", F.lit(0.0)))
     return out.withColumn("agreement_rate", F.when(F.col("both") > 0, F.col("agreements") / F.col("both")).otherwise(F.lit(0.0)))
 
 
@@ -119,19 +120,18 @@ def aligner_class_summary(sides: DataFrame, ref_lengths: DataFrame) -> DataFrame
     """From read statistics with an aligner column: a row per (aligner, label) and one total row
     (All_tRNAs) per aligner, from one pass with grouping sets. Deletions are not mismatches here."""
     sums = [F.sum(c).alias(c) for c in ("matches", "mismatches", "insertions", "deletions")]
-    q = lambda p: F.percentile("identity", F.lit(p))
     grouped = sides.groupingSets([["aligner", "label"], ["aligner"]], "aligner", "label").agg(
         F.grouping("label").alias("is_total"),
         F.count("*").alias("n"),
         F.avg("identity").alias("mean_identity"),
         F.stddev_pop("identity").alias("std_identity"),
-        q(0.25).alias("p25_identity"),
-        q(0.5).alias("p50_identity"),
-        q(0.75).alias("p75_identity"),
         F.avg("length").alias("mean_length"),
-        F.percentile("length", F.lit(0.5)).alias("median_length"),
         *sums,
     )
+    told = F.array(F.struct(F.lit(0).alias("is_total"), "label"), F.struct(F.lit(1).alias("is_total"), F.lit(None).cast("string").alias("label")))
+    both = sides.select("aligner", "identity", "length", F.explode(told).alias("_g")).select("aligner", "identity", "length", "_g.*")
+    wanted = {f"p{p}_identity": (F.col("identity"), p / 100) for p in (25, 50, 75)} | {"median_length": (F.col("length"), 0.5)}
+    grouped = with_quantiles(grouped.withColumn("is_total", F.col("is_total").cast("int")), both, wanted, ["aligner", "label", "is_total"]).withColumn("is_total", F.col("is_total").cast("byte"))
     joined = grouped.join(ref_lengths, "label", "left")
     mean_ref = F.avg("ref_len").over(Window.partitionBy("aligner"))
     total = F.col("matches") + F.col("mismatches") + F.col("insertions") + F.col("deletions")
@@ -168,10 +168,8 @@ def error_delta_matrix(sums: DataFrame, a: str = "a", b: str = "b") -> DataFrame
 def run_summary(stats: DataFrame) -> DataFrame:
     """A30."""
     names = ("identity", "matches", "mismatches", "insertions", "deletions", "length")
-    aggs = [F.count("*").alias("reads"), F.count_distinct("label").alias("classes")]
-    for c in names:
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.percentile(c, F.lit(0.5)).alias(f"median_{c}")]
-    return stats.agg(*aggs)
+    summary = stats.agg(F.count("*").alias("reads"), F.count_distinct("label").alias("classes"), *(F.avg(c).alias(f"mean_{c}") for c in names))
+    return with_quantiles(summary, stats, {f"median_{c}": (F.col(c), 0.5) for c in names}, [])
 
 
 def attempted_reads(*sets: DataFrame) -> DataFrame:

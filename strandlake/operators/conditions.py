@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import benjamini_hochberg, chi_square_p
+from ..functions.stats import benjamini_hochberg, chi_square_p, with_quantiles
 
 
 def reads_per_class(stats: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def identity_values(stats: DataFrame) -> DataFrame:
 
 def letter_values(stats: DataFrame, depths: tuple[float, ...] = (0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375)) -> DataFrame:
     """Quantiles of identity per class, exact and interpolated, in long form."""
-    found = stats.groupBy("label").agg(F.percentile("identity", F.array(*map(F.lit, depths))).alias("q"))
-    return found.select("label", F.explode(F.arrays_zip(F.array(*map(F.lit, depths)).alias("depth"), "q")).alias("z")).select("label", F.col("z.depth").alias("depth"), (F.col("z.q") * 100).alias("identity_pct"))
+    names = {f"_{i}": (F.col("identity"), d) for i, d in enumerate(depths)}
+    found = with_quantiles(stats.select("label").distinct(), stats, names, ["label"])
+    pairs = F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"_{i}").alias("q")) for i, d in enumerate(depths)))
+    return found.select("label", F.explode(pairs).alias("z")).select("label", F.col("z.depth").alias("depth"), (F.col("z.q") * 100).alias("identity_pct"))
 
 
 def coverage_matrix(sums: DataFrame) -> DataFrame:
@@ -63,17 +65,16 @@ def count_vs_identity(stats: DataFrame) -> DataFrame:
 
 
 def class_summary(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("label").agg(
+    summary = stats.groupBy("label").agg(
         F.count("*").alias("reads"),
         F.avg("identity").alias("mean_identity"),
         F.stddev_pop("identity").alias("std_identity"),
-        F.percentile("identity", F.lit(0.5)).alias("median_identity"),
         F.min("identity").alias("min_identity"),
         F.max("identity").alias("max_identity"),
         F.avg("length").alias("mean_length"),
         F.stddev_pop("length").alias("std_length"),
-        F.percentile("length", F.lit(0.5)).alias("median_length"),
     )
+    return with_quantiles(summary, stats, {"median_identity": (F.col("identity"), 0.5), "median_length": (F.col("length"), 0.5)}, ["label"])
 
 
 def class_counts(stats: DataFrame, a: str, b: str) -> DataFrame:
