@@ -357,7 +357,7 @@ def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity:
 
 
 #: Distinct shingles and texts of a block of a group; a task holds two blocks of one group.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 4096
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 1024
 
 
 def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
@@ -399,8 +399,8 @@ def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
-    """doc_id, tk, w0 .., s0, s1 for every row: text key, fingerprint and 128-bit hash of the set of distinct
-    shingles."""
+    """doc_id, tk, bytes, w0 .., s0, s1 for every row: text key, length, fingerprint and 128-bit hash of the set of
+    distinct shingles."""
     names = [*(f"w{i}" for i in range(bits // 64)), "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,10 +412,11 @@ def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
                 if len(found):
                     out[i, :-2] = set_fingerprint([found], bits)
                 out[i, -2:] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", "tk", *names])
+            told = [batch.column(0), batch.column(1), pa.array(np.diff(at))]
+            yield pa.RecordBatch.from_arrays([*told, *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", "tk", "bytes", *names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    return source.mapInArrow(tidy(run), "doc_id long, tk long, " + ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(tidy(run), "doc_id long, tk long, bytes long, " + ", ".join(f"{n} long" for n in names))
 
 
 def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000) -> DataFrame:
@@ -426,19 +427,18 @@ def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, se
     a link joins anything."""
     names = [f"w{i}" for i in range(bits // 64)]
     prints = materialize(set_prints(docs.where("doc_id is not null"), ngram, bits))
-    classes = prints.groupBy(*names, "s0", "s1").agg(F.min(F.struct("doc_id", "tk")).alias("least"))
+    classes = prints.groupBy(*names, "s0", "s1").agg(F.min(F.struct("doc_id", "tk", "bytes")).alias("least"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # stored, so a class keeps its number
     reps = materialize(classes.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
     found = components(near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget, group_rows))
     # roots are not among its nodes; a print of several classes is a group without a link too
     groups = found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct())
     groups = reps.join(groups, F.col("rep") == F.col("node"), "left").where("g is not null or n > 1").select(*names, F.coalesce("g", "rep").alias("g"))
-    loose = materialize(classes.join(groups, names).select("least.doc_id", "least.tk", "node", "g"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").join(loose, ["doc_id", "tk"]).drop("doc_id", "tk")
-    sizes = texts.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / (4 * BLOCK_SHINGLES), F.lit(1))).cast("int")
-    sizes = materialize(sizes.select("g", blocks.alias("blocks")))
-    texts = texts.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    loose = materialize(classes.join(groups, names).select("least.*", "node", "g"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / (4 * BLOCK_SHINGLES), F.lit(1))).cast("int")
+    sizes = materialize(loose.groupBy("g").agg(blocks.alias("blocks")))
+    loose = loose.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("bytes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").join(loose, ["doc_id", "tk"])
     roots = components(similar_links(texts, ngram, similarity))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = materialize(classes.groupBy("root").agg(F.min("least").alias("first")))

@@ -199,10 +199,10 @@ def family(rng, n, words=200):
 
 def stage_roots(spark, texts):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    return {r.doc_id: r.root for r in simhash.similar_groups(frame, 5, 0.8, 256, 32, 4, 52).select("doc_id", "root").collect()}
+    return {r.doc_id: r.root for r in simhash.similar_groups(frame, 5, 0.8, 256, 32, 4, 64).select("doc_id", "root").collect()}
 
 
-@pytest.mark.parametrize("block", [4096, 300])
+@pytest.mark.parametrize("block", [1024, 300])
 def test_pipeline_family_has_its_exact_components(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
     texts = family(random.Random(3), 1000)
@@ -212,6 +212,37 @@ def test_pipeline_family_has_its_exact_components(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_pipeline_rows_of_one_id_are_told_by_their_texts(spark):
+    rng = random.Random(8)
+    base, other, x, y = (prose(rng, 80) for _ in range(4))
+    rows = [(1, base, 7, "a"), (2, base, 7, "b"), (2, other, 7, "c"), (3, x, 7, "d"), (3, y, 7, "e"), (3, y, 7, "e"), (None, base, 7, "f"), (None, base, 7, "g")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, _tk int, _ID string").repartition(3)
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r[3], r[2]) for r in kept.collect()) == [("a", 7), ("c", 7), ("d", 7), ("e", 7), ("f", 7), ("g", 7)]
+
+
+def test_pipeline_matches_brute_force_on_families_of_near_copies(spark):
+    texts = {}
+    for seed in range(1, 7):
+        rng = random.Random(seed)
+        base = prose(rng, 300).split()
+        texts |= {1000 * seed + i: prose(rng, 120) for i in range(100, 120)}
+        for i in range(60):
+            w = list(base)
+            for at in rng.sample(range(300), rng.randint(1, 14)):
+                w[at] = f"w{rng.randrange(10**6)}"
+            texts[1000 * seed + i] = " ".join(w)
+    assert stage_roots(spark, texts) == exact_roots(texts)
+
+
+def test_pipeline_hot_segments_are_dealt_in_block_pairs(spark):
+    texts = family(random.Random(6), 150)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = simhash.similar_groups(frame, 5, 0.8, 256, 32, 4, 64, group_rows=4)
+    assert {r.doc_id: r.root for r in found.collect()} == exact_roots(texts)
+
+
 def test_pipeline_texts_of_one_repeated_phrase_are_verified(spark):
     rng = random.Random(5)
     phrase = "all rights are reserved here " * 400
