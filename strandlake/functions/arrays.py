@@ -136,6 +136,13 @@ def resolve_names(calls: DataFrame, class_labels: DataFrame) -> DataFrame:
     return out.select("read_id", "class", "region", "second", "third", "fragmented")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that is worked out once a row: a generator, as Catalyst copies the expression of a plain
+    column into every filter over it."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 def let(value: Column, body) -> Column:
     """Names a value inside an expression, so that it is worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)

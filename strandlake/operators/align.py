@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import kernels
-from ..functions.arrays import let
+from ..functions.arrays import let, once
 from ..schemas import MATCH
 from ..session import stored
 
@@ -124,20 +124,20 @@ def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -
     region = F.col("region")
     start = F.greatest(region["start"], F.col("ts"))
     cut = cut_region(F.col("seq"), base_positions("mv", "ts"), start, region["end"])
-    rows = candidates.withColumn("cut", F.when(region["start"] >= 0, cut)).withColumn("sub", F.coalesce("cut.sub", F.lit("")))
+    rows = once(candidates, "cut", F.when(region["start"] >= 0, cut)).withColumn("sub", F.coalesce("cut.sub", F.lit("")))
     rows = rows.select("read_id", "rank", "ref_idx", "ref_seq", "sub", F.coalesce("cut.five_clip", F.lit(0)).alias("five"), F.coalesce("cut.three_clip", F.lit(0)).alias("three"))
     one = glocal(spread(rows), "sub", "ref_seq", params)
     coded = cg.from_edits("ops", F.col("five") + F.col("q_start"), F.col("three") + F.length("sub") - F.col("q_end"))
     trimmed = let(coded, lambda e: let(cg.trim_to_window(e["cigar"]), lambda t: F.struct(t["cigar"].alias("cigar"), t["shift"].alias("pos"), (e["ed"] - t["removed"]).alias("ed"))))
-    one = one.withColumn("g", F.when(F.col("ops").isNotNull(), trimmed)).drop("ops", "q_start", "q_end", "r_start", "r_end", "hits")
+    one = once(one, "g", F.when(F.col("ops").isNotNull(), trimmed)).drop("ops", "q_start", "q_end", "r_start", "r_end", "hits")
     some = F.size("g.cigar") > 0
     one = one.withColumn("is_frag", F.coalesce(some & cg.is_fragment("g.cigar", F.length("ref_seq"), params.fragment_deletions), F.lit(False)))
     two = local(one, "sub", "ref_seq", "is_frag", params)
-    two = two.withColumn("l", _local_result(params, F.col("five"), F.col("three") + F.length("sub") - F.col("q_end")))
+    two = once(two, "l", _local_result(params, F.col("five"), F.col("three") + F.length("sub") - F.col("q_end")))
     whole_ok = some & ~F.col("is_frag") & (cg.identity("g.cigar") >= params.identity) & (cg.total("g.cigar", MATCH) >= params.min_matches)
     frag_ok = F.col("is_frag") & F.col("l").isNotNull() & (F.size("l.cigar") > 0) & (F.col("l.ed") <= F.col("l.span") * params.fragment_edits)
     chosen = F.when(F.coalesce(frag_ok, F.lit(False)), F.struct("l.cigar", "l.pos", "l.ed")).when(F.coalesce(whole_ok, F.lit(False)), F.struct("g.cigar", "g.pos", "g.ed"))
-    two = two.withColumn("c", chosen).withColumn("mapped", F.col("c").isNotNull())
+    two = once(two, "c", chosen).withColumn("mapped", F.col("c").isNotNull())
     return two.select(
         "read_id",
         "rank",
@@ -175,7 +175,7 @@ def rescue(candidates: DataFrame, params: Parameters = Parameters()) -> DataFram
     """Whole reads (read_id, rank 1 to 3, seq, ref_idx, ref_seq) against their candidates, locally; the
     best candidate, if it is good enough. mapq is 3 for the first candidate, then 2 and 1."""
     rows = local(spread(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq")), "seq", "ref_seq", None, params)
-    rows = rows.withColumn("l", _local_result(params, F.lit(0), F.length("seq") - F.col("q_end"))).where("l is not null and size(l.cigar) > 0")
+    rows = once(rows, "l", _local_result(params, F.lit(0), F.length("seq") - F.col("q_end"))).where("l is not null and size(l.cigar) > 0")
     score = (F.col("l.span") - F.col("l.ed")) / F.col("l.span")
     order = [(F.col("l.span") >= 25).desc(), "rank"] if params.compat else [(F.col("l.span") >= 25).desc(), score.desc(), "rank"]
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("read_id").orderBy(*order))).where("_n = 1")

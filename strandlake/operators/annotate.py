@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
-from ..functions.arrays import let
+from ..functions.arrays import let, once
 from ..schemas import ALIGNED, INSERTION, MATCH, MISMATCH, ON_READ, ON_REF, SOFT_CLIP
 from .align import base_positions
 
@@ -22,7 +22,7 @@ ADAPTER, THREE_SPLINT, FIVE_SPLINT, FIRST_CLASS = 0, 1, 2, 3
 def gates(alignments: DataFrame, lead: int = LEAD, tail: int = TAIL, inner: int = 15) -> DataFrame:
     """Rows fit for labelling, with ref_end and the fragment flag."""
     mapped = (F.col("flag").bitwiseAND(F.lit(4 | 256 | 2048)) == 0) & (F.col("mapq") != 0) & ~F.col("is_split") & (F.col("ns") < 1_000_000)
-    rows = alignments.where(mapped).withColumn("ref_end", F.col("pos") + cg.total("cigar", *ON_REF))
+    rows = once(alignments.where(mapped), "ref_end", F.col("pos") + cg.total("cigar", *ON_REF))
     span = F.abs(F.greatest("pos", F.lit(lead)) - F.least("ref_end", F.col("ref_len") - tail))
     return rows.where(span >= inner).withColumn("fragment", (F.col("pos") > lead) | (F.col("ref_end") < F.col("ref_len") - tail))
 
@@ -72,7 +72,7 @@ def with_region_identity(alignments: DataFrame, lead: int = LEAD, tail: int = TA
     included; null where the read covers none."""
     counts = cg.region_counts("cigar", "pos", F.lit(lead), F.col("ref_len") - tail + 1)
     n = F.col("_t.cov") + F.col("_t.ins")
-    return alignments.withColumn("_t", counts).withColumn("region_identity", F.when(n > 0, F.col("_t.match") / n)).drop("_t")
+    return once(alignments, "_t", counts).withColumn("region_identity", F.when(n > 0, F.col("_t.match") / n)).drop("_t")
 
 
 def signal_runs(stretches: Column) -> Column:

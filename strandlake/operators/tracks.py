@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..functions.arrays import once
 from ..schemas import ALIGNED, DELETION, INSERTION, MATCH, ON_READ, ON_REF, SOFT_CLIP
 
 
@@ -19,7 +20,7 @@ def resolve_matches(alignments: DataFrame, refs: DataFrame, key: str = "ref_idx"
     dim = refs.select(F.col(key).alias("_ref_key"), F.col("seq").alias("_ref_seq"))
     joined = alignments.join(dim, F.col(key) == F.col("_ref_key"), "left")
     told = F.when(F.col("_ref_seq").isNotNull(), cg.resolve_aligned("cigar", "seq", "_ref_seq", "pos")).otherwise(F.col("cigar"))
-    return joined.withColumn("cigar", told).drop("_ref_key", "_ref_seq")
+    return once(joined, "cigar", told).select(*alignments.columns)
 
 
 def aligned_pairs(alignments: DataFrame, *keep: str) -> DataFrame:
@@ -63,7 +64,7 @@ def position_sums(alignments: DataFrame, start: Column, end: Column, *by: str) -
 def track_stats(alignments: DataFrame, start: Column, end: Column, *keep: str) -> DataFrame:
     """P17 and A29 without thresholds: identity, matches, mismatches, insertions, deletions and covered
     length of each read that covers a place of the region, from its own row."""
-    rows = alignments.withColumn("_t", cg.region_counts("cigar", "pos", start, end))
+    rows = once(alignments, "_t", cg.region_counts("cigar", "pos", start, end))
     n = F.col("_t.cov") + F.col("_t.ins")
     long = lambda c, name: c.cast("bigint").alias(name)
     return rows.where(n > 0).select(
@@ -97,7 +98,7 @@ def read_stats(alignments: DataFrame, refs: DataFrame, five: int = 0, three: int
     identity = F.when(n > 0, F.col("_t.match") / n).otherwise(F.lit(0.0))
     long = lambda c, name: c.cast("bigint").alias(name)
     sums = [long(F.col("_t.match"), "matches"), long(F.col("_t.cov") - F.col("_t.match") - F.col("_t.del"), "mismatches"), long(F.col("_t.ins"), "insertions"), long(F.col("_t.del"), "deletions"), long(F.col("_t.cov"), "length")]
-    judged = known.withColumn("_t", counts).select("read_id", "label", "mapq", identity.alias("identity"), *sums)
+    judged = once(known, "_t", counts).select("read_id", "label", "mapq", identity.alias("identity"), *sums)
     passed = (F.col("identity") >= threshold) & (F.col("length") >= min_coverage)
     judged = judged.withColumn("status", F.when(passed, "pass").otherwise("failed"))
     none = [F.lit(0).cast("bigint").alias(c) for c in ("matches", "mismatches", "insertions", "deletions", "length")]

@@ -61,17 +61,32 @@ COUNTS = f"""{CONDITIONS}, counts as (select label, count(*) filter (where condi
   1.0::double * count_a / sum(count_a) over () * 100 as share_a, 1.0::double * count_b / sum(count_b) over () * 100 as share_b from counts)"""
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows whose work is in what is made from them, not in their bytes: a scan of fewer tasks than there are
+    cores (a file of one row group is one task) is dealt out to all."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 _EACH = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def numbered_lines(items: DataFrame) -> DataFrame:
-    """Adds n: the table repeats some pairs of order and line number, and a read id is unique."""
+    """Adds n: the table repeats some pairs of order and line number, which are different reads."""
     return items.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_EACH)))
 
 
 NUMBERED = f"(select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(_EACH)}) as n from lineitem)"
 
 
+def line_id():
+    """A name for each line: orders repeat line numbers, but not with the same part, supplier and price."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint)"
+
+
 def side(spark: SparkSession, sf_dir: str, line: int) -> DataFrame:
     """Read statistics of one of two result sets: odd lines (1) or even ones (2); lines 2k - 1 and 2k are one read."""
     items = numbered_lines(table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 2 == line % 2))
@@ -130,14 +145,14 @@ REF = "ACGTTGCA" * 10
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alignment per line: label by return flag, condition by line status, aligner by line number."""
-    items = numbered_lines(table(spark, sf_dir, "lineitem")).withColumn("l_quantity_int", F.col("l_quantity").cast("int"))
+    items = dealt(table(spark, sf_dir, "lineitem")).withColumn("l_quantity_int", F.col("l_quantity").cast("int"))
     ops = F.array(*(F.struct(F.expr(f"cast({op} as int)").alias("op"), F.expr(f"cast({n} as int)").alias("len")) for op, n in _OPS))
     pos, clip = (F.col("l_partkey") % 5).cast("int"), (F.col("l_linenumber") % 3).cast("int")
     rows = items.withColumns({"cigar": F.filter(ops, lambda o: o["len"] > 0), "pos": pos})
     bases = F.aggregate("cigar", F.lit(0), lambda acc, o: acc + F.when(o["op"] == 2, 0).otherwise(o["len"]))
     seq = F.concat(F.repeat(F.lit("N"), clip), F.replace(F.substring(F.lit(REF), pos + 1, F.lit(60)), F.lit("TT"), F.lit("TA")))
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "n").alias("read_id"),
+        line_id().alias("read_id"),
         F.col("l_returnflag").alias("label"),
         F.col("l_linestatus").alias("condition"),
         F.when(F.col("l_linenumber") % 2 == 1, "a").otherwise("b").alias("aligner"),
@@ -165,9 +180,9 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP_LIST = ", ".join(f"{{'op': {op}, 'len': ({n.replace('l_quantity_int', 'l_quantity::int')})::int}}" for op, n in _OPS)
 ALIGNMENTS = f"""alignments as (select *, left(repeat('N', (l_linenumber % 3)::int) || replace(substring('{REF}', pos + 1, 60), 'TT', 'TA'), list_sum(list_transform(cigar, lambda o: case when o.op = 2 then 0 else o.len end))::int) as seq
-  from (select concat_ws('-', l_orderkey, l_linenumber, n) as read_id, l_linenumber, l_returnflag as label, l_linestatus as condition, case when l_linenumber % 2 = 1 then 'a' else 'b' end as aligner,
+  from (select {LINE_ID} as read_id, l_linenumber, l_returnflag as label, l_linestatus as condition, case when l_linenumber % 2 = 1 then 'a' else 'b' end as aligner,
   (l_partkey % 5)::int as pos, list_filter([{_OP_LIST}], lambda o: o.len > 0) as cigar, (l_suppkey % 61)::int as mapq, case l_suppkey % 10 when 0 then 256 when 1 then 4 when 2 then 2048 else 0 end as flag,
-  l_orderkey % 13 = 0 as is_split, ascii(l_returnflag) as ref_idx from {NUMBERED}))"""
+  l_orderkey % 13 = 0 as is_split, ascii(l_returnflag) as ref_idx from lineitem))"""
 
 #: Places of all alignments, in order, with running query and reference positions; op has M told apart, raw_op has not.
 PAIRS = f"""{ALIGNMENTS}, elements as (select read_id, label, condition, aligner, pos, mapq, flag, is_split, seq, u.k, cigar[u.k].op as raw_op, cigar[u.k].len as len from alignments, lateral (select unnest(range(1, len(cigar) + 1)) as k) u),

@@ -65,16 +65,16 @@ def _text(c):
 
 
 _SQL_POSITIONS = "list_transform(list_filter(range(1, len(mv)), lambda i: mv[i + 1] = 1), lambda i: i * mv[1] + ts)"
-_MOVES = """m as (select concat_ws('-', l_orderkey, l_linenumber, n) as read_id, repeat('ACGTTGCA', 3)[1:10 + (l_partkey % 9)::int] as seq, 10 as ts, (l_suppkey % 40 + 5)::int as lo, (l_suppkey % 40 + 5 + l_quantity)::int as hi,
-  list_prepend(5, flatten(list_transform(range(1, 11 + (l_partkey % 9)::int), lambda i: case when i % 3 = 0 then [1, 0] else [1] end))) as mv from """ + b.NUMBERED + ")"
+_MOVES = """m as (select """ + b.LINE_ID + """ as read_id, repeat('ACGTTGCA', 3)[1:10 + (l_partkey % 9)::int] as seq, 10 as ts, (l_suppkey % 40 + 5)::int as lo, (l_suppkey % 40 + 5 + l_quantity)::int as hi,
+  list_prepend(5, flatten(list_transform(range(1, 11 + (l_partkey % 9)::int), lambda i: case when i % 3 = 0 then [1, 0] else [1] end))) as mv from lineitem)"""
 
 
 def _moves(spark, sf_dir):
-    items = b.numbered_lines(b.table(spark, sf_dir, "lineitem"))
+    items = b.dealt(b.table(spark, sf_dir, "lineitem"))
     n = (10 + F.col("l_partkey") % 9).cast("int")
     mv = F.concat(F.array(F.lit(5)), F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 3 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1))))))
     lo = (F.col("l_suppkey") % 40 + 5).cast("int")
-    return items.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "n").alias("read_id"), F.substring(F.repeat(F.lit("ACGTTGCA"), 3), F.lit(1), n).alias("seq"), F.lit(10).alias("ts"), lo.alias("lo"), (lo + F.col("l_quantity").cast("int")).alias("hi"), mv.alias("mv"))
+    return items.select(b.line_id().alias("read_id"), F.substring(F.repeat(F.lit("ACGTTGCA"), 3), F.lit(1), n).alias("seq"), F.lit(10).alias("ts"), lo.alias("lo"), (lo + F.col("l_quantity").cast("int")).alias("hi"), mv.alias("mv"))
 
 
 simple("p7_base_positions", lambda s, d: _moves(s, d).select("read_id", F.posexplode(align.base_positions("mv", "ts")).alias("k", "p")), f"with {_MOVES} select read_id, unnest(range(0, len(p)))::int as k, unnest(p)::int as p from (select read_id, {_SQL_POSITIONS} as p from m)")

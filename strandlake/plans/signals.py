@@ -132,7 +132,7 @@ _AFTER = """, w as (select o.read_id, n, op, lead, sum(case when op = 7 then 1 e
 
 
 def p10_trim(spark, sf_dir):
-    t = b.resolved(spark, sf_dir).select("read_id", cg.trim_to_window("cigar").alias("t")).where(F.size("t.cigar") > 0)
+    t = ar.once(b.resolved(spark, sf_dir).select("read_id", "cigar"), "t", cg.trim_to_window("cigar")).where(F.size("t.cigar") > 0)
     lead = F.when(F.element_at("t.cigar", 1)["op"] == 4, F.element_at("t.cigar", 1)["len"]).otherwise(0)
     return t.select("read_id", "t.shift", "t.removed", lead.alias("clipped"), cg.total("t.cigar", 7).alias("matches"))
 
