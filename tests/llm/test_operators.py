@@ -97,8 +97,43 @@ def test_op3_and_op9_remove_what_brute_force_removes(rows, docs, find):
     assert sorted((tuple(r) for r in got.collect()), key=str) == window_removal(rows)
 
 
+def test_op3_hits_and_op9_order_decide(docs, rows, monkeypatch):
+    """Without hits, and without the order of words, copies are missed: nothing else finds them."""
+    none = lambda automaton, phrases, text, window, gram: tuple(np.zeros(0, np.int64) for _ in range(5))
+    with monkeypatch.context() as m:
+        m.setattr(automata, "_around_hits", none)
+        batches = automata._locate(iter([]), 50, 25)
+        assert list(batches) == []
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    head, rest, back = prose(rng, 25), prose(rng, 25), prose(rng, 25)
+    table = pa.table({"head": [head] * 4, "rest": [rest, prose(rng, 25), rest, rest], "back": [back, back, prose(rng, 25), back], "doc_id": [1, 2, 3, 4], "at": [25] * 4})
+    row, start = suffixes.extended(table, 50, 25)
+    got = {r: sorted(start[row == r].tolist()) for r in range(4)}
+    assert got == {0: [], 1: [0], 2: [25], 3: list(range(26))}
+    with monkeypatch.context() as m:
+        m.setattr(np, "lexsort", lambda keys: np.arange(len(keys[0])))
+        broken = {r: sorted(suffixes.extended(table, 50, 25)[1][suffixes.extended(table, 50, 25)[0] == r].tolist()) for r in range(4)}
+    assert broken != got
+
+
+def test_op9_matches_brute_force_for_many_overlaps(spark):
+    """Texts stitched from few phrases, so that matches of every length meet at every place."""
+    rng = random.Random(17)
+    phrases = [prose(rng, rng.randint(5, 40)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(2, 9))), None, None, 0, "") for i in range(60)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = window_removal(rows)
+    for find in (suffixes.repeated_spans, automata.repeated_spans):
+        got = passages.kept_digests(frame, find(frame))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
 def test_op9_long_stretches_and_cut_texts(docs, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 2)
+    cut = suffixes.drop_repeats(docs.withColumnsRenamed({"bands": "spans", "source": "tk"}))
+    assert cut.columns == ["doc_id", "text", "lang", "tk", "n_chars", "spans"] and {r.spans for r in cut.collect()} == {"clash"}
     cut = suffixes.drop_repeats(docs)
     assert cut.columns == docs.columns
     kept = {r.doc_id: r for r in cut.where("doc_id is not null").collect()}
@@ -268,6 +303,39 @@ def test_op1_report(rows, docs):
         assert r.near_next == editprint.likeness(r.fingerprint, editprint.edit_print(following))
 
 
+def plain_symbols(text, level):
+    """The walk step by step: write the character, then move on if the shared coin says so; one step of every
+    2 ** level is kept, chosen by halving."""
+    coin = np.random.default_rng(20).integers(0, 2, (editprint.PERIOD, editprint.CLASSES))
+    kinds = [(ord(c) * 2654435761 % 2**32) >> 26 for c in text]
+    written, i = [], 0
+    while i < len(kinds):
+        written.append(kinds[i])
+        i += int(coin[(len(written) - 1) % editprint.PERIOD][kinds[i]])
+    if level is None:
+        level = next(k for k in range(40) if -(-len(written) // 2**k) <= editprint.PLACES) if written else 0
+    out = []
+    for block in range(-(-len(written) // 2**level)):
+        x = block
+        for down in range(level, 0, -1):
+            x = 2 * x + ((((x + down * 0x9E3779B9) * 0xD6E8FEB86659FD93) % 2**64) >> 37 & 1)
+        out.append(chr(editprint._SYMBOLS[written[x]]) if x < len(written) else ".")
+    return level, "".join(out)
+
+
+def test_op1_prints_match_a_walk_step_by_step():
+    rng = random.Random(31)
+    for n in (0, 1, 2, 7, 200, 256, 400, 3000, 9000):
+        text = "".join(rng.choices("abc dé漢\n😀", k=n))
+        level, symbols = plain_symbols(text, None)
+        assert editprint.edit_print(text) == f"{level:02x}{symbols}"
+        other = text[: n // 2] + "".join(rng.choices("abc d", k=rng.randint(0, 2 * n)))
+        level = max(level, plain_symbols(other, None)[0])
+        a, b = plain_symbols(text, level)[1], plain_symbols(other, level)[1]
+        want = sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) if a and b else float(a == b)
+        assert editprint.likeness(editprint.edit_print(text), editprint.edit_print(other)) == want
+
+
 def test_op1_likeness_falls_with_edits():
     rng = random.Random(2)
     text = prose(rng, 600)
@@ -472,6 +540,44 @@ def test_op8_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_op8_rules_and_no_leaks(spark):
+    """held_out by its rule; und by its rule; lang, source and doc_id of a row do not enter its prediction."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(10**6 + i, t, "en", "s", 0) for i, t in enumerate([None, "", "12 -- 3", "x1", "é", "漢"])], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*odd.columns).unionByName(odd)
+    model = langid.fit_documents(docs)
+    keyed = docs.select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    found = {(r.doc_id, r.text): r for r in langid.predict(keyed, model).collect()}
+    learned = {r.lang for r in found.values() if not r.held_out and r.lang is not None and r.text is not None}
+    for (i, text), r in found.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und" and r.score == 0) if not any(map(str.isalpha, text or "")) else r.lang_pred in learned
+    # held-out rows with other languages, sources and texts of their own change no other prediction
+    held = langid.held_out()
+    changed = docs.select("doc_id", F.when(held, F.concat(F.lit("zz "), "text")).otherwise(F.col("text")).alias("text"), F.when(held, "xx").otherwise(F.col("lang")).alias("lang"), F.lit("other").alias("source"), "n_chars")
+    again = langid.predict(docs.select("text"), langid.fit_documents(changed), keep=["text"])
+    assert {(r.text, r.lang_pred, r.score) for r in again.collect()} == {(t, r.lang_pred, r.score) for (_, t), r in found.items()}
+
+
+def test_op8_long_texts_count_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", "a", "Ab cd", "é" * 700, "word and other words " * 90]
+    buffers = words.text_buffers(pa.array(texts))
+    whole = langid.vectors(*buffers)
+    monkeypatch.setattr(langid, "_GROUP_BYTES", 13)
+    assert np.array_equal(langid.vectors(*buffers), whole)
+    for row, t in zip(whole, texts):
+        data = bytes([32, *(b + 32 if 65 <= b <= 90 else b for b in t.encode()), 32])
+        counts = np.zeros(langid.DIMS)
+        for k in range(len(data) - 2):
+            counts[((data[k] | data[k + 1] << 8 | data[k + 2] << 16) * 2654435761 % 2**32) >> 21] += 1
+        want = np.log1p(counts) / max(np.linalg.norm(np.log1p(counts)), 1e-9)
+        assert np.allclose(row, want, atol=1e-6)
+
+
 def test_op8_edges(spark, docs, nothing):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit_documents(docs)).collect()}
     assert all(got[i] == ("und", 0.0) for i in (70, 71, 72, 73)) and got[74][0] in ("en", "fr")
