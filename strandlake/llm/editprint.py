@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, tidy
+from .simhash import components
 
 CLASSES, PERIOD, PLACES = 64, 4096, 512
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
@@ -247,3 +248,16 @@ def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_ed
     texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     both = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return both.where(F.levenshtein("ta", "tb") <= max_edit * F.greatest(F.length("ta"), F.length("tb"))).select("a", "b", "likeness")
+
+
+def near_classes(docs: DataFrame, band: int = 8, min_likeness: float = 0.5) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id that links of near_pairs reach) and n_links (of its print to other
+    prints) of every row; empty texts are one class, rows with null doc_id have none."""
+    pairs = materialize(near_pairs(docs, band, min_likeness))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    prints = materialize(edit_prints(docs))
+    reps = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
+    roots = components(pairs.select("a", "b"))
+    told = reps.join(roots, "node", "left").join(links, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    mine = F.col("doc_id").isNotNull()
+    return prints.join(told, "fingerprint", "left").select("doc_id", F.when(mine, F.col("class_id")).alias("class_id"), F.when(mine, F.col("n_links")).alias("n_links"))

@@ -375,12 +375,34 @@ def test_op1_pairs_match_all_pairs_of_a_family(spark):
     assert len(want) > 500 and not any(a == 0 for a, _ in want)
 
 
+def test_op1_classes_follow_the_pairs(spark, docs, rows):
+    pairs = [(r.a, r.b) for r in editprint.near_pairs(docs).collect()]
+    prints = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            prints.setdefault(editprint.edit_print(t or ""), []).append(i)
+    root = {min(ids): min(ids) for ids in prints.values()}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: (root[min(ids)], sum(min(ids) in p for p in pairs)) for ids in prints.values() for i in ids}
+    got = editprint.near_classes(docs).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want | {None: (None, None)} and len(got) == len(rows)
+    assert {want[i][0] for i in range(40, 46)} == {30}
+
+
+def test_op2_takes_a_table_of_templates(spark):
+    names = spark.createDataFrame([("own", "one two three four five six"), ("long", " ".join(f"w{i}" for i in range(1500)))], "license string, text string")
+    docs = spark.createDataFrame([(1, "say One, two three (four) five six!"), (2, " ".join(f"w{i}" for i in range(10, 1500)))], "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs, names).collect()} == {(1, "own"), (2, "long")}
+
+
 def test_op2_finds_planted_notices(spark):
     rng = random.Random(3)
     text = "%s %s\n%s %s" % (prose(rng, 40), licenses.TEMPLATES["MIT"].upper(), prose(rng, 200), licenses.TEMPLATES["CC-BY-NC-4.0-notice"])
     rows = [(1, text), (2, prose(rng, 500)), (3, None), (4, ""), (5, "Released under the MIT License. " * 2), (5, "Released under the MIT License. " * 2), (None, "released under the mit license")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.license) for r in got) == [("1", "CC-BY-NC-4.0-notice"), ("1", "MIT"), ("5", "MIT-notice"), ("5", "MIT-notice"), ("None", "MIT-notice")]
+    assert sorted((str(r.doc_id), r.license) for r in got) == [("1", "CC-BY-NC-4.0-notice"), ("1", "MIT"), ("1", "MIT-grant"), ("5", "MIT-notice"), ("5", "MIT-notice"), ("None", "MIT-notice")]
     hit = next(r for r in got if r.license == "MIT")
     assert hit.containment == 1 and text[hit.first_char :].startswith("PERMISSION")
     assert {r.places for r in got if r.doc_id == 5} == {2}
