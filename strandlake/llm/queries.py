@@ -19,7 +19,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edit_report(table(spark, sf_dir, "documents"))
 
 
-def op1b_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_classes_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of operator 1: bit-sampled banding of the fingerprints, verification and classes."""
     return editprint.near_classes(table(spark, sf_dir, "documents"))
 
@@ -82,7 +82,7 @@ QUERIES = {
         op8_language_id,
         op9_suffix_array_dedup,
         op10_simhash,
-        op1b_near_classes,
+        near_classes_by_fingerprint,
     )
 }
 SQL = {"op7_mix_sources": mixing.SQL}
