@@ -200,7 +200,8 @@ simple("l7_matching_variant", matching, f"with {_V} select read_id, min(variant)
 # Sources and sinks
 simple("s1_scan_signals", lambda s, d: src.scan(s, f"{d}/embeddings.parquet", "vec_id bigint, embedding array<float>").select("vec_id", F.size("embedding").alias("samples")), "select vec_id, len(embedding)::int as samples from embeddings")
 simple("s2_s8_selected_reads", lambda s, d: src.select_reads(b.signals(s, d), b.table(s, d, "labels").select(F.col("doc_id").cast("string").alias("read_id"))).select("read_id"), "select vec_id::varchar as read_id from embeddings where vec_id in (select doc_id from labels)")
-simple("s3_recursive_scan", lambda s, d: src.scan(s, d, "n_nationkey bigint, n_name string", "nation.parquet", True).select("n_name"), "select n_name from nation")
+simple("s3_recursive_scan", lambda s, d: src.scan(s, d, "event_id bigint, event_type string", "events.parquet", True).groupBy("event_type").agg(F.count("*").alias("records"), F.max("event_id").alias("last")), "select event_type, count(*) as records, max(event_id) as last from events group by event_type")
+simple("s8_file_of_read", lambda s, d: src.with_file(src.scan(s, f"{d}/events.parquet")).groupBy("file").agg(F.count_distinct("event_id").alias("reads")), "select 'events.parquet' as file, count(distinct event_id) as reads from events")
 
 
 def s4(spark, sf_dir):
@@ -217,8 +218,9 @@ simple("s4_sam_scan", s4, f"with {b.ALIGNMENTS} select read_id, flag, label as r
 
 def s5(spark, sf_dir):
     path = work_dir(spark)
-    lines = refs(spark, sf_dir).orderBy("ref_idx").select(F.concat(F.lit(">"), "ref_name", F.lit(" made\n"), F.substring("seq", 1, 50), F.lit("\n"), F.expr("substring(seq, 51)")))
-    lines.coalesce(1).write.text(path)  # a file of one record per class, in order
+    ordered = refs(spark, sf_dir).repartitionByRange("ref_idx").sortWithinPartitions("ref_idx")
+    lines = ordered.select(F.concat(F.lit(">"), "ref_name", F.lit(" made\n"), F.substring("seq", 1, 50), F.lit("\n"), F.expr("substring(seq, 51)")))
+    lines.write.text(path)  # files are in order, and so are their records
     return src.read_fasta(spark, path)
 
 
@@ -227,13 +229,14 @@ simple("s6_union_results", lambda s, d: src.union_results(b.scores(s, d), ar.com
 
 
 def s7(spark, sf_dir):
-    nations = b.table(spark, sf_dir, "nation")
-    meta = nations.select(F.col("n_name").alias("run_id"), F.lit("m").alias("model_name"), F.lit("t").alias("model_type"), F.lit(54).alias("chunk_size"), F.when(F.col("n_nationkey") % 2 == 0, "float16").otherwise("float32").alias("float_dtype"), F.col("n_regionkey").alias("num_classes"))
+    """Every event stands for an archive."""
+    events = b.table(spark, sf_dir, "events")
+    meta = events.select(F.col("event_id").cast("string").alias("run_id"), F.lit("m").alias("model_name"), F.lit("t").alias("model_type"), F.lit(54).alias("chunk_size"), F.when(F.col("event_id") % 2 == 0, "float16").otherwise("float32").alias("float_dtype"), (F.col("user_id") % 7).alias("num_classes"))
     checked = src.require_compatible(meta)
     return src.check_metadata(checked).crossJoin(checked.agg(F.sum("num_classification_classes").alias("classes")))
 
 
-simple("s7_metadata_guard", s7, "select 1::bigint as model_name, 1::bigint as model_type, 1::bigint as chunk_size, count(distinct n_nationkey % 2) as float_dtype, sum(n_regionkey)::bigint as classes from nation")
+simple("s7_metadata_guard", s7, "select 1::bigint as model_name, 1::bigint as model_type, 1::bigint as chunk_size, count(distinct event_id % 2) as float_dtype, sum(user_id % 7)::bigint as classes from events")
 simple("s9_archive_summary", lambda s, d: src.archive_summary(b.table(s, d, "events").withColumn("file", F.col("event_type"))), "select event_type as file, count(*) as records from events group by rollup (event_type)")
 
 
@@ -269,13 +272,14 @@ simple("s13_annotation_sink", s13, f"with {_LABELS}, {_REGION}{_RUNS} select chr
 
 
 def s14(spark, sf_dir):
-    names = b.table(spark, sf_dir, "nation").orderBy("n_nationkey")
-    pairs = names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", F.lower("n_name"))))).alias("value"))  # a dimension
-    order = names.agg(F.to_json(F.sort_array(F.collect_list("n_name"))).alias("value"))
+    """Brands as classes, written as JSON and read back as dimensions."""
+    names = b.table(spark, sf_dir, "part").select("p_brand").distinct()
+    pairs = names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", F.lower("p_brand"))))).alias("value"))  # a dimension
+    order = names.agg(F.to_json(F.sort_array(F.collect_list("p_brand"))).alias("value"))
     return src.label_map(pairs).withColumnRenamed("label", "shown").join(src.label_order(order).withColumnRenamed("label", "ref_name"), "ref_name")
 
 
-simple("s14_j3_label_dimensions", s14, "select n_name as ref_name, lower(n_name) as shown, (row_number() over (order by n_name) - 1)::int as ord from nation")
+simple("s14_j3_label_dimensions", s14, "select ref_name, lower(ref_name) as shown, (row_number() over (order by ref_name) - 1)::int as ord from (select distinct p_brand as ref_name from part)")
 
 # Scoring
 _T = [[(1.0 if (i + k) % 3 == 0 else -0.5) for i in range(64)] for k in range(4)]

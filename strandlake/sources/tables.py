@@ -70,12 +70,16 @@ def to_sam(alignments: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """ref_idx in file order, ref_name (to the first blank), seq, len; wrapped lines are joined."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim(F.col("value")) != "")
+    """ref_idx in order of files and of records in them, ref_name (to the first blank), seq, len; wrapped
+    lines are joined. Pieces of files are numbered by running counts, records within their piece."""
+    records = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    records = records.where(F.trim(F.col("value")) != "").withColumn("_at", F.monotonically_increasing_id())
+    pieces = records.groupBy("_f", "_b").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per piece
     head, body = F.substring_index("value", "\n", 1), F.expr("substring(value, instr(value, '\n') + 1)")
-    rows = records.select(F.monotonically_increasing_id().alias("_at"), F.regexp_extract(F.trim(head), r"^\S*", 0).alias("ref_name"), F.regexp_replace(body, r"\s", "").alias("seq"))
-    index = F.row_number().over(Window.orderBy("_at")) - 1  # a row per class
-    return rows.select(index.alias("ref_idx"), "ref_name", "seq", F.length("seq").alias("len"))
+    rows = records.select("_f", "_b", "_at", F.regexp_extract(F.trim(head), r"^\S*", 0).alias("ref_name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_at"))).join(pieces.withColumn("_before", before), ["_f", "_b"])
+    return rows.select((F.col("_before") + F.col("_n") - 1).cast("int").alias("ref_idx"), "ref_name", "seq", F.length("seq").alias("len"))
 
 
 def union_results(scores: DataFrame, calls: DataFrame) -> DataFrame:
