@@ -490,6 +490,27 @@ def test_op5_recall_and_order(spark):
     assert hit >= 0.9 * 20 * len(queries_) and {r.query_id for r in got} == set(queries_)
 
 
+def test_op5_recall_on_the_given_vectors(spark):
+    """The registered search, and one that cuts the same vectors into more parts than it probes."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding)) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    for more in ({}, {"per_root": 1.5, "target_recall": 0.93}):
+        found = {}
+        for r in ann.search(table.withColumn("part", F.lit("clash")), F.col("vec_id") % 20 == 0, **more).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hit = 0
+        for q in found:
+            s = x @ x[ids == q][0]
+            s[ids == q] = -np.inf
+            hit += len(found[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        assert len(found) == (ids % 20 == 0).sum() and hit >= 0.9 * 20 * len(found)
+
+
+def test_op5_parts_grow_with_the_rows():
+    assert [ann.part_count(n) for n in (0, 50, 500, 51_282, 10**8)] == [1, 1, 3, 28, 1250]
+
+
 def test_op5_few_and_no_candidates(spark):
     one = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in ann.search(one, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [1, 2, 3, 4]
@@ -623,6 +644,42 @@ def test_empty_tables_give_no_rows(spark, nothing):
     assert warc.read_records(spark, path).count() == 0
 
 
+def test_shared_folder_is_required_off_local_mode(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_scratch_is_deleted_and_no_setting_changes(spark, docs):
+    import os
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    with common.scratch(spark):
+        path = common.shared_dir(spark)
+        langid.predict(docs, None).write.parquet(path)
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_texts_above_one_arrow_batch(spark):
+    """30 texts of 3 MB: over the 64 MB of a batch, in one partition."""
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("a few words that go on "), 130_000), F.col("id").cast("string")).alias("text")).coalesce(1)
+    got = passages.kept_digests(rows, suffixes.repeated_spans(rows)).collect()
+    assert sorted(r.n_removed for r in got)[0] == 0 and {r.n_words for r in got} == {780_001} and sum(r.n_removed > 700_000 for r in got) == 29
+    found = {r.lang_pred for r in langid.predict(rows, None).collect()}
+    assert found == {"und"} and licenses.scan(rows).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
