@@ -93,6 +93,13 @@ _PATHS = """, e as (select read_id, list_transform(range(0, 17), lambda t: list_
   best as (select read_id, arg_max({'a': a, 'b': b, 'c': c}, p1[a + 1] + p2[b + 1] - p2[a + 1] + p0[c + 1] - p0[b + 1] + p3[17] - p3[c + 1]) as w from e, cuts group by read_id)
   select read_id, i::int as i, case when i < w.a then 1 when i < w.b then 2 when i < w.c then 0 else 3 end as v from best, (select unnest(range(0, 16)) as i)"""
 simple("d5_smooth", lambda s, d: smoothing.smooth(b.scores(s, d)).select("read_id", F.posexplode("smoothed").alias("i", "v")), _D + _PATHS)
+#: A user's transitions: a code is never left, so the best path is the code of the largest sum.
+_STAY = {k: (k,) for k in range(4)}
+simple(
+    "u2_custom_transitions",
+    lambda s, d: smoothing.smooth(b.scores(s, d), _STAY).select("read_id", F.posexplode("smoothed").alias("i", "v")),
+    f"with {b.SCORES}, t as (select read_id, list_transform(range(1, 5), lambda c: list_sum(list_transform(segmentation, lambda x: x[c]))) as t from scores) select read_id, i::int as i, (list_position(t, list_max(t)) - 1)::int as v from t, (select unnest(range(0, 16)) as i)",
+)
 simple(
     "p20_run_lengths",
     lambda s, d: b.scores(s, d).select("read_id", F.posexplode(ar.run_lengths(ar.chunk_argmax("segmentation", "num_chunks"))).alias("i", "r")).select("read_id", "i", "r.value", "r.n"),

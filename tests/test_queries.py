@@ -43,3 +43,16 @@ def test_stream_equals_batch(spark):
     batch = stream.preprocess(bindings.signals(spark, DATA), 7, 6)
     streamed = jobs.r1(spark, DATA)
     assert {r.read_id: round(r.first, 9) for r in streamed.collect()} == {r.read_id: round(r.signal[0], 9) for r in batch.collect()}
+
+
+def test_stream_decodes_as_batch(spark, tmp_path):
+    from strandlake.functions import arrays
+    from strandlake.plans import bindings, jobs
+    from strandlake.streaming import reads as stream
+
+    scores = bindings.scores(spark, DATA)
+    scores.repartition(3).write.parquet(f"{tmp_path}/scores")
+    arriving = stream.arriving(spark, f"{tmp_path}/scores", scores.schema, 1)
+    streamed = jobs._finish(stream.decode(arriving))
+    key = lambda r: (r.read_id, tuple(r.top3), tuple(r.region), r.fragmented)
+    assert sorted(map(key, streamed.collect())) == sorted(map(key, arrays.compress(scores).collect()))
