@@ -5,9 +5,10 @@
    words, so that suffixes with that beginning are neighbours; a long stretch of equal ones spreads over tasks.
    Neighbours with the same surroundings recur whole; a suffix whose beginning no other document has is out.
 2. What is left, the first of each surroundings, comes with its words: from the position on, and back from
-   it. These suffixes are range-partitioned and sorted by words. A task compares neighbours by their common
-   prefix, which gives the suffixes that agree so many words to the right; the same order of the
-   words before the position gives those that agree so many words to the left. A window that reaches o words
+   it. These suffixes are range-partitioned by their first words, so that a beginning of `gram` words stays together,
+   and a task puts them in order of their words and compares neighbours by their common prefix, which gives the
+   suffixes that agree so many words to the right; the same order of the words before the position gives those
+   that agree so many words to the left. A window that reaches o words
    back recurs if a suffix of a smaller doc_id agrees with its own on o words to the left and the others to the right.
    Words are compared, not hashes.
 
@@ -230,8 +231,9 @@ def repeated_spans(docs: DataFrame, window: int = passages.WINDOW, gram: int = p
     ordered = suffixes(docs, window, gram).repartitionByRange(*order).sortWithinPartitions(*order)
     matched = materialize(ordered.mapInArrow(tidy(_neighbours), _DDL + ", first boolean"))
     told = materialize(contexts(docs, matched.where("first"), gram, window))
-    words = ["head", "rest", "back", "doc_id"]
-    array = told.repartitionByRange(*words).sortWithinPartitions(*words)
+    # ranges go by short keys, as Spark samples them to the driver: the first words, then a hash that keeps a beginning together
+    keyed = told.withColumns({"lead": F.substring("head", 1, 40), "whole": F.xxhash64("head")})
+    array = keyed.repartitionByRange("lead", "whole", "doc_id").sortWithinPartitions("lead", "whole", "head", "rest", "back", "doc_id").drop("lead", "whole")
     found = materialize(array.mapInArrow(tidy(lambda b: _extend(b, window, gram)), _MATCH))
     one = found.where("a is null").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
     whole = matched.where("not first").select("doc_id", "tk", "start", "n")
