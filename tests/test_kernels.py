@@ -264,6 +264,55 @@ def test_align_job_outputs_fit_their_reads(spark):
     assert sum(x.ref_idx == truth[x.read_id] for x in mapped) >= 0.95 * len(mapped) > 0.9 * len(primary) * 0.95
 
 
+def test_best_of_two_follows_its_rule(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(120):
+        pair = []
+        for rank in (1, 2)[: 1 + (k % 9 > 0)]:
+            mapped = rng.random() < 0.7
+            pair.append((f"r{k}", rank, 10 * k + rank, mapped, 5 if mapped else None, parse("30=") if mapped else None, 0, False, rng.choice([0.8, 0.9, 0.9005, 0.95]) if mapped else None, rng.choice([20, 25, 40]) if mapped else None))
+        rows += pair
+        one, two = pair[0], pair[1] if len(pair) > 1 else None
+        swap = bool(two and two[3] and (not one[3] or (two[9] >= 25 and (one[9] < 25 or two[8] > one[8] + 0.001))))
+        order = [two, one] if swap else [one, *([two] if two else [])]
+        for place, x in enumerate(order):
+            flag = 4 if not x[3] else 256 if place else 0
+            want[x[2]] = (place + 1, 0 if place else 60, flag, swap and place == 0)
+    frame = spark.createDataFrame(rows, f"read_id string, rank int, ref_idx int, mapped boolean, pos int, cigar {CIGAR}, ed int, fragment boolean, identity double, matches int")
+    assert {r.ref_idx: (r["rank"], r.mapq, r.flag, r.swapped) for r in align.best_of_two(frame).collect()} == want
+
+
+def test_rescue_takes_the_candidate_that_fits(spark):
+    rng = random.Random(12)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    rows, want = [], {}
+    for k in range(20):
+        refs = [dna(80) for _ in range(3)]
+        true = k % 4  # 3: none of them
+        body = list(refs[true]) if true < 3 else list(dna(80))
+        body[40] = "ACGT"[("ACGT".index(body[40]) + 1) % 4]
+        rows += [(f"r{k}", rank + 1, rank, dna(15) + "".join(body) + dna(9), refs[rank]) for rank in range(3)]
+        if true < 3:
+            want[f"r{k}"] = (true, 3 - true, true)
+    frame = spark.createDataFrame(rows, "read_id string, rank int, ref_idx int, seq string, ref_seq string")
+    params = align.Parameters(local_mismatch=-1.0)
+    found = align.rescue(frame, params).collect()
+    assert {r.read_id: (r.ref_idx, r.mapq, r.rescue_rank) for r in found} == want
+    lengths = {r: len(q) for r, _, _, q, _ in rows}
+    assert all(sum(n for o, n in r.cigar if o != 2) == lengths[r.read_id] and r.identity > 0.9 and r.matches >= 70 for r in found)
+
+
+def test_sorted_sink_is_in_order_over_partitions(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), rng.randrange(40)) for _ in range(500)]
+    out = align.sorted_for_output(spark.createDataFrame(rows, "ref_idx int, pos int").repartition(6))
+    parts = {}
+    for r in out.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect():
+        parts.setdefault(r.part, []).append((r.ref_idx, r.pos))
+    assert [x for k in sorted(parts) for x in parts[k]] == sorted(rows)
+
+
 def test_variants(spark):
     reads = spark.createDataFrame([("a", "f", "ACGT"), ("b", "f", "AAAA"), ("c", "f", "ACGA")], "read_id string, family string, seq string")
     variants = spark.createDataFrame([("f", "x", "ACGT"), ("f", "y", "TCGA")], "family string, variant string, seq string")
