@@ -30,14 +30,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").cast("string").alias("read_id"),
         F.lit(CHUNKS).alias("num_chunks"),
         F.lit(CHUNK_SIZE).alias("chunk_size"),
-        F.slice(e, 1, 10).alias("classification"),
+        F.slice(e, 1, 62).alias("classification"),
         F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: F.slice(e, i * 4 + 1, F.lit(4))).alias("segmentation"),
-        F.slice(e, 11, 2).alias("fragmentation"),
+        F.slice(e, 63, 2).alias("fragmentation"),
     )
 
 
-SCORES = """scores as (select vec_id::varchar as read_id, 16 as num_chunks, 54 as chunk_size, list_transform(embedding[1:10], lambda x: x::double) as classification,
-  list_transform(range(16), lambda i: list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: x::double)) as segmentation, list_transform(embedding[11:12], lambda x: x::double) as fragmentation from embeddings)"""
+SCORES = """scores as (select vec_id::varchar as read_id, 16 as num_chunks, 54 as chunk_size, list_transform(embedding[1:62], lambda x: x::double) as classification,
+  list_transform(range(16), lambda i: list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: x::double)) as segmentation, list_transform(embedding[63:64], lambda x: x::double) as fragmentation from embeddings)"""
 
 
 def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

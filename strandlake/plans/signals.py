@@ -69,13 +69,13 @@ _ARG = "(list_position({x}, list_max({x})) - 1)::int"
 _PREDS = "list_transform(segmentation, lambda c: (list_position(c, list_max(c)) - 1)::int)"
 simple("d2_argmax", lambda s, d: b.scores(s, d).select("read_id", ar.argmax("classification").alias("class_pred"), ar.argmax("fragmentation").alias("frag_pred")), _D + f"select read_id, {_ARG.format(x='classification')} as class_pred, {_ARG.format(x='fragmentation')} as frag_pred from scores")
 simple("d2_chunk_argmax", lambda s, d: _long(b.scores(s, d), ar.chunk_argmax("segmentation", "num_chunks")), _D + f"select read_id, unnest(range(0, 16))::int as i, unnest({_PREDS}) as v from scores")
-_TOP = "select read_id, (row_number() over (partition by read_id order by v desc, i))::int as rank, i::int as class_idx from (select read_id, unnest(range(0, 10)) as i, unnest(classification) as v from scores) qualify rank <= 3"
+_TOP = "select read_id, (row_number() over (partition by read_id order by v desc, i))::int as rank, i::int as class_idx from (select read_id, unnest(range(0, 62)) as i, unnest(classification) as v from scores) qualify rank <= 3"
 simple("d3_w1_top3", lambda s, d: b.scores(s, d).select("read_id", F.posexplode(ar.top_k("classification")).alias("rank", "class_idx")).withColumn("rank", F.col("rank") + 1), _D + _TOP)
 _FIRST = f"list_position({_PREDS}, 0)"
 _LAST = f"(16 - list_position(list_reverse({_PREDS}), 0))"
 _SPAN = f"case when coalesce({_FIRST}, 0) > 0 then ({_FIRST} - 1) * 54 else -1 end as region_start, case when coalesce({_FIRST}, 0) > 0 then ({_LAST} + 1) * 54 - 1 else -1 end as region_end"
 simple("d4_class_span", lambda s, d: b.scores(s, d).select("read_id", ar.class_span(ar.chunk_argmax("segmentation", "num_chunks"), "chunk_size").alias("r")).select("read_id", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end")), _D + f"select read_id, {_SPAN} from scores")
-_CALLS = f"calls as (select read_id, {_SPAN}, {_ARG.format(x='fragmentation')} > 0 as fragmented, (select list(i order by v desc, i) from (select unnest(range(0, 10)) as i, unnest(classification) as v))[1:3] as top3 from scores)"
+_CALLS = f"calls as (select read_id, {_SPAN}, {_ARG.format(x='fragmentation')} > 0 as fragmented, (select list(i order by v desc, i) from (select unnest(range(0, 62)) as i, unnest(classification) as v))[1:3] as top3 from scores)"
 simple(
     "d6_compress",
     lambda s, d: ar.compress(b.scores(s, d)).select("read_id", *(F.element_at("top3", i).alias(f"class_{i}") for i in (1, 2, 3)), F.col("region.start").alias("region_start"), F.col("region.end").alias("region_end"), "fragmented"),
