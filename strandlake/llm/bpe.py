@@ -5,8 +5,8 @@ be merged over, so a cut there changes nothing. A 256 x 256 table over the bytes
 pairs at which a pre-token must end as well (white space, and letters, digits and punctuation
 side by side, where no token holds the pair); a text is cut there in one vectorised pass. What is
 left is normalised and pre-tokenised by the tokenizer's own rules, cut at every forced boundary
-inside, and each piece is merged by itself. Fragments repeat, so a task keeps the ids of those it has met
-(a table bounded in bytes, freed when the task ends). Ids of fragments are then concatenated.
+inside, and each piece is merged by itself. Fragments repeat, so a worker keeps the ids of those it has met
+(a table bounded in bytes, freed when a task of another kernel comes). Ids of fragments are then concatenated.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; texts of any
 length are cut in one pass; rows, ties and repeats are independent; other columns are kept out.
@@ -22,14 +22,15 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import kept, tidy
 from .words import lots, text_buffers
 
-#: Bytes of fragments, and of pieces, whose ids a task remembers, about.
-CACHE_BYTES = 24 << 20
+#: Bytes of fragments, and of pieces, whose ids a worker remembers, about.
+CACHE_BYTES, PIECE_BYTES = 40 << 20, 16 << 20
 #: Text that goes back to Spark in one batch.
 LOT_BYTES = 1 << 20
 
@@ -135,7 +136,7 @@ class ForcedBoundaryBPE(dict):
             ids = self.merge(parts) if len(parts) > 24 else self.merge_short(parts)
             if len(text) <= 64:
                 self.held_pieces += len(text) + 8 * len(ids) + 300
-                if self.held_pieces > CACHE_BYTES:
+                if self.held_pieces > PIECE_BYTES:
                     self.pieces.clear()
                     self.held_pieces = 0
                 self.pieces[text, last] = ids
@@ -181,23 +182,23 @@ class ForcedBoundaryBPE(dict):
 def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The kept columns, ids (little-endian unsigned 32-bit numbers, binary) and n_tokens; with `decoded`
     also what the ids decode to (string), by the same task."""
-    definition = docs.sparkSession.sparkContext.broadcast(_read(tokenizer_path))  # a vocabulary file: under 2 MB
+    text_of = _read(tokenizer_path)
+    definition = docs.sparkSession.sparkContext.broadcast(text_of)  # a vocabulary file: under 2 MB
+    key = f"bpe/{xxhash.xxh64_hexdigest(text_of)}"
     names = [*keep, "ids", "n_tokens", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, back = None, None
+        bpe, back = kept(key, lambda: (ForcedBoundaryBPE(definition.value), Decoder(definition.value)))
         for batch in batches:
-            bpe = bpe or ForcedBoundaryBPE(definition.value)
-            back = back or (Decoder(definition.value) if decoded else None)
             data, at = text_buffers(batch.column(len(keep)))
             for a, b in lots(at, LOT_BYTES):
                 ids = [bpe.encode(data[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
                 out = [*batch.slice(a, b - a).columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *([pa.array(map(back.decode, ids), pa.binary()).cast(pa.string())] if back else [])], names=names)
+                yield pa.RecordBatch.from_arrays([*out, *([pa.array(map(back.decode, ids), pa.binary()).cast(pa.string())] if decoded else [])], names=names)
 
     source = docs.select(*keep, text)
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(tidy(run), f"{types}, ids binary, n_tokens long" + (", decoded string" if decoded else ""))
+    return source.mapInArrow(tidy(run, key), f"{types}, ids binary, n_tokens long" + (", decoded string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -79,16 +79,39 @@ def free_column(df: DataFrame, name: str) -> str:
     return name
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Wraps a batch function so that the worker, which Spark uses again, gives back its memory at the end."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What tasks of one kernel build once in a worker (see tidy)."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget(but: str | None) -> None:
+    """Drops what other kernels keep."""
+    for key in [k for k in _KEPT if k != but]:
+        del _KEPT[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Wraps a batch function so that the worker, which Spark uses again, gives back its memory at the end. What
+    is kept under the key `keeps` stays for the next task of the same kernel, until a task of another comes."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)  # a function of the module, as this one is sent with copies of what it names
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            release()
 
     return wrapped

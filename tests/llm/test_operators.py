@@ -671,6 +671,30 @@ def test_scratch_is_deleted_and_no_setting_changes(spark, docs):
     assert before == {k: spark.conf.get(k) for k in before}
 
 
+def test_workers_keep_tables_between_tasks_of_one_kernel_only(spark):
+    """Tasks of one worker, one after another: how many tables it keeps at the end of each."""
+
+    def made(key):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if key:
+                    common.kept(key, list).append(1)
+                held = [len(v) for v in common._KEPT.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([len(held)]), pa.array([sum(held)])], names=["tables", "uses"])
+
+        return run
+
+    def seen(key):
+        rows = spark.range(2, numPartitions=1)
+        return rows.mapInArrow(common.tidy(made(key), key), "tables long, uses long").collect()
+
+    uses = [seen("x")[0] for _ in range(3)]
+    assert all(r.tables == 1 for r in uses) and uses[-1].uses >= 1
+    assert all(r.tables == 1 for r in seen("y")) and all(r.tables == 0 for r in seen(None))
+
+
 def test_texts_above_one_arrow_batch(spark):
     """30 texts of 3 MB: over the 64 MB of a batch, in one partition."""
     rows = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("a few words that go on "), 130_000), F.col("id").cast("string")).alias("text")).coalesce(1)
