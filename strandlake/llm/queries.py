@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, automata, bpe, editprint, langid, licenses, mixing, passages, simhash, suffixes, warc
+from . import ann, automata, bpe, decontam, editprint, infill, langid, licenses, mixing, passages, simhash, suffixes, warc
 from .common import shared_dir, table
 
 
@@ -69,6 +69,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def near_items_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity search of operator 12: all terms of a window of an item within 20 document terms."""
+    return decontam.near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,7 +95,10 @@ QUERIES = {
         op8_language_id,
         op9_suffix_array_dedup,
         op10_simhash,
+        op12_decontaminate,
+        op13_fill_in_middle,
+        near_items_by_index,
         near_classes_by_fingerprint,
     )
 }
-SQL = {"op7_mix_sources": mixing.SQL}
+SQL = {"op7_mix_sources": mixing.SQL, "op12_decontaminate": decontam.SQL, "op13_fill_in_middle": infill.SQL}
