@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,24 @@ def free_column(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal keys (integers without nulls)."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(key[a]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(key[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _KEPT: dict[str, object] = {}
 
 

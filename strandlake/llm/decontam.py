@@ -24,37 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-
-#: What stands between terms; A-Z and all beyond ASCII belong to terms.
-BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bytes up to which a table made of the items, or of row numbers, is broadcast.
-MOST_BROADCAST = 16 << 20
-
-
-def folded(term: Column) -> Column:
-    """A-Z in lower case, nothing else changed; lower() alone would change other letters too."""
-    return F.when(F.length(term) == F.octet_length(term), F.lower(term)).otherwise(F.translate(term, _UPPER, _UPPER.lower()))
-
-
-def sized(table: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it is small as measured."""
-    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"), F.lit(0))
-    held = table.agg(F.sum(wide + 16 * len(table.columns))).first()[0] or 0
-    return F.broadcast(table) if held <= MOST_BROADCAST else table
+from .terms import item_terms, listed, sized
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """h, term, row, pos, n_words, doc_id; the last two in head entries (empty term) only."""
-    words = F.split(F.coalesce(F.col("text"), F.lit("")), BREAK)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"))
-    edge = lambda c: (c == "").cast("int")
-    last = F.when(F.size("words") > 1, edge(F.element_at("words", -1))).otherwise(0)
-    n = (F.size("words") - edge(F.element_at("words", 1)) - last).cast("long")
-    listed = rows.select("row", "doc_id", n.alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "raw"))
-    listed = listed.where("pos = 0 or raw <> ''").withColumn("term", folded(F.col("raw")))
     head = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
-    return materialize(listed.select(F.xxhash64("term").alias("h"), "term", "row", "pos", head("n_words"), head("doc_id")).sortWithinPartitions("h"))
+    return materialize(listed(docs).select(F.xxhash64("term").alias("h"), "term", "row", "pos", head("n_words"), head("doc_id")).sortWithinPartitions("h"))
 
 
 def heads(index: DataFrame) -> DataFrame:
@@ -68,8 +44,7 @@ class Phrases:
     terms: pid, len, j, h, term, c; members: pid, item_id (text)."""
 
     def __init__(self, index: DataFrame, items: DataFrame):
-        words = F.filter(F.split("text", BREAK), lambda w: w != "")
-        told = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.transform(words, folded).alias("words")).where(F.size("words") > 0)
+        told = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_terms().alias("words")).where(F.size("words") > 0)
         phrases = materialize(told.select("words").distinct().withColumn("pid", F.monotonically_increasing_id()))
         self.members = materialize(told.distinct().join(phrases, "words").select("pid", "item_id"))
         places = phrases.select("pid", F.size("words").alias("len"), F.posexplode("words").alias("j", "term")).withColumn("h", F.xxhash64("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, automata, bpe, decontam, editprint, infill, langid, licenses, mixing, passages, simhash, suffixes, warc
+from . import ann, automata, bpe, decontam, editprint, infill, langid, lexical, licenses, mixing, passages, simhash, suffixes, warc
 from .common import shared_dir, table
 
 
@@ -69,6 +69,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,10 +99,11 @@ QUERIES = {
         op8_language_id,
         op9_suffix_array_dedup,
         op10_simhash,
+        op11_lexical_search,
         op12_decontaminate,
         op13_fill_in_middle,
         near_items_by_index,
         near_classes_by_fingerprint,
     )
 }
-SQL = {"op7_mix_sources": mixing.SQL, "op12_decontaminate": decontam.SQL, "op13_fill_in_middle": infill.SQL}
+SQL = {"op7_mix_sources": mixing.SQL, "op11_lexical_search": lexical.SQL, "op12_decontaminate": decontam.SQL, "op13_fill_in_middle": infill.SQL}
