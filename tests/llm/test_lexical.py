@@ -12,7 +12,6 @@ import numpy as np
 import pytest
 
 from strandlake.llm import decontam, infill, lexical, queries, terms
-from strandlake.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, row string, pos string, term string"
 ITEMS = "item_id long, text string, qid string"
@@ -206,9 +205,3 @@ def test_queries_match_their_sql(spark, name):
     columns = [c[0] for c in done.description]
     assert sorted(columns) == sorted(found.columns)
     assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(done.fetchall(), key=str)
-
-
-def test_index_is_stored_in_the_shared_folder(spark, frames):
-    index = decontam.build_index(frames[0])
-    place = shared_dir(spark).rsplit("/", 1)[0]
-    assert all(place in f for f in index.inputFiles())
