@@ -1,21 +1,28 @@
 """CIGAR kernels in built-in functions (P9 to P15, F12). A CIGAR is an array of (op, len).
 
 Aligners that write M leave open whether bases agree; resolve_aligned tells by comparing them, once after the
-scan. Until then M uses up both sides, counts as a match where a CIGAR is trimmed, and identity is null."""
+scan. Until then M uses up both sides, counts as a match where a CIGAR is trimmed, and identity is null.
+
+All operations of SAM are placed by what they use up: N moves along the reference and counts for nothing else (it is
+no deletion and covers nothing), H and P use up neither side and have no place; trimming leaves them out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import ALIGNED, CIGAR, DELETION, INSERTION, MATCH, MISMATCH, ON_READ, ON_REF, SOFT_CLIP
+from ..schemas import ALIGNED, CIGAR, COVERS, DELETION, HARD_CLIP, INSERTION, MATCH, MISMATCH, ON_READ, ON_REF, PADDING, SKIPPED, SOFT_CLIP, UNPLACED
 from .arrays import _c, let, run_lengths
 
 
+def placeable(cigar: str | Column) -> Column:
+    """The operations that use up bases of either side."""
+    return F.filter(_c(cigar), lambda c: ~c["op"].isin(*UNPLACED))
+
 
 def expand(cigar: str | Column) -> Column:
     """One operation code per consumed place."""
-    return F.flatten(F.transform(_c(cigar), lambda c: F.array_repeat(c["op"], c["len"])))
+    return F.flatten(F.transform(placeable(cigar), lambda c: F.array_repeat(c["op"], c["len"])))
 
 
 def encode(ops: str | Column) -> Column:
@@ -29,7 +36,7 @@ def clip(n: Column) -> Column:
 def from_edits(ops: str | Column, lead: str | Column, tail: str | Column) -> Column:
     """struct(cigar, ed) from operation codes and the clips around them."""
     coded = encode(ops)
-    return F.struct(F.concat(clip(_c(lead)), coded, clip(_c(tail))).alias("cigar"), F.size(F.filter(_c(ops), lambda o: ~o.isin(SOFT_CLIP, MATCH))).alias("ed"))
+    return F.struct(F.concat(clip(_c(lead)), coded, clip(_c(tail))).alias("cigar"), F.size(F.filter(_c(ops), lambda o: ~o.isin(SOFT_CLIP, SKIPPED, MATCH))).alias("ed"))
 
 
 def total(cigar: str | Column, *ops: int) -> Column:
@@ -38,18 +45,20 @@ def total(cigar: str | Column, *ops: int) -> Column:
 
 
 def resolve_aligned(cigar: str | Column, seq: str | Column, ref_seq: str | Column, pos: str | Column) -> Column:
-    """The CIGAR with M told apart into = and X by the bases of read and reference; others as they are.
-    N, H and P raise: what they stand for has no place in these tables."""
-    known = F.when(F.exists(_c(cigar), lambda e: e["op"].isin(3, 5, 6)), F.raise_error(F.lit("CIGAR operations N, H and P are not supported")).cast(CIGAR)).otherwise(_c(cigar))
+    """The CIGAR with M told apart into = and X by the bases of read and reference; others as they are."""
+    whole = (SKIPPED, HARD_CLIP, PADDING)  # stay one place each, as a negative number with their length
 
     def compared(read: Column, ref: Column) -> Column:
         base = lambda e, j: F.when(F.get(read, e["q"] + j) == F.get(ref, e["r"] + j), MATCH).otherwise(MISMATCH)
-        ops = lambda e: F.when(e["op"] == ALIGNED, F.transform(F.sequence(F.lit(0), e["len"] - 1), lambda j: base(e, j))).otherwise(F.array_repeat(e["op"], e["len"]))
-        return encode(F.flatten(F.transform(F.filter(placed(cigar, pos), lambda e: e["len"] > 0), ops)))
+        told = lambda e: F.transform(F.sequence(F.lit(0), e["len"] - 1), lambda j: base(e, j))
+        ops = lambda e: F.when(e["op"] == ALIGNED, told(e)).when(e["op"].isin(*whole), F.array(-(e["len"] * 4 + e["op"] - SKIPPED))).otherwise(F.array_repeat(e["op"], e["len"]))
+        runs = run_lengths(F.flatten(F.transform(F.filter(placed(cigar, pos), lambda e: e["len"] > 0), ops)))
+        one = lambda v, n: F.struct(F.when(v < 0, -v % 4 + SKIPPED).otherwise(v).cast("int").alias("op"), F.when(v < 0, F.shiftright(-v, 2) * n).otherwise(n).cast("int").alias("len"))
+        return F.transform(runs, lambda r: one(r["value"], r["n"]))
 
     letters = lambda s: F.split(F.upper(_c(s)), "")
     told = let(F.struct(letters(seq).alias("read"), letters(ref_seq).alias("ref")), lambda t: compared(t["read"], t["ref"]))
-    return F.when(F.exists(known, lambda e: e["op"] == ALIGNED), told).otherwise(known)
+    return F.when(F.exists(_c(cigar), lambda e: e["op"] == ALIGNED), told).otherwise(_c(cigar))
 
 
 def _count(ops: Column, *which: int) -> Column:
@@ -63,7 +72,7 @@ def trim_to_window(cigar: str | Column, window: int = 8, least: int = 6) -> Colu
     One pass: the last `window` operations are bits of a number, set for a match (window: 62 at most)."""
 
     def cut(ops: Column) -> Column:
-        lead = F.when(_c(cigar)[0]["op"] == SOFT_CLIP, _c(cigar)[0]["len"]).otherwise(0)
+        lead = let(F.get(placeable(cigar), F.lit(0)), lambda c: F.when(c["op"] == SOFT_CLIP, c["len"]).otherwise(0))
         begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("bits"), F.lit(0).alias("first"))
 
         def step(acc: Column, op: Column) -> Column:
@@ -74,7 +83,7 @@ def trim_to_window(cigar: str | Column, window: int = 8, least: int = 6) -> Colu
         found = F.aggregate(ops, begin, step, lambda acc: F.when(acc["first"] > 0, acc["first"]))
         return let(found, lambda f: let(f + _first_match(F.slice(ops, f, F.lit(window))) - 1, lambda at: _trimmed(ops, at, None)))
 
-    return F.when(F.size(_c(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
+    return F.when(F.size(placeable(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
 
 
 def _first_match(ops: Column) -> Column:
@@ -88,7 +97,7 @@ def trim_to_matches(cigar: str | Column) -> Column:
         span = F.struct(_first_match(ops).alias("a"), (F.size(ops) - _first_match(F.reverse(ops)) + 1).alias("z"))
         return let(span, lambda s: F.when(s["a"] > 0, _trimmed(ops, s["a"], s["z"])).otherwise(_failed()))
 
-    return F.when(F.size(_c(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
+    return F.when(F.size(placeable(cigar)) > 0, let(expand(cigar), cut)).otherwise(_failed())
 
 
 def _failed() -> Column:
@@ -107,7 +116,7 @@ def _trimmed(ops: Column, first: Column, last: Column | None) -> Column:
 
 def clip_shifts(before: str | Column, after: str | Column) -> Column:
     """struct(five, three): by how much the clip at the end and at the start has grown."""
-    at = lambda c, i: F.when(F.element_at(_c(c), i)["op"] == SOFT_CLIP, F.element_at(_c(c), i)["len"])
+    at = lambda c, i: let(F.try_element_at(placeable(c), F.lit(i)), lambda e: F.when(e["op"] == SOFT_CLIP, e["len"]))
     grown = lambda i: F.when(at(after, i).isNotNull(), at(after, i) - F.coalesce(at(before, i), F.lit(0))).otherwise(F.lit(0))
     return F.struct(grown(-1).alias("five"), grown(1).alias("three"))
 
@@ -150,6 +159,6 @@ def region_counts(cigar: str | Column, pos: str | Column, start: Column, end: Co
         inside = lambda e: (at(e) >= start) & (at(e) < end) & (at(e) >= _c(pos))
         add = lambda ops: F.aggregate(parts, F.lit(0), lambda acc, e: acc + F.when(e["op"].isin(*ops), over(e)).otherwise(0))
         ins = F.aggregate(parts, F.lit(0), lambda acc, e: acc + F.when((e["op"] == INSERTION) & inside(e), e["len"]).otherwise(0))
-        return F.struct(add([MATCH]).alias("match"), ins.alias("ins"), add(ON_REF).alias("cov"), add([DELETION]).alias("del"))
+        return F.struct(add([MATCH]).alias("match"), ins.alias("ins"), add(COVERS).alias("cov"), add([DELETION]).alias("del"))
 
     return let(placed(cigar, pos), summed)

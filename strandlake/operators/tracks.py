@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions.arrays import once
-from ..schemas import ALIGNED, DELETION, INSERTION, MATCH, ON_READ, ON_REF, SOFT_CLIP
+from ..schemas import ALIGNED, DELETION, INSERTION, MATCH, ON_READ, ON_REF, SKIPPED, SOFT_CLIP, UNPLACED
 
 
 def resolve_matches(alignments: DataFrame, refs: DataFrame, key: str = "ref_idx") -> DataFrame:
@@ -25,8 +25,9 @@ def resolve_matches(alignments: DataFrame, refs: DataFrame, key: str = "ref_idx"
 
 def aligned_pairs(alignments: DataFrame, *keep: str) -> DataFrame:
     """I, op, query_pos, ref_pos (-1 where there is none) for each place of each alignment; insertions
-    have the reference position before them in after_pos. M stays one operation unless it is resolved before."""
-    ops = alignments.select("read_id", *keep, F.posexplode(cg.placed("cigar", "pos")).alias("k", "e")).where("e.len > 0")
+    have the reference position before them in after_pos. Skipped reference positions are places, hard clips and padding are
+    not. M stays one operation unless it is resolved before."""
+    ops = alignments.select("read_id", *keep, F.posexplode(cg.placed("cigar", "pos")).alias("k", "e")).where(F.col("e.len") > 0).where(~F.col("e.op").isin(*UNPLACED))
     flat = ops.select("read_id", *keep, "k", "e.op", "e.q", "e.r", F.explode(F.sequence(F.lit(0), F.col("e.len") - 1)).alias("j"))
     on_query, on_ref = F.col("op").isin(*ON_READ), F.col("op").isin(*ON_REF)
     return flat.select("read_id", *keep, "k", "j", "op", F.when(on_query, F.col("q") + F.col("j")).otherwise(-1).alias("query_pos"), F.when(on_ref, F.col("r") + F.col("j")).otherwise(-1).alias("ref_pos"), (F.col("r") - 1).alias("after_pos"))
@@ -36,7 +37,7 @@ def _region_places(alignments: DataFrame, start: Column, end: Column, *keep: str
     """Pairs with their position in the region (position). An insertion stands at the reference position before
     it, if the read has reached one inside the region."""
     rows = alignments.withColumns({"_s": start, "_e": end})
-    pairs = aligned_pairs(rows, *keep, "pos", "_s", "_e").where(F.col("op") != SOFT_CLIP)
+    pairs = aligned_pairs(rows, *keep, "pos", "_s", "_e").where(~F.col("op").isin(SOFT_CLIP, SKIPPED))
     at = F.when(F.col("op") == INSERTION, F.col("after_pos")).otherwise(F.col("ref_pos"))
     op = F.when(F.col("op") == ALIGNED, F.raise_error(F.lit("M is not resolved: see resolve_matches")).cast("int")).otherwise(F.col("op"))
     return pairs.withColumns({"position": at, "op": op}).where("position >= _s and position < _e and position >= pos")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import ON_READ
+
 CHUNKS, CHUNK_SIZE, REF_LEN = 16, 54, 60
 
 
@@ -130,11 +132,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Operation code and length (in SQL that both engines read) of the made CIGARs.
 _OPS = [
+    ("5", "case when l_orderkey % 5 = 0 then 3 else 0 end"),
     ("4", "l_linenumber % 3"),
     ("case when l_orderkey % 3 = 0 then 0 else 7 end", "5 + l_quantity_int % 11"),
     ("1", "l_suppkey % 3"),
     ("8", "l_partkey % 2"),
+    ("6", "case when l_suppkey % 7 = 0 then 2 else 0 end"),
     ("7", "6 + l_orderkey % 7"),
+    ("3", "case when l_partkey % 6 = 0 then 8 else 0 end"),
     ("2", "l_orderkey % 4"),
     ("case when l_suppkey % 4 = 0 then 0 else 7 end", "4 + l_partkey % 9"),
     ("4", "l_quantity_int % 2"),
@@ -149,7 +154,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = F.array(*(F.struct(F.expr(f"cast({op} as int)").alias("op"), F.expr(f"cast({n} as int)").alias("len")) for op, n in _OPS))
     pos, clip = (F.col("l_partkey") % 5).cast("int"), (F.col("l_linenumber") % 3).cast("int")
     rows = items.withColumns({"cigar": F.filter(ops, lambda o: o["len"] > 0), "pos": pos})
-    bases = F.aggregate("cigar", F.lit(0), lambda acc, o: acc + F.when(o["op"] == 2, 0).otherwise(o["len"]))
+    bases = F.aggregate("cigar", F.lit(0), lambda acc, o: acc + F.when(o["op"].isin(*ON_READ), o["len"]).otherwise(0))
     seq = F.concat(F.repeat(F.lit("N"), clip), F.replace(F.substring(F.lit(REF), pos + 1, F.lit(60)), F.lit("TT"), F.lit("TA")))
     return rows.select(
         line_id().alias("read_id"),
@@ -179,17 +184,17 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP_LIST = ", ".join(f"{{'op': {op}, 'len': ({n.replace('l_quantity_int', 'l_quantity::int')})::int}}" for op, n in _OPS)
-ALIGNMENTS = f"""alignments as (select *, left(repeat('N', (l_linenumber % 3)::int) || replace(substring('{REF}', pos + 1, 60), 'TT', 'TA'), list_sum(list_transform(cigar, lambda o: case when o.op = 2 then 0 else o.len end))::int) as seq
+ALIGNMENTS = f"""alignments as (select *, left(repeat('N', (l_linenumber % 3)::int) || replace(substring('{REF}', pos + 1, 60), 'TT', 'TA'), list_sum(list_transform(cigar, lambda o: case when o.op in (2, 3, 5, 6) then 0 else o.len end))::int) as seq
   from (select {LINE_ID} as read_id, l_linenumber, l_returnflag as label, l_linestatus as condition, case when l_linenumber % 2 = 1 then 'a' else 'b' end as aligner,
   (l_partkey % 5)::int as pos, list_filter([{_OP_LIST}], lambda o: o.len > 0) as cigar, (l_suppkey % 61)::int as mapq, case l_suppkey % 10 when 0 then 256 when 1 then 4 when 2 then 2048 else 0 end as flag,
   l_orderkey % 13 = 0 as is_split, ascii(l_returnflag) as ref_idx from lineitem))"""
 
 #: Places of all alignments, in order, with running query and reference positions; op has M told apart, raw_op has not.
 PAIRS = f"""{ALIGNMENTS}, elements as (select read_id, label, condition, aligner, pos, mapq, flag, is_split, seq, u.k, cigar[u.k].op as raw_op, cigar[u.k].len as len from alignments, lateral (select unnest(range(1, len(cigar) + 1)) as k) u),
-  begun as (select *, coalesce(sum(case when raw_op <> 2 then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as q,
-    pos + coalesce(sum(case when raw_op in (0, 2, 7, 8) then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as r from elements),
-  pairs as (select *, case when raw_op <> 0 then raw_op when seq[q + j + 1] = '{REF}'[r + j + 1] then 7 else 8 end as op, case when raw_op <> 2 then q + j else -1 end as query_pos, case when raw_op in (0, 2, 7, 8) then r + j else -1 end as ref_pos, r - 1 as after_pos from (select *, unnest(range(0, len))::int as j from begun))"""
+  begun as (select *, coalesce(sum(case when raw_op in (0, 1, 4, 7, 8) then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as q,
+    pos + coalesce(sum(case when raw_op in (0, 2, 3, 7, 8) then len else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0)::int as r from elements),
+  pairs as (select *, case when raw_op <> 0 then raw_op when seq[q + j + 1] = '{REF}'[r + j + 1] then 7 else 8 end as op, case when raw_op in (0, 1, 4, 7, 8) then q + j else -1 end as query_pos, case when raw_op in (0, 2, 3, 7, 8) then r + j else -1 end as ref_pos, r - 1 as after_pos from (select *, unnest(range(0, len))::int as j from begun where raw_op not in (5, 6)))"""
 START, END = 3, 32
-TRACKS = f"""{PAIRS}, placed as (select *, case when op = 1 then after_pos else ref_pos end as spot from pairs where op <> 4),
+TRACKS = f"""{PAIRS}, placed as (select *, case when op = 1 then after_pos else ref_pos end as spot from pairs where op not in (3, 4)),
   tracks as (select read_id, label, condition, aligner, mapq, flag, is_split, spot as position, (count(*) filter (where op = 7))::int as match, (count(*) filter (where op = 1))::int as ins, max(case when op = 1 then 0 else 1 end) as cov,
     (count(*) filter (where op = 2))::int as del from placed where spot >= {START} and spot < {END} and spot >= pos group by all)"""

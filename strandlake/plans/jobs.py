@@ -148,7 +148,7 @@ def annotated_input(spark, sf_dir):
     return rows.select("read_id", "label", "flag", "mapq", "is_split", F.lit(1000).cast("bigint").alias("ns"), "pos", "cigar", F.lit(LENGTH).alias("ref_len"), (F.col("ref_idx") - 60).alias("class_code"), "seq", mv.alias("mv"), (F.col("mapq") + 3).alias("ts"))
 
 
-_REF_END = "pos + coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op in (0, 2, 7, 8)), lambda o: o.len)), 0)"
+_REF_END = "pos + coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op in (0, 2, 3, 7, 8)), lambda o: o.len)), 0)"
 _GATES = f"fit as (select *, {_REF_END} as ref_end, pos > {LEAD} or {_REF_END} < {LENGTH - TAIL} as fragment, ref_idx - 60 as class_code from alignments where flag & 2308 = 0 and mapq <> 0 and not is_split and abs(greatest(pos, {LEAD}) - least({_REF_END}, {LENGTH - TAIL})) >= {SPAN})"
 simple("f8_f9_f11_gates", lambda s, d: annotate.gates(annotated_input(s, d), LEAD, TAIL, SPAN).select("read_id", "ref_end", "fragment"), f"with {b.ALIGNMENTS}, {_GATES} select read_id, ref_end, fragment from fit")
 _LABELS = f"""{b.PAIRS}, {_GATES}, along as (select p.read_id, p.query_pos, p.ref_pos, fit.class_code, max((p.ref_pos = fit.pos)::int) over w as seen, max((p.ref_pos >= fit.ref_end - 1)::int) over w as past, max(case when p.ref_pos >= 0 then p.ref_pos end) over w as before from pairs p join fit using (read_id) where p.query_pos >= 0 window w as (partition by p.read_id order by p.query_pos rows unbounded preceding)),
@@ -156,7 +156,7 @@ _LABELS = f"""{b.PAIRS}, {_GATES}, along as (select p.read_id, p.query_pos, p.re
 simple("p18_w7_base_labels", lambda s, d: annotate.base_labels(annotate.gates(annotated_input(s, d), LEAD, TAIL, SPAN), LEAD, TAIL).groupBy("read_id", "label").agg(F.count("*").alias("bases"), F.min("query_pos").alias("first")), f"with {_LABELS} select read_id, label, count(*) as bases, min(query_pos) as first from labels group by read_id, label")
 _REGION = f"good as (select read_id, (count(*) filter (where op = 7))::double / count(*) as region_identity from pairs where op in (1, 2, 7, 8) and case when op = 1 then after_pos else ref_pos end between {LEAD} and {LENGTH - TAIL} group by read_id)"
 simple("p21_f10_region_identity", lambda s, d: annotate.with_region_identity(annotated_input(s, d), LEAD, TAIL).where("region_identity >= 0.8").select("read_id", "region_identity"), f"with {b.PAIRS}, {_REGION} select read_id, round(region_identity, 5) as region_identity from good where region_identity >= 0.8")
-_RUNS = f""", moves as (select read_id, mapq + 3 as ts, class_code, fragment, coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op <> 2), lambda o: o.len)), 0)::int as bases from fit join good using (read_id) where region_identity >= 0.9),
+_RUNS = f""", moves as (select read_id, mapq + 3 as ts, class_code, fragment, coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op in (0, 1, 4, 7, 8)), lambda o: o.len)), 0)::int as bases from fit join good using (read_id) where region_identity >= 0.9),
   places as (select read_id, ts, bases, k, ts + (k + k // 3) * 5 as p, ts + (bases + bases // 3) * 5 as total from (select *, unnest(range(0, bases))::int as k from moves)),
   told as (select places.read_id, k, label, coalesce(lead(p) over (partition by places.read_id order by k), total) - p as n from places join labels on labels.read_id = places.read_id and labels.query_pos = bases - 1 - k union all select read_id, -1, 0, p from places where k = 0 and p > 0),
   marked as (select *, coalesce((lag(label) over (partition by read_id order by k) <> label)::int, 0) as new from told), runs as (select read_id, label, n, (sum(new) over (partition by read_id order by k rows unbounded preceding))::int as run from marked)"""

@@ -9,6 +9,7 @@ from ..functions import cigar as cg
 from ..operators import compare as cp
 from ..operators import conditions as cd
 from ..operators import smoothing, tracks
+from ..schemas import ON_REF
 from . import bindings as b
 from .statistics import rounded
 
@@ -121,7 +122,7 @@ _A = f"with {b.ALIGNMENTS} "
 _P = f"with {b.PAIRS} "
 _T = f"with {b.TRACKS} "
 _sum = lambda ops: f"coalesce(list_sum(list_transform(list_filter(cigar, lambda o: o.op in ({ops})), lambda o: o.len)), 0)"
-simple("p13_cigar_identity", lambda s, d: b.resolved(s, d).select("read_id", cg.identity("cigar").alias("identity")), _P + "select read_id, round((count(*) filter (where op = 7))::double / count(*) filter (where op <> 4), 5) as identity from pairs group by read_id")
+simple("p13_cigar_identity", lambda s, d: b.resolved(s, d).select("read_id", cg.identity("cigar").alias("identity")), _P + "select read_id, round((count(*) filter (where op = 7))::double / count(*) filter (where op in (1, 2, 7, 8)), 5) as identity from pairs group by read_id")
 simple(
     "p14_f12_cigar_checks",
     lambda s, d: b.alignments(s, d).select("read_id", cg.is_consistent("cigar", F.lit(30)).alias("fits"), cg.is_fragment("cigar", F.lit(20)).alias("fragment")),
@@ -132,10 +133,10 @@ simple(
     lambda s, d: tracks.aligned_pairs(b.resolved(s, d)).groupBy("read_id", "op").agg(F.count("*").alias("places"), F.sum("query_pos").alias("query_sum"), F.sum("ref_pos").alias("ref_sum"), F.max("query_pos").alias("last_query")),
     _P + "select read_id, op, count(*) as places, sum(query_pos)::bigint as query_sum, sum(ref_pos)::bigint as ref_sum, max(query_pos) as last_query from pairs group by read_id, op",
 )
-_OPS = f"{b.PAIRS}, o as (select read_id, op, raw_op, row_number() over (partition by read_id order by k, j) as n, count(*) over (partition by read_id) as total from pairs), lead4 as (select read_id, (count(*) filter (where op = 4 and k = 1))::int as lead from pairs group by read_id)"
+_OPS = f"{b.PAIRS}, o as (select read_id, op, raw_op, row_number() over (partition by read_id order by k, j) as n, count(*) over (partition by read_id) as total from pairs), lead4 as (select read_id, (count(*) filter (where op = 4 and k <= 2))::int as lead from pairs group by read_id)"
 _AFTER = """, w as (select o.read_id, n, op, lead, sum(case when op = 7 then 1 else 0 end) over (partition by o.read_id order by n rows between current row and 7 following) as hits, total from o join lead4 using (read_id)),
   f as (select read_id, min(n) as f from w where n > lead and n + 7 <= total and hits >= 6 group by read_id), s as (select w.read_id, min(n) as spot from w join f using (read_id) where n >= f and op = 7 group by w.read_id)
-  select o.read_id, (count(*) filter (where n < spot and op in (2, 7, 8)))::int as shift, (count(*) filter (where n < spot and op in (1, 2, 8)))::int as removed, (count(*) filter (where n < spot and op <> 2))::int as clipped, (count(*) filter (where n >= spot and op = 7))::int as matches from o join s using (read_id) group by o.read_id"""
+  select o.read_id, (count(*) filter (where n < spot and op in (2, 3, 7, 8)))::int as shift, (count(*) filter (where n < spot and op in (1, 2, 8)))::int as removed, (count(*) filter (where n < spot and op not in (2, 3)))::int as clipped, (count(*) filter (where n >= spot and op = 7))::int as matches from o join s using (read_id) group by o.read_id"""
 
 
 def p10_trim(spark, sf_dir):
@@ -156,14 +157,14 @@ def p11_trim(spark, sf_dir):
 simple(
     "p11_trim_to_matches",
     p11_trim,
-    f"with {_OPS}, s as (select read_id, min(n) filter (where raw_op in (0, 7)) as a, max(n) filter (where raw_op in (0, 7)) as z from o group by read_id) select o.read_id, (count(*) filter (where n < a and raw_op in (2, 8)))::int as shift, (count(*) filter (where (n < a or n > z) and raw_op in (1, 2, 8)))::int as removed, (count(*) filter (where n < a and op <> 2))::int as lead, (count(*) filter (where n > z and op <> 2))::int as tail from o join s using (read_id) group by o.read_id",
+    f"with {_OPS}, s as (select read_id, min(n) filter (where raw_op in (0, 7)) as a, max(n) filter (where raw_op in (0, 7)) as z from o group by read_id) select o.read_id, (count(*) filter (where n < a and raw_op in (2, 3, 8)))::int as shift, (count(*) filter (where (n < a or n > z) and raw_op in (1, 2, 8)))::int as removed, (count(*) filter (where n < a and op not in (2, 3)))::int as lead, (count(*) filter (where n > z and op not in (2, 3)))::int as tail from o join s using (read_id) group by o.read_id",
 )
 simple(
     "p9_p12_encode_and_shifts",
     lambda s, d: b.resolved(s, d).select("read_id", cg.from_edits(cg.expand(F.filter("cigar", lambda o: o["op"] != 4)), F.lit(2), F.lit(3)).alias("e"), cg.clip_shifts("cigar", cg.trim_to_matches("cigar")["cigar"]).alias("c")).select("read_id", F.size("e.cigar").alias("parts"), "e.ed", "c.five", "c.three"),
-    f"with {_OPS}, s as (select read_id, min(n) filter (where op = 7) as a, max(n) filter (where op = 7) as z from o group by read_id), t as (select o.read_id, (count(*) filter (where n < a and op <> 2))::int as lead, (count(*) filter (where n > z and op <> 2))::int as tail from o join s using (read_id) group by o.read_id), "
-    "m as (select read_id, op, lag(op) over (partition by read_id order by n) as before from o where op <> 4), r as (select read_id, (count(*) filter (where before is distinct from op))::int + 2 as parts, (count(*) filter (where op <> 7))::int as ed from m group by read_id) "
-    "select r.read_id, parts, ed, case when tail > 0 then tail - case when cigar[-1].op = 4 then cigar[-1].len else 0 end else 0 end as five, case when lead > 0 then lead - case when cigar[1].op = 4 then cigar[1].len else 0 end else 0 end as three from r join t using (read_id) join alignments using (read_id)",
+    f"with {_OPS}, s as (select read_id, min(n) filter (where op = 7) as a, max(n) filter (where op = 7) as z from o group by read_id), t as (select o.read_id, (count(*) filter (where n < a and op not in (2, 3)))::int as lead, (count(*) filter (where n > z and op not in (2, 3)))::int as tail from o join s using (read_id) group by o.read_id), "
+    "m as (select read_id, op, lag(op) over (partition by read_id order by n) as before from o where op <> 4), r as (select read_id, (count(*) filter (where before is distinct from op))::int + 2 as parts, (count(*) filter (where op not in (3, 7)))::int as ed from m group by read_id) "
+    "select r.read_id, parts, ed, case when tail > 0 then tail - case when cigar[-1].op = 4 then cigar[-1].len else 0 end else 0 end as five, case when lead > 0 then lead - case when bare[1].op = 4 then bare[1].len else 0 end else 0 end as three from r join t using (read_id) join (select read_id, cigar, list_filter(cigar, lambda o: o.op not in (5, 6)) as bare from alignments) using (read_id)",
 )
 _tr = lambda s, d: tracks.tracks(b.resolved(s, d), F.lit(b.START), F.lit(b.END), "label", "condition", "aligner")
 _position_sums = lambda s, d, *by: tracks.position_sums(b.resolved(s, d), F.lit(b.START), F.lit(b.END), *by)
@@ -221,6 +222,6 @@ simple(
 )
 simple(
     "f6_region_overlap",
-    lambda s, d: b.alignments(s, d).select("read_id", "pos", (F.col("pos") + cg.total("cigar", 0, 2, 7, 8)).alias("ref_end")).where("not (ref_end <= 3 or pos >= 20)").select("read_id", "ref_end"),
-    _A + f"select read_id, pos + {_sum('0, 2, 7, 8')} as ref_end from alignments where not (pos + {_sum('0, 2, 7, 8')} <= 3 or pos >= 20)",
+    lambda s, d: b.alignments(s, d).select("read_id", "pos", (F.col("pos") + cg.total("cigar", *ON_REF)).alias("ref_end")).where("not (ref_end <= 3 or pos >= 20)").select("read_id", "ref_end"),
+    _A + f"select read_id, pos + {_sum('0, 2, 3, 7, 8')} as ref_end from alignments where not (pos + {_sum('0, 2, 3, 7, 8')} <= 3 or pos >= 20)",
 )

@@ -12,7 +12,10 @@ RUN_METADATA = (
     "label_names map<string, string>, batch_size int, device string, float_dtype string, timestamp string, model_checkpoint string, pod5_paths array<string>, "
     "num_reads_processed bigint, total_inference_time double"
 )
-#: CIGAR operation codes. ALIGNED is a match or a mismatch, told by comparing bases (cigar.resolve_aligned).
-ALIGNED, INSERTION, DELETION, SOFT_CLIP, MATCH, MISMATCH = 0, 1, 2, 4, 7, 8
-#: Operations that use up read bases, and reference bases.
-ON_READ, ON_REF = (ALIGNED, INSERTION, SOFT_CLIP, MATCH, MISMATCH), (ALIGNED, DELETION, MATCH, MISMATCH)
+#: CIGAR operation codes, as SAM numbers them. ALIGNED is a match or a mismatch, told by comparing bases (cigar.resolve_aligned).
+ALIGNED, INSERTION, DELETION, SKIPPED, SOFT_CLIP, HARD_CLIP, PADDING, MATCH, MISMATCH = range(9)
+LETTERS = "MIDNSHP=X"
+#: Operations that use up read bases, that use up reference bases, that cover reference bases (a skipped stretch
+#: covers none), and that use up neither.
+ON_READ, ON_REF = (ALIGNED, INSERTION, SOFT_CLIP, MATCH, MISMATCH), (ALIGNED, DELETION, SKIPPED, MATCH, MISMATCH)
+COVERS, UNPLACED = (ALIGNED, DELETION, MATCH, MISMATCH), (HARD_CLIP, PADDING)

@@ -35,8 +35,7 @@ def parse_sam(lines: DataFrame, value: str = "value") -> DataFrame:
     """SAM text to reads with tags; header lines are left out, unmapped records kept."""
     f = F.split(F.col(value), "\t")
     rows = lines.where(~F.startswith(F.col(value), F.lit("@"))).select(f.alias("f"))
-    kinds = {"I": 1, "D": 2, "N": 3, "S": 4, "H": 5, "P": 6, "=": 7, "X": 8, "M": 0}
-    code = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    code = F.create_map(*(F.lit(x) for op, letter in enumerate(schemas.LETTERS) for x in (letter, op)))
     parts = F.regexp_extract_all(F.col("f")[5], F.lit(r"(\d+[MIDNSHP=X])"), 1)
     cigar = F.transform(parts, lambda p: F.struct(code[F.right(p, F.lit(1))].alias("op"), F.left(p, F.length(p) - 1).cast("int").alias("len")))
     tags = F.map_from_entries(F.transform(F.filter(F.slice(F.col("f"), 12, 1000), lambda t: F.length(t) >= 5), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 30))))
@@ -64,7 +63,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 def to_sam(alignments: DataFrame) -> DataFrame:
     """SAM text of alignments, one value column."""
-    letter = F.create_map(*(x for k, v in {0: "M", 1: "I", 2: "D", 4: "S", 7: "=", 8: "X"}.items() for x in (F.lit(k), F.lit(v))))
+    letter = F.create_map(*(F.lit(x) for pair in enumerate(schemas.LETTERS) for x in pair))
     text = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), letter[c["op"]])), "")
     return alignments.select(F.concat_ws("\t", "read_id", F.col("flag").cast("string"), "ref_name", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.when(F.size("cigar") > 0, text).otherwise("*"), F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*")).alias("value"))
 

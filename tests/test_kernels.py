@@ -13,14 +13,15 @@ from strandlake.functions import arrays as ar
 from strandlake.functions import cigar as cg
 from strandlake.functions import kernels
 from strandlake.operators import align, annotate, compare, smoothing, tracks
+from strandlake.schemas import LETTERS
 from strandlake.sources import tables as src
 
-CODES = {"S": 4, "D": 2, "=": 7, "I": 1, "X": 8}
+CODES = {letter: op for op, letter in enumerate(LETTERS)}
 CIGAR = "array<struct<op: int, len: int>>"
 
 
 def parse(text):
-    return [(CODES[o], int(n)) for n, o in re.findall(r"(\d+)([SD=IX])", text)]
+    return [(CODES[o], int(n)) for n, o in re.findall(r"(\d+)([A-Z=])", text)]
 
 
 def test_signal_kernels(spark):
@@ -185,9 +186,42 @@ def test_aligned_operation_is_told_by_bases(spark):
     assert trimmed["r1"] == [(0, 30)] and trimmed["r3"] == [(4, 2), (0, 20), (2, 1), (0, 6)]
     with pytest.raises(Exception, match="M is not resolved"):
         tracks.tracks(rows, F.lit(0), F.lit(40)).collect()
-    hard = src.parse_sam(spark.createDataFrame([("r\t0\tx\t1\t60\t5H30M\t*\t0\t0\t" + "A" * 30 + "\t*",)], "value string")).withColumn("ref_idx", F.lit(0))
-    with pytest.raises(Exception, match="not supported"):
-        tracks.resolve_matches(hard, refs).collect()
+
+
+def sam(spark, *records):
+    """Rows of (name, flag, 1-based pos, CIGAR, seq)."""
+    lines = [(f"{n}\t{flag}\tx\t{pos}\t60\t{c}\t*\t0\t0\t{seq}\t*",) for n, flag, pos, c, seq in records]
+    return src.parse_sam(spark.createDataFrame(lines, "value string")).withColumn("ref_idx", F.lit(0))
+
+
+def test_hard_clips_padding_and_skips_do_not_end_a_job(spark):
+    """One clean read, one supplementary with hard clips: both have identity 1."""
+    rows = sam(spark, ("r1", 0, 1, "30M", "A" * 30), ("r2", 2048, 1, "4H30M", "A" * 30), ("r3", 0, 1, "2H3S10M2P10M5N10M1H", "C" * 3 + "A" * 30), ("r4", 4, 0, "*", "A" * 30))
+    refs = spark.createDataFrame([(0, "x", "A" * 40, 40)], "ref_idx int, ref_name string, seq string, len int")
+    kept = {r.read_id: r for r in tracks.read_stats(rows, refs, keep_secondary=True).collect()}
+    assert {n: (r.status, r.identity, r.length, r.deletions) for n, r in kept.items() if n != "r4"} == {"r1": ("pass", 1.0, 30, 0), "r2": ("pass", 1.0, 30, 0), "r3": ("pass", 1.0, 30, 0)}
+    assert {r.read_id for r in tracks.read_stats(rows, refs).collect()} == {"r1", "r3", "r4"} and kept["r4"].status == "unmapped"
+    told = {r.read_id: [tuple(e) for e in r.cigar] for r in tracks.resolve_matches(rows, refs).collect()}
+    assert told["r2"] == [(5, 4), (7, 30)] and told["r3"] == [(5, 2), (4, 3), (7, 10), (6, 2), (7, 10), (3, 5), (7, 10), (5, 1)]
+    pairs = [(r.op, r.query_pos, r.ref_pos) for r in tracks.aligned_pairs(tracks.resolve_matches(rows, refs)).where("read_id = 'r3'").orderBy("k", "j").collect()]
+    assert pairs == [(4, i, -1) for i in range(3)] + [(7, 3 + i, i) for i in range(20)] + [(3, -1, 20 + i) for i in range(5)] + [(7, 23 + i, 25 + i) for i in range(10)]
+    places = tracks.tracks(tracks.resolve_matches(rows, refs).where("read_id = 'r3'"), F.lit(0), F.lit(40)).orderBy("position").collect()
+    assert [r.position for r in places] == [*range(20), *range(25, 35)] and all((r.match, r.ins, r.cov, getattr(r, "del")) == (1, 0, 1, 0) for r in places)
+
+
+def test_operations_without_bases_in_trimming_and_checks(spark):
+    rows = spark.createDataFrame([(parse("3H2S1X9=4N5=2P6=1D2S1H"),), (parse("5H"),)], f"cigar {CIGAR}")
+    m, w, ok, identity, shifts = rows.select(cg.trim_to_matches("cigar"), cg.trim_to_window("cigar"), cg.is_consistent("cigar", F.lit(25)), cg.identity("cigar"), cg.clip_shifts("cigar", cg.trim_to_matches("cigar")["cigar"])).first()
+    assert ([tuple(e) for e in m.cigar], m.shift, m.removed) == (parse("3S9=4N11=2S"), 1, 2)
+    assert ([tuple(e) for e in w.cigar], w.shift, w.removed) == (parse("3S9=4N11=1D2S"), 1, 1)
+    assert ok and identity == 20 / 22 and tuple(shifts) == (0, 1)
+    assert rows.where(F.size("cigar") == 1).select(cg.trim_to_window("cigar")["cigar"], cg.trim_to_matches("cigar")["cigar"]).first() == ([], [])
+
+
+def test_skips_and_hard_clips_go_through_sam_text(spark):
+    rows = sam(spark, ("r", 0, 3, "3H2S10=4N5=2P6=1H", "A" * 23)).withColumn("ref_name", F.lit("x"))
+    back = src.parse_sam(src.to_sam(rows))
+    assert back.select("cigar").first() == rows.select("cigar").first()
 
 
 def test_annotation_runs_match_base_by_base(spark):
