@@ -1,8 +1,7 @@
 """Statistical tests (T1 to T6), ranks and quantiles on counted values.
 
-Ranks and quantiles come from counts of distinct values with running sums in two steps (ranges of values, then
-values of a range), so no window and no aggregate holds all values of a group. Spark has no error function: p-values are worked out by a small
-pandas function over one row per test or class.
+Ranks and quantiles come from counted values (functions.counted). Spark has no error function: p-values are worked
+out by a small pandas function over one row per test or class.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .counted import count_values, mean, mid_rank, quantile, ranked, rows_of
+
 
 @F.pandas_udf(DoubleType())
 def _erfc(x):
@@ -37,88 +38,70 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q") -> DataFram
     return ranked.withColumn(q, F.least(F.lit(1.0), least)).drop("_r")
 
 
-#: Ranges of values between a power of two (of |v| + 1) and the next.
-RANGES = 4096
-
-
-def _same(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
-    out = F.lit(True)
-    for c in on:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
-
-
-def running_counts(values: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, n (how often), upto (how many values of the group up to it) and total (of the group)."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_range", F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1) * RANGES * F.signum(F.col(value).cast("double"))))
-    sums = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_part"))
-    group = Window.partitionBy(*(by or [F.lit(1)]))
-    before = F.coalesce(F.sum("_part").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("_before", before).withColumn("total", F.sum("_part").over(group))  # a row per range
-    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = counts.withColumn("_in", F.sum("n").over(within))
-    joined = inside.join(sums, _same(inside, sums, [*by, "_range"]))
-    return joined.select(*(inside[c] for c in by), inside[value], inside["n"], (F.col("_before") + F.col("_in")).alias("upto"), "total")
-
-
-def value_ranks(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """by, value, n (how often), mid_rank: ranks of the distinct values, ties at their middle."""
-    by = by or []
-    return running_counts(values, value, by).select(*by, value, "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("mid_rank"))
-
-
-def with_quantiles(summary: DataFrame, rows: DataFrame, wanted: dict[str, tuple[Column, float]], by: list[str]) -> DataFrame:
-    """Adds exact, interpolated quantiles to a summary with a row per group: {name: (value over rows, depth)}. A
-    group without values has null."""
-    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, (v, _) in wanted.items()))).alias("_e"))
-    counted = running_counts(long.select(*by, F.col("_e.name").alias("_name"), F.col("_e.v").alias("_v")), "_v", [*by, "_name"])
-    depth = F.create_map(*(F.lit(x) for k, (_, d) in wanted.items() for x in (k, float(d))))[F.col("_name")]
-    counted = counted.withColumn("_at", (F.col("total") - 1) * depth)
-    held = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("_v")))
-    low = counted.groupBy(*by, "_name").agg(held(F.floor("_at")).alias("_lo"), held(F.ceil("_at")).alias("_hi"), F.max(F.col("_at") - F.floor("_at")).alias("_part"))
-    low = low.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
-    wide = low.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == k, F.col("_q"))).alias(k) for k in wanted))
-    if not by:
-        return summary.crossJoin(wide)  # one row by one row
-    return summary.join(wide, _same(summary, wide, by), "left").select(*(summary[c] for c in summary.columns), *wanted)
+def rank_tests(entries: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group of entries (by, paired, measure, value, n, mine).
+
+    Measures x and y hold the samples. rank holds what is ranked: for paired samples |x - y| without zeros, mine
+    counting the positive ones (signed-rank statistic, normal approximation with tie correction, no
+    continuity correction); else all values, mine counting those of x (the U of x, tie correction and 0.5 continuity)."""
+    here, n = F.col("measure") == "rank", F.col("held")
+    total = F.max(F.when(here, F.col("total")))
+    found = ranked(entries, [*by, "paired"]).groupBy(*by, "paired").agg(
+        rows_of("x").alias("nx"),
+        rows_of("y").alias("ny"),
+        *(mean(s).alias(f"mean_{s}") for s in "xy"),
+        *(quantile(s, 0.5).alias(f"median_{s}") for s in "xy"),
+        F.sum(F.when(here, mid_rank() * F.col("mine"))).alias("r"),
+        F.coalesce(total, F.lit(0)).alias("k"),
+        F.sum(F.when(here, n * (n * n - 1.0))).alias("ties"),
+    )
+    k, nx, ny, paired = F.col("k"), F.col("nx"), F.col("ny"), F.col("paired")
+    u = F.col("r") - nx * (nx + 1.0) / 2
+    sd = F.when(paired, F.sqrt(k * (k + 1.0) * (2.0 * k + 1.0) / 24 - F.col("ties") / 48)).otherwise(F.sqrt(nx * ny / 12.0 * ((k + 1.0) - F.when(k > 1, F.col("ties") / (k * (k - 1.0))).otherwise(F.lit(0.0)))))
+    off = F.when(paired, F.col("r") - k * (k + 1.0) / 4).otherwise(u - nx * ny / 2.0 - 0.5)
+    statistic = F.when(paired, F.coalesce("r", F.lit(0.0))).otherwise(u)
+    p = F.coalesce(normal_sf(F.when(sd > 0, off / sd)), F.lit(1.0))
+    return found.select(*by, F.when(paired, nx).otherwise(nx + ny).alias("n"), "mean_x", "mean_y", "median_x", "median_y", statistic.alias("statistic"), p.alias("p"))
+
+
+def paired_entries(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Entries of rank_tests from counts of the measures x, y and d = x - y, rounded, over pairs that have both."""
+    d = F.col("measure") == "d"
+    told = counts.where(~d | (F.col("value") != 0)).select(*by, F.lit(True).alias("paired"), F.when(d, "rank").otherwise(F.col("measure")).alias("measure"), F.when(d, F.abs("value")).otherwise(F.col("value")).alias("value"), "n", F.when(d & (F.col("value") > 0), F.col("n")).otherwise(0).alias("mine"))
+    return told.groupBy(*by, "paired", "measure", "value").agg(F.sum("n").alias("n"), F.sum("mine").alias("mine"))
+
+
+def unpaired_entries(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Entries of rank_tests from counts of the measures x and y."""
+    told = counts.where(F.col("value").isNotNull() & F.col("measure").isin("x", "y"))
+    x = F.when(F.col("measure") == "x", F.col("n")).otherwise(0)
+    both = F.explode(F.array(F.struct("measure", F.lit(0).cast("long").alias("mine")), F.struct(F.lit("rank").alias("measure"), x.alias("mine")))).alias("e")
+    return told.select(*by, F.lit(False).alias("paired"), "value", "n", both).groupBy(*by, "paired", "e.measure", "value").agg(F.sum("n").alias("n"), F.sum("e.mine").alias("mine"))
+
+
+_REPORT = ("n", "mean_x", "mean_y", "median_x", "median_y", "statistic", "p")
+#: What a test without a single value reports.
+_EMPTY = "0L as n, double(null) as mean_x, double(null) as mean_y, double(null) as median_x, double(null) as median_y, {} as statistic, 1.0D as p"
 
 
 def paired_signed_rank(pairs: DataFrame) -> DataFrame:
-    """One row for paired columns x, y: signed-rank statistic of x - y > 0 without zeros, normal
-    approximation with tie correction, no continuity correction."""
-    d = F.round(F.col("x") - F.col("y"), 12)
-    told = pairs.where("x is not null and y is not null").withColumn("d", d)
-    summary = told.agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
-    summary = with_quantiles(summary, told, {"median_x": (F.col("x"), 0.5), "median_y": (F.col("y"), 0.5)}, [])
-    nonzero = told.where("d <> 0").select(F.abs("d").alias("m"), (F.col("d") > 0).cast("int").alias("up"))
-    ranks = value_ranks(nonzero, "m")
-    ups = nonzero.groupBy("m").agg(F.sum("up").alias("ups"))
-    stat = ranks.join(ups, "m").agg(F.sum(F.col("mid_rank") * F.col("ups")).alias("w"), F.sum("n").alias("k"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1.0)).alias("ties"))
-    k = F.col("k")
-    sd = F.sqrt(k * (k + 1.0) * (2.0 * k + 1.0) / 24 - F.col("ties") / 48)
-    z = F.when(sd > 0, (F.col("w") - k * (k + 1.0) / 4) / sd)
-    out = summary.crossJoin(stat).withColumn("statistic", F.coalesce("w", F.lit(0.0))).withColumn("p", F.coalesce(normal_sf(z), F.lit(1.0)))  # one row by one row
-    return out.select("n", "mean_x", "mean_y", "median_x", "median_y", "statistic", "p")
+    """One row for paired columns x, y: signed-rank statistic of x - y > 0."""
+    told = pairs.where("x is not null and y is not null")
+    counts = count_values(told, [], {"x": F.col("x"), "y": F.col("y"), "d": F.round(F.col("x") - F.col("y"), 12)})
+    return _one(rank_tests(paired_entries(counts, []), []), "0.0D")
 
 
 def rank_sum(sample: DataFrame) -> DataFrame:
-    """T4: one row for (side in 'x', 'y'; v): rank-sum test that x is greater, tie correction and 0.5
-    continuity; statistic is the U of x."""
-    told = sample.where("v is not null")
-    mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("v")))
-    summary = told.agg(F.count_if(F.col("side") == "x").alias("n1"), F.count_if(F.col("side") == "y").alias("n2"), mean("x").alias("mean_x"), mean("y").alias("mean_y"))
-    summary = with_quantiles(summary, told, {f"median_{s}": (F.when(F.col("side") == s, F.col("v")), 0.5) for s in "xy"}, [])
-    ranks = value_ranks(told, "v")
-    mine = told.where("side = 'x'").groupBy("v").agg(F.count("*").alias("xs"))
-    stat = ranks.join(mine, "v", "left").agg(F.sum(F.col("mid_rank") * F.coalesce("xs", F.lit(0))).alias("r"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1.0)).alias("ties"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    n = n1 + n2
-    u = F.col("r") - n1 * (n1 + 1.0) / 2
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1.0) - F.when(n > 1, F.col("ties") / (n * (n - 1.0))).otherwise(F.lit(0.0))))
-    z = F.when(sd > 0, (u - n1 * n2 / 2.0 - 0.5) / sd)
-    out = summary.crossJoin(stat).withColumn("statistic", u).withColumn("p", F.coalesce(normal_sf(z), F.lit(1.0)))  # one row by one row
-    return out.select((n1 + n2).alias("n"), "mean_x", "mean_y", "median_x", "median_y", "statistic", "p")
+    """T4: one row for (side in 'x', 'y'; v): rank-sum test that x is greater; statistic is the U of x."""
+    counts = count_values(sample.where("v is not null"), ["side"], {"v": F.col("v")}).withColumn("measure", F.col("side")).drop("side")
+    return _one(rank_tests(unpaired_entries(counts, []), []), "double(null)")
+
+
+def _one(found: DataFrame, statistic: str) -> DataFrame:
+    """The row of a test, or that of no values."""
+    none = found.sparkSession.range(1).selectExpr(*(x.strip() for x in _EMPTY.format(statistic).split(", ")))
+    both = found.select(*_REPORT, F.lit(0).alias("_o")).unionByName(none.withColumn("_o", F.lit(1)))
+    return both.orderBy("_o").limit(1).drop("_o")
 
 
 def success_rate_test(table: DataFrame) -> DataFrame:

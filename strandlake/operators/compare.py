@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import with_quantiles
+from ..functions import counted as ct
+from ..functions.stats import paired_entries, rank_tests, success_rate_test, unpaired_entries
 from .conditions import bin_of
 
 UNMAPPED = "Unmapped"
@@ -36,20 +37,23 @@ def compare_reads(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+_MEMBERS = {
+    "total_a": "membership <> 'only_b'",
+    "total_b": "membership <> 'only_a'",
+    "both": "membership = 'both'",
+    "only_a": "membership = 'only_a'",
+    "only_b": "membership = 'only_b'",
+    "agreements": "membership = 'both' and agree",
+    "disagreements": "membership = 'both' and not agree",
+}
+
+
 def comparison_stats(compared: DataFrame) -> DataFrame:
-    """A21, in one row."""
-    both, agree = F.col("membership") == "both", F.col("agree")
-    out = compared.agg(
-        F.count_if(F.col("membership") != "only_b").alias("total_a"),
-        F.count_if(F.col("membership") != "only_a").alias("total_b"),
-        F.count_if(both).alias("both"),
-        F.count_if(F.col("membership") == "only_a").alias("only_a"),
-        F.count_if(F.col("membership") == "only_b").alias("only_b"),
-        F.count_if(both & agree).alias("agreements"),
-        F.count_if(both & ~agree).alias("disagreements"),
-        F.coalesce(F.avg("delta_identity"), F.lit(0.0)).alias("mean_delta"),
-    )
-    out = with_quantiles(out, compared, {"median_delta": (F.col("delta_identity"), 0.5)}, []).withColumn("median_delta", F.coalesce("median_delta", F.lit(0.0)))
+    """A21, in one row, from one pass over the joined reads."""
+    counts = ct.count_values(compared, ["membership", "agree"], {"delta": F.col("delta_identity")})
+    told = counts.groupBy("measure", "value").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.expr(which), F.col("n")).otherwise(0)).alias(name) for name, which in _MEMBERS.items()))
+    names = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _MEMBERS]
+    out = ct.ranked(told, []).agg(*names, F.coalesce(ct.mean("delta"), F.lit(0.0)).alias("mean_delta"), F.coalesce(ct.quantile("delta", 0.5), F.lit(0.0)).alias("median_delta"))
     return out.withColumn("agreement_rate", F.when(F.col("both") > 0, F.col("agreements") / F.col("both")).otherwise(F.lit(0.0)))
 
 
@@ -118,20 +122,22 @@ def exclusive_histograms(compared: DataFrame, threshold: float = 0.75) -> DataFr
 
 def aligner_class_summary(sides: DataFrame, ref_lengths: DataFrame) -> DataFrame:
     """From read statistics with an aligner column: a row per (aligner, label) and one total row
-    (All_tRNAs) per aligner, from one pass with grouping sets. Deletions are not mismatches here."""
-    sums = [F.sum(c).alias(c) for c in ("matches", "mismatches", "insertions", "deletions")]
-    grouped = sides.groupingSets([["aligner", "label"], ["aligner"]], "aligner", "label").agg(
-        F.grouping("label").alias("is_total"),
-        F.count("*").alias("n"),
-        F.avg("identity").alias("mean_identity"),
-        F.stddev_pop("identity").alias("std_identity"),
-        F.avg("length").alias("mean_length"),
-        *sums,
+    (All_tRNAs) per aligner, from one pass over the reads and grouping sets over their counted values. Deletions are
+    not mismatches here."""
+    sums = ("matches", "mismatches", "insertions", "deletions")
+    counts = ct.count_values(sides, ["aligner", "label"], {"identity": F.col("identity"), "length": F.col("length")}, sums)
+    sets = [["aligner", "label", "measure", "value"], ["aligner", "measure", "value"]]
+    both = counts.groupingSets(sets, "aligner", "label", "measure", "value").agg(F.grouping("label").alias("is_total"), *(F.sum(c).alias(c) for c in ("n", *sums)))
+    by = ["aligner", "label", "is_total"]
+    grouped = ct.ranked(both, by).groupBy(*by).agg(
+        ct.rows_of("identity").alias("n"),
+        ct.mean("identity").alias("mean_identity"),
+        ct.deviation("identity").alias("std_identity"),
+        ct.mean("length").alias("mean_length"),
+        *(ct.quantile("identity", p / 100).alias(f"p{p}_identity") for p in (25, 50, 75)),
+        ct.quantile("length", 0.5).alias("median_length"),
+        *(F.sum(c).alias(c) for c in sums),
     )
-    told = F.array(F.struct(F.lit(0).alias("is_total"), "label"), F.struct(F.lit(1).alias("is_total"), F.lit(None).cast("string").alias("label")))
-    both = sides.select("aligner", "identity", "length", F.explode(told).alias("_g")).select("aligner", "identity", "length", "_g.*")
-    wanted = {f"p{p}_identity": (F.col("identity"), p / 100) for p in (25, 50, 75)} | {"median_length": (F.col("length"), 0.5)}
-    grouped = with_quantiles(grouped.withColumn("is_total", F.col("is_total").cast("int")), both, wanted, ["aligner", "label", "is_total"]).withColumn("is_total", F.col("is_total").cast("byte"))
     joined = grouped.join(ref_lengths, "label", "left")
     mean_ref = F.avg("ref_len").over(Window.partitionBy("aligner"))
     total = F.col("matches") + F.col("mismatches") + F.col("insertions") + F.col("deletions")
@@ -166,10 +172,30 @@ def error_delta_matrix(sums: DataFrame, a: str = "a", b: str = "b") -> DataFrame
 
 
 def run_summary(stats: DataFrame) -> DataFrame:
-    """A30."""
+    """A30, from one pass over the reads."""
     names = ("identity", "matches", "mismatches", "insertions", "deletions", "length")
-    summary = stats.agg(F.count("*").alias("reads"), F.count_distinct("label").alias("classes"), *(F.avg(c).alias(f"mean_{c}") for c in names))
-    return with_quantiles(summary, stats, {f"median_{c}": (F.col(c), 0.5) for c in names}, [])
+    counts = ct.count_values(stats, ["label"], {c: F.col(c) for c in names})
+    classes = counts.agg(F.count_distinct("label").alias("classes"))
+    found = ct.ranked(ct.merged(counts, []), []).agg(ct.rows_of("identity").alias("reads"), *(ct.mean(c).alias(f"mean_{c}") for c in names), *(ct.quantile(c, 0.5).alias(f"median_{c}") for c in names))
+    return found.crossJoin(classes)  # one row by one row
+
+
+def test_report(compared: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """The paired tests over all, agreeing and disagreeing reads of both sides, the unpaired one, and the
+    success rates at a threshold, all from one pass over the joined reads."""
+    x, y = F.col("identity_a"), F.col("identity_b")
+    counts = ct.count_values(compared, ["membership", "agree"], {"x": x, "y": y, "d": F.round(x - y, 12)})
+    sets = F.explode(F.array(F.lit("paired_all"), F.when(F.col("agree"), "paired_agree").otherwise("paired_disagree"))).alias("test")
+    paired = paired_entries(counts.where("membership = 'both'").select(sets, "measure", "value", "n"), ["test"])
+    unpaired = unpaired_entries(counts.withColumn("test", F.lit("unpaired_all")), ["test"])
+    found = rank_tests(paired.unionByName(unpaired), ["test"])
+    names = F.explode(F.array(*(F.lit(t) for t in ("paired_all", "paired_agree", "paired_disagree", "unpaired_all")))).alias("test")
+    found = compared.sparkSession.range(1).select(names).join(found, "test", "left")  # a test without reads has a row too
+    found = found.withColumns({"n": F.coalesce("n", F.lit(0)), "p": F.coalesce("p", F.lit(1.0)), "statistic": F.coalesce("statistic", F.when(F.col("test") != "unpaired_all", 0.0))})
+    ok = lambda s: F.coalesce(F.sum(F.when((F.col("measure") == s) & (F.col("value") >= threshold), F.col("n"))), F.lit(0))
+    rates = success_rate_test(counts.agg(*(c.alias(n) for s in "xy" for n, c in ((f"pass_{s}", ok(s)), (f"fail_{s}", ct.rows_of(s) - ok(s))))))
+    rates = rates.select(F.lit("success_rate").alias("test"), (F.col("pass_x") + F.col("fail_x")).alias("n"), F.col("rate_x").alias("mean_x"), F.col("rate_y").alias("mean_y"), "statistic", "p")
+    return found.unionByName(rates, allowMissingColumns=True).withColumn("significant", F.col("p") < 0.05)
 
 
 def attempted_reads(*sets: DataFrame) -> DataFrame:

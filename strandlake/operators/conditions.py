@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import benjamini_hochberg, chi_square_p, with_quantiles
+from ..functions import counted as ct
+from ..functions.stats import benjamini_hochberg, chi_square_p
 
 
 def reads_per_class(stats: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def identity_values(stats: DataFrame) -> DataFrame:
 
 def letter_values(stats: DataFrame, depths: tuple[float, ...] = (0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375)) -> DataFrame:
     """Quantiles of identity per class, exact and interpolated, in long form."""
-    names = {f"_{i}": (F.col("identity"), d) for i, d in enumerate(depths)}
-    found = with_quantiles(stats.select("label").distinct(), stats, names, ["label"])
+    counts = ct.count_values(stats, ["label"], {"identity": F.col("identity")})
+    found = ct.ranked(counts, ["label"]).groupBy("label").agg(*(ct.quantile("identity", d).alias(f"_{i}") for i, d in enumerate(depths)))
     pairs = F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"_{i}").alias("q")) for i, d in enumerate(depths)))
     return found.select("label", F.explode(pairs).alias("z")).select("label", F.col("z.depth").alias("depth"), (F.col("z.q") * 100).alias("identity_pct"))
 
@@ -65,16 +66,19 @@ def count_vs_identity(stats: DataFrame) -> DataFrame:
 
 
 def class_summary(stats: DataFrame) -> DataFrame:
-    summary = stats.groupBy("label").agg(
-        F.count("*").alias("reads"),
-        F.avg("identity").alias("mean_identity"),
-        F.stddev_pop("identity").alias("std_identity"),
-        F.min("identity").alias("min_identity"),
-        F.max("identity").alias("max_identity"),
-        F.avg("length").alias("mean_length"),
-        F.stddev_pop("length").alias("std_length"),
+    """A8, from one pass over the reads."""
+    counts = ct.count_values(stats, ["label"], {"identity": F.col("identity"), "length": F.col("length")})
+    return ct.ranked(counts, ["label"]).groupBy("label").agg(
+        ct.rows_of("identity").alias("reads"),
+        ct.mean("identity").alias("mean_identity"),
+        ct.deviation("identity").alias("std_identity"),
+        ct.extreme("identity").alias("min_identity"),
+        ct.extreme("identity", F.max).alias("max_identity"),
+        ct.mean("length").alias("mean_length"),
+        ct.deviation("length").alias("std_length"),
+        ct.quantile("identity", 0.5).alias("median_identity"),
+        ct.quantile("length", 0.5).alias("median_length"),
     )
-    return with_quantiles(summary, stats, {"median_identity": (F.col("identity"), 0.5), "median_length": (F.col("length"), 0.5)}, ["label"])
 
 
 def class_counts(stats: DataFrame, a: str, b: str) -> DataFrame:

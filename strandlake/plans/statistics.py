@@ -151,22 +151,7 @@ simple("a34_distinct_reads", lambda s, d: stats_of(s, d).select("read_id").disti
 
 
 def test_report(spark, sf_dir):
-    """The five tests in one table."""
-    compared = b.compared(spark, sf_dir)
-    both = compared.where("membership = 'both'")
-    sets = {"paired_all": both, "paired_agree": both.where("agree"), "paired_disagree": both.where("not agree")}
-    out = None
-    for name, rows in sets.items():
-        one = st.paired_signed_rank(rows.select(F.col("identity_a").alias("x"), F.col("identity_b").alias("y"))).withColumn("test", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    long = compared.select(F.expr("stack(2, 'x', identity_a, 'y', identity_b) as (side, v)"))
-    out = out.unionByName(st.rank_sum(long).withColumn("test", F.lit("unpaired_all")))
-    ok = lambda s: F.count_if(F.col(f"identity_{s}") >= 0.85)
-    bad = lambda s: F.count_if(~F.coalesce(F.col(f"identity_{s}") >= 0.85, F.lit(False)))
-    rate = st.success_rate_test(compared.agg(ok("a").alias("pass_x"), bad("a").alias("fail_x"), ok("b").alias("pass_y"), bad("b").alias("fail_y")))
-    rate = rate.select(F.lit("success_rate").alias("test"), (F.col("pass_x") + F.col("fail_x")).alias("n"), F.col("rate_x").alias("mean_x"), F.col("rate_y").alias("mean_y"), "statistic", "p")
-    out = out.unionByName(rate, allowMissingColumns=True)
-    return out.withColumn("significant", F.col("p") < 0.05)
+    return cp.test_report(b.compared(spark, sf_dir))
 
 
 _W = """select {name} as test, count(*) as n, round(avg(x), 5) as mean_x, round(avg(y), 5) as mean_y, round(quantile_cont(x, 0.5), 5) as median_x, round(quantile_cont(y, 0.5), 5) as median_y,
