@@ -4,6 +4,7 @@ import functools
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -173,6 +174,50 @@ def test_kernels_do_not_depend_on_the_batch():
             assert all(same) and one.ops[0].tolist() == whole.ops[k].tolist()
 
 
+@pytest.mark.parametrize("kernel", [kernels.glocal, kernels.local])
+def test_kernels_do_not_depend_on_what_they_keep(kernel, monkeypatch):
+    for seed, longest in ((11, 30), (12, 90)):
+        pairs = short_pairs(seed, 40, longest)
+        q, t = [a.encode() for a, _ in pairs], [b.encode() for _, b in pairs]
+        whole = kernel(q, t)
+        for size in (1, 2, 7):
+            with monkeypatch.context() as m:
+                m.setattr(kernels, "KEEP", 1)
+                m.setattr(kernels._Blocks, "__init__", with_blocks_of(kernels._Blocks.__init__, size))
+                cut = kernel(q, t)
+            assert [x.tolist() for x in cut.ops] == [x.tolist() for x in whole.ops]
+            assert all((getattr(cut, f) == getattr(whole, f)).all() for f in ("query_start", "query_end", "ref_start", "ref_end", "matches"))
+
+
+def with_blocks_of(init, size):
+    def made(self, *args):
+        init(self, *args)
+        self.size, self.moves = size, self.moves[:1].repeat(size, 0)
+
+    return made
+
+
+@pytest.mark.parametrize("kernel,n", [(kernels.glocal, 20_000), (kernels.local, 8_000)])
+def test_long_reads_in_bounded_memory(kernel, n):
+    """20,000 letters on 20,000: 800 MB if every operation were kept."""
+    rng = random.Random(6)
+    ref = "".join(rng.choices("ACGT", k=n))
+    x, y, z = n // 4, n // 2, 3 * n // 4
+    read = ref[:x] + "ACGTACGTAC" + ref[x:y] + ref[y + 30 : z] + {"A": "C"}.get(ref[z], "A") + ref[z + 1 :]
+    tracemalloc.start()
+    try:
+        got = kernel([read.encode()], [ref.encode()])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < min(200e6, 1.7 * n * n)  # all operations: 2 n n bytes
+    ops, end = got.ops[0].tolist(), int(got.query_end[0])
+    assert reads_back(ops, read, ref, int(got.query_start[0]), int(got.ref_start[0])) == (end, n) and got.ref_start[0] == 0
+    if kernel is kernels.local:  # a glocal end is chosen by cost over length, so it may leave out some of the read
+        assert (end, ops.count(1), ops.count(2)) == (n - 20, 10, 30) and ops.count(8) < 10
+    assert got.matches[0] == ops.count(7) > n - 100
+
+
 def test_aligned_operation_is_told_by_bases(spark):
     lines = ["r1\t0\tx\t1\t60\t30M\t*\t0\t0\t" + "A" * 30 + "\t*", "r2\t0\tx\t1\t60\t30=\t*\t0\t0\t" + "A" * 30 + "\t*", "r3\t0\tx\t3\t60\t2S20M1D6M\t*\t0\t0\t" + "A" * 12 + "C" * 8 + "A" * 8 + "\t*"]
     rows = src.parse_sam(spark.createDataFrame([(x,) for x in lines], "value string")).withColumn("ref_idx", F.lit(0))
