@@ -18,7 +18,6 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_column, materialize, text_key, tidy
+from .prefixes import rare_links
+from .shingles import shingle_hashes, shingle_set
 from .words import lots, mix, text_buffers
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BLOCK = 1 << 16
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def shingle_hashes(text: bytes, ngram: int) -> Iterator[np.ndarray]:
-    """XXH64 (seed 42) of the word shingles of a text, in blocks."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return
-    line, k = b" ".join(words), min(ngram, len(words))
-    ends = list(accumulate(words, lambda at, w: at + len(w) + 1, initial=-1))[1:]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    ends = ends[k - 1 :]
-    digest = xxhash.xxh64_intdigest
-    for i in range(0, len(ends), _BLOCK):
-        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK])], dtype=np.uint64)
-
-
 def fingerprint(text: bytes, ngram: int, bits: int) -> np.ndarray:
     """bits / 64 unsigned words; a bit is set if it is set in over half of the shingle hashes."""
     return set_fingerprint(shingle_hashes(text, ngram), bits)
@@ -315,11 +300,6 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 64, segment_bit
     return joined.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
 
 
-def shingle_set(text: bytes, ngram: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, in order."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, ngram)]))
-
-
 def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
     """Tree edges that join what the pairs of sets of that Jaccard similarity join; with `side`, pairs of two
     sides only. A pair is left unverified only if its ends are joined already or its sizes rule it out."""
@@ -422,15 +402,20 @@ def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
 def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000) -> DataFrame:
     """doc_id, tk, root and root_tk (the smallest of its group) for every row with a doc_id; tk is the text's key.
 
-    Texts with the same set of shingles are one class. The prints only propose: classes of equal
-    print and what near_links joins are one loose group, in which similar_links verifies the texts before
-    a link joins anything."""
+    Texts with the same set of shingles are one class. Classes of equal print, what near_links joins by prints and
+    what rare_links joins by rare shingles are one loose group, in which similar_links verifies the texts before
+    a link joins anything. rare_links is exact, so no link of that similarity is lost where the prints miss one."""
     names = [f"w{i}" for i in range(bits // 64)]
     prints = materialize(set_prints(docs.where("doc_id is not null"), ngram, bits))
     classes = prints.groupBy(*names, "s0", "s1").agg(F.min(F.struct("doc_id", "tk", "bytes")).alias("least"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # stored, so a class keeps its number
     reps = materialize(classes.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
-    found = components(near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget, group_rows))
+    rows, total_bytes = classes.agg(F.count("*"), F.coalesce(F.sum("least.bytes"), F.lit(0))).first()
+    of = classes.join(reps, names).select("node", "rep")
+    exact = rare_links(docs, classes, rows, total_bytes, ngram, similarity)
+    exact = exact.join(of.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    likely = near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget, group_rows)
+    found = components(likely.unionAll(exact))
     # roots are not among its nodes; a print of several classes is a group without a link too
     groups = found.select("node", F.col("root").alias("g")).unionAll(found.select("root", "root").distinct())
     groups = reps.join(groups, F.col("rep") == F.col("node"), "left").where("g is not null or n > 1").select(*names, F.coalesce("g", "rep").alias("g"))
@@ -451,7 +436,8 @@ def drop_near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.
 
     Of 256 bits, two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 on
     average (the angle between their shingle vectors), hardly ever in over 64; eight segments of 32 bits find
-    such a pair with over 99 % probability. The prints count each distinct shingle once, as the similarity
+    such a pair with 92 % (texts of 8 words) to over 99 % probability, and the rarest shingles
+    of both (prefixes.rare_links) find every one. The prints count each distinct shingle once, as the similarity
     does, and every link is verified on the shingles themselves. Rows with null doc_id stay."""
     found = similar_groups(docs, ngram, similarity, bits, segment_bits, budget, total_budget)
     key, number = free_column(docs, "_tk"), free_column(docs, "_id")
