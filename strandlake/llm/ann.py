@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product, with learned partitions.
 
-The number of parts grows with the square root of the rows, so that parts and the rows of one grow alike; one
-path serves every size. Fitting, on a sample of about `sample_rows` vectors or SAMPLE_PER_PART for each part:
+The number of parts grows with the square root of the rows up to MOST_PARTS, so that parts and the rows of one grow
+alike, and larger parts beyond are cut into more blocks; one path serves every size. Fitting, on the driver, on a
+sample of about `sample_rows` vectors or SAMPLE_PER_PART for each part, so of MOST_PARTS * SAMPLE_PER_PART at most,
+with tables of sample by parts made in blocks (150 MB at most, whatever the rows):
 link each to its nearest, cut that graph into parts of equal size that few links cross, and train a small
 network to name the parts in which a vector's neighbours lie. Indexing gives every row its most probable
 part. A query goes to its most probable parts, as many as the sample needs for `target_recall`, and is
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize, tidy
 
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
-SAMPLE_PER_PART = 64
+SAMPLE_PER_PART, MOST_PARTS = 64, 512
+#: Numbers of a block of a large table on the driver.
+BLOCK_CELLS = 1 << 21
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -40,29 +44,37 @@ def usable(vectors: DataFrame) -> DataFrame:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k rows of largest inner product with each row, itself left out."""
     out = np.empty((len(x), k), dtype=np.int64)
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out[i : i + 1024] = np.argpartition(-s, k, axis=1)[:, :k]
+    for rows in row_blocks(len(x), len(x)):
+        s = x[rows] @ x.T
+        s[np.arange(len(s)), rows] = -np.inf
+        out[rows] = np.argpartition(-s, k, axis=1)[:, :k]
     return out
 
 
+def row_blocks(rows: int, columns: int) -> list[np.ndarray]:
+    """Row numbers in lots whose table of so many columns stays small."""
+    step = max(1, BLOCK_CELLS // max(1, columns))
+    return [np.arange(i, min(rows, i + step)) for i in range(0, rows, step)]
+
+
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, sweeps: int = 8) -> np.ndarray:
     """A part for each row, none above 1.1 times its share: grown around spread centres, then each row
     moves to the part of most of its neighbours while there is room."""
     n = len(x)
     centres = x[rng.choice(n, parts, replace=False)]
+    blocks = row_blocks(n, parts)
+    affinity = lambda rows: x[rows] @ centres.T - 0.5 * (centres**2).sum(1)
     for _ in range(10):
-        near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+        near = np.concatenate([affinity(rows).argmax(1) for rows in blocks])
         centres = np.stack([x[near == p].mean(0) if (near == p).any() else x[rng.integers(n)] for p in range(parts)])
     room = int(np.ceil(1.1 * n / parts))
-    affinity = x @ centres.T - 0.5 * (centres**2).sum(1)
     part, size = np.full(n, -1), np.zeros(parts, dtype=np.int64)
-    for i in np.argsort(-affinity.max(1), kind="stable"):
-        for p in np.argsort(-affinity[i]):
-            if size[p] < room:
-                part[i], size[p] = p, size[p] + 1
-                break
+    nearest_first = np.argsort(-np.concatenate([affinity(rows).max(1) for rows in blocks]), kind="stable")
+    for rows in blocks:
+        rows = nearest_first[rows]
+        for i, choices in zip(rows, np.argsort(-affinity(rows), axis=1)):
+            p = choices[np.argmax(size[choices] < room)]
+            part[i], size[p] = p, size[p] + 1
     both = [list(row) for row in graph]
     for i, row in enumerate(graph):
         for j in row:
@@ -84,8 +96,9 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
 class Router:
     """A network with one hidden layer from a vector to the parts of its neighbours."""
 
-    def __init__(self, x: np.ndarray, wanted: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 60):
-        d, parts = x.shape[1], wanted.shape[1]
+    def __init__(self, x: np.ndarray, wanted: np.ndarray, weights: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 128, epochs: int = 60):
+        """wanted: for each row the parts that its weights go to."""
+        d = x.shape[1]
         self.scale = float(np.sqrt((x**2).sum(1).mean())) or 1.0
         w = [rng.normal(0, (2 / d) ** 0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts)), np.zeros(parts)]
         m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
@@ -93,7 +106,8 @@ class Router:
         for epoch in range(epochs):
             rate = 4e-3 * (1 - epoch / epochs)
             for rows in np.array_split(rng.permutation(len(z)), max(1, len(z) // 128)):
-                a, y = z[rows] * d**0.5, wanted[rows]
+                a, y = z[rows] * d**0.5, np.zeros((len(rows), parts))
+                np.add.at(y, (np.arange(len(rows))[:, None], wanted[rows]), weights)
                 h = np.maximum(0, a @ w[0] + w[1])
                 o = h @ w[2] + w[3]
                 p = np.exp(o - o.max(1, keepdims=True))
@@ -119,16 +133,12 @@ def fit(sample: np.ndarray, parts: int, k: int, target_recall: float, seed: int
     links = min(max(k, 10), len(sample) - 1)
     graph = neighbour_graph(sample, links)
     part = balanced_parts(sample, graph[:, :10], parts, rng)
-    wanted = np.zeros((len(sample), parts))
-    for j in range(links):
-        np.add.at(wanted, (np.arange(len(sample)), part[graph[:, j]]), 1 / (2 * links))
-    wanted[np.arange(len(sample)), part] += 0.5
+    wanted = np.concatenate([part[graph], part[:, None]], axis=1)
     test = len(sample) // 5
-    router = Router(sample[test:], wanted[test:], rng)
-    own = router.logits(sample).argmax(1)
-    order = np.argsort(-router.logits(sample[:test]), axis=1)
-    rank = np.argsort(order, axis=1)
-    need = np.take_along_axis(rank, own[graph[:test]], axis=1)
+    router = Router(sample[test:], wanted[test:], np.array([1 / (2 * links)] * links + [0.5]), parts, rng)
+    own = np.concatenate([router.logits(sample[rows]).argmax(1) for rows in row_blocks(len(sample), parts)])
+    ranks = lambda rows: np.argsort(np.argsort(-router.logits(sample[rows]), axis=1), axis=1)
+    need = np.concatenate([np.take_along_axis(ranks(rows), own[graph[rows]], axis=1) for rows in row_blocks(test, parts)])
     for probe in range(1, parts):
         if (need < probe).mean() >= target_recall:
             return router, probe
@@ -143,8 +153,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def part_count(rows: int, per_root: float = 8.0) -> int:
-    """sqrt(rows) / per_root, at least one: 28 parts of 1,800 for 50,000 rows, 1,250 of 80,000 for 100 million."""
-    return max(1, round(rows**0.5 / per_root))
+    """sqrt(rows) / per_root, from one to MOST_PARTS: 28 parts of 1,800 for 50,000 rows, 512 of 195,000 for 100 million."""
+    return max(1, min(MOST_PARTS, round(rows**0.5 / per_root)))
 
 
 def _compare(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
