@@ -2,8 +2,8 @@
 
 The number of parts grows with the square root of the rows up to MOST_PARTS, so that parts and the rows of one grow
 alike, and larger parts beyond are cut into more blocks; one path serves every size. Fitting, on the driver, on a
-sample of about `sample_rows` vectors or SAMPLE_PER_PART for each part, so of MOST_PARTS * SAMPLE_PER_PART at most,
-with tables of sample by parts made in blocks (150 MB at most, whatever the rows):
+sample of about `sample_rows` vectors or SAMPLE_PER_PART for each part, MOST_SAMPLE at most, with tables of sample by
+parts made in blocks, so that its memory stops growing with the rows:
 link each to its nearest, cut that graph into parts of equal size that few links cross, and train a small
 network to name the parts in which a vector's neighbours lie. Indexing gives every row its most probable
 part. A query goes to its most probable parts, as many as the sample needs for `target_recall`, and is
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, tidy
 
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
-SAMPLE_PER_PART, MOST_PARTS = 64, 512
+SAMPLE_PER_PART, MOST_PARTS, MOST_SAMPLE = 64, 1280, 40_960
 #: Numbers of a block of a large table on the driver.
 BLOCK_CELLS = 1 << 21
 
@@ -153,7 +153,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def part_count(rows: int, per_root: float = 8.0) -> int:
-    """sqrt(rows) / per_root, from one to MOST_PARTS: 28 parts of 1,800 for 50,000 rows, 512 of 195,000 for 100 million."""
+    """sqrt(rows) / per_root, from one to MOST_PARTS: 28 parts of 1,800 for 50,000 rows, 1,250 of 80,000 for 100 million."""
     return max(1, min(MOST_PARTS, round(rows**0.5 / per_root)))
 
 
@@ -186,7 +186,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, t
     rows = materialize(usable(vectors))
     n = rows.count()
     parts = part_count(n, per_root)
-    wanted = max(sample_rows, SAMPLE_PER_PART * parts)
+    wanted = min(MOST_SAMPLE, max(sample_rows, SAMPLE_PER_PART * parts))
     chosen = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 2) <= F.lit(int(min(1.0, wanted / max(1, n)) * 2**62)))
     sample = chosen.toArrow().sort_by("vec_id")  # about `wanted` rows
     router, probe = fit(_matrix(sample.column("v")), parts, k, target_recall) if parts > 1 else (None, 1)  # one part needs no choice

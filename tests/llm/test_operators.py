@@ -717,3 +717,41 @@ def test_op7_matches_its_sql(spark):
     df = queries.op7_mix_sources(spark, SF)
     want = con.execute(queries.SQL["op7_mix_sources"]).fetchall()
     assert sorted(map(tuple, df.select("doc_id", "size", "source_size", "target", "taken").collect())) == sorted(want)
+
+
+def test_op5_fit_does_not_grow_with_the_rows(monkeypatch):
+    """The sample and parts of any table of over 105 million rows, in a third of one table of sample by parts."""
+    import tracemalloc
+
+    monkeypatch.setattr(ann.Router.__init__, "__defaults__", (128, 1))
+    assert ann.part_count(2 * 10**8) == ann.part_count(10**11) == ann.MOST_PARTS
+    x = np.random.default_rng(0).normal(size=(ann.MOST_SAMPLE, 16))
+    tracemalloc.start()
+    try:
+        router, probe = ann.fit(x, ann.MOST_PARTS, 20, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(x) * ann.MOST_PARTS * 8 / 3 and router.logits(x[:3]).shape == (3, ann.MOST_PARTS) and 0 < probe <= ann.MOST_PARTS
+
+
+def test_op5_balanced_parts_are_balanced():
+    x = np.random.default_rng(1).normal(size=(900, 8))
+    part = ann.balanced_parts(x, ann.neighbour_graph(x, 10), 7, np.random.default_rng(2))
+    assert np.bincount(part, minlength=7).max() <= np.ceil(1.1 * 900 / 7) and part.min() == 0
+
+
+def test_op5_reaches_its_recall_with_as_many_parts_as_allowed(spark, monkeypatch):
+    """Few parts for the rows, as at the bound: larger parts, the same results."""
+    monkeypatch.setattr(ann, "MOST_PARTS", 3)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = centres[rng.integers(0, 12, 3000)] + 0.3 * rng.normal(size=(3000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, sample_rows=600).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(set(got[i]) & set(np.argsort(-scores[i])[:20].tolist())) for i in range(0, 3000, 20))
+    assert all(len(v) == 20 for v in got.values()) and hits / (150 * 20) >= 0.9
