@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import counted as ct
 from ..functions.stats import paired_entries, rank_tests, success_rate_test, unpaired_entries
+from ..session import stored
+from ..sources.tables import require_compatible
 from .conditions import bin_of
 
 UNMAPPED = "Unmapped"
@@ -206,14 +208,34 @@ def attempted_reads(*sets: DataFrame) -> DataFrame:
     return out.distinct().agg(F.count("*").alias("attempted"))
 
 
-def merge_results(*runs: DataFrame) -> DataFrame:
-    """One row per read_id, that of the first run that has it."""
-    tagged = [r.withColumn("_ord", F.lit(i)) for i, r in enumerate(runs)]
+def merge_results(*runs: DataFrame, keep_order: str | None = None) -> DataFrame:
+    """One row per read_id, that of the first run that has it; keep_order names a column with the run's number that
+    is there already and stays."""
+    tagged = [r if keep_order else r.withColumn("_ord", F.lit(i)) for i, r in enumerate(runs)]
     out = tagged[0]
     for t in tagged[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy("read_id").orderBy("_ord"))
-    return out.withColumn("_n", rank).where("_n = 1").drop("_n", "_ord")
+    rank = F.row_number().over(Window.partitionBy("read_id").orderBy(keep_order or "_ord"))
+    return out.withColumn("_n", rank).where("_n = 1").drop("_n", *([] if keep_order else ["_ord"]))
+
+
+def merge_archives(*archives: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Archives as pairs of records and their one-row metadata (run_id, the must-agree fields, pod5_paths, ..) to
+    one pair. Raises if models or chunk sizes differ. A read_id has the record of the first archive that
+    holds it, with that archive's run_id; the metadata is the first archive's, with the paths of all (in order, once
+    each) and their reads and times summed up."""
+    told = [m.withColumn("_ord", F.lit(i)) for i, (_, m) in enumerate(archives)]
+    metadata = told[0]
+    for m in told[1:]:
+        metadata = metadata.unionByName(m, allowMissingColumns=True)
+    metadata = stored(require_compatible(metadata))  # a row per archive
+    tagged = [r.withColumn("_ord", F.lit(i)) for i, (r, _) in enumerate(archives)]
+    merged = merge_results(*tagged, keep_order="_ord").join(F.broadcast(metadata.select("_ord", "run_id")), "_ord").drop("_ord")
+    paths = F.array_sort(F.collect_list(F.struct("_ord", F.coalesce("pod5_paths", F.array().cast("array<string>")).alias("p"))))
+    summed = [F.sum(c).alias(c) for c in ("num_reads_processed", "total_inference_time") if c in metadata.columns]
+    united = F.array_distinct(F.flatten(F.transform(paths, lambda x: x["p"]))).alias("pod5_paths")
+    rest = [c for c in metadata.columns if c not in ("_ord", "pod5_paths", "num_reads_processed", "total_inference_time")]
+    return merged, metadata.agg(*(F.min_by(c, "_ord").alias(c) for c in rest), united, *summed)
 
 
 def only_in(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -204,6 +204,29 @@ simple("s3_recursive_scan", lambda s, d: src.scan(s, d, "event_id bigint, event_
 simple("s8_file_of_read", lambda s, d: src.with_file(src.scan(s, f"{d}/events.parquet")).groupBy("file").agg(F.count_distinct("event_id").alias("reads")), "select 'events.parquet' as file, count(distinct event_id) as reads from events")
 
 
+def s8(spark, sf_dir):
+    """Ten ids spread over the archive of events."""
+    events, path = b.table(spark, sf_dir, "events"), work_dir(spark)
+    src.write_indexed(events, path, key="event_id")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    ids = [low + (high - low) * k // 9 for k in range(10)]
+    return src.look_up(spark, path, ids, "event_id").select("event_id", "event_type")
+
+
+simple("s8_indexed_look_up", s8, "with r as (select min(event_id) as low, max(event_id) as high from events) select event_id, event_type from events where event_id in (select low + (high - low) * k // 9 from r, range(10) t(k))")
+
+
+def s11_interval(spark, sf_dir):
+    """Lines as alignments at the place of their part, one reference per flag."""
+    path = work_dir(spark)
+    rows = b.table(spark, sf_dir, "lineitem").select(b.line_id().alias("read_id"), F.ascii("l_returnflag").alias("ref_idx"), F.col("l_partkey").cast("int").alias("pos"), (F.col("l_partkey") + F.col("l_quantity")).cast("int").alias("ref_end"))
+    src.write_coordinate_sorted(rows, path, 64)
+    return src.read_interval(spark, path, ord("N"), 50, 90)
+
+
+simple("s11_interval_scan", s11_interval, f"select {b.LINE_ID} as read_id, ascii(l_returnflag) as ref_idx, l_partkey::int as pos, (l_partkey + l_quantity)::int as ref_end from lineitem where l_returnflag = 'N' and l_partkey < 90 and l_partkey + l_quantity > 50")
+
+
 def s4(spark, sf_dir):
     rows = b.alignments(spark, sf_dir).withColumn("ref_name", F.col("label")).withColumn("seq", F.lit("ACGT"))
     path = work_dir(spark)
@@ -356,4 +379,12 @@ def r4(spark, sf_dir):
     return per.agg(F.sum("n").alias("records"), (F.max("n") <= 500).alias("within"))
 
 
+def r4_exact(spark, sf_dir):
+    out, state = work_dir(spark), work_dir(spark)
+    events = _events(spark, sf_dir).select("event_id", "event_type")
+    stream.write_exact_shards(events, out, state, 500, "event_id").awaitTermination()
+    return stream.read_shards(spark, out, "event_id bigint, event_type string").groupBy("shard").agg(F.count("*").alias("records"))
+
+
+simple("r4_exact_shards", r4_exact, "select shard, count(*) as records from (select (row_number() over (order by event_id) - 1) // 500 as shard from events) group by shard")
 simple("r4_stream_shards", r4, "select count(*)::bigint as records, true as within from events")

@@ -146,6 +146,29 @@ simple(
     lambda s, d: cp.merge_results(*(b.side(s, d, i).select("read_id", "label", "identity") for i in (2, 1))),
     _V + "select read_id, label, round(identity, 5) as identity from b union all select read_id, label, round(identity, 5) from a where read_id not in (select read_id from b)",
 )
+
+
+def _archive(spark, sf_dir, line):
+    """A side as an archive whose metadata is told from its lines."""
+    lines = b.table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 2 == line % 2)
+    paths = F.array_sort(F.array_distinct(F.concat(F.collect_set(F.concat(F.lit("lines/"), F.col("l_linenumber").cast("string"))), F.collect_set(F.concat(F.lit("flags/"), "l_returnflag")))))
+    metadata = lines.agg(paths.alias("pod5_paths"), F.count("*").alias("num_reads_processed")).select(F.lit(f"side {line}").alias("run_id"), F.lit("m").alias("model_name"), F.lit("t").alias("model_type"), F.lit(54).alias("chunk_size"), F.lit("float16").alias("float_dtype"), "*")
+    return b.side(spark, sf_dir, line).select("read_id", "label"), metadata
+
+
+def j9_archives(spark, sf_dir):
+    records, metadata = cp.merge_archives(_archive(spark, sf_dir, 2), _archive(spark, sf_dir, 1))
+    told = metadata.select(F.array_join("pod5_paths", ",").alias("paths"), "num_reads_processed")
+    return records.groupBy("run_id").agg(F.count("*").alias("records")).crossJoin(F.broadcast(told))  # one row
+
+
+_PATHS = "select distinct 'lines/' || l_linenumber as p from lineitem where l_linenumber % 2 = {k} union select distinct 'flags/' || l_returnflag from lineitem where l_linenumber % 2 = {k}"
+simple(
+    "j9_merge_archives",
+    j9_archives,
+    _V.rstrip() + f", p0 as (select 0 as o, p from ({_PATHS.format(k=0)})), p1 as (select 1 as o, p from ({_PATHS.format(k=1)}) where p not in (select p from p0)), u as (select string_agg(p, ',' order by o, p) as paths from (select * from p0 union all select * from p1)), "
+    "n as (select count(*) as num_reads_processed from lineitem), m as (select 'side 2' as run_id, count(*) as records from b union all select 'side 1', count(*) from a where read_id not in (select read_id from b)) select run_id, records, paths, num_reads_processed from m, u, n",
+)
 simple("j12_missing_reads", lambda s, d: cp.only_in(b.side(s, d, 1), b.side(s, d, 2)).select("read_id"), _V + "select read_id from a where read_id not in (select read_id from b)")
 simple("a34_distinct_reads", lambda s, d: stats_of(s, d).select("read_id").distinct(), _S + "select distinct read_id from stats")
 

@@ -26,6 +26,47 @@ def select_reads(reads: DataFrame, wanted: DataFrame) -> DataFrame:
     return reads.join(wanted.select("read_id").distinct(), "read_id", "left_semi")
 
 
+#: Ids of one pushed-down list: Parquet readers take longer lists as one range.
+LIST_IDS = 10
+
+
+def write_indexed(records: DataFrame, path: str, row_group_bytes: int = 1 << 20, distinct: int = 1_000_000, key: str = "read_id") -> None:
+    """An archive for point look-ups: sorted by the key over all files, in small row groups, whose bounds and
+    Bloom filters of the key tell which of them a look-up must read."""
+    options = {"parquet.block.size": row_group_bytes, f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": distinct, "parquet.page.row.count.limit": 1000}
+    records.repartitionByRange(key).sortWithinPartitions(key).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, ids: list, key: str = "read_id") -> DataFrame:
+    """The records of some ids from an indexed archive, by lists that are pushed down to the files."""
+    found = F.lit(False)
+    for i in range(0, len(ids), LIST_IDS):
+        found = found | F.col(key).isin(*ids[i : i + LIST_IDS])
+    return spark.read.parquet(path).where(found)
+
+
+def write_coordinate_sorted(aligned: DataFrame, path: str, bin_size: int = 1 << 14) -> None:
+    """Alignments (ref_idx, pos, ref_end, ..) sorted by reference and position over all files, and beside them an
+    index of the bins of positions that each file's alignments overlap. Unmapped rows (null ref_idx) come last."""
+    aligned.repartitionByRange(F.col("ref_idx").asc_nulls_last(), "pos").sortWithinPartitions(F.col("ref_idx").asc_nulls_last(), "pos").write.parquet(f"{path}/alignments")
+    written = aligned.sparkSession.read.parquet(f"{path}/alignments").where("ref_idx is not null").select("ref_idx", "pos", "ref_end", F.col("_metadata.file_path").alias("file"))
+    first, last = (F.floor(c / F.lit(bin_size)) for c in (F.col("pos"), F.greatest(F.col("ref_end") - 1, "pos")))
+    spans = written.groupBy("file", "ref_idx", first.alias("first"), last.alias("last")).agg(F.min("pos").alias("low"), F.max("ref_end").alias("high"))
+    bins = spans.select("file", "ref_idx", "low", "high", F.explode(F.sequence("first", "last")).alias("bin"))
+    bins.groupBy("ref_idx", "bin", "file").agg(F.min("low").alias("low"), F.max("high").alias("high")).repartitionByRange("ref_idx", "bin").sortWithinPartitions("ref_idx", "bin").withColumn("bin_size", F.lit(bin_size)).write.parquet(f"{path}/index")
+
+
+def read_interval(spark: SparkSession, path: str, ref_idx: int, start: int, end: int) -> DataFrame:
+    """Alignments that overlap [start, end) of a reference. Only files that the index names are opened; their
+    names, at most one for each file that the interval meets, come to the driver."""
+    index = spark.read.parquet(f"{path}/index").where(F.col("ref_idx") == ref_idx)
+    bins = F.col("bin").between(F.floor(F.lit(start) / F.col("bin_size")), F.floor(F.lit(end - 1) / F.col("bin_size")))
+    files = [r.file for r in index.where(bins & (F.col("low") < end) & (F.col("high") > start)).select("file").distinct().collect()]
+    schema = spark.read.parquet(f"{path}/alignments").schema
+    found = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return found.where((F.col("ref_idx") == ref_idx) & (F.col("pos") < end) & (F.col("ref_end") > start))
+
+
 def with_file(df: DataFrame) -> DataFrame:
     """Adds the file of each row."""
     return df.withColumn("file", F.col("_metadata.file_name"))

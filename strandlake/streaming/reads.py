@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import arrays as ar
+from ..session import stored
+from ..sources.tables import with_shards
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,3 +48,33 @@ def write_shards(results: DataFrame, path: str, checkpoint: str, records: int, a
 
     writer = results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def write_exact_shards(results: DataFrame, path: str, checkpoint: str, records: int, order: str, available_now: bool = True) -> StreamingQuery:
+    """Shards of exactly so many records over all micro-batches. Each batch adds to the open shard that the one before
+    left, writes the shards that are full, in its own order, and leaves the rest as the open shard. Everything a batch
+    writes is in folders of its number, so a replayed batch, also after a restart, replaces itself."""
+    spark = results.sparkSession
+
+    def sink(batch: DataFrame, number: int) -> None:
+        first = 0
+        if number:
+            first = spark.read.parquet(f"{path}/next/batch={number - 1}").first()["shard"]
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/open/batch={number - 1}"))
+        numbered = stored(with_shards(batch, order, records))
+        full = numbered.count() // records
+        shards = numbered.where(F.col("shard") < full).withColumn("shard", (F.col("shard") + first).cast("long"))
+        shards.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/full/batch={number}")
+        numbered.where(F.col("shard") >= full).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+        spark.range(1).select(F.lit(first + full).cast("long").alias("shard")).write.mode("overwrite").parquet(f"{path}/next/batch={number}")
+
+    writer = results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of write_exact_shards with their shard; what the last batch has left open is the last one."""
+    last = spark.read.parquet(f"{path}/next").orderBy(F.desc("batch")).first()
+    full = spark.read.option("basePath", f"{path}/full").schema(f"{schema}, batch int, shard long").parquet(f"{path}/full").drop("batch")
+    rest = spark.read.schema(schema).parquet(f"{path}/open/batch={last['batch']}")
+    return full.unionByName(rest.withColumn("shard", F.lit(last["shard"]).cast("long")))
