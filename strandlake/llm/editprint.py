@@ -22,14 +22,17 @@ from itertools import accumulate
 from operator import getitem, itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, tidy
 from .simhash import components
 
 CLASSES, PERIOD, PLACES = 64, 4096, 512
+#: Bytes of a text that deal out rows of one doc_id.
+PREFIX = 64
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
 _NONE = ord(".")
 _STATES: list = []
@@ -107,28 +110,43 @@ def likeness(a: str, b: str) -> float:
     return float((p[:n] == q[:n]).sum()) / max(len(p), len(q))
 
 
+def _sort_key(doc_id: str, text: str) -> Column:
+    """Text that sorts as (doc_id, nulls first, and the first bytes of the text) does."""
+    flipped = F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(2**63)))), 16, "0")  # negative numbers before others
+    return F.concat(F.coalesce(F.concat(F.lit("1"), flipped), F.lit("0")), F.hex(F.substring(F.encode(text, "UTF-8"), 1, PREFIX)))
+
+
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, text and next_text of each row in order of (doc_id, text); the last one's next is the first.
 
-    Ranges of doc_id are dealt out once; the first row of each range is sent to the range before it
-    as well, so each task reads its rows and one more in order. Only range limits come to the driver
-    (one number per partition)."""
+    Ranges of doc_id, and of the text's first bytes where rows share one or have none, are dealt out once; the first
+    row of each range is sent to the range before it as well, so each task reads its rows and one more in order.
+    Limits come from a sample of keys; they and the least key of each range are all that the driver gets."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    # ranges: 0 for null ids, then 1 + the number of limits at or below the id
-    where = F.when(F.col("doc_id").isNull(), F.lit(0))
-    where = where.otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) + 1 if cuts else F.lit(1))
-    rows = rows.withColumn("part", where.cast("int"))
-    firsts = {r["part"]: r["least"] for r in rows.groupBy("part").agg(F.min("doc_id").alias("least")).collect()}  # a row per range
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", _sort_key("doc_id", "text"))
+    share = min(1.0, 100 * n / max(1, docs.count()))
+    some = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("ranges"), "k"), 2) <= F.lit(int(share * 2**62))).select("k")
+    told = np.sort(np.array([r.k for r in some.collect()], dtype=object))  # about 100 keys a range
+    cuts = np.unique(told[np.arange(1, n) * len(told) // n]) if len(told) else told
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(dtype=object), "right").astype(np.int32))
+
+    rows = rows.withColumn("part", range_of("k"))
+    firsts = {r["part"]: r["least"] for r in rows.groupBy("part").agg(F.min("k").alias("least")).collect()}  # a row per range
     used = sorted(firsts)
     if not used:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
     before = {p: used[i - 1] for i, p in enumerate(used)}
-    limits = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(firsts[p]).cast("long").alias("least"), F.lit(before[p]).alias("before")) for p in used))
-    own = F.filter(limits, lambda x: (x["part"] == F.col("part")) & x["least"].eqNullSafe(F.col("doc_id")))
-    sent = rows.select("doc_id", "text", F.explode(F.concat(F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("guest"))), F.transform(own, lambda x: F.struct(x["before"].alias("to"), F.lit(True).alias("guest"))))).alias("s"))
+
+    @F.pandas_udf("int")
+    def guest_of(part: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([before[p] if firsts[p] == x else None for p, x in zip(part, k)], dtype="Int32")
+
+    sent = rows.withColumn("before", guest_of("part", "k"))
+    to = lambda part, guest: F.struct(F.col(part).alias("to"), F.lit(guest).alias("guest"))
+    sent = sent.select("doc_id", "text", F.explode(F.filter(F.array(to("part", False), to("before", True)), lambda s: s["to"].isNotNull())).alias("s"))
     sent = sent.select("s.to", "s.guest", "doc_id", "text")
     dealt = sent.repartitionById(max(used) + 1, F.col("to")).sortWithinPartitions("to", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
