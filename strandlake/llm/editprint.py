@@ -24,11 +24,12 @@ from operator import getitem, itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, tidy
-from .simhash import components
+from .common import keyed, materialize, shuffle_partitions, tidy
+from .simhash import components, spanning_forest
 
 CLASSES, PERIOD, PLACES = 64, 4096, 512
 #: Bytes of a text that deal out rows of one doc_id.
@@ -223,15 +224,9 @@ def edit_report(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_edit: float | None = None, block_rows: int = 1000) -> DataFrame:
-    """a, b, likeness: all links between class representatives (documents of equal print share one).
-
-    Bit-sampled banding: every run of `band` places, at a print's own level and the next, is a
-    key; all prints of a key are compared with each other, and links under min_likeness fall out. A key
-    of more than `block_rows` prints is dealt out as pairs of blocks. With max_edit, links are verified by
-    exact edit distance over length."""
-    prints = edit_prints(docs).where("doc_id is not null")
-    reps = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).where("length(fingerprint) > 2"))
+def _band_keys(reps: DataFrame, band: int, block_rows: int) -> DataFrame:
+    """doc_id, key, blocks, own of each band key that several of reps (fingerprint, doc_id) share: a key of more than
+    `block_rows` prints has several blocks, of which each print is in one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +242,20 @@ def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_ed
 
     keyed = reps.select("fingerprint", "doc_id").mapInArrow(tidy(keys), "doc_id long, key string")
     shared = keyed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = materialize(keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    return materialize(keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+
+
+def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_edit: float | None = None, block_rows: int = 1000) -> DataFrame:
+    """a, b, likeness: all links between class representatives (documents of equal print share one).
+
+    Bit-sampled banding: every run of `band` places, at a print's own level and the next, is a
+    key; all prints of a key are compared with each other, and links under min_likeness fall out. A key
+    of more than `block_rows` prints is dealt out as pairs of blocks. With max_edit, links are verified by
+    exact edit distance over length."""
+    prints = edit_prints(docs).where("doc_id is not null")
+    reps = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).where("length(fingerprint) > 2"))
+
+    keyed = _band_keys(reps, band, block_rows)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = keyed.select("key", F.col("own").alias("p"), every.alias("q"), F.col("doc_id").alias("a"))
     other = keyed.select("key", every.alias("p"), F.col("own").alias("q"), F.col("doc_id").alias("b"))
@@ -268,14 +276,94 @@ def near_pairs(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, max_ed
     return both.where(F.levenshtein("ta", "tb") <= max_edit * F.greatest(F.length("ta"), F.length("tb"))).select("a", "b", "likeness")
 
 
-def near_classes(docs: DataFrame, band: int = 8, min_likeness: float = 0.5) -> DataFrame:
+def _at_level(prints: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of prints at a level at or above their own, padded with 0, and their lengths (0: own level is above)."""
+    rows = []
+    for p in prints:
+        own, symbols = int(p[:2], 16), np.frombuffer(p[2:].encode(), np.uint8)
+        while own < level:
+            symbols, own = _coarser(symbols, own), own + 1
+        rows.append(symbols if own == level else symbols[:0])
+    n = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), max(1, n.max(initial=0))), np.uint8)
+    for row, r in zip(out, rows):
+        row[: len(r)] = r
+    return out, n
+
+
+def _shared(symbols: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of print i and prints js at one level, and the first band that they share (-1: none)."""
+    same = symbols[js] == symbols[i]
+    longer, shorter = np.maximum(n[js], n[i]), np.minimum(n[js], n[i])
+    alike = (same.sum(1) - (symbols.shape[1] - longer)) / np.maximum(longer, 1)  # both padded: no place
+    bands = -(-symbols.shape[1] // band)
+    whole = np.zeros((len(js), bands * band), bool)
+    whole[:, : same.shape[1]] = same
+    whole = whole.reshape(len(js), bands, band).all(2) & ((np.arange(bands) + 1) * band <= shorter[:, None])
+    first = np.where(whole.any(1), whole.argmax(1), -1)
+    short = (longer < band) & (n[js] == n[i]) & (alike == 1)  # a print shorter than a band is one key
+    return alike, np.where(short, 0, first)
+
+
+def _links_of_key(key: str, ids: np.ndarray, sides: np.ndarray | None, prints: list[str], band: int, min_likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each print to others of a key, and the root of its tree. A pair that shares several keys is
+    counted at the first, lower levels first; with `sides`, pairs of two sides only."""
+    level, at = int(key[:2], 16), int(key[2:5], 16) // band
+    own = np.array([int(p[:2], 16) for p in prints])
+    here, below = _at_level(prints, level), _at_level(prints, level - 1) if level else None
+    counts = np.zeros(len(ids), np.int64)
+
+    def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(len(ids) - 1):
+            js = np.arange(i + 1, len(ids))
+            if sides is not None:
+                js = js[sides[js] != sides[i]]
+            if not len(js):
+                continue
+            alike, first = _shared(*here, i, js, band)
+            both_below = (own[js] < level) & (own[i] < level)
+            met = first == at
+            near = met & (alike >= min_likeness)
+            if both_below.any():  # judged at their own level, unless they met there
+                alike, first = _shared(*below, i, js[both_below], band)
+                near[both_below] = met[both_below] & (alike >= min_likeness) & (first < 0)
+            if near.any():
+                counts[i] += near.sum()
+                np.add.at(counts, js[near], 1)
+                yield np.full(near.sum(), i), js[near]
+
+    root = spanning_forest(len(ids), links())
+    return counts, root
+
+
+def near_classes(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, block_rows: int = 1000) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links of near_pairs reach) and n_links (of its print to other
-    prints) of every row; empty texts are one class, rows with null doc_id have none."""
-    pairs = materialize(near_pairs(docs, band, min_likeness))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    prints) of every row; empty texts are one class, rows with null doc_id have none.
+
+    The pairs are those of near_pairs, but never leave their task: of each key, or pair of blocks of a key, come a count
+    for each print and a spanning forest."""
     prints = materialize(edit_prints(docs))
-    reps = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    roots = components(pairs.select("a", "b"))
-    told = reps.join(roots, "node", "left").join(links, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    reps = materialize(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    keyed_ = _band_keys(reps.where("length(fingerprint) > 2"), band, block_rows)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = keyed_.join(reps, "doc_id").select("key", "own", "doc_id", "fingerprint", other)
+    dealt = dealt.select(F.xxhash64("key").alias("g"), "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "fingerprint")
+    dealt = dealt.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in keyed(batches, ["g", "p", "q"]):
+            for key in t.column("key").unique().to_pylist():  # one, unless hashes meet
+                rows = t.filter(pc.equal(t.column("key"), key))
+                ids, own = rows.column("doc_id").to_numpy(), rows.column("own").to_numpy()
+                two = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
+                counts, root = _links_of_key(key, ids, own if two else None, rows.column("fingerprint").to_pylist(), band, min_likeness)
+                told = counts > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(ids[root[told]]), pa.array(counts[told])], names=["node", "to", "n"])
+
+    told = materialize(dealt.mapInArrow(tidy(run), "node long, to long, n long"))
+    links = told.groupBy("node").agg(F.sum("n").alias("n_links"))
+    roots = components(told.select(F.col("node").alias("a"), F.col("to").alias("b")).where("a <> b"))
+    found = reps.withColumnRenamed("doc_id", "node").join(roots, "node", "left").join(links, "node", "left")
+    found = found.select("fingerprint", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     mine = F.col("doc_id").isNotNull()
-    return prints.join(told, "fingerprint", "left").select("doc_id", F.when(mine, F.col("class_id")).alias("class_id"), F.when(mine, F.col("n_links")).alias("n_links"))
+    return prints.join(found, "fingerprint", "left").select("doc_id", F.when(mine, F.col("class_id")).alias("class_id"), F.when(mine, F.col("n_links")).alias("n_links"))

@@ -774,3 +774,30 @@ def test_op1_equal_rows_follow_each_other(spark):
     rows = [(None, "same")] * 40 + [(1, "same")] * 40 + [(2, "other")]
     found = editprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 6).collect()
     assert len(found) == 81 and sum(r.next_text == "other" for r in found) == 1 and [r.next_text for r in found if r.doc_id == 2] == ["same"]
+
+
+@pytest.mark.parametrize("block_rows", [1000, 7])
+def test_op1_classes_are_those_of_all_pairs(spark, block_rows):
+    """Counts of links and classes as near_pairs gives them, from rows that grow with the prints, not with the pairs."""
+    rng = random.Random(21)
+    texts = ["", "a", "ab", "abc", "abcdefgh" * 3]
+    for n in (2, 30, 60, 61, 300):
+        base = prose(rng, n).split()
+        for _ in range(14):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, n // 25))):
+                x[rng.randrange(n)] = rng.choice(["zz", "é", "longer word"])
+            texts.append(" ".join(x[: rng.randint(max(1, n // 2), n)] if rng.random() < 0.2 else x))
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[9]), (500, texts[9]), (501, None)], "doc_id long, text string").repartition(3)
+    pairs = [(r.a, r.b) for r in editprint.near_pairs(docs).collect()]
+    prints = {i: editprint.edit_print(t or "") for i, t in [*enumerate(texts), (500, texts[9]), (501, "")]}
+    rep = {i: min(j for j in prints if prints[j] == p) for i, p in prints.items()}
+    root = dict(rep)
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = {i: sum(i in p for p in pairs) for i in prints}
+    assert len(pairs) > 100
+    got = {r.doc_id: (r.class_id, r.n_links) for r in editprint.near_classes(docs, block_rows=block_rows).collect()}
+    assert got.pop(None) == (None, None)
+    assert got == {i: (root[rep[i]], links[rep[i]]) for i in prints}
