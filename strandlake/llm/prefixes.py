@@ -1,151 +1,71 @@
-"""Links between sets of shingles by their rarest members, exact for a Jaccard similarity.
+"""Links between sets of shingles by their rarest members, for a Jaccard similarity.
 
 Two sets of at least that similarity differ in so few members that, in any one order of all shingles, the first
 floor((1 - similarity) * n) + 1 of each hold one that both have. The order is by the number of sets that have a
 shingle, rarest first: a text that shares only passages with others has enough shingles of its own, and no candidates.
 
-Shingles are counted in buckets of their hash, each a task's numpy sort of bounded size: a text sends one
-row of packed hashes to each bucket that it has shingles in. What no other set has ends there; the rest goes back to its set,
-which picks its first ones. Shingles in over HOT_SHARE of a sample's sets come last in the order and are not
-counted, so no bucket gathers them; the order is only a matter of cost, never of the result.
+This is exact for sets of up to SMALL shingles. A larger set takes part with the shingles of its level, those whose
+hash is divisible by 2^level, between SMALL / 2 and SMALL of them on average; sets that differ little in size share a
+level, as each takes part at that of sets 1 / similarity times as large too. The first ones are then as many more as leave a
+pair out with a probability of under MISS (a bound on binomial tails), which is that of a collision of hashes in
+practice. Shingles in over HOT_SHARE of a sample's sets come last in the order and are not counted, so no task
+gathers them; the order is only a matter of cost, never of the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, tidy
-from .shingles import shingle_set
-from .words import lots, text_buffers
-
-#: Shingles of a bucket, about; the sample that tells hot shingles, and from which share of its sets on.
-BUCKET, SAMPLE_DOCS, HOT_SHARE = 1 << 20, 20_000, 0.01
-_LOW = np.uint64((1 << 48) - 1)
-_MOST = np.uint32(2**32 - 1)
-
-
-def hot_shingles(docs: DataFrame, rows: int, ngram: int) -> np.ndarray:
-    """The shingles in over HOT_SHARE of the distinct sets of a sample, at most SAMPLE_DOCS texts or so."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_buffers(batch.column(0))
-            for first, last in lots(at, 1 << 20):
-                sets = [shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram) for i in range(first, last)]
-                keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["s", "h"])
-
-    share = min(1.0, SAMPLE_DOCS / max(1, rows))
-    some = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit("hot"), "text"), 2) <= F.lit(int(share * 2**62))).select("text")
-    counts = some.mapInArrow(tidy(run), "s long, h long").distinct().groupBy("h").agg(F.count("*").alias("n"))
-    least = max(2, HOT_SHARE * min(rows, SAMPLE_DOCS))
-    return np.sort(np.array([r.h for r in counts.where(F.col("n") > least).select("h").collect()], np.int64).view(np.uint64))  # 1 / HOT_SHARE sets' worth at most
-
-
-def _packed(sets: list[np.ndarray], hot: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """Set number, bucket (-1: hot), offsets and bytes of the rows of some sets; a hash is its low 48 bits."""
-    whole = np.concatenate([np.zeros(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bucket = (whole >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(whole), np.int64)
-    if len(hot):
-        bucket[hot[np.minimum(np.searchsorted(hot, whole), len(hot) - 1)] == whole] = -1
-        order = np.lexsort((bucket, owner))
-        whole, bucket = whole[order], bucket[order]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])) if len(whole) else np.zeros(0, np.int64)
-    raw = np.ascontiguousarray(whole & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
-    return owner[new], bucket[new], np.concatenate([new, [len(whole)]]) * 6, np.ascontiguousarray(raw).ravel()
-
-
-def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a binary column, and how many each row has."""
-    column = column.combine_chunks()
-    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, 6) if data is not None and at[-1] > at[0] else np.zeros((0, 6), np.uint8)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
-    return wide.view("<u8").ravel(), np.diff(at) // 6
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], names=["h", "s0", "s1"])
-
-
-def rare_links(docs: DataFrame, classes: DataFrame, rows: int, total_bytes: int, ngram: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join the nodes of sets of that similarity: classes has node and s0, s1, the 128-bit hash of
-    a set; docs has the texts."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, rows, ngram))
-    bits = max(4, int(np.ceil(np.log2(max(1, total_bytes / 6 / BUCKET)))))
-
-    def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_buffers(batch.column(0))
-            for first, last in lots(at, 1 << 21):
-                sets = [shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram) for i in range(first, last)]
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                n, cold = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
-                owner, bucket, offsets, raw = _packed(sets, hot.value, bits)
-                np.add.at(cold, owner[bucket >= 0], np.diff(offsets)[bucket >= 0] // 6)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
-                columns = [pa.array(x) for x in (bucket.astype(np.int32), keys[owner, 0], keys[owner, 1], n[owner].astype(np.int32), cold[owner].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, packed.cast(pa.binary())], names=["bucket", "s0", "s1", "n", "cold", "hashes"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in keyed(batches, ["bucket"]):
-            s0, s1 = (t.column(c).to_numpy() for c in ("s0", "s1"))
-            once = np.concatenate([[True], (s0[1:] != s0[:-1]) | (s1[1:] != s1[:-1])])  # copies come together
-            t = t.filter(pa.array(once))
-            bucket = int(t.column("bucket")[0].as_py())
-            h, sizes = _unpacked(t.column("hashes"))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            df = np.full(len(h), _MOST)
-            if bucket >= 0:
-                order = np.argsort(h)
-                s = h[order]
-                begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-                runs = np.diff(np.concatenate([begin, [len(s)]]))
-                df[order] = np.repeat(runs, runs)
-            keep = df > 1
-            h, owner, df = h[keep] | (np.uint64(max(bucket, 0) & 0xFFFF) << np.uint64(48)), owner[keep], df[keep]
-            if not len(h):
-                continue
-            mine = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            both = np.empty(len(h), [("df", "<u4"), ("h", "<u8")])
-            both["df"], both["h"] = df, h
-            offsets = (np.concatenate([mine, [len(h)]]) * 12).astype(np.int64)
-            packed = pa.Array.from_buffers(pa.large_binary(), len(mine), [None, pa.py_buffer(offsets), pa.py_buffer(both.tobytes())]).cast(pa.binary())
-            told = t.select(["s0", "s1", "n", "cold"]).take(pa.array(owner[mine])).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*told.columns, packed], names=["s0", "s1", "n", "cold", "entries"])
-
-    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for t in keyed(batches, ["s0", "s1"]):
-            both = np.frombuffer(b"".join(x.as_py() for x in t.column("entries")), [("df", "<u4"), ("h", "<u8")])
-            counted = int((both["df"] < _MOST).sum())
-            n, cold = t.column("n")[0].as_py(), t.column("cold")[0].as_py()
-            take = n - int(np.ceil(similarity * n - 1e-9)) + 1 - (cold - counted)  # shingles of its own come first
-            if take > 0:
-                h = np.sort(both, order=("df", "h"))["h"][:take]
-                out.append((h.view(np.int64), *(np.full(len(h), t.column(c)[0].as_py(), np.int64) for c in ("s0", "s1"))))
-            if len(out) >= 1024:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-    sent = docs.select("text").mapInArrow(tidy(to_rows), "bucket int, s0 long, s1 long, n int, cold int, hashes binary")
-    # hot shingles of a set, in bucket -1, are spread by set: nothing is counted there
-    sent = sent.repartition("bucket", F.when(F.col("bucket") < 0, F.col("s0")).otherwise(0)).sortWithinPartitions("bucket", "s0", "s1")
-    shared = sent.mapInArrow(tidy(count), "s0 long, s1 long, n int, cold int, entries binary")
-    firsts = shared.repartition("s0", "s1").sortWithinPartitions("s0", "s1").mapInArrow(tidy(first_ones), "h long, s0 long, s1 long")
-    held = materialize(firsts.join(classes.select("node", "s0", "s1"), ["s0", "s1"]).select("h", "node"))
-    least = materialize(held.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return held.join(least, "h").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+from .common import materialize
+
+#: Largest set that takes part as a whole; the sample that tells hot shingles, and from which share of its sets on.
+SMALL, SAMPLE_SETS, HOT_SHARE = 128, 20_000, 0.01
+MISS = 1e-9
+
+
+def level_of(n: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n) / SMALL)))
+
+
+def picked(shingles: np.ndarray) -> np.ndarray:
+    """The shingles with which a set takes part."""
+    return shingles[shingles & np.uint64(2 ** level_of(len(shingles)) - 1) == 0]
+
+
+def _level(n: Column) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(SMALL)))).cast("int")
+
+
+def _first_ones(n: Column, level: Column, similarity: float) -> Column:
+    """How many of a set's shingles at a level hold one that a similar set has there."""
+    differ = n - F.ceil(similarity * n - 1e-9)
+    mean, most = differ / F.pow(F.lit(2.0), level), -math.log(MISS)
+    more = F.ceil(mean + most / 3 + F.sqrt(F.lit(most * most / 9) + 2 * most * mean))
+    return F.when(level == 0, differ).otherwise(more).cast("long") + 1
+
+
+def rare_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the nodes of sets of that similarity, from distinct sets: node, n (its size), picks (of
+    `picked`)."""
+    own, upper = _level(F.col("n")), _level(F.floor(F.col("n") / similarity))
+    levels = F.explode(F.when(upper > own, F.array(own, upper)).otherwise(F.array(own))).alias("level")
+    at = F.filter("picks", lambda h: h.bitwiseAND(F.expr("cast(pow(2, level) as long) - 1")) == 0)
+    placed = sets.select("node", "n", "picks", levels).select("node", "level", _first_ones(F.col("n"), F.col("level"), similarity).alias("take"), at.alias("at"))
+    members = placed.select("node", "level", "take", F.size("at").alias("size"), F.explode("at").alias("h"))
+    share = min(1.0, SAMPLE_SETS / max(1, sets.count()))
+    some = members.where(F.shiftrightunsigned(F.xxhash64(F.lit("hot"), "node"), 2) <= F.lit(int(share * 2**62)))
+    least = max(2, HOT_SHARE * min(SAMPLE_SETS, sets.count()))
+    hot = materialize(some.groupBy("level", "h").agg(F.count("*").alias("k")).where(F.col("k") > least).select("level", "h"))
+    hot = F.broadcast(hot)  # 2 * SMALL / HOT_SHARE rows or so at most
+    cold = members.join(hot, ["level", "h"], "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("level", "h"))).where("df > 1")
+    shared = cold.unionByName(members.join(hot, ["level", "h"], "left_semi").withColumn("df", F.lit(2**62)))
+    mine = Window.partitionBy("node", "level")
+    alone = F.col("size") - F.count("*").over(mine)  # shingles that no other set has come first
+    firsts = shared.withColumn("place", alone + F.row_number().over(mine.orderBy("df", "h"))).where("place <= take")
+    held = materialize(firsts.select("level", "h", "node"))
+    first = materialize(held.groupBy("level", "h").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    return held.join(first, ["level", "h"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()

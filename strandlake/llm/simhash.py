@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_column, materialize, text_key, tidy
-from .prefixes import rare_links
+from .prefixes import picked, rare_links
 from .shingles import shingle_hashes, shingle_set
 from .words import lots, mix, text_buffers
 
@@ -379,24 +379,26 @@ def similar_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
-    """doc_id, tk, bytes, w0 .., s0, s1 for every row: text key, length, fingerprint and 128-bit hash of the set of
-    distinct shingles."""
+    """doc_id, tk, bytes, n, picks, w0 .., s0, s1 for every row: text key, length, size of the set of distinct shingles,
+    those of them that prefixes.rare_links compares, fingerprint and 128-bit hash of the set."""
     names = [*(f"w{i}" for i in range(bits // 64)), "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffers(batch.column(2))
-            out = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
+            out, n, picks = np.zeros((batch.num_rows, len(names)), dtype=np.uint64), [], []
             for i in range(batch.num_rows):
                 found = shingle_set(data[at[i] : at[i + 1]].tobytes(), ngram)
+                n.append(len(found))
+                picks.append(picked(found).view(np.int64))
                 if len(found):
                     out[i, :-2] = set_fingerprint([found], bits)
                 out[i, -2:] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.uint64)
-            told = [batch.column(0), batch.column(1), pa.array(np.diff(at))]
-            yield pa.RecordBatch.from_arrays([*told, *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", "tk", "bytes", *names])
+            told = [batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(n, pa.int64()), pa.array(picks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*told, *(pa.array(out[:, k].view(np.int64)) for k in range(len(names)))], names=["doc_id", "tk", "bytes", "n", "picks", *names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    return source.mapInArrow(tidy(run), "doc_id long, tk long, bytes long, " + ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(tidy(run), "doc_id long, tk long, bytes long, n long, picks array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, segment_bits: int, budget: int, total_budget: int, group_rows: int = 20_000) -> DataFrame:
@@ -404,15 +406,15 @@ def similar_groups(docs: DataFrame, ngram: int, similarity: float, bits: int, se
 
     Texts with the same set of shingles are one class. Classes of equal print, what near_links joins by prints and
     what rare_links joins by rare shingles are one loose group, in which similar_links verifies the texts before
-    a link joins anything. rare_links is exact, so no link of that similarity is lost where the prints miss one."""
+    a link joins anything. rare_links leaves out no link of that similarity (see there), where the prints miss some."""
     names = [f"w{i}" for i in range(bits // 64)]
     prints = materialize(set_prints(docs.where("doc_id is not null"), ngram, bits))
     classes = prints.groupBy(*names, "s0", "s1").agg(F.min(F.struct("doc_id", "tk", "bytes")).alias("least"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # stored, so a class keeps its number
     reps = materialize(classes.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
-    rows, total_bytes = classes.agg(F.count("*"), F.coalesce(F.sum("least.bytes"), F.lit(0))).first()
     of = classes.join(reps, names).select("node", "rep")
-    exact = rare_links(docs, classes, rows, total_bytes, ngram, similarity)
+    sets = prints.select("doc_id", "tk", "n", "picks").join(classes.select("node", "least.doc_id", "least.tk"), ["doc_id", "tk"])
+    exact = rare_links(materialize(sets.dropDuplicates(["doc_id", "tk", "node"]).select("node", "n", "picks")), similarity)
     exact = exact.join(of.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     likely = near_links(reps.select(F.col("rep").alias("node"), *names), bits // 64, segment_bits, budget, total_budget, group_rows)
     found = components(likely.unionAll(exact))

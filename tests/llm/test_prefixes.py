@@ -58,16 +58,20 @@ def roots(n, pairs):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize("seed,similarity,hot", [(1, 0.8, 1.0), (2, 0.8, 0.0), (3, 0.6, 1.0)])
-def test_links_join_every_similar_pair(spark, monkeypatch, seed, similarity, hot):
-    """Also if nothing, or all that two sets share, counts as hot."""
+@pytest.mark.parametrize("seed,similarity,hot,small", [(1, 0.8, 1.0, 128), (2, 0.8, 0.0, 128), (3, 0.6, 1.0, 1 << 20), (4, 0.8, 1.0, 64)])
+def test_links_join_every_similar_pair(spark, monkeypatch, seed, similarity, hot, small):
+    """Also if nothing, or all that sets share, counts as hot, and with levels of few shingles."""
     monkeypatch.setattr(prefixes, "HOT_SHARE", hot)
+    monkeypatch.setattr(prefixes, "SMALL", small)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "en", "clash", "clash") for i, t in enumerate(texts)], DOCS).repartition(3)
     prints = simhash.set_prints(docs, 5, 64)
+    rows = [(r.doc_id, r.s0, r.s1, len(s := shingle_set((texts[r.doc_id] or "").encode(), 5)), prefixes.picked(s).view(np.int64).tolist()) for r in prints.select("doc_id", "s0", "s1").collect()]
+    prints = spark.createDataFrame(rows, "doc_id long, s0 long, s1 long, n long, picks array<long>")  # with the levels set here
     classes = prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"))
+    sets = prints.join(classes, ["s0", "s1"]).where("doc_id = node").select("node", "n", "picks")
     node = {r.doc_id: r.node for r in prints.join(classes, ["s0", "s1"]).select("doc_id", "node").collect()}
-    links = [(r.a, r.b) for r in prefixes.rare_links(docs, classes, len(texts), 1 << 16, 5, similarity).collect()]
+    links = [(r.a, r.b) for r in prefixes.rare_links(sets, similarity).collect()]
     found = roots(len(texts), [*links, *node.items()])
     missed = [(i, j) for i, j in similar_pairs(texts, similarity) if found[i] != found[j]]
     assert not missed
