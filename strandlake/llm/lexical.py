@@ -105,7 +105,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     weight = F.floor(1000 * F.log(F.lit(2.0 * n + 2) / (2 * F.col("df") + 1))).cast("long")
     weights = materialize(counted.where("tid > 0").groupBy("tid").agg(F.count("*").alias("df")).select("tid", weight.alias("w")))
     wanted = entries.join(sized(vocabulary), "term").join(sized(weights), "tid")
-    block = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-entries.count() // BLOCK_TERMS)))).cast("int")
+    parts = max(1, -(-entries.count() // BLOCK_TERMS))
+    block = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
     wanted = materialize(wanted.select(block.alias("block"), "qid", "tid", (F.col("times") * F.col("w")).alias("value")))
     # both kinds of rows of a block and shard meet: the items' entries, then the postings by term and falling impact
     queries = wanted.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("kind"), "tid", "value", F.col("qid").alias("number"), F.lit(0).cast("long").alias("doc"), F.lit(0).alias("gone"))
@@ -113,7 +114,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     blocks = materialize(wanted.select("block", "tid").distinct())
     listed_ = counted.join(sized(blocks), "tid").select("block", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "tid", impact.alias("value"), F.col("row").alias("number"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.col("doc_id").isNull().cast("int").alias("gone"))
     # items by number, postings by term and falling impact
-    dealt = queries.unionAll(listed_).repartition(*_KEY)
+    # a task for each block and shard: hashed keys would put several into one
+    dealt = queries.unionAll(listed_).repartitionById(parts * shards, F.col("block") * shards + F.col("shard"))
     first = F.when(F.col("kind") == 0, F.col("number")).otherwise(F.col("tid"))
     dealt = dealt.withColumns({"o1": first, "o2": F.when(F.col("kind") == 0, F.lit(0)).otherwise(-F.col("value"))}).sortWithinPartitions(*_KEY, "kind", "o1", "o2", "number").drop("o1", "o2")
     ranked = dealt.mapInArrow(tidy(lambda batches: _rank_shards(batches, k)), "qid long, row long, doc long, gone int, score long")
