@@ -49,8 +49,8 @@ def _first_ones(n: Column, level: Column, similarity: float) -> Column:
 
 
 def rare_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the nodes of sets of that similarity, from distinct sets: node, n (its size), picks (of
-    `picked`)."""
+    """Links (a, b) that join the nodes of sets of that similarity (0.5 or more, so that sizes are a level apart at most),
+    from distinct sets: node, n (its size), picks (of `picked`)."""
     own, upper = _level(F.col("n")), _level(F.floor(F.col("n") / similarity))
     levels = F.explode(F.when(upper > own, F.array(own, upper)).otherwise(F.array(own))).alias("level")
     at = F.filter("picks", lambda h: h.bitwiseAND(F.expr("cast(pow(2, level) as long) - 1")) == 0)
