@@ -60,9 +60,10 @@ def rare_links(sets: DataFrame, similarity: float) -> DataFrame:
     some = members.where(F.shiftrightunsigned(F.xxhash64(F.lit("hot"), "node"), 2) <= F.lit(int(share * 2**62)))
     least = max(2, HOT_SHARE * min(SAMPLE_SETS, sets.count()))
     hot = materialize(some.groupBy("level", "h").agg(F.count("*").alias("k")).where(F.col("k") > least).select("level", "h"))
-    hot = F.broadcast(hot)  # 2 * SMALL / HOT_SHARE rows or so at most
-    cold = members.join(hot, ["level", "h"], "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("level", "h"))).where("df > 1")
-    shared = cold.unionByName(members.join(hot, ["level", "h"], "left_semi").withColumn("df", F.lit(2**62)))
+    # 2 * SMALL / HOT_SHARE hot shingles or so at most; their rows are each counted alone, so no task gathers them
+    marked = members.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["level", "h"], "left").withColumn("spread", F.when(F.col("hot"), F.col("node")))
+    df = F.when(F.col("hot"), F.lit(2**62)).otherwise(F.count("*").over(Window.partitionBy("level", "h", "spread")))
+    shared = marked.withColumn("df", df).where("df > 1")
     mine = Window.partitionBy("node", "level")
     alone = F.col("size") - F.count("*").over(mine)  # shingles that no other set has come first
     firsts = shared.withColumn("place", alone + F.row_number().over(mine.orderBy("df", "h"))).where("place <= take")
