@@ -111,11 +111,16 @@ def local(rows: DataFrame, query: str, ref: str, wanted: str | None = None, para
     return _kernel(rows, query, ref, wanted, "local", params)
 
 
-def _local_result(params: Parameters, lead: Column, tail: Column) -> Column:
-    """Struct(cigar, pos, ed, span) of a local alignment, null if it has too few matches."""
-    edits = cg.from_edits("ops", F.col("q_start") + lead, tail)
-    done = let(edits, lambda e: let(cg.trim_to_window(e["cigar"]), lambda t: F.struct(t["cigar"].alias("cigar"), (F.col("r_start") + t["shift"]).alias("pos"), (e["ed"] - t["removed"]).alias("ed"), (F.col("r_end") - F.col("r_start") - t["shift"]).alias("span"))))
-    return F.when(F.col("hits") >= params.min_matches, done)
+def _trimmed_edits(rows: DataFrame, lead: Column, tail: Column) -> DataFrame:
+    """Adds _e, the CIGAR and edits of ops with clips around them, and _t, its trim to the first good window."""
+    return once(once(rows, "_e", cg.from_edits("ops", lead, tail)), "_t", cg.trim_to_window("_e.cigar"))
+
+
+def _with_local(rows: DataFrame, params: Parameters, lead: Column, tail: Column) -> DataFrame:
+    """Adds l, struct(cigar, pos, ed, span) of a local alignment, null if it has too few matches."""
+    rows = _trimmed_edits(rows, F.col("q_start") + lead, tail)
+    done = F.struct(F.col("_t.cigar").alias("cigar"), (F.col("r_start") + F.col("_t.shift")).alias("pos"), (F.col("_e.ed") - F.col("_t.removed")).alias("ed"), (F.col("r_end") - F.col("r_start") - F.col("_t.shift")).alias("span"))
+    return rows.withColumn("l", F.when(F.col("hits") >= params.min_matches, done)).drop("_e", "_t")
 
 
 def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -> DataFrame:
@@ -127,13 +132,13 @@ def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -
     rows = once(candidates, "cut", F.when(region["start"] >= 0, cut)).withColumn("sub", F.coalesce("cut.sub", F.lit("")))
     rows = rows.select("read_id", "rank", "ref_idx", "ref_seq", "sub", F.coalesce("cut.five_clip", F.lit(0)).alias("five"), F.coalesce("cut.three_clip", F.lit(0)).alias("three"))
     one = glocal(spread(rows), "sub", "ref_seq", params)
-    coded = cg.from_edits("ops", F.col("five") + F.col("q_start"), F.col("three") + F.length("sub") - F.col("q_end"))
-    trimmed = let(coded, lambda e: let(cg.trim_to_window(e["cigar"]), lambda t: F.struct(t["cigar"].alias("cigar"), t["shift"].alias("pos"), (e["ed"] - t["removed"]).alias("ed"))))
-    one = once(one, "g", F.when(F.col("ops").isNotNull(), trimmed)).drop("ops", "q_start", "q_end", "r_start", "r_end", "hits")
+    one = _trimmed_edits(one, F.col("five") + F.col("q_start"), F.col("three") + F.length("sub") - F.col("q_end"))
+    trimmed = F.struct(F.col("_t.cigar").alias("cigar"), F.col("_t.shift").alias("pos"), (F.col("_e.ed") - F.col("_t.removed")).alias("ed"))
+    one = one.withColumn("g", F.when(F.col("ops").isNotNull(), trimmed)).drop("_e", "_t", "ops", "q_start", "q_end", "r_start", "r_end", "hits")
     some = F.size("g.cigar") > 0
     one = one.withColumn("is_frag", F.coalesce(some & cg.is_fragment("g.cigar", F.length("ref_seq"), params.fragment_deletions), F.lit(False)))
     two = local(one, "sub", "ref_seq", "is_frag", params)
-    two = once(two, "l", _local_result(params, F.col("five"), F.col("three") + F.length("sub") - F.col("q_end")))
+    two = _with_local(two, params, F.col("five"), F.col("three") + F.length("sub") - F.col("q_end"))
     whole_ok = some & ~F.col("is_frag") & (cg.identity("g.cigar") >= params.identity) & (cg.total("g.cigar", MATCH) >= params.min_matches)
     frag_ok = F.col("is_frag") & F.col("l").isNotNull() & (F.size("l.cigar") > 0) & (F.col("l.ed") <= F.col("l.span") * params.fragment_edits)
     chosen = F.when(F.coalesce(frag_ok, F.lit(False)), F.struct("l.cigar", "l.pos", "l.ed")).when(F.coalesce(whole_ok, F.lit(False)), F.struct("g.cigar", "g.pos", "g.ed"))
@@ -175,7 +180,7 @@ def rescue(candidates: DataFrame, params: Parameters = Parameters()) -> DataFram
     """Whole reads (read_id, rank 1 to 3, seq, ref_idx, ref_seq) against their candidates, locally; the
     best candidate, if it is good enough. mapq is 3 for the first candidate, then 2 and 1."""
     rows = local(spread(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq")), "seq", "ref_seq", None, params)
-    rows = once(rows, "l", _local_result(params, F.lit(0), F.length("seq") - F.col("q_end"))).where("l is not null and size(l.cigar) > 0")
+    rows = _with_local(rows, params, F.lit(0), F.length("seq") - F.col("q_end")).where("l is not null and size(l.cigar) > 0")
     score = (F.col("l.span") - F.col("l.ed")) / F.col("l.span")
     order = [(F.col("l.span") >= 25).desc(), "rank"] if params.compat else [(F.col("l.span") >= 25).desc(), score.desc(), "rank"]
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("read_id").orderBy(*order))).where("_n = 1")
