@@ -12,17 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches, kernels
 from ..functions import cigar as cg
-from ..functions import kernels
 from ..functions.arrays import let, once
 from ..schemas import MATCH
 from ..session import stored
 
-#: Cells of one kernel call, a byte each; longer reads go in smaller lots.
-LOT_CELLS = 1 << 25
+#: Cells of one kernel call, a byte each; longer reads go in smaller lots. Larger lots are slower, as they leave the cache.
+LOT_CELLS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -64,18 +65,22 @@ def cut_region(seq: Column, positions: Column, start: Column, end: Column) -> Co
     return let(positions, cut)
 
 
-def _kernel(rows: DataFrame, query: str, ref: str, wanted: str | None, kind: str, params: Parameters) -> DataFrame:
-    """Adds ops, q_start, q_end, r_start, r_end, hits; null where `wanted` is not true or a text is empty."""
+def _kernel(rows: DataFrame, query: str, ref: str, wanted: str | None, kind: str, params: Parameters, clips: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ops, q_start, q_end, r_start, r_end, hits; null where `wanted` is not true or a text is empty. With `clips`,
+    the columns of bases before and after the query in its read (or none), adds _t, the CIGAR with its clips trimmed to
+    the first good window, and _ed, its edits before, instead of ops."""
     names = rows.columns
-    where = {c: names.index(c) for c in (query, ref, wanted) if c}
+    where = {c: names.index(c) for c in (query, ref, wanted, *(clips or ())) if c}
+    added = ["ops"] if clips is None else ["_t", "_ed"]
+    shown = ["q_start", "q_end", "r_start", "r_end", "hits"]
 
     def align(queries, refs):
         if kind == "glocal":
             return kernels.glocal(queries, refs, params.gap_open, params.gap_extend)
         return kernels.local(queries, refs, params.local_open, params.local_extend, params.local_match, params.local_mismatch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arriving:
             q, t = (batch.column(where[c]).to_pylist() for c in (query, ref))
             ask = batch.column(where[wanted]).to_pylist() if wanted else [True] * batch.num_rows
             todo = sorted((i for i in range(batch.num_rows) if ask[i] and q[i] and t[i]), key=lambda i: (len(q[i]), len(t[i])))
@@ -87,11 +92,17 @@ def _kernel(rows: DataFrame, query: str, ref: str, wanted: str | None, kind: str
                 for k, i in enumerate(lot):
                     for column, x in zip(out, (a.ops[k].astype(np.int32), a.query_start[k], a.query_end[k], a.ref_start[k], a.ref_end[k], a.matches[k])):
                         column[i] = x
-            arrays = [pa.array(out[0], pa.list_(pa.int32())), *(pa.array([None if x is None else int(x) for x in c], pa.int32()) for c in out[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, "ops", "q_start", "q_end", "r_start", "r_end", "hits"])
+            ops, *numbers = [pa.array(out[0], pa.list_(pa.int32())), *(pa.array([None if x is None else int(x) for x in c], pa.int32()) for c in out[1:])]
+            arrays = [ops]
+            if clips is not None:
+                lead, tail = (batch.column(where[c]) for c in clips) if clips else (0, 0)
+                edits = batches.from_edits(ops, pc.add(lead, numbers[0]), pc.add(tail, pc.subtract(pa.array([len(x or "") for x in q], pa.int32()), numbers[1])))
+                arrays = [batches.trim_to_window(edits.field(0), pa.array([8]), pa.array([6])), edits.field(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays, *numbers], names=[*names, *added, *shown])
 
     types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{types}, ops array<int>, q_start int, q_end int, r_start int, r_end int, hits int")
+    kinds = ", ".join(f"{c} {t}" for c, t in zip(added, ["array<int>"] if clips is None else [cg.TRIMMED, "int"]))
+    return rows.mapInArrow(run, f"{types}, {kinds}, q_start int, q_end int, r_start int, r_end int, hits int")
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -111,16 +122,11 @@ def local(rows: DataFrame, query: str, ref: str, wanted: str | None = None, para
     return _kernel(rows, query, ref, wanted, "local", params)
 
 
-def _trimmed_edits(rows: DataFrame, lead: Column, tail: Column) -> DataFrame:
-    """Adds _e, the CIGAR and edits of ops with clips around them, and _t, its trim to the first good window."""
-    return once(once(rows, "_e", cg.from_edits("ops", lead, tail)), "_t", cg.trim_to_window("_e.cigar"))
-
-
-def _with_local(rows: DataFrame, params: Parameters, lead: Column, tail: Column) -> DataFrame:
+def _with_local(rows: DataFrame, query: str, ref: str, wanted: str | None, params: Parameters, clips: tuple[str, str] | None = None) -> DataFrame:
     """Adds l, struct(cigar, pos, ed, span) of a local alignment, null if it has too few matches."""
-    rows = _trimmed_edits(rows, F.col("q_start") + lead, tail)
-    done = F.struct(F.col("_t.cigar").alias("cigar"), (F.col("r_start") + F.col("_t.shift")).alias("pos"), (F.col("_e.ed") - F.col("_t.removed")).alias("ed"), (F.col("r_end") - F.col("r_start") - F.col("_t.shift")).alias("span"))
-    return rows.withColumn("l", F.when(F.col("hits") >= params.min_matches, done)).drop("_e", "_t")
+    rows = _kernel(rows, query, ref, wanted, "local", params, clips or ())
+    done = F.struct(F.col("_t.cigar").alias("cigar"), (F.col("r_start") + F.col("_t.shift")).alias("pos"), (F.col("_ed") - F.col("_t.removed")).alias("ed"), (F.col("r_end") - F.col("r_start") - F.col("_t.shift")).alias("span"))
+    return rows.withColumn("l", F.when(F.col("hits") >= params.min_matches, done)).drop("_ed", "_t")
 
 
 def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -> DataFrame:
@@ -131,14 +137,12 @@ def align_candidates(candidates: DataFrame, params: Parameters = Parameters()) -
     cut = cut_region(F.col("seq"), base_positions("mv", "ts"), start, region["end"])
     rows = once(candidates, "cut", F.when(region["start"] >= 0, cut)).withColumn("sub", F.coalesce("cut.sub", F.lit("")))
     rows = rows.select("read_id", "rank", "ref_idx", "ref_seq", "sub", F.coalesce("cut.five_clip", F.lit(0)).alias("five"), F.coalesce("cut.three_clip", F.lit(0)).alias("three"))
-    one = glocal(spread(rows), "sub", "ref_seq", params)
-    one = _trimmed_edits(one, F.col("five") + F.col("q_start"), F.col("three") + F.length("sub") - F.col("q_end"))
-    trimmed = F.struct(F.col("_t.cigar").alias("cigar"), F.col("_t.shift").alias("pos"), (F.col("_e.ed") - F.col("_t.removed")).alias("ed"))
-    one = one.withColumn("g", F.when(F.col("ops").isNotNull(), trimmed)).drop("_e", "_t", "ops", "q_start", "q_end", "r_start", "r_end", "hits")
+    one = _kernel(spread(rows), "sub", "ref_seq", None, "glocal", params, ("five", "three"))
+    trimmed = F.struct(F.col("_t.cigar").alias("cigar"), F.col("_t.shift").alias("pos"), (F.col("_ed") - F.col("_t.removed")).alias("ed"))
+    one = one.withColumn("g", F.when(F.col("hits").isNotNull(), trimmed)).drop("_ed", "_t", "q_start", "q_end", "r_start", "r_end", "hits")
     some = F.size("g.cigar") > 0
     one = one.withColumn("is_frag", F.coalesce(some & cg.is_fragment("g.cigar", F.length("ref_seq"), params.fragment_deletions), F.lit(False)))
-    two = local(one, "sub", "ref_seq", "is_frag", params)
-    two = _with_local(two, params, F.col("five"), F.col("three") + F.length("sub") - F.col("q_end"))
+    two = _with_local(one, "sub", "ref_seq", "is_frag", params, ("five", "three"))
     whole_ok = some & ~F.col("is_frag") & (cg.identity("g.cigar") >= params.identity) & (cg.total("g.cigar", MATCH) >= params.min_matches)
     frag_ok = F.col("is_frag") & F.col("l").isNotNull() & (F.size("l.cigar") > 0) & (F.col("l.ed") <= F.col("l.span") * params.fragment_edits)
     chosen = F.when(F.coalesce(frag_ok, F.lit(False)), F.struct("l.cigar", "l.pos", "l.ed")).when(F.coalesce(whole_ok, F.lit(False)), F.struct("g.cigar", "g.pos", "g.ed"))
@@ -179,8 +183,7 @@ def best_of_two(aligned: DataFrame, params: Parameters = Parameters()) -> DataFr
 def rescue(candidates: DataFrame, params: Parameters = Parameters()) -> DataFrame:
     """Whole reads (read_id, rank 1 to 3, seq, ref_idx, ref_seq) against their candidates, locally; the
     best candidate, if it is good enough. mapq is 3 for the first candidate, then 2 and 1."""
-    rows = local(spread(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq")), "seq", "ref_seq", None, params)
-    rows = _with_local(rows, params, F.lit(0), F.length("seq") - F.col("q_end")).where("l is not null and size(l.cigar) > 0")
+    rows = _with_local(spread(candidates.select("read_id", "rank", "ref_idx", "seq", "ref_seq")), "seq", "ref_seq", None, params).where("l is not null and size(l.cigar) > 0")
     score = (F.col("l.span") - F.col("l.ed")) / F.col("l.span")
     order = [(F.col("l.span") >= 25).desc(), "rank"] if params.compat else [(F.col("l.span") >= 25).desc(), score.desc(), "rank"]
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("read_id").orderBy(*order))).where("_n = 1")

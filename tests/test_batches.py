@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import cigar as cg
-from strandlake.operators import annotate, tracks
+from strandlake.functions import kernels
+from strandlake.operators import align, annotate, tracks
 from strandlake.plans import bindings
 
 CIGAR = "array<struct<op: int, len: int>>"
@@ -133,3 +135,22 @@ def test_places_are_not_shuffled(spark):
 def test_more_rows_are_dealt_to_more_tasks(spark):
     assert bindings.dealt(spark.range(0, 1_000_000, 1, 1)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert bindings.dealt(spark.range(0, 9, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kernel", [kernels.glocal, kernels.local])
+def test_a_lot_of_alignments_takes_little_memory(kernel):
+    query, ref = b"ACGTTGCAAC" * 20, b"ACGTTGCAAC" * 18
+    lot = align.LOT_CELLS // ((len(query) + len(ref) + 1) * (len(query) + 1))
+    tracemalloc.start()
+    try:
+        kernel([query] * lot, [ref] * lot)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6
+
+
+def test_alignment_takes_two_python_steps(spark):
+    df = spark.createDataFrame([("r", 1, "ACGT", [5, 1, 1, 1, 1], 1, (1, 9), 0, "ACGT")], "read_id string, rank int, seq string, mv array<int>, ts int, region struct<start: int, end: int>, ref_idx int, ref_seq string")
+    shown = plan(align.align_candidates(df))
+    assert shown.count("MapInArrow") == 2 and "ArrowEvalPython" not in shown
