@@ -70,7 +70,7 @@ _MOVES = """m as (select """ + b.LINE_ID + """ as read_id, repeat('ACGTTGCA', 3)
 
 
 def _moves(spark, sf_dir):
-    items = b.dealt(b.table(spark, sf_dir, "lineitem"))
+    items = b.dealt_lines(spark, sf_dir)
     n = (10 + F.col("l_partkey") % 9).cast("int")
     mv = F.concat(F.array(F.lit(5)), F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 3 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1))))))
     lo = (F.col("l_suppkey") % 40 + 5).cast("int")

@@ -154,3 +154,36 @@ def test_alignment_takes_two_python_steps(spark):
     df = spark.createDataFrame([("r", 1, "ACGT", [5, 1, 1, 1, 1], 1, (1, 9), 0, "ACGT")], "read_id string, rank int, seq string, mv array<int>, ts int, region struct<start: int, end: int>, ref_idx int, ref_seq string")
     shown = plan(align.align_candidates(df))
     assert shown.count("MapInArrow") == 2 and "ArrowEvalPython" not in shown
+
+
+def test_alignments_and_clip_shifts_are_compiled(spark):
+    df = frame(spark, made(4, 3))
+    assert "lambda" not in plan(df.select(cg.clip_shifts("cigar", "cigar")))
+    assert "lambda" not in plan(bindings.alignments(spark, "/root/testdata/sf0.001"))
+
+
+def test_clip_shifts_go_by_the_outmost_operations_with_a_place(spark):
+    rows = made(7, 200, (1, 2, 4, 5, 6, 7))
+    df = spark.createDataFrame([(a[2], b[2]) for a, b in zip(rows, rows[1:])], f"a {CIGAR}, b {CIGAR}")
+    for (a, _), (b, _), found in zip([(r[2], 0) for r in rows], [(r[2], 0) for r in rows[1:]], df.select(cg.clip_shifts("a", "b").alias("c")).collect()):
+        clip = lambda x, i: ([n if op == 4 else None for op, n in x or [] if op not in (5, 6)] or [None])[i]
+        assert found.c == tuple(0 if clip(b, i) is None else clip(b, i) - (clip(a, i) or 0) for i in (-1, 0))
+
+
+def test_a_read_goes_on_over_batches(spark):
+    rows = [(k, None if k == "none" else "xy"[i % 2], i % 3, [(7, 3), (1, 1), (7, 2)]) for k, n in (("a", 1), ("b", 9), (None, 5), ("none", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, f"read_id string, label string, pos int, cigar {CIGAR}")
+    shown = plan(tracks.tracks(df, F.lit(0), F.lit(9), "label"))
+    assert "ObjectHashAggregate" not in shown  # which sorts, and keeps a buffer of rows for each read
+    ask = lambda: sorted(map(repr, tracks.tracks(df, F.lit(0), F.lit(9), "label").collect()))
+    want = ask()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert ask() == want and len(want) == len(set(want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    match = {}
+    for k, label, pos, _ in rows:
+        for place in range(pos, pos + 5):
+            match[k, label, place] = match.get((k, label, place), 0) + 1
+    assert {(r.read_id, r.label, r.position): r.match for r in tracks.tracks(df, F.lit(0), F.lit(9), "label").collect()} == match
