@@ -4,6 +4,7 @@ import itertools
 import random
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,31 @@ def test_a_read_goes_on_over_batches(spark):
         for place in range(pos, pos + 5):
             match[k, label, place] = match.get((k, label, place), 0) + 1
     assert {(r.read_id, r.label, r.position): r.match for r in tracks.tracks(df, F.lit(0), F.lit(9), "label").collect()} == match
+
+
+@pytest.mark.parametrize("kernel", [kernels.glocal, kernels.local])
+def test_a_cell_of_a_read_is_one_number_of_four_bytes(kernel, monkeypatch):
+    rng, used, whole = random.Random(8), [], kernels._Cells.__init__
+
+    def noted(self, *args):
+        whole(self, *args)
+        used.append(self.type)
+
+    def wide(self, *args):
+        whole(self, *args)
+        self.type, self.letter = np.int64, 55
+
+    refs = ["".join(rng.choices("ACGT", k=rng.randint(1, 320))) for _ in range(40)]
+    reads = [("".join(rng.choices("ACGT", k=9)) + r[: len(r) // 2] + r[len(r) // 2 + rng.randint(0, 3) :]).encode() for r in refs]
+    refs = [r.encode() for r in refs]
+    monkeypatch.setattr(kernels._Cells, "__init__", noted)
+    four = kernel(reads, refs)
+    monkeypatch.setattr(kernels._Cells, "__init__", wide)
+    eight = kernel(reads, refs)
+    assert used == [np.int32]
+    assert all((x == y).all() for x, y in zip(four.ops, eight.ops))
+    assert all((getattr(four, k) == getattr(eight, k)).all() for k in ("query_start", "query_end", "ref_start", "ref_end", "matches"))
+
+
+def test_costs_become_whole_numbers():
+    assert [kernels._scale(*x) for x in ((2.0, 1.0), (2.0, 0.5), (-3.0, 0.25), (2.3, 0.7), (0.01, 5), (1 / 3, 1))] == [1, 2, 4, 10, 100, 1 << 16]
