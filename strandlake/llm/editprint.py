@@ -291,49 +291,74 @@ def _at_level(prints: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _shared(symbols: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likeness of print i and prints js at one level, and the first band that they share (-1: none)."""
+def _laid(prints: list[str], level: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _at_level, with each band filled up with 0 to places of whole bytes, and each row to bands of whole words."""
+    symbols, n = _at_level(prints, level)
+    bands, places = -(-symbols.shape[1] // band), -(-band // 8) * 8
+    filled = np.zeros((len(prints), bands * band), np.uint8)
+    filled[:, : symbols.shape[1]] = symbols
+    out = np.zeros((len(prints), -(-bands // 8) * 8, places), np.uint8)
+    out[:, :bands, :band] = filled.reshape(len(prints), bands, band)
+    return out.reshape(len(prints), -1), n
+
+
+def _alike(symbols: np.ndarray, n: np.ndarray, i: int, js: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of print i and prints js, laid out at one level, and their equal places, a bit each."""
     same = symbols[js] == symbols[i]
+    bits = np.packbits(same.reshape(-1)).reshape(len(same), same.shape[1] // 8)
+    longer = np.maximum(n[js], n[i])
+    equal = np.bitwise_count(bits.view(np.uint64)).sum(1, dtype=np.int64) - (same.shape[1] - longer)  # both filled up: no place
+    return equal / np.maximum(longer, 1), bits
+
+
+def _first_band(bits: np.ndarray, alike: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, band: int) -> np.ndarray:
+    """The first band that print i and each of prints js share (-1: none)."""
     longer, shorter = np.maximum(n[js], n[i]), np.minimum(n[js], n[i])
-    alike = (same.sum(1) - (symbols.shape[1] - longer)) / np.maximum(longer, 1)  # both padded: no place
-    bands = -(-symbols.shape[1] // band)
-    whole = np.zeros((len(js), bands * band), bool)
-    whole[:, : same.shape[1]] = same
-    whole = whole.reshape(len(js), bands, band).all(2) & ((np.arange(bands) + 1) * band <= shorter[:, None])
+    size = -(-band // 8)
+    whole = (bits.reshape(len(bits), bits.shape[1] // size, size) == 255).all(2)
+    whole &= (np.arange(whole.shape[1]) + 1) * band <= shorter[:, None]
     first = np.where(whole.any(1), whole.argmax(1), -1)
     short = (longer < band) & (n[js] == n[i]) & (alike == 1)  # a print shorter than a band is one key
-    return alike, np.where(short, 0, first)
+    return np.where(short, 0, first)
 
 
 def _links_of_key(key: str, ids: np.ndarray, sides: np.ndarray | None, prints: list[str], band: int, min_likeness: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each print to others of a key, and the root of its tree. A pair that shares several keys is
-    counted at the first, lower levels first; with `sides`, pairs of two sides only."""
+    counted at the first, lower levels first; with `sides`, pairs of two sides only.
+
+    Likeness comes first, as bits of equal places; only pairs that are near are asked for their first band."""
     level, at = int(key[:2], 16), int(key[2:5], 16) // band
-    own = np.array([int(p[:2], 16) for p in prints])
-    here, below = _at_level(prints, level), _at_level(prints, level - 1) if level else None
-    counts = np.zeros(len(ids), np.int64)
+    lower = np.array([int(p[:2], 16) < level for p in prints], bool)
+    side = np.zeros(len(ids), np.int64) if sides is None else np.unique(sides, return_inverse=True)[1]
+    order = np.lexsort((lower, side))  # what print i is compared with lies in a row, those of a lower level last
+    lower, side, prints = lower[order], side[order], [prints[k] for k in order]
+    here, below = _laid(prints, level, band), _laid(prints, level - 1, band) if lower.any() else None
+    counts, other = np.zeros(len(ids), np.int64), int(np.searchsorted(side, 1))
+
+    def near(i: int, first: int, last: int, both_lower: bool) -> np.ndarray:
+        if first == last:
+            return np.zeros(0, np.int64)
+        alike, bits = _alike(*(below if both_lower else here), i, slice(first, last))  # two of a lower level are judged there
+        k = np.flatnonzero(alike >= min_likeness)
+        alike, bits, js = alike[k], bits[k], k + first
+        if both_lower:  # unless they met there
+            js = js[_first_band(bits, alike, below[1], i, js, band) < 0]
+            alike, bits = _alike(*here, i, js)
+        return js[_first_band(bits, alike, here[1], i, js, band) == at]
 
     def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(ids) - 1):
-            js = np.arange(i + 1, len(ids))
-            if sides is not None:
-                js = js[sides[js] != sides[i]]
-            if not len(js):
-                continue
-            alike, first = _shared(*here, i, js, band)
-            both_below = (own[js] < level) & (own[i] < level)
-            met = first == at
-            near = met & (alike >= min_likeness)
-            if both_below.any():  # judged at their own level, unless they met there
-                alike, first = _shared(*below, i, js[both_below], band)
-                near[both_below] = met[both_below] & (alike >= min_likeness) & (first < 0)
-            if near.any():
-                counts[i] += near.sum()
-                np.add.at(counts, js[near], 1)
-                yield np.full(near.sum(), i), js[near]
+        for i in range(len(ids) if sides is None else other):
+            first = i + 1 if sides is None else other
+            middle = len(ids) if not lower[i] else first + int(np.count_nonzero(~lower[first:]))
+            js = np.concatenate([near(i, x, y, both) for x, y, both in ((first, middle, False), (middle, len(ids), True))])
+            if len(js):
+                counts[i] += len(js)
+                counts[js] += 1
+                yield np.full(len(js), i), js
 
     root = spanning_forest(len(ids), links())
-    return counts, root
+    back = np.argsort(order)
+    return counts[back], order[root][back]
 
 
 def near_classes(docs: DataFrame, band: int = 8, min_likeness: float = 0.5, block_rows: int = 1000) -> DataFrame:

@@ -801,3 +801,37 @@ def test_op1_classes_are_those_of_all_pairs(spark, block_rows):
     got = {r.doc_id: (r.class_id, r.n_links) for r in editprint.near_classes(docs, block_rows=block_rows).collect()}
     assert got.pop(None) == (None, None)
     assert got == {i: (root[rep[i]], links[rep[i]]) for i in prints}
+
+
+def test_op1_prints_of_one_key_are_compared_by_bits():
+    """2 million pairs of 512 places; links, split between levels and sides, are those of likeness and first bands."""
+    import time
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"ABCDEFGH", np.uint8)
+    base = letters[rng.integers(0, 8, 512)]
+
+    def print_(rate, level="03", places=512):
+        x = np.where(rng.random(512) < rate, letters[rng.integers(0, 8, 512)], base)
+        at = np.arange(16, 24)  # a lower level has the band at the places that are kept
+        x[at if level == "03" else 2 * at + editprint._coin(3, at)] = base[16:24]
+        return level + x[:places].tobytes().decode()
+
+    key = "03010" + base[16:24].tobytes().decode()
+    prints = [print_(0.7) for _ in range(2000)]
+    began = time.process_time()
+    counts, _ = editprint._links_of_key(key, np.arange(2000), None, prints, 8, 0.5)
+    assert time.process_time() - began < 2.2
+    few = [print_(r, p, n) for r, p, n in zip(np.tile([0.05, 0.4, 0.3], 14), np.tile(["03", "03", "02"], 14), rng.integers(400, 512, 42))]
+    for sides in (None, np.arange(42) % 2 + 4):
+        want = np.zeros(42, int)
+        for i, j in combinations(range(42), 2):
+            met = []
+            for level in range(max(int(few[i][:2], 16), int(few[j][:2], 16)), 4):  # as both are there, lower first
+                (a, n), (b, m) = ((x[0], k[0]) for x, k in (editprint._at_level([few[k]], level) for k in (i, j)))
+                met += [(level, p) for p in range(0, min(n, m) - 7, 8) if (a[p : p + 8] == b[p : p + 8]).all()]
+            if (sides is None or sides[i] != sides[j]) and met[:1] == [(3, 16)] and editprint.likeness(few[i], few[j]) >= 0.5:
+                want[[i, j]] += 1
+        assert want[2::3].any() and want[::3].any()
+        assert (editprint._links_of_key(key, np.arange(42), sides, few, 8, 0.5)[0] == want).all()
