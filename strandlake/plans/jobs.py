@@ -163,7 +163,7 @@ _RUNS = f""", moves as (select read_id, mapq + 3 as ts, class_code, fragment, co
   marked as (select *, coalesce((lag(label) over (partition by read_id order by k) <> label)::int, 0) as new from told), runs as (select read_id, label, n, (sum(new) over (partition by read_id order by k rows unbounded preceding))::int as run from marked)"""
 simple(
     "l8_p19_annotate_reads",
-    lambda s, d: annotate.annotate_reads(annotated_input(s, d), 0.9, LEAD, TAIL, SPAN).select("read_id", "fragment", F.posexplode("rle").alias("run", "r")).select("read_id", "fragment", "run", "r.label", "r.n"),
+    lambda s, d: ar.once(annotate.annotate_reads(annotated_input(s, d), 0.9, LEAD, TAIL, SPAN), "rle", F.col("rle")).select("read_id", "fragment", F.posexplode("rle").alias("run", "r")).select("read_id", "fragment", "run", "r.label", "r.n"),
     f"with {_LABELS}, {_REGION}{_RUNS} select runs.read_id, moves.fragment, run, label, sum(n)::int as n from runs join moves using (read_id) group by all",
 )
 simple("a33_annotated_per_class", lambda s, d: annotate.annotated_per_class(annotate.annotate_reads(annotated_input(s, d), 0.9, LEAD, TAIL, SPAN)), f"with {_LABELS}, {_REGION}{_RUNS} select class_code, count(*) as reads from moves group by class_code")

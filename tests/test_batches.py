@@ -230,3 +230,7 @@ def test_gates_need_no_bases(spark):
 def test_labels_of_bases_need_no_resolved_cigars(spark):
     shown = query_plan(spark, "p18_w7_base_labels")
     assert "label_stretches(" in shown and "resolve_aligned(" not in shown
+
+
+def test_runs_are_worked_out_once(spark):
+    assert query_plan(spark, "l8_p19_annotate_reads").count("signal_runs(") == 1
