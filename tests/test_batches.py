@@ -259,3 +259,7 @@ def test_statuses_of_rows_that_are_not_judged(spark):
         got = {r.read_id: (r.label, r.identity, r.matches, r.length, r.status) for r in tracks.read_stats(df, refs).collect()}
         none = (None, None, 0, 0)
         assert got == {"good": ("x", 1.0, 30, 30, "pass"), "unmapped": (*none, "unmapped"), "unmapped of a class": (*none, "unmapped"), "short": (*none, "failed"), "no cigar": ("x", 0.0, None, None, "failed")}
+
+
+def test_counted_reads_are_not_dealt(spark):
+    assert query_plan(spark, "a4_w5_coverage_matrix").count("REPARTITION_BY_NUM") == 1
