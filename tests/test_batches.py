@@ -5,11 +5,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions import batches, kernels
 from strandlake.functions import cigar as cg
-from strandlake.functions import kernels
 from strandlake.operators import align, annotate, tracks
 from strandlake.plans import bindings, registry
 
@@ -134,6 +135,63 @@ def test_places_are_not_shuffled(spark):
     assert 0 < shown.index("Generate inline") < shown.index("Exchange hashpartitioning")
 
 
+def summed_pairs(alignments):
+    """read_id, op, places, query_sum, ref_sum, last_query of single places."""
+    return sorted(map(tuple, tracks.aligned_pairs(alignments).groupBy("read_id", "op").agg(F.count("*"), F.sum("query_pos"), F.sum("ref_pos"), F.max("query_pos")).collect()), key=str)
+
+
+@pytest.mark.parametrize("rows_of_a_batch", [1, 3, 10_000])
+def test_pair_sums_are_those_of_single_places(spark, rows_of_a_batch):
+    rows = made(11, 60)
+    rows += [(None, *r[1:]) for r in rows[:3]] + [("no place", 3, [(5, 2), (6, 1)], "A", 0, "x"), ("no position", None, [(7, 2)], "AA", 0, "x"), ("empty", 1, [], "", 0, "x")] + [("many", k, [(7, 3), (1, 1)], "AAAA", 0, "x") for k in range(20)]
+    df = frame(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_of_a_batch))
+    try:
+        found = [sorted(map(tuple, x.collect()), key=str) for x in (tracks.pair_sums(df.repartition(7)), tracks.pair_sums(df.repartition(3, "read_id"), together=True))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = summed_pairs(df)
+    assert found == [expected, expected] and ("many", 7, 60, 60, sum(3 * k + 3 for k in range(20)), 2) in expected and any(r[0] is None for r in expected)
+
+
+def test_places_of_long_reads_are_made_in_lots(monkeypatch):
+    rng = random.Random(12)
+    cigars = [[(rng.choice([0, 1, 2, 3, 4, 5, 7, 8]), rng.choice([0, 1, 9, 400])) for _ in range(rng.randint(0, 6))] for _ in range(30)]
+    args = np.arange(0, 30, 3), pa.array(range(30)), pa.array([[o for o, _ in c] for c in cigars], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in cigars], pa.list_(pa.int32()))
+    whole = batches.pair_sums_of(*args)
+    for lot in (1, 7, 64):
+        monkeypatch.setattr(batches, "LOT", lot)
+        assert all((x == y).all() for x, y in zip(whole, batches.pair_sums_of(*args)))
+    monkeypatch.undo()
+    args = np.zeros(1, int), pa.array([5]), pa.array([[7, 3, 7]], pa.list_(pa.int32())), pa.array([[10, 30_000_000, 10]], pa.list_(pa.int32()))
+    tracemalloc.start()
+    places, query, ref, last = (x[0] for x in batches.pair_sums_of(*args))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert (places[3], query[3], ref[3], last[7]) == (30_000_000, -30_000_000, sum(range(15, 30_000_015)), 19)
+    with pytest.raises(ValueError, match="below 0"):
+        batches.pair_sums_of(np.zeros(1, int), pa.array([5]), pa.array([[-1]]), pa.array([[2]]))
+
+
+def test_sums_of_pairs_are_not_shuffled(spark):
+    shown = query_plan(spark, "p15_aligned_pairs")
+    assert shown.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(read_id" not in shown
+
+
+def test_lines_of_one_name_are_one_read_of_pairs(spark, tmp_path, monkeypatch):
+    """In several files, and with names that meet as nulls have no part in them."""
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(200)
+    unnamed = lines.limit(5).withColumns({"l_linenumber": F.lit(7), "l_orderkey": F.lit(None).cast("long")})
+    named = unnamed.withColumns({"l_orderkey": F.lit(7).cast("long"), "l_linenumber": F.lit(None).cast("int")})
+    lines.unionAll(lines.where("l_linenumber < 3")).unionAll(unnamed).unionAll(named).repartition(6).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(bindings, "TASK_ROWS", 20)
+    found = registry.QUERIES["p15_aligned_pairs"](spark, str(tmp_path))
+    assert dict(found.dtypes) == {"read_id": "string", "op": "int", "places": "bigint", "query_sum": "bigint", "ref_sum": "bigint", "last_query": "int"}
+    assert found.rdd.getNumPartitions() > 10
+    expected = summed_pairs(bindings.resolved(spark, str(tmp_path)))
+    assert sorted(map(tuple, found.collect()), key=str) == expected and len({r[:2] for r in expected}) == len(expected)
+
+
 def test_more_rows_are_dealt_to_more_tasks(spark):
     assert bindings.dealt(spark.range(0, 1_000_000, 1, 1)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert bindings.dealt(spark.range(0, 9, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
